@@ -101,10 +101,14 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2,
     and taken 0.
     """
     q = queue(docs, max_epochs, weights, seed, cells)
-    # Finish times run evenly, so equal-width slots of them hold about equal sizes.
-    q = q.withColumn("slot", F.floor(F.least(F.col("finish"), F.lit(8.0)) * cells).cast("long"))
-    q = _running(q, [], "slot", ["finish", "epoch", "order", "doc_id", "copy"], "size", "served")
-    q = q.withColumn("in_mix", (F.col("served") <= F.col("budget")) & (F.col("begins") < 1))
+    # Finish times run evenly, so equal-width slots of them hold about equal sizes. What is
+    # never begun adds nothing to what is served and is spread over slots of its own.
+    begun = F.col("begins") < 1
+    late = F.lit(9 * cells) + F.pmod(F.xxhash64("order"), F.lit(cells))
+    q = q.withColumn("slot", F.when(begun, F.floor(F.least(F.col("finish"), F.lit(8.0)) * cells).cast("long")).otherwise(late))
+    q = q.withColumn("counted", F.when(begun, F.col("size")).otherwise(F.lit(0)))
+    q = _running(q, [], "slot", ["finish", "epoch", "order", "doc_id", "copy"], "counted", "served")
+    q = q.withColumn("in_mix", (F.col("served") <= F.col("budget")) & begun)
     return q.groupBy("doc_id", "source", "size", "source_size", "target", "copy").agg(
         F.count_if("in_mix").alias("epochs"),
         F.sum(F.when(F.col("in_mix"), F.col("size")).otherwise(F.lit(0))).alias("taken"),
