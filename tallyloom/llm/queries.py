@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
+from . import mixing, simhash, substring
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,7 +39,7 @@ q AS (SELECT e.*, t.source_size, t.target, t.budget,
              CASE WHEN t.target > 0 THEN sum(size) OVER (PARTITION BY e.source ORDER BY epoch, h, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT / t.target ELSE 0.0 END AS finish,
              CASE WHEN t.target > 0 THEN (sum(size) OVER (PARTITION BY e.source ORDER BY epoch, h, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - size) / t.target ELSE 0.0 END AS begins
       FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source),
-r AS (SELECT *, sum(size) OVER (ORDER BY finish, epoch, h, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS served FROM q)
+r AS (SELECT *, sum(CASE WHEN begins < 1 THEN size ELSE 0 END) OVER (ORDER BY finish, epoch, h, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS served FROM q)
 SELECT doc_id, size, any_value(source_size) AS source_size, any_value(target) AS target,
        sum(CASE WHEN served <= budget AND begins < 1 THEN size ELSE 0 END)::BIGINT AS taken
 FROM r GROUP BY doc_id, source, size
@@ -43,6 +47,7 @@ FROM r GROUP BY doc_id, source, size
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_source_mixing": op9_source_mixing,
 }
 ORACLE_SQL = {"op9_source_mixing": OP9_SQL}
