@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, lattice, mixing, simhash, substring
+from . import embeddings, lattice, mixing, simhash, substring, toxicity
 from .common import fold, table
 
 
@@ -31,6 +31,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels, fold("doc_id", 5) != 0))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -59,6 +65,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_source_mixing": op9_source_mixing,
+    "op10_toxicity": op10_toxicity,
 }
 OP8_SQL = """
 WITH RECURSIVE e AS (
