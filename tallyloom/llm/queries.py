@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, lattice, mixing, simhash, substring, toxicity
+from . import embeddings, language, lattice, mixing, simhash, substring, toxicity
 from .common import fold, table
 
 
@@ -18,6 +18,12 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.train(docs, fold("doc_id", 4) != 2))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -62,6 +68,7 @@ FROM r GROUP BY doc_id, source, size
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op4_lm_scoring": op4_lm_scoring,
+    "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_source_mixing": op9_source_mixing,
