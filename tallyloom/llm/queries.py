@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, lattice, mixing, simhash, substring, toxicity
+from . import embeddings, language, lattice, mixing, quality, simhash, substring, toxicity
 from .common import fold, table
 
 
@@ -14,6 +14,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "n_tokens", "log_perplexity", "threshold", "keep")
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
 
@@ -67,6 +72,7 @@ FROM r GROUP BY doc_id, source, size
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_lm_scoring": op4_lm_scoring,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
