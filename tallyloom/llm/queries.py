@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, lattice, mixing, quality, simhash, substring, toxicity
+from . import embeddings, language, lattice, lines, mixing, quality, simhash, substring, toxicity
 from .common import fold, table
 
 
@@ -19,6 +19,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "n_tokens", "log_perplexity", "threshold", "keep")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
 
@@ -73,6 +78,7 @@ FROM r GROUP BY doc_id, source, size
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_line_dedup": op3_line_dedup,
     "op4_lm_scoring": op4_lm_scoring,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
@@ -80,6 +86,23 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,
 }
+OP3_SQL = r"""
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+t AS (SELECT doc_id, text, pos, regexp_replace(line, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS line FROM s),
+l AS (SELECT *, lead(line) OVER w AS next_line, lead(pos) OVER w AS next_pos, count(*) OVER (PARTITION BY doc_id, text) AS n_lines
+      FROM t WHERE line <> '' WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
+c AS (SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id NULLS LAST, text, pos) AS k FROM l WHERE next_line IS NOT NULL),
+g AS (SELECT doc_id, text, pos FROM c WHERE k > 1 UNION SELECT doc_id, text, next_pos FROM c WHERE k > 1),
+kept AS (SELECT s.doc_id, s.text, string_agg(s.line, chr(10) ORDER BY s.pos) FILTER (g.pos IS NULL) AS body, count(g.pos) AS n_deleted
+         FROM s LEFT JOIN g ON s.doc_id IS NOT DISTINCT FROM g.doc_id AND s.text = g.text AND s.pos = g.pos GROUP BY s.doc_id, s.text),
+n AS (SELECT doc_id, text, count(*) AS n FROM l GROUP BY doc_id, text)
+SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_lines, coalesce(kept.n_deleted, 0)::BIGINT AS n_deleted,
+       CASE WHEN documents.text IS NULL THEN NULL ELSE sha256(coalesce(kept.body, '')) END AS kept_sha256
+FROM documents LEFT JOIN kept ON documents.doc_id IS NOT DISTINCT FROM kept.doc_id AND documents.text = kept.text
+LEFT JOIN n ON documents.doc_id IS NOT DISTINCT FROM n.doc_id AND documents.text = n.text
+"""
+
 OP8_SQL = """
 WITH RECURSIVE e AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
@@ -96,4 +119,4 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c
 FROM e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
-ORACLE_SQL = {"op8_embedding_near_dedup": OP8_SQL, "op9_source_mixing": OP9_SQL}
+ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_source_mixing": OP9_SQL}
