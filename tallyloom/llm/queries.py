@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, lattice, lines, mixing, quality, simhash, substring, toxicity
+from . import decontamination, embeddings, language, lattice, lines, mixing, quality, simhash, substring, toxicity
 from .common import fold, table
 
 
@@ -28,6 +28,11 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 10) == 0)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.train(docs, fold("doc_id", 4) != 2))
@@ -80,6 +85,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_line_dedup": op3_line_dedup,
     "op4_lm_scoring": op4_lm_scoring,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_language_id": op6_language_id,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
@@ -103,6 +109,22 @@ FROM documents LEFT JOIN kept ON documents.doc_id IS NOT DISTINCT FROM kept.doc_
 LEFT JOIN n ON documents.doc_id IS NOT DISTINCT FROM n.doc_id AND documents.text = n.text
 """
 
+OP5_SQL = r"""
+WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+dw AS (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT item_id, len(w) AS size, len(w) - 4 AS total, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS h FROM iw WHERE len(w) >= 5),
+ic AS (SELECT item_id, any_value(size) AS size, any_value(total) AS total, h, count(*) AS item_times FROM i GROUP BY item_id, h),
+d AS (SELECT doc_id, text, len(w) AS words, unnest(range(0, len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS h FROM dw WHERE len(w) >= 5),
+hit AS (SELECT d.doc_id, d.text, d.words, d.pos, d.h, ic.item_id, ic.size, ic.total, ic.item_times FROM d JOIN ic USING (h)),
+s AS (SELECT DISTINCT doc_id, text, item_id, size, total, words, greatest(0, least(pos, words - size)) AS start FROM hit),
+c AS (SELECT s.doc_id, s.text, s.item_id, s.total, s.start, least(s.total, s.words - 4) AS own, hit.h, least(count(*), any_value(hit.item_times)) AS common
+      FROM s JOIN hit ON s.doc_id IS NOT DISTINCT FROM hit.doc_id AND s.text = hit.text AND s.item_id IS NOT DISTINCT FROM hit.item_id AND hit.pos >= s.start AND hit.pos < s.start + s.total
+      GROUP BY ALL),
+e AS (SELECT doc_id, text, item_id, start, sum(common)::DOUBLE / (any_value(own) + any_value(total) - sum(common)) AS similarity FROM c GROUP BY doc_id, text, item_id, start)
+SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, arg_min(start, (-similarity, start))::INTEGER AS start
+FROM e WHERE similarity >= 0.8 GROUP BY doc_id, text, item_id
+"""
+
 OP8_SQL = """
 WITH RECURSIVE e AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
@@ -119,4 +141,4 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c
 FROM e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
-ORACLE_SQL = {"op3_line_dedup": OP3_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_source_mixing": OP9_SQL}
+ORACLE_SQL = {"op5_benchmark_decontamination": OP5_SQL, "op3_line_dedup": OP3_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_source_mixing": OP9_SQL}
