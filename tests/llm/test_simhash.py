@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 from .conftest import words
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, n=3):
     w = (text or "").encode().lower().split()
     if not w:
         return 0
-    s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)]
+    s = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [b" ".join(w)]
     h = [xxhash.xxh64_intdigest(x, 42) for x in s]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def slow_components(rows):
-    fps = {i: slow_fingerprint(t) for i, t in rows}
+def slow_components(rows, n=3):
+    fps = {i: slow_fingerprint(t, n) for i, t in rows}
     root = {i: i for i in fps}
 
     def find(i):
