@@ -1,6 +1,8 @@
-"""Registry of named queries and their oracle SQL."""
+"""All registered plans."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import counts, inference, molecules, spans  # noqa: F401  each import registers its plans
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
