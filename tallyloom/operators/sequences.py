@@ -112,11 +112,11 @@ def pair_counts(df: DataFrame, by: Sequence[str], molecule: str, site: str, valu
     A molecule's sites meet in one array, so the pairs are made inside a row and
     only counts are exchanged; there is no self join on the site.
     """
-    sites = df.where(F.col(value).isNotNull()).groupBy(*by, molecule).agg(F.sort_array(F.collect_list(F.struct(F.col(site).alias("s"), F.col(value).alias("v")))).alias("x"))
-    first = sites.select(*by, F.posexplode("x").alias("k", "p"), "x")
-    pairs = first.select(*by, "p", F.explode(F.slice("x", F.col("k") + 2, F.size("x"))).alias("q")).where("p.s < q.s")
-    return pairs.groupBy(*by, F.col("p.s").alias("i"), F.col("q.s").alias("j")).agg(
-        F.count("*").alias("n"), F.sum("p.v").alias("a"), F.sum("q.v").alias("b"), F.sum(F.col("p.v") * F.col("q.v")).alias("ab"))
+    sites = df.where(F.col(value).isNotNull()).groupBy(*by, molecule).agg(F.sort_array(F.collect_list(F.struct(F.col(site).alias("s"), F.col(value).alias("v")))).alias("_x"))
+    first = sites.select(*by, F.posexplode("_x").alias("_k", "_p"), "_x")
+    pairs = first.select(*by, "_p", F.explode(F.slice("_x", F.col("_k") + 2, F.size("_x"))).alias("_q")).where("_p.s < _q.s")
+    return pairs.groupBy(*by, F.col("_p.s").alias("i"), F.col("_q.s").alias("j")).agg(
+        F.count("*").alias("n"), F.sum("_p.v").alias("a"), F.sum("_q.v").alias("b"), F.sum(F.col("_p.v") * F.col("_q.v")).alias("ab"))
 
 
 def covariance_phi(pairs: DataFrame, least: int = 12) -> DataFrame:

@@ -67,10 +67,12 @@ def target_rows(lines: DataFrame, targets: DataFrame, delimiter: str = "\t", wid
     """
     fields = F.split("value", f"\\Q{delimiter}\\E")
     rows = lines.select(F.regexp_replace(fields[0], '^"|"$', "").alias("target"), fields.alias("fields")).join(targets, "target", "left_semi")
-    if width:
-        rows = rows.where(F.when(F.size("fields") != width, F.raise_error(F.lit("row of the wrong width")).cast("boolean")).otherwise(F.lit(True)))
+    # One check after the window: a check before it could be moved below the join and see unwanted rows.
     n = F.count("*").over(Window.partitionBy("target"))
-    return rows.withColumn("n", n).where(F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated target "), "target")).cast("boolean")).otherwise(F.lit(True))).drop("n")
+    bad = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("repeated target "), "target")))
+    if width:
+        bad = bad.when((F.col("n") > 0) & (F.size("fields") != width), F.raise_error(F.lit("row of the wrong width")))
+    return rows.withColumn("n", n).where(bad.cast("boolean").isNull()).drop("n")
 
 
 def series_metadata(lines: DataFrame, prefix: str = "!Sample_", order: str = "line") -> DataFrame:

@@ -14,7 +14,7 @@ def read_events(spark: SparkSession, path: str, schema: str, files_per_trigger:
 
 def deduplicated(stream: DataFrame, keys: Sequence[str], time: str, late: str = "1 day") -> DataFrame:
     """Drop repeats of a key whose first row came within ``late``; the state is bounded by the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def windowed_states(stream: DataFrame, time: str, width: str, by: Sequence[str], state: str, names: dict) -> DataFrame:
