@@ -82,8 +82,10 @@ def anchors(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.nd
     return _sliding_min(_rolling(hashes, gram, 0), window - gram + 1)
 
 
-def _bytes(column) -> list:
-    return column.cast(pa.binary()).to_pylist() if column.type != pa.binary() else column.to_pylist()
+def _bytes(column):
+    """Texts of a binary column one at a time, so a batch is not held twice."""
+    for value in column:
+        yield value.as_buffer().to_pybytes() if value.is_valid else None
 
 
 def _summaries(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -180,10 +182,16 @@ def _parsed(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
                     depth[start + length] -= 1
                 stays = np.cumsum(depth)[:-1] == 0
                 kept = b" ".join(w for w, s in zip(words, stays.tolist()) if s)
+                if len(out) == 500:
+                    yield pack(out)
+                    out = []
                 out.append((row[0], row[1], len(words) - int(stays.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, [dict(start=s, length=n, source=d) for s, n, d in factors]))
-            columns = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "sha", "n_removed", "kept_sha256", "kept", "factors"])
+            yield pack(out)
+
+    def pack(out):
+        columns = list(zip(*out)) or [()] * 6
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64())]))]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "sha", "n_removed", "kept_sha256", "kept", "factors"])
 
     return texts.mapInArrow(run, _PARSED)
 
