@@ -78,13 +78,23 @@ class Lattice:
         with np.errstate(over="ignore"):
             return (np.uint64(h) if np.isscalar(h) else h) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.bits)
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``h`` that are pieces, and their ids."""
         at = self._slot(h).astype(np.int64)
-        found = np.full(h.shape, -1, np.int32)
-        for _ in range(self.reach):
-            found = np.where(self.slots[at] == h, self.ids[at], found)
-            at = (at + 1) & ((1 << self.bits) - 1)
-        return found
+        here = self.slots[at]
+        hit = here == h
+        rows, ids = np.flatnonzero(hit), self.ids[at[hit]]
+        left = np.flatnonzero(~hit & (here != 0))
+        for _ in range(self.reach - 1):
+            if not len(left):
+                break
+            at_left = (at[left] + 1) & ((1 << self.bits) - 1)
+            at[left] = at_left
+            here = self.slots[at_left]
+            hit = here == h[left]
+            rows, ids = np.concatenate([rows, left[hit]]), np.concatenate([ids, self.ids[at_left[hit]]])
+            left = left[~hit & (here != 0)]
+        return rows, ids
 
     def _spelled(self, points: np.ndarray) -> np.ndarray:
         """Log probability of spelling each character with byte pieces."""
@@ -93,7 +103,7 @@ class Lattice:
         return cost[inverse].reshape(points.shape)
 
     def _edges(self, points: np.ndarray):
-        """points: words x length code points. Piece ids and logs by (end, length)."""
+        """points: words x length code points. Rows and piece ids by (end, length), and the cost of spelling."""
         n, length = points.shape
         sums = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
@@ -101,24 +111,21 @@ class Lattice:
         power = [np.uint64(1)]
         for _ in range(self.longest):
             power.append(np.uint64(int(power[-1]) * int(_BASE) & (2**64 - 1)))
-        ids, logs = {}, {}
-        padded = np.append(self.log[: self.n], -np.inf)
+        edges = [[] for _ in range(length + 1)]
         for j in range(1, length + 1):
             for k in range(1, min(j, self.longest) + 1):
-                found = self._find(sums[j] - sums[j - k] * power[k])
-                if (found >= 0).any():
-                    ids[j, k], logs[j, k] = found, padded[found]
-        return ids, logs, self._spelled(points)
+                rows, ids = self._find(sums[j] - sums[j - k] * power[k])
+                if len(rows):
+                    edges[j].append((j - k, rows, ids, self.log[ids]))
+        return edges, self._spelled(points)
 
-    def _forward(self, points, logs, spelled):
+    def _forward(self, points, edges, spelled):
         n, length = points.shape
-        alpha = np.full((length + 1, n), -np.inf)
-        alpha[0] = 0.0
+        alpha = np.zeros((length + 1, n))
         for j in range(1, length + 1):
-            terms = [alpha[j - 1] + spelled[:, j - 1]] + [alpha[j - k] + logs[j, k] for k in range(1, min(j, self.longest) + 1) if (j, k) in logs]
-            terms = np.array(terms)
-            top = terms.max(0)
-            alpha[j] = top + np.log(np.exp(terms - top).sum(0))
+            alpha[j] = alpha[j - 1] + spelled[:, j - 1]
+            for i, rows, _, log in edges[j]:
+                alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + log)
         return alpha
 
     def _batches(self, words: list[str]):
@@ -163,10 +170,10 @@ class Lattice:
     def score(self, words: list[str]) -> np.ndarray:
         """Natural log of each word's probability, all segmentations summed. ``words`` carry the mark."""
         out = np.zeros(len(words))
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for rows, points in self._batches([words[i] for i in short]):
-            _, logs, spelled = self._edges(points)
-            out[np.asarray(short)[rows]] = self._forward(points, logs, spelled)[-1]
+        short = np.array([i for i, w in enumerate(words) if len(w) <= LONG], np.int64)
+        for rows, points in self._batches([w for w in words if len(w) <= LONG]):
+            edges, spelled = self._edges(points)
+            out[short[rows]] = self._forward(points, edges, spelled)[-1]
         for i, w in enumerate(words):
             if len(w) > LONG:
                 out[i] = self._scalar(w)
@@ -175,27 +182,31 @@ class Lattice:
     def expect(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected piece counts over ``words``, each seen ``counts`` times."""
         total = np.zeros(self.n + 256)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for rows, points in self._batches([words[i] for i in short]):
-            c = counts[np.asarray(short)[rows]]
-            ids, logs, spelled = self._edges(points)
-            alpha = self._forward(points, logs, spelled)
+        short = np.array([i for i, w in enumerate(words) if len(w) <= LONG], np.int64)
+        for rows, points in self._batches([w for w in words if len(w) <= LONG]):
+            c = counts[short[rows]]
+            edges, spelled = self._edges(points)
+            alpha = self._forward(points, edges, spelled)
             length = points.shape[1]
             beta = np.full(alpha.shape, -np.inf)
             beta[length] = 0.0
+            used, shares = [np.zeros(0, np.int64)], [np.zeros(0)]
+            letters, spelling = [], []
             for j in range(length, 0, -1):
-                for k in range(1, min(j, self.longest) + 1):
-                    steps = ([logs[j, k]] if (j, k) in logs else []) + ([spelled[:, j - 1]] if k == 1 else [])
-                    for step, at in zip(steps, [ids.get((j, k))] * ((j, k) in logs) + [None]):
-                        beta[j - k] = np.logaddexp(beta[j - k], step + beta[j])
-                        g = c * np.exp(alpha[j - k] + step + beta[j] - alpha[length])
-                        if at is not None:
-                            total[: self.n] += np.bincount(at[at >= 0], g[at >= 0], self.n)
-                        else:
-                            values, inverse = np.unique(points[:, j - 1], return_inverse=True)
-                            for v, x in zip(values, np.bincount(inverse, g)):
-                                for b in chr(v).encode("utf-8", "surrogatepass"):
-                                    total[self.n + b] += x
+                step = spelled[:, j - 1] + beta[j]
+                beta[j - 1] = np.logaddexp(beta[j - 1], step)
+                letters.append(points[:, j - 1])
+                spelling.append(c * np.exp(alpha[j - 1] + step - alpha[length]))
+                for i, at, ids, log in edges[j]:
+                    step = log + beta[j, at]
+                    beta[i, at] = np.logaddexp(beta[i, at], step)
+                    used.append(ids)
+                    shares.append(c[at] * np.exp(alpha[i, at] + step - alpha[length, at]))
+            total[: self.n] += np.bincount(np.concatenate(used), np.concatenate(shares), self.n)
+            values, inverse = np.unique(np.concatenate(letters), return_inverse=True)
+            for v, x in zip(values, np.bincount(inverse, np.concatenate(spelling))):
+                for b in chr(v).encode("utf-8", "surrogatepass"):
+                    total[self.n + b] += x
         for i, w in enumerate(words):
             if len(w) > LONG:
                 self._scalar(w, counts[i], total)
