@@ -191,15 +191,21 @@ def train(docs: DataFrame, learn_from, limit: int = 250, **how) -> Model:
     """A model learned from rows with text and lang where ``learn_from`` holds.
 
     At most ``limit`` texts of each language, in hash order, are used: a bounded
-    training sample (the bound is this parameter). Languages are the distinct
-    non-null values of all such rows.
+    training sample (the bound is this parameter). Only ids are sorted for it;
+    the chosen texts alone are fetched. Languages are the distinct non-null
+    values of all such rows with an id.
     """
-    known = docs.where(learn_from & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    rows = []
-    for r in sorted(known.select("lang").distinct().collect(), key=lambda r: r.lang):
-        part = known.where(F.col("lang") == r.lang).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(limit)
-        rows += [(r.lang, bytes(x.text)) for x in part.select(F.col("text").cast("binary").alias("text")).collect()]
-    return fit([t for _, t in rows], [name for name, _ in rows], **how)
+    known = docs.where(learn_from & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    ids = known.select("doc_id", "lang")
+    chosen = None
+    for r in sorted(ids.select("lang").distinct().collect(), key=lambda r: r.lang):
+        part = ids.where(F.col("lang") == r.lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    if chosen is None:
+        return fit([], [], **how)
+    texts = known.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
+    rows = sorted((r.lang, r.doc_id, bytes(r.text)) for r in texts.collect())
+    return fit([t for _, _, t in rows], [name for name, _, _ in rows], **how)
 
 
 def predict(docs: DataFrame, model: Model, columns: list[str] = ("doc_id",), block: int = 1 << 21) -> DataFrame:
