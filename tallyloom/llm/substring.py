@@ -212,14 +212,16 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     per_doc = keep(_summaries(d, window, gram))
     # Whole copies are settled by their hash; only the first of each text is indexed.
-    first = per_doc.where(F.col("doc_id").isNotNull()).groupBy("sha").agg(F.min("doc_id").alias("first"))
+    # Grouped sides are written before they are joined: both sides of each join are then
+    # exchanged for it, so Spark can split a hot key (a common text, anchor or passage).
+    first = keep(per_doc.where(F.col("doc_id").isNotNull()).groupBy("sha").agg(F.min("doc_id").alias("first")))
     ranked = keep(per_doc.join(first, "sha", "left").withColumn("copy_of", F.when((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= window), F.col("first"))).drop("first"))
     indexed = ranked.where(F.col("doc_id").isNotNull() & F.col("copy_of").isNull() & (F.size("anchors") > 0)).select("doc_id", "sha", F.explode("anchors").alias("anchor"))
-    shared = indexed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    shared = keep(indexed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"))
     per_text = indexed.join(shared, "anchor").groupBy("doc_id", "sha").agg(F.collect_set("anchor").alias("anchors"))
     texts = keep(d.where(F.col("text").isNotNull()).join(per_text, "doc_id").select("doc_id", "sha", "text", "anchors"))
     passages = keep(_passages(texts, window, gram))
-    source = passages.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source < high").drop("high")
+    source = keep(passages.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source < high").drop("high"))
     hits = passages.join(source, ["h1", "h2"]).where("source < doc_id").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "source")).alias("hits"))
     parsed = _parsed(texts.withColumn("tag", _tag_of("sha")).join(hits, ["doc_id", "tag"]).select("doc_id", "sha", "text", "hits"), window, with_text).dropDuplicates(["doc_id", "sha"])
     out = ranked.drop("anchors").join(parsed, ["doc_id", "sha"], "left")
