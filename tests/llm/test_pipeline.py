@@ -50,8 +50,8 @@ def brute(spark, rows, labels, items):
     rows = [r for r in rows if r[0] in ppl and ppl[r[0]] <= limit(r[2])]
     lines = {r[0]: r for r in test_lines.brute([r[:2] for r in rows])}
     rows = [(r[0], lines[r[0]][1], r[2], r[3]) for r in rows if lines[r[0]][2] > lines[r[0]][3] or not lines[r[0]][3]]
-    roots = test_simhash.slow_components([r[:2] for r in rows], 5)
-    rows = [r for r in rows if roots[r[0]][1] == r[0]]
+    roots = test_simhash.slow_similar([r[:2] for r in rows])
+    rows = [r for r in rows if roots[r[0]] == r[0]]
     leaks = {i for i, _, _ in test_decontamination.brute([r[:2] for r in rows], items)}
     return [r for r in rows if r[0] not in leaks]
 

@@ -100,3 +100,87 @@ def test_components_of_a_long_chain(spark):
     got = components(edges).collect()
     assert {r.node for r in got} == set(range(301)) and {r.root for r in got} == {0}
     assert components(edges.where("a < 0")).count() == 0
+
+
+def slow_sketch(text, n=5, width=16):
+    """The long fingerprint bit by bit, in whole numbers."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    s = [b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [b" ".join(w)]
+    out = 0
+    for k in range(width):
+        odd = xxhash.xxh64_intdigest(b"%d" % k, 7) | 1
+        made = []
+        for x in s:
+            h = xxhash.xxh3_64_intdigest(x) * odd % 2**64
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+            made.append(h ^ h >> 32)
+        for b in range(64):
+            if 2 * sum(h >> b & 1 for h in made) > len(made):
+                out |= 1 << (64 * k + b)
+    return out
+
+
+def slow_similar(rows, similarity=0.8):
+    sketches = {i: slow_sketch(t) for i, t in rows}
+    radius, root = simhash.radius_of(similarity), {i: i for i in sketches}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sketches)
+    for i in ids:
+        for j in ids:
+            if i < j and bin(sketches[i] ^ sketches[j]).count("1") <= radius:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_sketch_bits():
+    for text in ("", "a b", "a b c d e", "The quick brown fox jumps over the lazy dog again and again"):
+        assert int.from_bytes(simhash.sketch(text.encode())[0], "little") == slow_sketch(text)
+
+
+def shingle_similarity(a, b, n=5):
+    x, y = ({tuple(t.lower().split()[k : k + n]) for k in range(len(t.split()) - n + 1)} for t in (a, b))
+    return len(x & y) / max(1, len(x | y))
+
+
+def test_similar_texts_group_and_others_do_not(docs_of, rng):
+    rows, family = [], {}
+    for k in range(40):
+        base = words(rng, rng.choice([60, 200, 500]), 5000)
+        for c in range(1 + k % 4):
+            near = list(base)
+            for _ in range(c and len(base) // 60):
+                near[rng.randrange(len(base))] = "changed"
+            family[len(rows)] = k
+            rows.append((len(rows), " ".join(near).upper()))
+    rows += [(900, None), (901, ""), (902, rows[3][1].lower()), (None, rows[3][1])]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(rows)).collect()}
+    texts = dict(rows)
+    for i in family:
+        for j in family:
+            if i < j and family[i] == family[j] and shingle_similarity(texts[i], texts[j]) >= 0.85:
+                assert got[i] == got[j], (i, j)
+            if family[i] != family[j]:
+                assert got[i] != got[j]
+    assert got[902] == got[3] == got[None] and got[900] == got[901] == 900
+    whole = sorted(map(str, simhash.similar_documents(docs_of(rows)).collect()))
+    assert whole == sorted(map(str, simhash.similar_documents(docs_of(rows), block=2).collect()))
+    assert simhash.similar_documents(docs_of([])).count() == 0
+
+
+def test_close_rows_match_brute_force(rng):
+    import numpy as np
+
+    x = np.random.default_rng(5).integers(0, 2**63, (40, 8), dtype=np.uint64)
+    y = np.concatenate([x[:20] ^ np.uint64(1), x[20:]])
+    for radius in (0, 7, 8, 240, 260):
+        i, j = simhash._close(x, y, radius)
+        want = {(a, b) for a in range(40) for b in range(40) if sum(bin(int(p ^ q)).count("1") for p, q in zip(x[a], y[b])) <= radius}
+        assert set(zip(i.tolist(), j.tolist())) == want
