@@ -145,15 +145,27 @@ def caliper_pools(spark, sf_dir):
     return m.where(ok).select("p_partkey", F.col("c_p_partkey").alias("control"))
 
 
-@plan()
+_POOL = """p AS (SELECT p_partkey, p_brand, p_retailprice AS w, p_size::DOUBLE AS depth FROM part),
+pool AS (SELECT t.p_partkey AS target, c.p_partkey AS control FROM p t JOIN p c ON t.p_partkey % 100 = 0 AND c.p_partkey % 100 <> 0 AND t.p_brand = c.p_brand AND c.w / t.w BETWEEN 0.8 AND 1.25 AND c.depth / t.depth BETWEEN 2.0 / 3 AND 1.5),
+five AS (SELECT DISTINCT target FROM pool ORDER BY target LIMIT 5)"""
+
+
+@plan(f"""WITH {_POOL}, r AS (SELECT range AS rep FROM range(0, 200)), k AS (SELECT rep, target, arg_min(control, sha256(concat_ws('|', 'set', rep::VARCHAR, target::VARCHAR, control::VARCHAR))) AS control FROM pool JOIN five USING (target), r GROUP BY 1, 2),
+s AS (SELECT rep, sum(control % 97)::DOUBLE AS score FROM k GROUP BY rep HAVING count(DISTINCT control) = count(*)), o AS (SELECT sum(target % 97)::DOUBLE AS seen FROM five)
+SELECT (SELECT seen FROM o) AS observed, count(*)::BIGINT AS sets, round((1 + count(*) FILTER (score >= (SELECT seen FROM o))) / (1.0 + count(*)), 6) AS p FROM s""")
 def matched_set_null(spark, sf_dir):
-    """A drawn set of distinct controls, one per target pool, against the observed score shift."""
-    pools = caliper_pools(spark, sf_dir).groupBy("p_partkey").agg(F.sort_array(F.collect_list("control")).alias("c")).orderBy("p_partkey").limit(5)
-    rows = {r.p_partkey: r.c for r in pools.collect()}  # five pools is the design
-    sets = matching.matched_set_draws(rows, 500, seed=11)
-    null = (sets % 97).sum(1) / 97.0
-    seen = sum(k % 97 for k in rows) / 97.0
-    return spark.createDataFrame([(len(rows), float(round(seen, 6)), float(round(studies.conditional_p(seen, null), 6)))], "pools int, observed double, p double")
+    """Sets of one control per target of a five-target design; a set that takes a control twice is rejected.
+
+    A draw is the pool member with the least digest, a grouped minimum: no pool is gathered anywhere.
+    """
+    pool = caliper_pools(spark, sf_dir).select(F.col("p_partkey").alias("target"), "control")
+    five = pool.select("target").distinct().orderBy("target").limit(5)
+    draws = pool.join(F.broadcast(five), "target", "left_semi").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199))))
+    k = draws.groupBy("rep", "target").agg(F.min_by("control", draw_order(F.lit("set"), F.col("rep"), F.col("target"), F.col("control"))).alias("control"))
+    sets = k.groupBy("rep").agg(F.sum(F.col("control") % 97).cast("double").alias("score"), F.countDistinct("control").alias("d"), F.count("*").alias("n")).where("d = n")
+    seen = five.agg(F.sum(F.col("target") % 97).cast("double").alias("observed"))
+    out = sets.crossJoin(F.broadcast(seen)).agg(F.first("observed").alias("observed"), F.count("*").alias("sets"), ((1 + F.count_if(F.col("score") >= F.col("observed"))) / (1 + F.count("*"))).alias("p"))
+    return rounded(out)
 
 
 @plan(f"""WITH pt AS (SELECT c_nationkey AS nation, c_custkey AS id, (c_custkey % 50)::DOUBLE AS x, c_acctbal AS y FROM customer), f AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i, min(x) AS lo, max(x) AS hi FROM pt WHERE nation < 5)
