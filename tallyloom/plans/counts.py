@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import counting, intervals, resampling, rollups
-from .registry import BASE, CELLS, N_SAMPLES, SUPPORT, cells, plan, rounded, supported, table, windows
+from .registry import BASE, CELLS, N_SAMPLES, SUPPORT, cells, plan, rounded, sample_count, supported, table, windows
 
 
 @plan(f"WITH {CELLS} SELECT * FROM cells")
@@ -72,7 +72,7 @@ def equal_weight_window_mean(spark, sf_dir):
 SELECT sample, count(*)::BIGINT AS n_sites, round(avg(pm), 6) AS m, round(avg(ph), 6) AS h, sum(depth)::BIGINT AS depth FROM p GROUP BY 1""")
 def sample_global_means(spark, sf_dir):
     cell = cells(spark, sf_dir).withColumn("depth", F.col("c") + F.col("m") + F.col("h"))
-    pct = counting.percents(cell.join(supported(cell), "site", "left_semi"), ["m", "h"], ["pm", "ph"], F.col("depth"))
+    pct = counting.percents(cell.join(supported(cell), "site"), ["m", "h"], ["pm", "ph"], F.col("depth"))
     return rounded(pct.groupBy("sample").agg(F.count("*").alias("n_sites"), F.avg("pm").alias("m"), F.avg("ph").alias("h"), F.sum("depth").alias("depth")))
 
 
@@ -183,7 +183,7 @@ SELECT site, n10::BIGINT AS n10, n20::BIGINT AS n20, n10 >= (SELECT need FROM k)
 def support_panel_gate(spark, sf_dir):
     cell = cells(spark, sf_dir).withColumn("depth", F.col("c") + F.col("m") + F.col("h"))
     s = cell.groupBy("site").agg(F.count_if(F.col("depth") >= 10).alias("n10"), F.count_if(F.col("depth") >= 20).alias("n20"))
-    n = cell.select(F.countDistinct("sample").alias("n_samples"))
+    n = sample_count(cell)
     full = s.crossJoin(F.broadcast(n)).agg(F.count_if(F.col("n10") == F.col("n_samples")).alias("full"), F.max("n_samples").alias("n_samples"))
     need = full.select(F.when(F.col("full") >= 50, F.col("n_samples")).otherwise(16).alias("need"))
     return s.crossJoin(F.broadcast(need)).select("site", "n10", "n20", (F.col("n10") >= F.col("need")).alias("in_panel"))

@@ -35,7 +35,9 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sample, site, c, m, h): three states of line items per customer nation and supplier."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
+    # A call without a site is no call. Saying so here gives every use of the cells the filter that joins on site infer,
+    # so all uses share one scan and one exchange.
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag").where("l_suppkey IS NOT NULL")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     joined = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey"))
@@ -58,11 +60,15 @@ BASE = f"WITH {CELLS}, {SUPPORT}, {WINDOWS}"
 
 
 def sample_count(cell: DataFrame) -> DataFrame:
-    return cell.select(F.countDistinct("sample").alias("n_samples"))
+    """Number of samples with a call. Using the counts keeps the same columns as elsewhere, so the exchange of the cells is reused."""
+    return cell.where(F.col("c") + F.col("m") + F.col("h") > 0).agg(F.countDistinct("sample").alias("n_samples"))
 
 
 def supported(cell: DataFrame, least: int = 5) -> DataFrame:
-    """Sites with the depth in every sample. The number of samples comes from one row, joined as a scalar."""
+    """Sites with the depth in every sample, each once. The number of samples comes from one row, joined as a scalar.
+
+    Join it as an inner join: a semi join would be moved below the cells' aggregate, and the line items read twice.
+    """
     per_site = cell.groupBy("site").agg(F.count_if(F.col("c") + F.col("m") + F.col("h") >= least).alias("ok"))
     return per_site.join(F.broadcast(sample_count(cell)), F.col("ok") == F.col("n_samples")).select("site")
 
@@ -72,7 +78,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import counting
 
     cell = cells(spark, sf_dir)
-    kept = cell.join(supported(cell), "site", "left_semi")
+    kept = cell.join(supported(cell), "site")
     pct = counting.percents(kept, ["m", "h"], ["pm", "ph"], F.col("c") + F.col("m") + F.col("h")).withColumn("win", F.floor((F.col("site") - 1) / 10))
     return counting.equal_weight_mean(pct.select("sample", "win", F.col("pm").alias("m"), F.col("ph").alias("h")), ["sample", "win"], ["m", "h"])
 

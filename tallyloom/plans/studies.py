@@ -106,7 +106,7 @@ def leave_one_out_fdr(spark, sf_dir):
 @plan(f"""WITH {CELLS}, {SUPPORT} SELECT sample, count(*)::BIGINT AS loci, round(avg(h::DOUBLE / (c + m + h)), 6) AS mean FROM cells JOIN support USING (site) GROUP BY sample""")
 def loci_in_every_sample(spark, sf_dir):
     cell = cells(spark, sf_dir)
-    k = cell.join(supported(cell), "site", "left_semi")
+    k = cell.join(supported(cell), "site")
     return rounded(k.groupBy("sample").agg(F.count("*").alias("loci"), F.avg(F.col("h") / (F.col("c") + F.col("m") + F.col("h"))).alias("mean")))
 
 
