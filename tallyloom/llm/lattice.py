@@ -11,12 +11,16 @@ under the lattice, over all different training words, then re-estimate them
 (expectation maximisation). Characters outside the vocabulary are spelled with
 its byte pieces, so no text has probability zero. A training word is one more
 edge from its mark to its end: it weighs its count, and the pieces together
-weigh as much as the words seen once (the Good-Turing share of the unseen).
+weigh as much as the words seen once (the Good-Turing share of the unseen). A
+whole training line is an edge too. Its share of all steps comes from how many
+training lines are repeats, and a line of a text is the sum of its own edge and
+of the path over its words.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -267,7 +271,9 @@ def score_texts(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds:
     are the words, A-Z lower-cased, and one end. base_score is the add-0.1
     unigram; score the log10 lattice probability of the whole text. A null or
     empty text is its end alone. If nothing is learned, every weight is the
-    vocabulary's own. Other columns are ignored.
+    vocabulary's own. Lines are cut at line feeds; sums over other places of a
+    stored line than a text's own lines are left out, so the score is a lower
+    bound there. Other columns are ignored.
 
     Words seen in more than one of ``common`` training tokens, so fewer than
     ``common`` of them at any input size, are looked up in a broadcast table;
@@ -300,50 +306,87 @@ def score_texts(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds:
     often = known.where(F.col("c") * common > F.lit(n_train)).select("word", "c", "score").collect()
     base = lambda c: np.log10((c + 0.1) / (n_train + 0.1 * (distinct + 1)))
     places = {bytes(r.word): i for i, r in enumerate(often)}
-    tables = docs.sparkSession.sparkContext.broadcast((places, base(np.array([r.c for r in often], float)), np.array([r.score for r in often])))
+    tables = docs.sparkSession.sparkContext.broadcast((places, np.array([*(base(r.c) for r in often), 0.0]), np.array([*(r.score for r in often), 0.0])))  # the last is for rare words
     end_base, end_score, end_known = float(base(float(ends))), float((np.log(ends + 0.5) - total) / np.log(10)), int(ends > 0)
 
     def sums(batches):
         places, bases, scores = tables.value
         get = places.get
         for batch in batches:
-            rows = []
-            rare_id, rare_row, rare_n = [], [], []
-            ids, held, at_row = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_numpy()
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                words = (text or b"").lower().split()
-                at = np.fromiter(map(get, words, (-1 for _ in words)), np.int32, len(words)) if words else np.zeros(0, np.int32)
-                hit = at[at >= 0]
-                rows.append((at_row[k], ids[k], held[k], len(words) + 1, len(hit) + end_known, float(bases[hit].sum()) + end_base, float(scores[hit].sum()) + end_score))
-                if len(hit) < len(words):
-                    rest = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
-                    rare_id.append(_word_id(list(rest)))
-                    rare_n.append(np.fromiter(rest.values(), np.int32, len(rest)))
-                    rare_row.append(np.full(len(rest), at_row[k]))
-                if sum(map(len, rare_id)) > 200_000:
-                    yield pack(rows, rare_id, rare_row, rare_n)
-                    rows, rare_id, rare_row, rare_n = [], [], [], []
-            yield pack(rows, rare_id, rare_row, rare_n)
-
-    def pack(rows, rare_id, rare_row, rare_n):
-        n, m = len(rows), sum(map(len, rare_id))
-        owner = pa.array(np.concatenate([np.zeros(0, np.int64), *rare_row]))
-        columns = list(zip(*rows)) or [()] * 7
-        none = lambda kind, k: pa.nulls(k, kind)
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        own = [pa.array(c, t) for c, t in zip(columns, kinds)]
-        both = [pa.concat_arrays([own[0], owner])] + [pa.concat_arrays([o, none(t, m)]) for o, t in zip(own[1:], kinds[1:])]
-        return pa.RecordBatch.from_arrays([
-            *both, pa.concat_arrays([none(pa.int64(), n), pa.array(np.concatenate([np.zeros(0, np.int64), *rare_id]))]),
-            pa.concat_arrays([none(pa.int32(), n), pa.array(np.concatenate([np.zeros(0, np.int32), *rare_n]))]),
-        ], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "id", "times"])
-
-    mixed = keep(numbered.select("doc_id", "text", "held_out", "row").mapInArrow(sums, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, id long, times int"))
-    own = mixed.where("id is null").drop("id", "times")
-    rare = mixed.where("id is not null").select("row", "id", "times")
+            heads, lines, rare, size = [], [], [], 0
+            ids, held, at_row = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for k, text in enumerate(batch.column(1)):
+                heads.append((at_row[k], ids[k], held[k]))
+                split = [w for w in (x.split() for x in (text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split(b"\n")) if w]
+                if not split:
+                    continue
+                lengths = np.array([len(w) for w in split])
+                words = [w for x in split for w in x]
+                at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+                hit, starts = at >= 0, np.cumsum(lengths) - lengths
+                known = np.add.reduceat(hit.astype(np.int64), starts)
+                base_sum = np.add.reduceat(np.where(hit, bases[at], 0.0), starts)
+                score_sum = np.add.reduceat(np.where(hit, scores[at], 0.0), starts)
+                line = _word_id([b" ".join(x) for x in split])
+                lines.append((np.full(len(split), at_row[k]), np.arange(len(split)), line, lengths, known, base_sum, score_sum))
+                if not hit.all():
+                    owner = np.repeat(np.arange(len(split)), lengths)
+                    places_left = np.flatnonzero(~hit)
+                    times = Counter(zip(owner[places_left].tolist(), (words[i] for i in places_left.tolist())))
+                    rare.append((np.full(len(times), at_row[k]), np.fromiter((o for o, _ in times), np.int64, len(times)), _word_id([w for _, w in times]), np.fromiter(times.values(), np.int64, len(times))))
+                    size += len(times)
+                if size > 200_000:
+                    yield pack(heads, lines, rare)
+                    heads, lines, rare, size = [], [], [], 0
+            yield pack(heads, lines, rare)
+
+    def pack(heads, lines, rare):
+        """Rows of three kinds: texts (line null), lines (times null), rare words of a line."""
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+        joined = lambda rows, k: pa.array(np.concatenate([np.zeros(0, np.int64), *(r[k] for r in rows)]), kinds[k if k < 2 else 0])
+        h = list(zip(*heads)) or [()] * 3
+        n, m, r = len(heads), sum(len(x[0]) for x in lines), sum(len(x[0]) for x in rare)
+        as_float = lambda rows, k: pa.array(np.concatenate([np.zeros(0), *(x[k] for x in rows)]))
+        none = pa.nulls
+        columns = [
+            pa.concat_arrays([pa.array(h[0], pa.int64()), joined(lines, 0), joined(rare, 0)]),
+            pa.concat_arrays([pa.array(h[1], pa.int64()), none(m + r, pa.int64())]),
+            pa.concat_arrays([pa.array(h[2], pa.bool_()), none(m + r, pa.bool_())]),
+            pa.concat_arrays([none(n, pa.int64()), joined(lines, 1), joined(rare, 1)]),
+            pa.concat_arrays([none(n, pa.int64()), joined(lines, 2), joined(rare, 2)]),
+            pa.concat_arrays([none(n, pa.int64()), joined(lines, 3), none(r, pa.int64())]),
+            pa.concat_arrays([none(n, pa.int64()), joined(lines, 4), none(r, pa.int64())]),
+            pa.concat_arrays([none(n, pa.float64()), as_float(lines, 5), none(r, pa.float64())]),
+            pa.concat_arrays([none(n, pa.float64()), as_float(lines, 6), none(r, pa.float64())]),
+            pa.concat_arrays([none(n + m, pa.int64()), joined(rare, 3)]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "line", "id", "n", "k", "b", "s", "times"])
+
+    mixed = keep(numbered.select("doc_id", "text", "held_out", "row").mapInArrow(sums, "row long, doc_id long, held_out boolean, line long, id long, n long, k long, b double, s double, times long"))
+    heads = mixed.where("line IS NULL").select("row", "doc_id", "held_out")
+    own = mixed.where("line IS NOT NULL AND times IS NULL").select("row", "line", "id", "n", "k", "b", "s")
+    rare = mixed.where("times IS NOT NULL").select("row", "line", "id", "times")
     values = known.select("id", (F.col("c") > 0).cast("long").alias("k"), F.log10((F.col("c") + 0.1) / F.lit(n_train + 0.1 * (distinct + 1))).alias("b"), F.col("score").alias("s"))
-    added = rare.join(values, "id").groupBy("row").agg(F.sum(F.col("k") * F.col("times")).alias("k"), F.sum(F.col("b") * F.col("times")).alias("b"), F.sum(F.col("s") * F.col("times")).alias("s"))
-    return own.join(added, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
+    t = F.col("times")
+    added = rare.join(values, "id").select("row", "line", F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("n"), (F.col("k") * t).alias("k"), (F.col("b") * t).alias("b"), (F.col("s") * t).alias("s"))
+    per_line = own.unionByName(added).groupBy("row", "line").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n", "k", "b", "s")))
+    # Training lines of two words or more, by a hash of their words.
+    trained = own.where("n > 1").join(heads.where(~F.col("held_out")).select("row"), "row", "left_semi")
+    seen = keep(trained.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("w")))
+    told = seen.agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("once"), F.sum(F.col("c") * F.col("w")).alias("words")).first()
+    repeats = 1.0 - told.once / told.n if told.n else 0.0
+    steps = repeats * (told.n or 0)
+    share = steps / (steps + (1.0 - repeats) * told.words + (n_train - told.words)) if steps else 0.0
+    step, whole = float(np.log10(1.0 - share)), float(np.log10(share / told.n)) if share else 0.0
+    over = F.col("s") + F.col("n") * step
+    line = F.when(F.col("c").isNull(), over) if share else F.when(F.lit(True), over)
+    edge = F.log10("c") + whole
+    top = F.greatest(over, edge)
+    line = line.otherwise(top + F.log10(F.pow(F.lit(10.0), over - top) + F.pow(F.lit(10.0), edge - top)))
+    scored_lines = per_line.join(seen.drop("w"), "id", "left").withColumn("s", line)
+    per_text = scored_lines.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("n", "k", "b", "s")))
+    zero, nil = F.lit(0).cast("long"), F.lit(0.0)
+    return heads.join(per_text, "row", "left").select(
+        "doc_id", "held_out", (F.coalesce("n", zero) + 1).alias("n_tokens"), (F.coalesce("k", zero) + end_known).alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"),
+        (F.coalesce("b", nil) + end_base).alias("base_score"), (F.coalesce("s", nil) + end_score + step).alias("score"),
     )

@@ -94,6 +94,21 @@ def test_contract_columns(docs_of, rng):
     assert sorted(map(key, few)) == sorted(map(key, got))
 
 
+def test_stored_lines_are_edges(docs_of, rng):
+    shared = [" ".join(words(rng, 12, 300)) for _ in range(5)]
+    rows = [(i, "\n".join([" ".join(words(rng, 12, 300)), rng.choice(shared)])) for i in range(200)]
+    held = [k for k in range(1000, 1200) if zlib.crc32(str(k).encode()) % 10 == 0][:3]
+    mixed = shared[0].split()
+    rng.shuffle(mixed)
+    rows += [(held[0], shared[0]), (held[1], " ".join(mixed)), (held[2], f"{shared[0]}\n \n{' '.join(mixed)}")]
+    got = {r.doc_id: r for r in lattice.score_texts(docs_of(rows), fold("doc_id", 10) == 0).collect()}
+    a, b, both = (got[k] for k in held)
+    assert a.base_score == pytest.approx(b.base_score) and a.score > b.score + 10 and a.n_tokens == b.n_tokens == 13
+    # Lines add up; only the end is shared.
+    end = a.score + b.score - both.score
+    assert -6 < end < 0 and both.n_tokens == 25
+
+
 def test_empty_table_and_nothing_to_learn(docs_of):
     assert lattice.score_texts(docs_of([]), F.lit(False)).count() == 0
     got = lattice.score_texts(docs_of([(1, "a b")]), F.lit(True)).collect()
