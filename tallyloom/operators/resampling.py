@@ -89,19 +89,14 @@ def trade_rows(z: np.ndarray, rng: np.random.Generator, attempts: int) -> int:
 
     Row sums, column sums and missing places stay. Returns the number of moves that changed something.
     """
-    moved, n = 0, len(z)
-    if n < 2:
-        return 0
-    for _ in range(attempts):
-        a, b = rng.integers(0, n, 2)
-        where = np.flatnonzero((z[a] != z[b]) & (z[a] >= 0) & (z[b] >= 0)) if a != b else ()
-        ones = int(z[a][where].sum()) if len(where) else 0
-        if not 0 < ones < len(where):
-            continue
-        dealt = np.zeros(len(where), z.dtype)
-        dealt[rng.permutation(len(where))[:ones]] = 1
-        if (dealt != z[a][where]).any():
-            z[a, where], z[b, where] = dealt, 1 - dealt
+    moved = 0
+    for pair in rng.integers(0, max(1, len(z)), (attempts, 2)):
+        one, two = z[pair[0]], z[pair[1]]
+        free = np.flatnonzero((one + two == 1) & (one * two == 0))
+        # Shuffling one row's values over the places where the rows differ keeps its sum; the other row takes what is left.
+        dealt = rng.permutation(one[free])
+        if len(free) and (dealt != one[free]).any():
+            one[free], two[free] = dealt, 1 - dealt
             moved += 1
     return moved
 
