@@ -264,7 +264,7 @@ def _word_id(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
-def score_texts(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds: int = 2, common: int = 200_000) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds: int = 2, common: int = 1_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
 
     ``held_out`` is a boolean column; the other rows are learned from. Tokens
