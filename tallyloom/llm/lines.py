@@ -94,7 +94,8 @@ def later_copies(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """
     ranks = suffix_ranks(docs, min_run)
     here = F.struct("doc", "row", "place")
-    original = ranks.groupBy("rank").agg(F.min(here).alias("original"))
+    # Written before it is joined, so both sides are exchanged for the join and Spark can split a hot rank.
+    original = keep(ranks.groupBy("rank").agg(F.min(here).alias("original")))
     copies = ranks.join(original, "rank").where(here != F.col("original"))
     return copies.select("row", F.explode("ats").alias("at")).groupBy("row").agg(F.collect_set("at").alias("ats"))
 
