@@ -182,6 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, blo
 # A similarity of 0.8 moves about 15 % of a fingerprint's bits, far beyond a radius at which popcounts
 # tell anything apart. For it, fingerprints are 1024 bits long, and those are compared that share one of
 # twelve pairs of least shingle hashes, of which a pair of texts at 0.8 misses all with a chance under 5e-6.
+# Those within a wide radius are candidates; the sets of shingles decide.
 
 _ODD = np.array([xxhash.xxh64_intdigest(b"%d" % k, 7) | 1 for k in range(64)], np.uint64)
 
@@ -195,13 +196,23 @@ def _mixed(h: np.ndarray, k: np.ndarray) -> np.ndarray:
     return x
 
 
-def sketch(text: bytes | None, shingle: int = 5, width: int = 16, bands: int = 12) -> tuple[bytes, np.ndarray]:
-    """Long fingerprint (``width`` x 64 bits) of a text's word shingles and one key for each pair of least hashes."""
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of a text's word shingles, A-Z lower-cased; fewer words than a shingle are one shingle."""
     words = (text or b"").lower().split()
     if not words:
-        return bytes(8 * width), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64)
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64))
+
+
+def sketch(text: bytes | None, shingle: int = 5, width: int = 16, bands: int = 12) -> tuple[bytes, np.ndarray]:
+    """Long fingerprint (``width`` x 64 bits) of a text's set of word shingles and one key for each pair of least hashes."""
+    return _sketch(shingle_set(text, shingle), width, bands)
+
+
+def _sketch(h: np.ndarray, width: int, bands: int) -> tuple[bytes, np.ndarray]:
+    if not len(h):
+        return bytes(8 * width), np.zeros(0, np.int64)
     ones, least = np.zeros(64 * width, np.int64), np.full(2 * bands, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(h), 2048):
         part = h[at : at + 2048]
@@ -231,63 +242,143 @@ def _close(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
     return i[ok], j[ok]
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 16, bands: int = 12, block: int = 2048) -> DataFrame:
-    """(doc_id, component_id) for every row: groups of texts whose shingles have about ``similarity`` or more.
+def _verified(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within ``radius`` bits whose sets have a Jaccard of ``similarity`` or more.
 
-    Decided on the long fingerprint, two deviations beyond the mean distance at
-    ``similarity``: of pairs at it 98 % link, of pairs 0.1 below 6 %. Equal
-    fingerprints are one node. Cells of more than ``block`` members are split
-    into pairs of parts, and each gives a spanning forest of its links. Rows,
-    nulls and other columns as in :func:`near_duplicates`.
+    A pair that is already connected is not compared again, so a dense group costs in proportion to its size.
     """
-    radius = radius_of(similarity, 64 * width)
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(n), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    label, a, b = np.arange(n), [], []
+    for i in range(n - 1):
+        later = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        if not len(later):
+            continue
+        far = np.bitwise_count(fp[later] ^ fp[i]).sum(1, dtype=np.uint16)
+        later = later[(far <= radius) & (np.minimum(sizes[later], sizes[i]) >= similarity * np.maximum(sizes[later], sizes[i]))]
+        if not len(later):
+            continue
+        # Members that hold each shingle of i, from the inverted list of the block.
+        low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        count = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        common = np.bincount(owner[at], minlength=n)[later]
+        for j in later[common >= similarity * (sizes[later] + sizes[i] - common) - 1e-9]:
+            if label[j] != label[i]:
+                a.append(i)
+                b.append(j)
+                label[label == label[j]] = label[i]
+    return np.array(a, np.int64), np.array(b, np.int64)
 
-    def run(batches):
-        for batch in batches:
-            made = [sketch(t.as_buffer().to_pybytes() if t.is_valid else None, shingle, width, bands) for t in batch.column(1)]
-            keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(k) for _, k in made)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(k for _, k in made)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in made], pa.binary()), keys], names=["doc_id", "fp", "keys"])
 
-    per_doc = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp binary, keys array<long>"))
-    nodes = keep(per_doc.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
-    cells = nodes.select("node", "fp", F.posexplode("keys").alias("band", "cell"))
-    sizes = keep(cells.groupBy("band", "cell").agg(F.count("*").alias("count")).where("count > 1"))
+def _blocks(members: DataFrame, by: list[str], block: int) -> DataFrame:
+    """``members`` in groups of at least two, those of more than ``block`` split into pairs of parts (column part)."""
+    sizes = keep(members.groupBy(*by).agg(F.count("*").alias("count")).where("count > 1"))
     parts = F.ceil(F.col("count") / F.lit(block)).cast("long")
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.least(own, x) * F.col("parts") + F.greatest(own, x))
-    dealt = cells.join(sizes.select("band", "cell", parts.alias("parts")), ["band", "cell"]).select("band", "cell", F.explode(pairs).alias("part"), "node", "fp")
+    dealt = members.join(sizes.select(*by, parts.alias("parts")), by).withColumn("part", F.explode(pairs)).drop("parts")
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, *by, "part").sortWithinPartitions(*by, "part")
+
+
+def _grouped(batches, keys: int):
+    """Groups of rows (lists of Arrow batches' slices) that agree in the first ``keys`` columns, from sorted batches."""
+    rest: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        starts = np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in x], axis=0)) + 1])
+        if rest and any(rest[-1].column(k)[0].as_py() != x[k][0] for k in range(keys)):
+            yield rest
+            rest = []
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            yield [*rest, batch.slice(s, e - s)]
+            rest = []
+        rest.append(batch.slice(int(starts[-1])))
+    if rest:
+        yield rest
+
+
+def _edges(found) -> pa.RecordBatch:
+    a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (zip(*found) if found else ((), ())))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    def compare(batches):
-        rest = None
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 16, bands: int = 12, block: int = 2048) -> DataFrame:
+    """(doc_id, component_id) for every row: groups of texts whose sets of shingles have a Jaccard of ``similarity`` or more."""
+    nodes, texts = _similar(docs, similarity, shingle, width, bands, block)
+    return nodes.join(texts, "text_key").select("doc_id", "component_id")
+
+
+def _similar(docs: DataFrame, similarity: float, shingle: int, width: int, bands: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key) of every row and (text_key, component_id) of every text; the same lower-cased words are one text.
+
+    Candidates share a key and are within eight deviations of the mean distance
+    at ``similarity``, as few shingles spread wider than many; their groups are
+    dealt once more with the sets of shingles, and only pairs that reach
+    ``similarity`` exactly are linked. Groups of more than ``block`` members are
+    split into pairs of parts, and each gives a spanning forest of its links.
+    Rows, nulls and other columns as in :func:`near_duplicates`.
+    """
+    radius = radius_of(similarity, 64 * width, 8.0)
+
+    def run(batches):
         for batch in batches:
-            x = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-            x.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(-1, width))
-            if rest is not None:
-                x = [np.concatenate(p) for p in zip(rest, x)]
-            cuts = np.flatnonzero((x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1]) | (x[2][1:] != x[2][:-1])) + 1
-            last = cuts[-1] if len(cuts) else 0
-            rest = [p[last:] for p in x]
-            yield linked([p[:last] for p in x], cuts)
-        if rest is not None:
-            yield linked(rest, np.zeros(0, np.int64))
+            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
+            made = [sketch(t, shingle, width, bands) for t in texts]
+            names = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
+            keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(k) for _, k in made)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(k for _, k in made)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array([s for s, _ in made], pa.binary()), keys], names=["doc_id", "text_key", "fp", "keys"])
+
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    per_doc = keep(read.mapInArrow(run, "doc_id long, text_key binary, fp binary, keys array<long>"))
+    nodes = keep(per_doc.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
 
-    def linked(x, cuts):
-        n, out = len(x[0]), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for s, e in zip([0, *cuts[:-1].tolist()], cuts.tolist() or [n]) if n else ():
-            node, fp, a, b = x[3][s:e], x[4][s:e], [], []
-            for at in range(0, e - s, 512):
+    def compare(batches):
+        out = []
+        for group in _grouped(batches, 3):
+            node = np.concatenate([g.column(3).to_numpy() for g in group])
+            fp = np.frombuffer(b"".join(x for g in group for x in g.column(4).to_pylist()), np.uint64).reshape(-1, width)
+            a, b = [], []
+            for at in range(0, len(node), 512):
                 i, j = _close(fp[at : at + 512], fp, radius)
                 a.append(i + at)
                 b.append(j)
-            p, q = forest(e - s, np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
+            p, q = forest(len(node), np.concatenate(a), np.concatenate(b))
             out.append((node[p], node[q]))
-        a, b = (np.concatenate(v) for v in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        yield _edges(out)
+
+    cells = _blocks(nodes.select("node", "fp", F.posexplode("keys").alias("band", "cell")), ["band", "cell"], block)
+    candidates = keep(components(cells.select("band", "cell", "part", "node", "fp").mapInArrow(compare, "a long, b long")))
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = dealt.repartition(n, "band", "cell", "part").sortWithinPartitions("band", "cell", "part").select("band", "cell", "part", "node", "fp").mapInArrow(compare, "a long, b long")
+    def sets(batches):
+        for batch in batches:
+            made = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, shingle) for t in batch.column(0)]
+            names = [xxhash.xxh3_128_digest(b" ".join((t.as_py() or b"").lower().split())) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([x.tobytes() for x in made], pa.binary())], names=["text_key", "set"])
+
+    def verify(batches):
+        out = []
+        for group in _grouped(batches, 2):
+            node = np.concatenate([g.column(2).to_numpy() for g in group])
+            fp = np.frombuffer(b"".join(x for g in group for x in g.column(3).to_pylist()), np.uint64).reshape(-1, width)
+            p, q = _verified(fp, [np.frombuffer(x, np.uint64) for g in group for x in g.column(4).to_pylist()], radius, similarity)
+            out.append((node[p], node[q]))
+        yield _edges(out)
+
+    # One row of each text that has a candidate brings its set.
+    wanted = nodes.select("text_key", "least", "node", "fp").join(candidates.withColumnRenamed("root", "group"), "node")
+    rows = read.where(F.col("doc_id").isNotNull()).join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    rows = rows.unionByName(read.where(F.col("doc_id").isNull()))
+    bring = rows.select("text").mapInArrow(sets, "text_key binary, set binary").groupBy("text_key").agg(F.first("set").alias("set"))
+    members = keep(wanted.join(bring, "text_key").select("group", "node", "fp", "set"))
+    edges = _blocks(members, ["group"], block).select("group", "part", "node", "fp", "set").mapInArrow(verify, "a long, b long")
     roots = keep(components(edges))
-    named = nodes.drop("keys").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.select("text_key", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = keep(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    final = keep(named.join(names, "root").select("fp", "component_id"))
-    return per_doc.select("doc_id", "fp").join(final, "fp").select("doc_id", "component_id")
+    return per_doc.select("doc_id", "text_key"), keep(named.join(names, "root").select("text_key", "component_id"))

@@ -184,3 +184,31 @@ def test_close_rows_match_brute_force(rng):
         i, j = simhash._close(x, y, radius)
         want = {(a, b) for a in range(40) for b in range(40) if sum(bin(int(p ^ q)).count("1") for p, q in zip(x[a], y[b])) <= radius}
         assert set(zip(i.tolist(), j.tolist())) == want
+
+
+def test_groups_are_those_of_exact_shingle_similarity(docs_of, rng):
+    rows = []
+    for k in range(60):
+        base = words(rng, rng.choice([9, 24, 60, 200]), 5000)
+        rows.append((len(rows), " ".join(base)))
+        for c in range(1, 5):
+            cut = max(1, len(base) * c // 20)
+            rows.append((len(rows), " ".join(base[:-cut] + words(rng, cut, 5000))))
+    rows += [(len(rows) + k, "same " * 90 + " ".join(words(rng, 40, 5000))) for k in range(6)]
+    rows.append((2000, None))
+    texts = {i: t or "" for i, t in rows}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in texts:
+        for j in texts:
+            if i < j and shingle_similarity(texts[i], texts[j]) >= 0.8 and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {i: find(i) for i in texts}
+    assert len(set(want.values())) < len(want) - 60
+    for block in (2048, 3):
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(rows), block=block).collect()} == want
