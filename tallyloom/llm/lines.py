@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import drop, keep
 
 MIN_RUN = 2
+MIN_WORDS = 50  # a passage, as in substring dedup
 BREAK = "\n"
 _TRIM = r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$"
 
@@ -85,22 +86,37 @@ def suffix_ranks(docs: DataFrame, depth: int) -> DataFrame:
     return ranks
 
 
-def later_copies(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def _long_copies(docs: DataFrame, min_words: int) -> DataFrame:
+    """(row, at) of lines of ``min_words`` words or more that also stand earlier."""
+    lines = docs.where(F.col("text").isNotNull()).select(
+        _row().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc"), F.explode(_sequence()).alias("line"))
+    long = lines.where(F.size(F.split("line.line", r"[\x09-\x0D\x20]+")) >= min_words)
+    long = keep(long.select("row", "doc", "line.at", F.xxhash64("line.line").alias("x"), F.xxhash64(F.lit("second"), "line.line").alias("y")).dropDuplicates(["row", "at"]))
+    here = F.struct("doc", "row", "at")
+    original = keep(long.groupBy("x", "y").agg(F.min(here).alias("original"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    return long.join(original, ["x", "y"]).where(here != F.col("original")).select("row", "at")
+
+
+def later_copies(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """(row, ats): indexes of the lines to delete in each document that has any.
 
     A line goes if it is in a run of ``min_run`` lines that also starts earlier,
     in a document with a smaller doc_id or earlier in its own. Any longer
     repeated run is the union of such runs, so deeper rounds would not add to it.
+    With ``min_words`` a line of so many words is a passage and goes alone too.
     """
     ranks = suffix_ranks(docs, min_run)
     here = F.struct("doc", "row", "place")
     # Written before it is joined, so both sides are exchanged for the join and Spark can split a hot rank.
     original = keep(ranks.groupBy("rank").agg(F.min(here).alias("original")))
     copies = ranks.join(original, "rank").where(here != F.col("original"))
-    return copies.select("row", F.explode("ats").alias("at")).groupBy("row").agg(F.collect_set("at").alias("ats"))
+    gone = copies.select("row", F.explode("ats").alias("at"))
+    if min_words is not None:
+        gone = gone.unionByName(_long_copies(docs, min_words))
+    return gone.groupBy("row").agg(F.collect_set("at").alias("ats"))
 
 
-def line_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
+def line_dedup(docs: DataFrame, min_run: int = MIN_RUN, min_words: int | None = None) -> DataFrame:
     """All columns of ``docs`` with later copies of repeated line runs cut from ``text``, and n_lines, n_deleted.
 
     n_lines counts non-blank lines. Order is by doc_id (null last), then line;
@@ -109,7 +125,7 @@ def line_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     lines. An input column named n_lines or n_deleted is replaced.
     """
     base = docs.drop("n_lines", "n_deleted").withColumn("_row", _row())
-    gone = later_copies(docs.select("doc_id", "text"), min_run).select(F.col("row").alias("_row"), F.col("ats").alias("_ats"))
+    gone = later_copies(docs.select("doc_id", "text"), min_run, min_words).select(F.col("row").alias("_row"), F.col("ats").alias("_ats"))
     cut = F.array_join(F.filter(F.split("text", BREAK), lambda x, i: ~F.array_contains("_ats", i)), BREAK)
     lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(_sequence())).cast("long")
     return base.join(gone, "_row", "left").select(

@@ -77,3 +77,12 @@ def test_empty_repeats_nulls_and_clashing_columns(docs_of):
     rows = [(2, "a\nb\nc"), (2, "a\nb\nc"), (None, "a\nb"), (1, "z\na\nb"), (None, None)]
     df = docs_of(rows).withColumn("row", F.lit(1)).withColumn("ats", F.lit(2)).withColumn("n_lines", F.lit("x")).withColumn("rank", F.lit(0))
     assert result(lines.line_dedup(df)) == brute(rows)
+
+
+def test_long_single_lines_go_in_the_pipeline(spark, docs_of, rng):
+    import corpus_pipeline
+
+    long, short = " ".join(f"w{k}" for k in range(50)), " ".join(f"w{k}" for k in range(49))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n {long}\nd"), (3, long), (4, f"e\n{short}\nf"), (5, f"g\n{short}\nh"), (6, f"{long}\nown\n{long}"), (7, None)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs_of(rows), "").collect()}
+    assert got == {1: rows[0][1], 2: "c\nd", 4: rows[3][1], 5: rows[4][1], 6: "own", 7: None}
