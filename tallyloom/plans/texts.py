@@ -73,6 +73,17 @@ def composition_fraction(spark, sf_dir):
     return rounded(d.select("doc_id", scalars.fraction_of("seq").alias("gc")))
 
 
+@plan("""WITH w AS (SELECT doc_id, unnest(range(0, (greatest(coalesce(length(text), 0), 1) - 1) // 400 + 1)) AS win, text FROM documents),
+s AS (SELECT doc_id, win, upper(substr(text, win * 400 + 1, 400)) AS seq FROM w)
+SELECT doc_id, win::BIGINT AS win, CASE WHEN length(seq) > 0 THEN round(length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / length(seq), 6) END AS gc FROM s""")
+def composition_windows(spark, sf_dir):
+    """Consecutive windows of 400 characters that cover all of a text; the last one may be shorter."""
+    last = F.floor((F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1)) - 1) / 400)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("win"))
+    d = d.select("doc_id", "win", F.col("text").substr((F.col("win") * 400 + 1).cast("int"), F.lit(400)).alias("seq"))
+    return rounded(d.select("doc_id", "win", scalars.fraction_of("seq").alias("gc")))
+
+
 @plan("""WITH p AS (SELECT doc_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS t FROM documents), s AS (SELECT doc_id, unnest(range(1, length(t))) AS i, t FROM p) SELECT doc_id, i - 1 AS pos FROM s WHERE substr(t, i::INTEGER, 2) = 'TH'""")
 def reference_sites(spark, sf_dir):
     letters = F.regexp_replace("text", "[^A-Za-z]", "").alias("text")

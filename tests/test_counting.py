@@ -105,3 +105,12 @@ def test_guard_of_saturated_probabilities(spark):
     assert counting.guard_sum(d, "m", "h").count() == 2 and counting.guard_sum(d, "m", "h").agg(F.sum("m")).first()[0] == 100
     with pytest.raises(Exception, match="over 256"):
         counting.guard_sum(spark.createDataFrame([(200, 100)], "m int, h int"), "m", "h").agg(F.sum("m")).collect()
+
+
+def test_composition_windows_cover_the_whole_text(spark, tmp_path):
+    from tallyloom.plans.catalogue import QUERIES
+
+    rows = [(1, "A" * 400 + "G" * 400 + "GA"), (2, "gc"), (3, ""), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, QUERIES["composition_windows"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 0, 0.0), (1, 1, 1.0), (1, 2, 0.5), (2, 0, 1.0), (3, 0, None), (4, 0, None)]
