@@ -101,7 +101,7 @@ def joint_excess_permuted(spark, sf_dir):
 
 @plan()
 def fixed_margin_null(spark, sf_dir):
-    out = resampling.fixed_margin_null(matrix(spark, sf_dir), ["locus"], "mol", "site", "v", draws=4, burn_in=5, apart=2)
+    out = resampling.fixed_margin_null(matrix(spark, sf_dir), ["locus"], "mol", "site", "v")
     return rounded(out)
 
 

@@ -204,7 +204,7 @@ def fit_grid(spark, sf_dir):
 @plan()
 def block_pattern_excess(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("grp"), F.col("event_id").alias("mol"), F.explode(F.array(*(F.struct(F.lit(k).alias("site"), (F.col("event_id") % m % 3).alias("state")) for k, m in enumerate((3, 5, 7))))).alias("x"))
-    return rounded(studies.block_patterns(e.select("grp", "mol", "x.site", "x.state"), ["grp"], "mol", "site", "state", repeats=16))
+    return rounded(studies.block_patterns(e.select("grp", "mol", "x.site", "x.state"), ["grp"], "mol", "site", "state"))
 
 
 @plan()
@@ -212,7 +212,7 @@ def survival_stability(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.datediff(F.lit("1999-01-01").cast("date"), F.col("o_orderdate").cast("date"))).alias("days"), F.max((F.col("o_orderstatus") == "F").cast("int")).alias("event"))
     d = c.join(o, F.col("c_custkey") == F.col("o_custkey")).select((F.col("c_nationkey") % 5).alias("cohort"), F.col("c_custkey").alias("id"), "days", "event", (F.col("c_acctbal") / 1000).alias("x"))
-    return rounded(studies.survival_stability(d, ["cohort"], "id", "days", "event", "x", boots=60, least_fits=30))
+    return rounded(studies.survival_stability(d, ["cohort"], "id", "days", "event", "x"))
 
 
 @plan()

@@ -219,3 +219,14 @@ def test_empirical_distribution_and_gated_rollup(spark):
     e = spark.createDataFrame([(s, b, float(v)) for s, b, v in ((0, 0, 1), (0, 0, 3), (0, 1, 4), (0, 2, 6), (1, 0, 5))], "s int, b int, v double")
     out = {r.s: (r.v, r.n) for r in rollups.gated_rollup(e, [(["s", "b"], 1), (["s"], 2)], "v").collect()}
     assert out == {0: (4.0, 3), 1: (None, 1)}
+
+
+def test_resampling_plans_take_the_operators_numbers(spark, small, monkeypatch):
+    from tallyloom.operators import resampling, studies
+    from tallyloom.plans.catalogue import QUERIES
+
+    given = {}
+    for module, operator, query in ((resampling, "fixed_margin_null", "fixed_margin_null"), (studies, "block_patterns", "block_pattern_excess"), (studies, "survival_stability", "survival_stability")):
+        monkeypatch.setattr(module, operator, lambda df, *a, q=query, **k: given.setdefault(q, k) and df or df)
+        QUERIES[query](spark, small)
+    assert given == {"fixed_margin_null": {}, "block_pattern_excess": {}, "survival_stability": {}}
