@@ -140,7 +140,7 @@ def caliper_match_topk(spark, sf_dir):
 n AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY distance, c_p_partkey) AS place FROM b WHERE k = 1), m AS (SELECT *, count(*) OVER (PARTITION BY p_partkey) AS n FROM n WHERE place <= 4)
 SELECT p_partkey, c_p_partkey, place::INTEGER AS place FROM m WHERE n >= 2""")
 def caliper_block_match(spark, sf_dir):
-    return matching.one_per_block(_band(spark, sf_dir, 1_000_000), "p_partkey", "c_p_type", 4, least=2).select("p_partkey", "c_p_partkey", "place")
+    return matching.one_per_block(_band(spark, sf_dir, None), "p_partkey", "c_p_type", 4, least=2).select("p_partkey", "c_p_partkey", "place")
 
 
 @plan()

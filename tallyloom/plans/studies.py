@@ -140,7 +140,7 @@ AND c.w / t.w BETWEEN 0.8 AND 1.25 AND c.depth / t.depth BETWEEN 2.0 / 3 AND 1.5
 def caliper_pools(spark, sf_dir):
     """Every admissible control of each target: ratio bands around weight and depth within a context."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", F.col("p_size").cast("double").alias("depth"))
-    m = matching.caliper_matches(p.where("p_partkey % 100 = 0"), p.where("p_partkey % 100 <> 0"), ["p_brand"], {"p_retailprice": 1.2501, "depth": 1.5001}, "p_partkey", 1_000_000)
+    m = matching.caliper_matches(p.where("p_partkey % 100 = 0"), p.where("p_partkey % 100 <> 0"), ["p_brand"], {"p_retailprice": 1.2501, "depth": 1.5001}, "p_partkey", None)
     ok = (F.col("c_p_retailprice") / F.col("p_retailprice")).between(0.8, 1.25) & (F.col("c_depth") / F.col("depth")).between(2.0 / 3, 1.5)
     return m.where(ok).select("p_partkey", F.col("c_p_partkey").alias("control"))
 

@@ -114,3 +114,11 @@ def test_composition_windows_cover_the_whole_text(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted(map(tuple, QUERIES["composition_windows"](spark, str(tmp_path)).collect()))
     assert got == [(1, 0, 0.0), (1, 1, 1.0), (1, 2, 0.5), (2, 0, 1.0), (3, 0, None), (4, 0, None)]
+
+
+def test_caliper_without_k_takes_every_control(spark):
+    from tallyloom.operators import matching
+
+    t = spark.createDataFrame([(0, 1, 10.0)], "id long, g int, v double")
+    c = spark.createDataFrame([(i, 1, 10.0) for i in range(1, 31)], "id long, g int, v double")
+    assert matching.caliper_matches(t, c, ["g"], {"v": 1.2}, "id", None).count() == 30
