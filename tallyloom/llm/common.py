@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +43,28 @@ def keep(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of tables made by :func:`keep` in this process, in order.
+_KEPT: list[str] = []
+
+
+def mark() -> int:
+    """A point in time for :func:`sweep`."""
+    return len(_KEPT)
+
+
+def sweep(spark: SparkSession, since: int) -> None:
+    """Delete what :func:`keep` wrote after ``since`` but for the last table, which holds the result of all the others."""
+    jvm = spark.sparkContext._jvm
+    for path in _KEPT[since:-1]:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del _KEPT[since:-1]
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`keep` that nothing reads any more."""
     spark = df.sparkSession
@@ -54,6 +74,12 @@ def drop(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, or the first of name_1, name_2, ... that no column of a table already has (Spark's names ignore case)."""
+    used = {c.lower() for c in taken}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(1, len(used) + 2))) if n.lower() not in used)
+
+
 def fold(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(modulus)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, keep
+from .common import drop, keep, mark, sweep
 
 
 def _to_minimum(links: DataFrame, also_self: bool) -> DataFrame:
@@ -19,7 +19,8 @@ def _to_minimum(links: DataFrame, also_self: bool) -> DataFrame:
     least = links.groupBy("u").agg(F.min("v").alias("m"))
     if also_self:
         least = least.select("u", F.least("u", "m").alias("m"))
-    return links.join(least, "u")
+    # Written first: both sides are then exchanged for the join itself, and only such a join is split where a hub is hot.
+    return links.join(keep(least), "u")
 
 
 def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
@@ -34,11 +35,14 @@ def components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
+        since = mark()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_minimum(both, True).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = keep(large)
         small = _to_minimum(large, False)
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
         after = keep(small)
+        sweep(e.sparkSession, since)
         drop(e)
         e = after
     else:

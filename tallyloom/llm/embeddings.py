@@ -137,7 +137,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 204
     counts = found.where("b < 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "node")
     roots = components(found.where("b >= 0").select("a", "b"))
     nodes = distinct.join(counts, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    nodes = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    nodes = keep(nodes)
+    nodes = nodes.join(keep(nodes.groupBy("root").agg(F.min("least").alias("component_id"))), "root")  # written, so a hot root is split
     named = nodes.select("label", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     ids = usable.join(named, ["label", "v"]).select("vec_id", "n_links", "component_id")
     # Rows that cannot link are the rest; rows are matched by position in their id, so repeats stay apart.
