@@ -7,14 +7,14 @@ No piece crosses a word mark, so the sum factors into words, and each different
 word of the corpus is scored once.
 
 The vocabulary's own scores give the first piece weights. Expected piece counts
-under the lattice, over all different training words, then re-estimate them
-(expectation maximisation). Characters outside the vocabulary are spelled with
-its byte pieces, so no text has probability zero. A training word is one more
-edge from its mark to its end: it weighs its count, and the pieces together
-weigh as much as the words seen once (the Good-Turing share of the unseen). A
-whole training line is an edge too. Its share of all steps comes from how many
-training lines are repeats, and a line of a text is the sum of its own edge and
-of the path over its words.
+under the lattice over all training words, each as often as it occurs, then
+re-estimate them (expectation maximisation), and the ends of texts are counted
+with them. Characters outside the vocabulary, and bytes that are no valid
+UTF-8, are spelled with its byte pieces, so no text has probability zero.
+
+``score`` is this lattice alone. ``word_score`` stands apart from it: there each
+training word is one more edge, from its mark to its end, which weighs its
+count, and the pieces together weigh as much as the words seen once.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import drop, keep
 
 MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -103,7 +103,7 @@ class Lattice:
     def _spelled(self, points: np.ndarray) -> np.ndarray:
         """Log probability of spelling each character with byte pieces."""
         values, inverse = np.unique(points, return_inverse=True)
-        cost = np.array([sum(self.log[self.n + b] for b in chr(v).encode()) for v in values])
+        cost = np.array([sum(self.log[self.n + b] for b in chr(v).encode("utf-8", "surrogateescape")) for v in values])
         return cost[inverse].reshape(points.shape)
 
     def _edges(self, points: np.ndarray):
@@ -145,7 +145,7 @@ class Lattice:
     def _scalar(self, word: str, count: float | None = None, expected: np.ndarray | None = None) -> float:
         """One word of any length; adds ``count`` times its expected piece counts to ``expected``."""
         length = len(word)
-        spelled = [sum(self.log[self.n + b] for b in c.encode("utf-8", "surrogatepass")) for c in word]
+        spelled = [sum(self.log[self.n + b] for b in c.encode("utf-8", "surrogateescape")) for c in word]
         edges = [[] for _ in range(length + 1)]
         alpha = np.full(length + 1, -np.inf)
         alpha[0] = 0.0
@@ -167,7 +167,7 @@ class Lattice:
                     if i >= 0:
                         expected[i] += g
                     else:
-                        for b in word[a].encode("utf-8", "surrogatepass"):
+                        for b in word[a].encode("utf-8", "surrogateescape"):
                             expected[self.n + b] += g
         return float(alpha[length])
 
@@ -209,7 +209,7 @@ class Lattice:
             total[: self.n] += np.bincount(np.concatenate(used), np.concatenate(shares), self.n)
             values, inverse = np.unique(np.concatenate(letters), return_inverse=True)
             for v, x in zip(values, np.bincount(inverse, np.concatenate(spelling))):
-                for b in chr(v).encode("utf-8", "surrogatepass"):
+                for b in chr(v).encode("utf-8", "surrogateescape"):
                     total[self.n + b] += x
         for i, w in enumerate(words):
             if len(w) > LONG:
@@ -218,7 +218,7 @@ class Lattice:
 
 
 def _marked(words) -> list[str]:
-    return [MARK + w.decode() for w in words]
+    return [MARK + w.decode("utf-8", "surrogateescape") for w in words]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -246,34 +246,52 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _expectation(counts: DataFrame, lattice: Lattice, size: int) -> np.ndarray:
+    """Expected counts of all pieces over the training words, each as often as it occurs."""
+
     def run(batches):
         total = np.zeros(size)
         for batch in batches:
-            total += lattice.expect(_marked(batch.column(0).to_pylist()), np.ones(batch.num_rows))
+            total += lattice.expect(_marked(batch.column(0).to_pylist()), batch.column(1).to_numpy().astype(float))
         where = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(total[where])], names=["piece", "n"])
 
     out = np.zeros(size)
     # At most one row per piece of the vocabulary reaches the driver.
-    for r in counts.where("c > 0").select("word").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+    for r in counts.where("c > 0").mapInArrow(run, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
         out[r.piece] = r.n
     return out
 
 
+def estimate(counts: DataFrame, ends: int, vocabulary: str = VOCABULARY, rounds: int = 2) -> tuple[Lattice, float]:
+    """The lattice of re-estimated weights and the end's natural log probability, from word ``counts`` (word, c) and ``ends`` of texts.
+
+    Every piece and the end start each round at 0.01. Without a training word the
+    weights are the vocabulary's, and the end has one part in a hundred.
+    """
+    pieces, weights = read_vocabulary(vocabulary)
+    weights, end = weights * 0.99, 0.01
+    if counts.where("c > 0").isEmpty():
+        rounds = 0
+    for _ in range(rounds):
+        expected = _expectation(counts, Lattice(pieces, weights), len(weights)) + 0.01
+        total = expected.sum() + ends + 0.01
+        weights, end = expected / total, (ends + 0.01) / total
+    return Lattice(pieces, weights), float(np.log(end))
+
+
 def _word_id(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
-def score_texts(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds: int = 2, common: int = 1_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of ``docs``.
+def score_texts(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds: int = 2, common: int = 200_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score: one row per row of ``docs``.
 
     ``held_out`` is a boolean column; the other rows are learned from. Tokens
     are the words, A-Z lower-cased, and one end. base_score is the add-0.1
-    unigram; score the log10 lattice probability of the whole text. A null or
-    empty text is its end alone. If nothing is learned, every weight is the
-    vocabulary's own. Lines are cut at line feeds; sums over other places of a
-    stored line than a text's own lines are left out, so the score is a lower
-    bound there. Other columns are ignored.
+    unigram, score the log10 lattice probability of the whole text, word_score
+    that with training words as edges. A null or empty text is its end alone.
+    Repeated rows count and come out each; a null doc_id counts as the empty
+    text where rows are dealt by id. Other columns are ignored.
 
     Words seen in more than one of ``common`` training tokens, so fewer than
     ``common`` of them at any input size, are looked up in a broadcast table;
@@ -285,108 +303,67 @@ def score_texts(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds:
     facts = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     ends = d.where(~F.col("held_out")).count()
     n_train, distinct = (facts.n or 0) + ends, (facts.v or 0) + (ends > 0)
-    pieces, weights = read_vocabulary(vocabulary)
-    # Pieces of a word end where the next mark starts, so their products over all words add up to one.
     fresh = max(1, facts.once or 0)
     total = float(np.log(n_train + fresh + 0.5))
-    for _ in range(rounds if facts.n else 0):
-        expected = _expectation(counts, Lattice(pieces, weights), len(weights)) + 0.01
-        weights = expected / expected.sum()
-    lattice = Lattice(pieces, weights)
+    lattice, end = estimate(counts, ends, vocabulary, rounds)
+    ten = float(np.log(10))
 
     def scored(batches):
         for batch in batches:
             words = batch.column(0).to_pylist()
             with np.errstate(divide="ignore"):
                 whole = np.log(batch.column(1).to_numpy().astype(float))
-            log = np.logaddexp(whole, np.log(fresh) + lattice.score(_marked(words))) - total
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_word_id(words)), batch.column(1), pa.array(log / np.log(10))], names=["word", "id", "c", "score"])
+            log = lattice.score(_marked(words))
+            memory = np.logaddexp(whole, np.log(fresh) + log) - total
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_word_id(words)), batch.column(1), pa.array(log / ten), pa.array(memory / ten)], names=["word", "id", "c", "score", "word_score"])
 
-    known = keep(counts.mapInArrow(scored, "word binary, id long, c long, score double"))
-    often = known.where(F.col("c") * common > F.lit(n_train)).select("word", "c", "score").collect()
+    known = keep(counts.mapInArrow(scored, "word binary, id long, c long, score double, word_score double"))
+    drop(counts)
+    often = known.where(F.col("c") * common > F.lit(n_train)).select("word", "c", "score", "word_score").collect()
     base = lambda c: np.log10((c + 0.1) / (n_train + 0.1 * (distinct + 1)))
     places = {bytes(r.word): i for i, r in enumerate(often)}
-    tables = docs.sparkSession.sparkContext.broadcast((places, np.array([*(base(r.c) for r in often), 0.0]), np.array([*(r.score for r in often), 0.0])))  # the last is for rare words
-    end_base, end_score, end_known = float(base(float(ends))), float((np.log(ends + 0.5) - total) / np.log(10)), int(ends > 0)
+    # Rows: known, base, score, word score; the last column is for rare words, which the join adds.
+    values = np.array([*([1.0, base(r.c), r.score, r.word_score] for r in often), [0.0] * 4]).T.copy()
+    tables = docs.sparkSession.sparkContext.broadcast((places, values))
 
     def sums(batches):
-        places, bases, scores = tables.value
+        places, values = tables.value
         get = places.get
         for batch in batches:
-            heads, lines, rare, size = [], [], [], 0
+            heads, rare, size = [], [], 0
             ids, held, at_row = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for k, text in enumerate(batch.column(1)):
-                heads.append((at_row[k], ids[k], held[k]))
-                split = [w for w in (x.split() for x in (text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split(b"\n")) if w]
-                if not split:
-                    continue
-                lengths = np.array([len(w) for w in split])
-                words = [w for x in split for w in x]
-                at = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                hit, starts = at >= 0, np.cumsum(lengths) - lengths
-                known = np.add.reduceat(hit.astype(np.int64), starts)
-                base_sum = np.add.reduceat(np.where(hit, bases[at], 0.0), starts)
-                score_sum = np.add.reduceat(np.where(hit, scores[at], 0.0), starts)
-                line = _word_id([b" ".join(x) for x in split])
-                lines.append((np.full(len(split), at_row[k]), np.arange(len(split)), line, lengths, known, base_sum, score_sum))
-                if not hit.all():
-                    owner = np.repeat(np.arange(len(split)), lengths)
-                    places_left = np.flatnonzero(~hit)
-                    times = Counter(zip(owner[places_left].tolist(), (words[i] for i in places_left.tolist())))
-                    rare.append((np.full(len(times), at_row[k]), np.fromiter((o for o, _ in times), np.int64, len(times)), _word_id([w for _, w in times]), np.fromiter(times.values(), np.int64, len(times))))
-                    size += len(times)
+                times = Counter((text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split())
+                n = np.fromiter(times.values(), np.int64, len(times))
+                at = np.fromiter(map(get, times, repeat(-1)), np.int64, len(times))
+                heads.append((at_row[k], ids[k], held[k], int(n.sum()), *(values[:, at] @ n).tolist()))
+                left = np.flatnonzero(at < 0)
+                if len(left):
+                    words = list(times)
+                    rare.append((np.full(len(left), at_row[k]), _word_id([words[i] for i in left.tolist()]), n[left]))
+                    size += len(left)
                 if size > 200_000:
-                    yield pack(heads, lines, rare)
-                    heads, lines, rare, size = [], [], [], 0
-            yield pack(heads, lines, rare)
-
-    def pack(heads, lines, rare):
-        """Rows of three kinds: texts (line null), lines (times null), rare words of a line."""
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-        joined = lambda rows, k: pa.array(np.concatenate([np.zeros(0, np.int64), *(r[k] for r in rows)]), kinds[k if k < 2 else 0])
-        h = list(zip(*heads)) or [()] * 3
-        n, m, r = len(heads), sum(len(x[0]) for x in lines), sum(len(x[0]) for x in rare)
-        as_float = lambda rows, k: pa.array(np.concatenate([np.zeros(0), *(x[k] for x in rows)]))
-        none = pa.nulls
-        columns = [
-            pa.concat_arrays([pa.array(h[0], pa.int64()), joined(lines, 0), joined(rare, 0)]),
-            pa.concat_arrays([pa.array(h[1], pa.int64()), none(m + r, pa.int64())]),
-            pa.concat_arrays([pa.array(h[2], pa.bool_()), none(m + r, pa.bool_())]),
-            pa.concat_arrays([none(n, pa.int64()), joined(lines, 1), joined(rare, 1)]),
-            pa.concat_arrays([none(n, pa.int64()), joined(lines, 2), joined(rare, 2)]),
-            pa.concat_arrays([none(n, pa.int64()), joined(lines, 3), none(r, pa.int64())]),
-            pa.concat_arrays([none(n, pa.int64()), joined(lines, 4), none(r, pa.int64())]),
-            pa.concat_arrays([none(n, pa.float64()), as_float(lines, 5), none(r, pa.float64())]),
-            pa.concat_arrays([none(n, pa.float64()), as_float(lines, 6), none(r, pa.float64())]),
-            pa.concat_arrays([none(n + m, pa.int64()), joined(rare, 3)]),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "line", "id", "n", "k", "b", "s", "times"])
-
-    mixed = keep(numbered.select("doc_id", "text", "held_out", "row").mapInArrow(sums, "row long, doc_id long, held_out boolean, line long, id long, n long, k long, b double, s double, times long"))
-    heads = mixed.where("line IS NULL").select("row", "doc_id", "held_out")
-    own = mixed.where("line IS NOT NULL AND times IS NULL").select("row", "line", "id", "n", "k", "b", "s")
-    rare = mixed.where("times IS NOT NULL").select("row", "line", "id", "times")
-    values = known.select("id", (F.col("c") > 0).cast("long").alias("k"), F.log10((F.col("c") + 0.1) / F.lit(n_train + 0.1 * (distinct + 1))).alias("b"), F.col("score").alias("s"))
+                    yield pack(heads, rare)
+                    heads, rare, size = [], [], 0
+            yield pack(heads, rare)
+
+    def pack(heads, rare):
+        """Rows of two kinds: texts (times null) and their rare words."""
+        h = list(zip(*heads)) or [()] * 8
+        kinds = [("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n", pa.int64()), ("k", pa.float64()), ("b", pa.float64()), ("s", pa.float64()), ("w", pa.float64()), ("id", pa.int64()), ("times", pa.int64())]
+        r = [pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in rare)])) for k in range(3)]
+        columns = [pa.array(h[k], kind) if k < 8 else pa.nulls(len(heads), kind) for k, (_, kind) in enumerate(kinds)]
+        added = [r[0], *(pa.nulls(len(r[0]), kind) for _, kind in kinds[1:8]), r[1], r[2]]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([x, y]) for x, y in zip(columns, added)], names=[name for name, _ in kinds])
+
+    mixed = keep(numbered.select("doc_id", "text", "held_out", "row").mapInArrow(sums, "row long, doc_id long, held_out boolean, n long, k double, b double, s double, w double, id long, times long"))
+    heads = mixed.where("times IS NULL").select("row", "doc_id", "held_out", "n", "k", "b", "s", "w")
+    rare = mixed.where("times IS NOT NULL").select("row", "id", "times")
+    facts_of = known.select("id", (F.col("c") > 0).cast("double").alias("k"), F.log10((F.col("c") + 0.1) / F.lit(n_train + 0.1 * (distinct + 1))).alias("b"), F.col("score").alias("s"), F.col("word_score").alias("w"))
     t = F.col("times")
-    added = rare.join(values, "id").select("row", "line", F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("n"), (F.col("k") * t).alias("k"), (F.col("b") * t).alias("b"), (F.col("s") * t).alias("s"))
-    per_line = own.unionByName(added).groupBy("row", "line").agg(F.max("id").alias("id"), *(F.sum(c).alias(c) for c in ("n", "k", "b", "s")))
-    # Training lines of two words or more, by a hash of their words.
-    trained = own.where("n > 1").join(heads.where(~F.col("held_out")).select("row"), "row", "left_semi")
-    seen = keep(trained.groupBy("id").agg(F.count("*").alias("c"), F.first("n").alias("w")))
-    told = seen.agg(F.sum("c").alias("n"), F.count_if(F.col("c") == 1).alias("once"), F.sum(F.col("c") * F.col("w")).alias("words")).first()
-    repeats = 1.0 - told.once / told.n if told.n else 0.0
-    steps = repeats * (told.n or 0)
-    share = steps / (steps + (1.0 - repeats) * told.words + (n_train - told.words)) if steps else 0.0
-    step, whole = float(np.log10(1.0 - share)), float(np.log10(share / told.n)) if share else 0.0
-    over = F.col("s") + F.col("n") * step
-    line = F.when(F.col("c").isNull(), over) if share else F.when(F.lit(True), over)
-    edge = F.log10("c") + whole
-    top = F.greatest(over, edge)
-    line = line.otherwise(top + F.log10(F.pow(F.lit(10.0), over - top) + F.pow(F.lit(10.0), edge - top)))
-    scored_lines = per_line.join(seen.drop("w"), "id", "left").withColumn("s", line)
-    per_text = scored_lines.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("n", "k", "b", "s")))
-    zero, nil = F.lit(0).cast("long"), F.lit(0.0)
-    return heads.join(per_text, "row", "left").select(
-        "doc_id", "held_out", (F.coalesce("n", zero) + 1).alias("n_tokens"), (F.coalesce("k", zero) + end_known).alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"),
-        (F.coalesce("b", nil) + end_base).alias("base_score"), (F.coalesce("s", nil) + end_score + step).alias("score"),
+    added = rare.join(facts_of, "id").groupBy("row").agg(*(F.sum(F.col(c) * t).alias(f"{c}_rare") for c in "kbsw"))
+    both = lambda c: F.col(c) + F.coalesce(F.col(f"{c}_rare"), F.lit(0.0))
+    return heads.join(added, "row", "left").select(
+        "doc_id", "held_out", (F.col("n") + 1).alias("n_tokens"), (both("k").cast("long") + int(ends > 0)).alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"),
+        (both("b") + float(base(float(ends)))).alias("base_score"), (both("s") + end / ten).alias("score"), (both("w") + float((np.log(ends + 0.5) - total) / ten)).alias("word_score"),
     )

@@ -94,19 +94,40 @@ def test_contract_columns(docs_of, rng):
     assert sorted(map(key, few)) == sorted(map(key, got))
 
 
-def test_stored_lines_are_edges(docs_of, rng):
-    shared = [" ".join(words(rng, 12, 300)) for _ in range(5)]
-    rows = [(i, "\n".join([" ".join(words(rng, 12, 300)), rng.choice(shared)])) for i in range(200)]
-    held = [k for k in range(1000, 1200) if zlib.crc32(str(k).encode()) % 10 == 0][:3]
-    mixed = shared[0].split()
-    rng.shuffle(mixed)
-    rows += [(held[0], shared[0]), (held[1], " ".join(mixed)), (held[2], f"{shared[0]}\n \n{' '.join(mixed)}")]
-    got = {r.doc_id: r for r in lattice.score_texts(docs_of(rows), fold("doc_id", 10) == 0).collect()}
-    a, b, both = (got[k] for k in held)
-    assert a.base_score == pytest.approx(b.base_score) and a.score > b.score + 10 and a.n_tokens == b.n_tokens == 13
-    # Lines add up; only the end is shared.
-    end = a.score + b.score - both.score
-    assert -6 < end < 0 and both.n_tokens == 25
+def test_score_matches_brute_force(docs_of, rng):
+    """The whole way: counts, two rounds of expectation maximisation, all segmentations of all words, and the end."""
+    pool = ["ab", "the", "a", "é", "thé", "xq", "anth", "ther"]
+    rows = [(i, " ".join(rng.choices(pool, k=rng.randrange(0, 9)))) for i in range(60)] + [(70, "unseen THE zz"), (80, None)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    count, ends = Counter(), 0
+    for i, t in rows:
+        if not held(i):
+            count.update((t or "").lower().split())
+            ends += 1
+    pieces, weights = lattice.read_vocabulary()
+    weights, end = weights * 0.99, 0.01
+    for _ in range(2):
+        model = lattice.Lattice(pieces, weights)
+        expected = np.full(len(weights), 0.01)
+        for w, n in count.items():
+            cuts = all_cuts(lattice.MARK + w, model)
+            total = sum(p for p, _ in cuts)
+            for p, used in cuts:
+                for u in used:
+                    expected[u] += n * p / total
+        total = expected.sum() + ends + 0.01
+        weights, end = expected / total, (ends + 0.01) / total
+    model = lattice.Lattice(pieces, weights)
+    log = {w: math.log10(sum(p for p, _ in all_cuts(lattice.MARK + w, model))) for w in {w for _, t in rows for w in (t or "").lower().split()}}
+    for common in (1, 200_000):
+        got = {r.doc_id: r.score for r in lattice.score_texts(docs_of(rows), fold("doc_id", 10) == 0, common=common).collect()}
+        assert got == pytest.approx({i: sum(log[w] for w in (t or "").lower().split()) + math.log10(end) for i, t in rows})
+
+
+def test_bytes_that_are_no_text(spark):
+    rows = spark.createDataFrame([(1, b"a\xffb a"), (2, b"\xc3"), (3, b"ok a"), (4, b"x" * 50 + b"\xfe" * 3)], "doc_id long, text binary")
+    got = lattice.score_texts(rows, F.lit(False)).collect()
+    assert [r.n_tokens for r in sorted(got, key=lambda r: r.doc_id)] == [3, 2, 3, 2] and all(math.isfinite(r.score) for r in got)
 
 
 def test_empty_table_and_nothing_to_learn(docs_of):
