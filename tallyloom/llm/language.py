@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEGMENT = 64
@@ -187,22 +187,18 @@ def fit(texts: list[bytes], languages: list[str], hidden: int = 8, steps: int =
     return model
 
 
-def train(docs: DataFrame, learn_from, limit: int = 250, **how) -> Model:
+def train(docs: DataFrame, learn_from, limit: int = 250, longest: int = 200_000, **how) -> Model:
     """A model learned from rows with text and lang where ``learn_from`` holds.
 
     At most ``limit`` texts of each language, in hash order, are used: a bounded
-    training sample (the bound is this parameter). Only ids are sorted for it;
-    the chosen texts alone are fetched. Languages are the distinct non-null
-    values of all such rows with an id.
+    training sample (the bounds, on rows and on a text's characters, are
+    parameters; longer texts teach nothing). Only ids are ranked for it, and each
+    task keeps no more than the limit of a language; the chosen texts alone are
+    fetched. Languages are the distinct non-null values of all such rows with an id.
     """
-    known = docs.where(learn_from & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    ids = known.select("doc_id", "lang")
-    chosen = None
-    for r in sorted(ids.select("lang").distinct().collect(), key=lambda r: r.lang):
-        part = ids.where(F.col("lang") == r.lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return fit([], [], **how)
+    known = docs.where(learn_from & (F.length("text") <= longest) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
     texts = known.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
     rows = sorted((r.lang, r.doc_id, bytes(r.text)) for r in texts.collect())
     return fit([t for _, _, t in rows], [name for name, _, _ in rows], **how)

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep
+
 #: Edge marks are dropped from words, so "word," and "word%%%" are one feature.
 _EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -32,6 +34,7 @@ class Model:
     biases: list[np.ndarray]
     weights: np.ndarray
     bias: float
+    trained: bool = True
 
     def tables(self) -> list[np.ndarray]:
         """Embeddings times each row of each filter: width x rows x maps."""
@@ -73,9 +76,14 @@ def features(model: Model, tables: list[np.ndarray], rows: np.ndarray, piece: in
 
 def fit(texts: list[bytes], labels: np.ndarray, dims: int = 8, widths: tuple[int, ...] = (1, 2, 3), maps: int = 8, shared_by: int = 5, epochs: int = 8, seed: int = 5) -> Model:
     """Train on labelled texts by Adam; a bucket needs ``shared_by`` texts to get an embedding.
+
+    Texts without a word teach nothing. Without a text of each label nothing is
+    learned, and every score is 0.
     """
     rng = np.random.default_rng(seed)
     hashed = [hashes(t) for t in texts]
+    taught = [k for k, h in enumerate(hashed) if len(h)]
+    hashed, labels = [hashed[k] for k in taught], np.asarray(labels)[taught]
     seen: dict[int, int] = {}
     for h in hashed:
         for b in np.unique(h).tolist():
@@ -84,7 +92,7 @@ def fit(texts: list[bytes], labels: np.ndarray, dims: int = 8, widths: tuple[int
     model = Model(
         rng.normal(0, 0.1, (len(buckets) + 1, dims)), buckets,
         [rng.normal(0, 0.3, (w, dims, maps)) for w in widths], [np.zeros(maps) for _ in widths],
-        rng.normal(0, 0.3, maps * len(widths)), 0.0,
+        rng.normal(0, 0.3, maps * len(widths)), 0.0, 0 < labels.sum() < len(labels),
     )
     rows = [_rows(model, h) for h in hashed]
     positive = max(1.0, labels.sum())
@@ -92,12 +100,12 @@ def fit(texts: list[bytes], labels: np.ndarray, dims: int = 8, widths: tuple[int
     params = [model.embeddings, *model.filters, *model.biases, model.weights, np.zeros(1)]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     rate, batch = 0.02, 16
-    for epoch in range(epochs if len(texts) else 0):
-        order = rng.permutation(len(texts))
+    for epoch in range(epochs if model.trained else 0):
+        order = rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             grads = [np.zeros_like(p) for p in params]
-            for k in order[at : at + batch]:
-                _gradient(model, params[-1][0], rows[k], labels[k], weight[k], grads)
+            chosen = order[at : at + batch]
+            _gradient(model, params[-1][0], [rows[k] for k in chosen], labels[chosen], weight[chosen], grads)
             t += 1
             step = rate * (0.5 * (1 + np.cos(np.pi * epoch / epochs)))
             for p, g, mi, vi in zip(params, grads, m, v):
@@ -111,54 +119,58 @@ def fit(texts: list[bytes], labels: np.ndarray, dims: int = 8, widths: tuple[int
     return model
 
 
-def _gradient(model: Model, bias: float, rows: np.ndarray, label: float, weight: float, grads: list[np.ndarray]) -> None:
-    n_w = len(model.filters)
+def _gradient(model: Model, bias: float, rows: list[np.ndarray], labels: np.ndarray, weight: np.ndarray, grads: list[np.ndarray]) -> None:
+    """Add to ``grads`` the gradient of the weighted log loss, summed over a batch of texts that have words."""
+    sizes, n_w = np.array([len(r) for r in rows]), len(model.filters)
     pooled, where = [], []
     for f, b in zip(model.filters, model.biases):
-        width = len(f)
-        padded = np.concatenate([np.full(width - 1, -1), rows, np.full(width - 1, -1)])
-        n = max(0, len(padded) - width + 1)
-        total = np.zeros((n, f.shape[2]))
+        width, gap = len(f), np.full(len(f) - 1, -1)
+        # All texts in one line, with marks around each; a text of n words has n + width - 1 places.
+        line = np.concatenate([x for r in rows for x in (gap, r, gap)])
+        places = sizes + width - 1
+        first = np.cumsum(sizes + 2 * (width - 1)) - (sizes + 2 * (width - 1))
+        begin = np.cumsum(places) - places
+        starts = np.arange(places.sum()) + np.repeat(first - begin, places)
+        total = np.zeros((len(starts), f.shape[2]))
         for k in range(width):
-            r = padded[k : k + n]
+            r = line[starts + k]
             total += np.where((r >= 0)[:, None], model.embeddings[r] @ f[k], 0)
         total += b
-        top = total.argmax(0) if n else np.zeros(f.shape[2], int)
-        value = total[top, np.arange(f.shape[2])] if n else np.zeros(f.shape[2])
+        value = np.maximum.reduceat(total, begin)
+        at = np.where(total == np.repeat(value, places, axis=0), starts[:, None], len(line))
         pooled.append(np.maximum(value, 0))
-        where.append((padded, top, value > 0))
-    x = np.concatenate(pooled)
+        where.append((line, np.minimum.reduceat(at, begin), value > 0))
+    x = np.concatenate(pooled, axis=1)
     p = 1 / (1 + np.exp(-np.clip(x @ model.weights + bias, -30, 30)))
-    d = weight * (p - label)
-    grads[-1] += d
-    grads[-2] += d * x
+    d = weight * (p - labels)
+    grads[-1] += d.sum()
+    grads[-2] += d @ x
     at = 0
-    for i, (f, (padded, top, on)) in enumerate(zip(model.filters, where)):
-        g = d * model.weights[at : at + f.shape[2]] * on
+    for i, (f, (line, top, on)) in enumerate(zip(model.filters, where)):
+        g = d[:, None] * model.weights[at : at + f.shape[2]] * on
         at += f.shape[2]
-        grads[1 + n_w + i] += g
+        grads[1 + n_w + i] += g.sum(0)
         for k in range(len(f)):
-            if len(padded) < len(f):
-                continue
-            r = padded[top + k]
-            inside = (r >= 0) & on
+            r = line[top + k]
+            inside = np.where(r >= 0, g, 0.0)
             e = model.embeddings[np.maximum(r, 0)]
-            grads[1 + i][k] += (e * (inside * g)[:, None]).T
-            np.add.at(grads[0], r[inside], (f[k] * g)[:, inside].T)
+            grads[1 + i][k] += np.einsum("tmd,tm->dm", e, inside)
+            np.add.at(grads[0], np.maximum(r, 0), inside[:, :, None] * f[k].T[None])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, keep_row, limit: int) -> DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, target: str, keep_row, limit: int, longest: int = 200_000) -> DataFrame:
     """(doc_id, text, y): a bounded training sample, at most ``limit`` rows of each class, by hash order.
 
-    The bound is what keeps training on one machine; it is a parameter. Rows with
-    a null id, text or label teach nothing. A document with several labels counts once, by the largest.
+    The bounds, on rows and on a text's characters, are what keeps training on
+    one machine; they are parameters. Rows with a null id, text or label, and
+    texts of more than ``longest`` characters, teach nothing. A document with several labels counts once, by the largest.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & keep_row).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from, limit: int = 3000, **how) -> Model:
@@ -168,6 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, learn_from, limit: int = 3000, **h
 
 
 def score_one(model: Model, tables, text: bytes | None) -> float:
+    if not model.trained:
+        return 0.0
     x = features(model, tables, _rows(model, hashes(text))) @ model.weights + model.bias
     return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
@@ -213,10 +227,15 @@ def thresholds(scored: DataFrame, labels: DataFrame, learn_from, least: int = 20
     return out
 
 
-def classify(docs: DataFrame, labels: DataFrame, learn_from, limit: int = 3000) -> DataFrame:
-    """doc_id, lang, score, threshold, toxic: the score against its language's threshold."""
-    scored = score(docs, train(docs, labels, learn_from, limit))
-    cut = thresholds(scored, labels, learn_from)
+def classify(docs: DataFrame, labels: DataFrame, learn_from, limit: int = 3000, part: int = 5) -> DataFrame:
+    """doc_id, lang, score, threshold, toxic: the score against its language's threshold.
+
+    One labelled row in ``part`` by hash, of those where ``learn_from`` holds,
+    never trains the network; these rows calibrate the thresholds. Texts are scored once.
+    """
+    aside = F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0
+    scored = keep(score(docs, train(docs, labels, learn_from & ~aside, limit)))
+    cut = thresholds(scored, labels, learn_from & aside)
     pairs = [x for k, t in cut.items() if k is not None for x in (F.lit(k), F.lit(t))]
     own = F.coalesce(F.create_map(*pairs)[F.col("lang")], F.lit(0.5)) if pairs else F.lit(0.5)
     return scored.withColumn("threshold", own).withColumn("toxic", F.col("score") >= F.col("threshold"))

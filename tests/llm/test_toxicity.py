@@ -47,14 +47,15 @@ def test_features_match_brute_force_in_pieces():
 
 def test_gradient_matches_differences():
     model = toxicity.fit([b"a b c d"] * 6 + [b"c d e f g"] * 6, np.array([0.0, 1.0] * 6), shared_by=2, epochs=2)
-    rows = toxicity._rows(model, toxicity.hashes(b"a c e b d g zz"))
+    texts, labels, weight = [b"a c e b d g zz", b"c", b"g f a a a"], np.array([1.0, 0.0, 0.0]), np.array([1.0, 0.5, 2.0])
+    rows = [toxicity._rows(model, toxicity.hashes(t)) for t in texts]
     params = [model.embeddings, *model.filters, *model.biases, model.weights, np.zeros(1)]
     grads = [np.zeros_like(p) for p in params]
-    toxicity._gradient(model, 0.0, rows, 1.0, 1.0, grads)
+    toxicity._gradient(model, 0.0, rows, labels, weight, grads)
 
     def loss():
-        x = slow_features(model, b"a c e b d g zz") @ model.weights
-        return math.log1p(math.exp(-x))
+        x = [slow_features(model, t) @ model.weights for t in texts]
+        return sum(w * math.log1p(math.exp(-v if y else v)) for v, y, w in zip(x, labels, weight))
 
     for p, g in zip(params[:-1], grads):
         for i in list(np.ndindex(p.shape))[:: max(1, p.size // 7)]:
@@ -82,7 +83,7 @@ def test_held_out_accuracy_and_leakage(spark, docs_of, rng):
 
 
 def test_thresholds_by_language(spark, docs_of, rng):
-    rows, labels = corpus(rng)
+    rows, labels = corpus(rng, 900)
     table = spark.createDataFrame(labels + [(None, 1), (3, None)], "doc_id long, toxic int")
     out = toxicity.classify(docs_of(rows + [(700, "vile", None)]), table, F.lit(True))
     by = {r.doc_id: r for r in out.collect()}
@@ -90,9 +91,31 @@ def test_thresholds_by_language(spark, docs_of, rng):
     assert sum(by[i].toxic == (y == 1) for i, y in labels) / len(labels) > 0.95
 
 
+def test_thresholds_come_from_rows_that_trained_nothing(spark, docs_of, rng, monkeypatch):
+    rows, labels = corpus(rng)
+    seen, train, thresholds = {}, toxicity.train, toxicity.thresholds
+    monkeypatch.setattr(toxicity, "train", lambda d, t, keep, n: seen.update(train={r.doc_id for r in t.where(keep).collect()}) or train(d, t, keep, n, epochs=1))
+    monkeypatch.setattr(toxicity, "thresholds", lambda d, t, keep: seen.update(cut={r.doc_id for r in t.where(keep).collect()}) or thresholds(d, t, keep))
+    toxicity.classify(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), F.col("doc_id") % 2 == 0)
+    assert seen["train"] and seen["cut"] and not seen["train"] & seen["cut"] and seen["train"] | seen["cut"] == set(range(0, 240, 2))
+
+
+def test_query_matches_brute_force(spark, docs_of, rng, tmp_path):
+    """The query's own scores against slow features under the same network."""
+    rows, labels = corpus(rng, 90)
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, str(tmp_path)).collect()}
+    learn = (F.crc32(F.col("doc_id").cast("string")) % 5 != 0) & (F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0)
+    model = toxicity.train(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"), learn)
+    for i, t, _ in rows:
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(slow_features(model, t.encode()) @ model.weights + model.bias))), abs=1e-5)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
 def test_no_labels_or_rows(spark, docs_of, tmp_path):
     docs_of([(1, "a"), (2, None)]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = queries.op10_toxicity(spark, str(tmp_path)).collect()
-    assert len(got) == 2 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert len(got) == 2 and all(r.score == 0 and r.predicted == 0 and not r.toxic for r in got)
     assert toxicity.score(docs_of([]), toxicity.fit([], np.zeros(0))).count() == 0
