@@ -54,8 +54,8 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scored = toxicity.score(docs, toxicity.train(docs, labels, fold("doc_id", 5) != 0))
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = toxicity.classify(docs, labels, fold("doc_id", 5) != 0)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", "toxic")
 
 
 OP9_SQL = r"""
@@ -74,9 +74,9 @@ q AS (SELECT e.*, t.source_size, t.target, t.budget,
              CASE WHEN t.target > 0 THEN sum(size) OVER (PARTITION BY e.source ORDER BY epoch, h, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT / t.target ELSE 0.0 END AS finish,
              CASE WHEN t.target > 0 THEN (sum(size) OVER (PARTITION BY e.source ORDER BY epoch, h, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT - size) / t.target ELSE 0.0 END AS begins
       FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source),
-r AS (SELECT *, sum(CASE WHEN begins < 1 THEN size ELSE 0 END) OVER (ORDER BY finish, epoch, h, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS served FROM q)
+r AS (SELECT *, sum(CASE WHEN begins + finish <= 2 THEN size ELSE 0 END) OVER (ORDER BY finish, epoch, h, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS served FROM q)
 SELECT doc_id, size, any_value(source_size) AS source_size, any_value(target) AS target,
-       sum(CASE WHEN served <= budget AND begins < 1 THEN size ELSE 0 END)::BIGINT AS taken
+       sum(CASE WHEN 2 * served - size <= 2 * budget AND begins + finish <= 2 THEN size ELSE 0 END)::BIGINT AS taken
 FROM r GROUP BY doc_id, source, size
 """
 
@@ -110,17 +110,19 @@ LEFT JOIN n ON documents.doc_id IS NOT DISTINCT FROM n.doc_id AND documents.text
 """
 
 OP5_SQL = r"""
-WITH iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+WITH iw AS (SELECT DISTINCT item_id, text AS item, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
+ik AS (SELECT *, least(5, len(w)) AS k FROM iw WHERE len(w) >= 1),
 dw AS (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-i AS (SELECT item_id, len(w) AS size, len(w) - 4 AS total, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS h FROM iw WHERE len(w) >= 5),
-ic AS (SELECT item_id, any_value(size) AS size, any_value(total) AS total, h, count(*) AS item_times FROM i GROUP BY item_id, h),
-d AS (SELECT doc_id, text, len(w) AS words, unnest(range(0, len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) AS h FROM dw WHERE len(w) >= 5),
-hit AS (SELECT d.doc_id, d.text, d.words, d.pos, d.h, ic.item_id, ic.size, ic.total, ic.item_times FROM d JOIN ic USING (h)),
-s AS (SELECT DISTINCT doc_id, text, item_id, size, total, words, greatest(0, least(pos, words - size)) AS start FROM hit),
-c AS (SELECT s.doc_id, s.text, s.item_id, s.total, s.start, least(s.total, s.words - 4) AS own, hit.h, least(count(*), any_value(hit.item_times)) AS common
-      FROM s JOIN hit ON s.doc_id IS NOT DISTINCT FROM hit.doc_id AND s.text = hit.text AND s.item_id IS NOT DISTINCT FROM hit.item_id AND hit.pos >= s.start AND hit.pos < s.start + s.total
+i AS (SELECT item_id, item, k, len(w) - k + 1 AS total, unnest(list_transform(range(1, len(w) - k + 2), lambda n: array_to_string(w[n:n + k - 1], ' '))) AS h FROM ik),
+ic AS (SELECT item_id, item, k, any_value(total) AS total, h, count(*) AS item_times FROM i GROUP BY item_id, item, k, h),
+d AS (SELECT doc_id, text, k, len(w) - k + 1 AS n, unnest(range(0, len(w) - k + 1)) AS pos, unnest(list_transform(range(1, len(w) - k + 2), lambda n: array_to_string(w[n:n + k - 1], ' '))) AS h
+      FROM dw, (SELECT DISTINCT k FROM ik) WHERE len(w) >= k),
+hit AS (SELECT d.doc_id, d.text, d.n, d.pos, d.h, ic.item_id, ic.item, ic.total, ic.item_times FROM d JOIN ic USING (k, h)),
+s AS (SELECT DISTINCT doc_id, text, item_id, item, total, n, greatest(0, least(pos, n - total)) AS start FROM hit),
+c AS (SELECT s.doc_id, s.text, s.item_id, s.item, s.total, s.start, least(s.total, s.n) AS own, hit.h, least(count(*), any_value(hit.item_times)) AS common
+      FROM s JOIN hit ON s.doc_id IS NOT DISTINCT FROM hit.doc_id AND s.text = hit.text AND s.item_id IS NOT DISTINCT FROM hit.item_id AND s.item = hit.item AND hit.pos >= s.start AND hit.pos < s.start + s.total
       GROUP BY ALL),
-e AS (SELECT doc_id, text, item_id, start, sum(common)::DOUBLE / (any_value(own) + any_value(total) - sum(common)) AS similarity FROM c GROUP BY doc_id, text, item_id, start)
+e AS (SELECT doc_id, text, item_id, item, start, sum(common)::DOUBLE / (any_value(own) + any_value(total) - sum(common)) AS similarity FROM c GROUP BY doc_id, text, item_id, item, start)
 SELECT doc_id, item_id, round(max(similarity), 6) AS similarity, arg_min(start, (-similarity, start))::INTEGER AS start
 FROM e WHERE similarity >= 0.8 GROUP BY doc_id, text, item_id
 """
