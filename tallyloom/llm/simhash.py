@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import free, keep
 from .components import components
 from .forest import forest
 
@@ -173,7 +173,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, blo
     distinct = keep(per_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = keep(components(links(distinct.select("fp"), radius, block)))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = keep(named)
+    names = keep(named.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so a hot root is split
     return per_doc.join(named.join(names, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -311,12 +312,38 @@ def _edges(found) -> pa.RecordBatch:
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 16, bands: int = 12, block: int = 2048) -> DataFrame:
     """(doc_id, component_id) for every row: groups of texts whose sets of shingles have a Jaccard of ``similarity`` or more."""
-    nodes, texts = _similar(docs, similarity, shingle, width, bands, block)
-    return nodes.join(texts, "text_key").select("doc_id", "component_id")
+    rows, texts = _similar(docs, similarity, shingle, width, bands, block)
+    return rows.join(texts, "text_key").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 16, bands: int = 12, block: int = 2048) -> DataFrame:
+    """One document of each group of :func:`similar_documents`, all columns.
+
+    A document is a row's doc_id and text: different texts under one doc_id are
+    compared like any others, and so are rows without a doc_id. Of a group the
+    least doc_id stays (null last), of one doc_id the least hash of the text; of
+    rows that are one document but differ in other columns the one whose columns
+    come first as text.
+    """
+    rows, texts = _similar(docs, similarity, shingle, width, bands, block)
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "row")
+    copies = keep(rows.groupBy("text_key", "row", "doc_id").agg(F.count("*").alias("n")))
+    named = keep(copies.join(texts.select("text_key", "root"), "text_key").select("root", order.alias("o"), "n"))
+    first = named.groupBy("root").agg(F.min(F.struct("o", "n")).alias("x")).select(F.col("x.o.row").alias("row"), (F.col("x.n") > 1).alias("several"))
+    row, several = free("row", docs.columns), free("several", docs.columns)
+    stays = keep(docs.withColumn(row, _document()).join(first.toDF(row, several), row))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    alike = stays.where(F.col(several)).groupBy(row).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(several)).select(f"{several}.*")
+    return stays.where(~F.col(several)).select(*columns).unionByName(alike)
+
+
+def _document():
+    """Identity of a row: equal rows, same doc_id and text, are one document."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.coalesce("text", F.lit("")), F.col("text").isNull())
 
 
 def _similar(docs: DataFrame, similarity: float, shingle: int, width: int, bands: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key) of every row and (text_key, component_id) of every text; the same lower-cased words are one text.
+    """(row, doc_id, text_key) of every row and (text_key, root, component_id) of every text; the same lower-cased words are one text.
 
     Candidates share a key and are within eight deviations of the mean distance
     at ``similarity``, as few shingles spread wider than many; their groups are
@@ -329,15 +356,15 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, width: int, bands
 
     def run(batches):
         for batch in batches:
-            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(1)]
+            texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2)]
             made = [sketch(t, shingle, width, bands) for t in texts]
             names = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
             keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(k) for _, k in made)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(k for _, k in made)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array([s for s, _ in made], pa.binary()), keys], names=["doc_id", "text_key", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array([s for s, _ in made], pa.binary()), keys], names=["row", "doc_id", "text_key", "fp", "keys"])
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    per_doc = keep(read.mapInArrow(run, "doc_id long, text_key binary, fp binary, keys array<long>"))
-    nodes = keep(per_doc.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
+    read = docs.select(_document().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    per_doc = keep(read.mapInArrow(run, "row long, doc_id long, text_key binary, fp binary, keys array<long>"))
+    nodes = keep(per_doc.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.min("row").alias("bearer"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
 
     def compare(batches):
         out = []
@@ -372,13 +399,11 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, width: int, bands
         yield _edges(out)
 
     # One row of each text that has a candidate brings its set.
-    wanted = nodes.select("text_key", "least", "node", "fp").join(candidates.withColumnRenamed("root", "group"), "node")
-    rows = read.where(F.col("doc_id").isNotNull()).join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    rows = rows.unionByName(read.where(F.col("doc_id").isNull()))
-    bring = rows.select("text").mapInArrow(sets, "text_key binary, set binary").groupBy("text_key").agg(F.first("set").alias("set"))
+    wanted = keep(nodes.select("text_key", "bearer", "node", "fp").join(candidates.withColumnRenamed("root", "group"), "node"))
+    bring = read.join(wanted.select(F.col("bearer").alias("row")), "row", "left_semi").select("text").mapInArrow(sets, "text_key binary, set binary").groupBy("text_key").agg(F.first("set").alias("set"))
     members = keep(wanted.join(bring, "text_key").select("group", "node", "fp", "set"))
     edges = _blocks(members, ["group"], block).select("group", "part", "node", "fp", "set").mapInArrow(verify, "a long, b long")
     roots = keep(components(edges))
-    named = nodes.select("text_key", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = keep(nodes.select("text_key", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     names = keep(named.groupBy("root").agg(F.min("least").alias("component_id")))
-    return per_doc.select("doc_id", "text_key"), keep(named.join(names, "root").select("text_key", "component_id"))
+    return per_doc.select("row", "doc_id", "text_key"), keep(named.join(names, "root").select("text_key", "root", "component_id"))

@@ -42,7 +42,7 @@ def test_targets_and_taken(docs_of, rng):
     longest = {s: max(r.size for r in got if r.source == s) for s in sizes}
     for s in sizes:
         assert abs(taken[s] - want[s]) <= longest[s]
-    assert sum(taken.values()) <= sum(sizes.values())
+    assert abs(sum(taken.values()) - sum(sizes.values())) <= max(longest.values())
 
 
 def test_reruns_and_partitions_agree(docs_of, rng):
@@ -66,3 +66,25 @@ def test_empty_repeats_and_clashing_columns(docs_of):
     same = docs_of([(1, "a b", "en", "s")] * 3 + [(None, None, None, None)]).withColumn("size", F.lit("x")).withColumn("target", F.lit(1)).withColumn("epoch", F.lit(2))
     got = mixing.mix(same).collect()
     assert sorted((r.doc_id or 0, r.size, r.taken) for r in got) == [(0, 0, 0), (1, 2, 2), (1, 2, 2), (1, 2, 2)]
+
+
+def test_cells_follow_the_rows(spark):
+    assert mixing.cells_for(spark.range(10)) == 256 and mixing.cells_for(spark.range(300), rows=1) == 4096
+
+
+def test_documents_of_the_mix_carry_their_columns(docs_of, rng):
+    from pyspark.sql import functions as F
+
+    rows = rows_of(rng) + [(7, "x y", "en", "a"), (7, "x y", "de", "a"), (8, "one w", "en", "a"), (8, "two w", "en", "a"), (None, "z", "en", None)]
+    docs = docs_of(rows).withColumn("size", F.lit("mine")).withColumn("document", F.lit(5))
+    got = mixing.mixed_documents(docs).collect()
+    plain = {}
+    for r in mixing.mix(docs).collect():
+        k = (r.doc_id, r.source, r.size)
+        plain[k] = plain.get(k, 0) + r.taken
+    seen = {}
+    for r in got:
+        assert r.size == len((r.text or "").split()) and r.taken == r.epochs * r.size and r.epochs > 0 and r.document == 5
+        seen[r.doc_id, r.source, r.size] = seen.get((r.doc_id, r.source, r.size), 0) + r.taken
+    assert seen == {k: v for k, v in plain.items() if k in seen} and sum(seen.values()) == sum(plain.values())
+    assert len({(r.doc_id, r.source, r.text) for r in got}) == len(got)

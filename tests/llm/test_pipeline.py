@@ -3,7 +3,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import queries
+from tallyloom.llm import quality, queries
 
 from . import test_decontamination, test_lines, test_quality, test_simhash
 from .conftest import words
@@ -44,8 +44,8 @@ def brute(spark, rows, labels, items):
     cut = {}
     for lang, steps in groups.items():
         steps.sort()
-        n = next(k for k in range(1, len(steps) + 1) if sum(s <= steps[k - 1] for s in steps) >= 0.995 * len(steps))
-        cut[lang] = (steps[n - 1] + 1) * 0.002 + 0.4
+        n = next(k for k in range(1, len(steps) + 1) if sum(s <= steps[k - 1] for s in steps) >= quality.QUANTILE * len(steps))
+        cut[lang] = (steps[n - 1] + 1) * 0.002
     limit = lambda lang: cut[lang] if len(groups.get(lang, [])) >= 30 else cut["all"]
     rows = [r for r in rows if r[0] in ppl and ppl[r[0]] <= limit(r[2])]
     lines = {r[0]: r for r in test_lines.brute([r[:2] for r in rows])}
