@@ -21,7 +21,8 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lines.line_dedup(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"))
+    longest = F.coalesce(F.array_max(F.transform("runs", lambda r: r["lines"])), F.lit(0)).cast("long")
+    return cut.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("kept_sha256"), F.size("runs").cast("long").alias("n_runs"), longest.alias("longest_run"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,19 +95,26 @@ QUERIES = {
 }
 OP3_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
-t AS (SELECT doc_id, text, pos, regexp_replace(line, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS line FROM s),
-l AS (SELECT *, lead(line) OVER w AS next_line, lead(pos) OVER w AS next_pos, count(*) OVER (PARTITION BY doc_id, text) AS n_lines
-      FROM t WHERE line <> '' WINDOW w AS (PARTITION BY doc_id, text ORDER BY pos)),
-c AS (SELECT *, row_number() OVER (PARTITION BY line, next_line ORDER BY doc_id NULLS LAST, text, pos) AS k FROM l WHERE next_line IS NOT NULL),
-g AS (SELECT doc_id, text, pos FROM c WHERE k > 1 UNION SELECT doc_id, text, next_pos FROM c WHERE k > 1),
-kept AS (SELECT s.doc_id, s.text, string_agg(s.line, chr(10) ORDER BY s.pos) FILTER (g.pos IS NULL) AS body, count(g.pos) AS n_deleted
-         FROM s LEFT JOIN g ON s.doc_id IS NOT DISTINCT FROM g.doc_id AND s.text = g.text AND s.pos = g.pos GROUP BY s.doc_id, s.text),
-n AS (SELECT doc_id, text, count(*) AS n FROM l GROUP BY doc_id, text)
+o AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, text) AS ord FROM d),
+s AS (SELECT ord, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM o),
+t AS (SELECT ord, pos, regexp_replace(line, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g') AS line FROM s),
+l AS (SELECT ord, pos, line, row_number() OVER (PARTITION BY ord ORDER BY pos) - 1 AS place, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 8 AS long FROM t WHERE line <> ''),
+p AS (SELECT b.ord, b.place, b.long, a.ord AS a_ord, a.place - b.place AS diagonal FROM l a JOIN l b ON a.line = b.line AND (a.ord < b.ord OR (a.ord = b.ord AND a.place < b.place))),
+g AS (SELECT *, place - row_number() OVER (PARTITION BY ord, a_ord, diagonal ORDER BY place) AS island FROM p),
+m AS (SELECT ord, place, any_value(long) AS long, max(n) AS lines
+      FROM (SELECT ord, place, long, max(place) OVER (PARTITION BY ord, a_ord, diagonal, island) - place + 1 AS n FROM g) GROUP BY ord, place),
+r AS (SELECT ord, place, lines FROM m WHERE lines >= 2 OR long),
+x AS (SELECT *, max(place + lines) OVER (PARTITION BY ord ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+runs AS (SELECT ord, place, lines FROM x WHERE reach IS NULL OR place + lines > reach),
+gone AS (SELECT DISTINCT l.ord, l.pos FROM runs JOIN l ON l.ord = runs.ord AND l.place >= runs.place AND l.place < runs.place + runs.lines),
+kept AS (SELECT s.ord, string_agg(s.line, chr(10) ORDER BY s.pos) FILTER (gone.pos IS NULL) AS body, count(gone.pos) AS n_deleted
+         FROM s LEFT JOIN gone ON s.ord = gone.ord AND s.pos = gone.pos GROUP BY s.ord),
+n AS (SELECT ord, count(*) AS n FROM l GROUP BY ord), c AS (SELECT ord, count(*) AS n_runs, max(lines) AS longest FROM runs GROUP BY ord)
 SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_lines, coalesce(kept.n_deleted, 0)::BIGINT AS n_deleted,
-       CASE WHEN documents.text IS NULL THEN NULL ELSE sha256(coalesce(kept.body, '')) END AS kept_sha256
-FROM documents LEFT JOIN kept ON documents.doc_id IS NOT DISTINCT FROM kept.doc_id AND documents.text = kept.text
-LEFT JOIN n ON documents.doc_id IS NOT DISTINCT FROM n.doc_id AND documents.text = n.text
+       CASE WHEN documents.text IS NULL THEN NULL ELSE sha256(coalesce(kept.body, '')) END AS kept_sha256,
+       coalesce(c.n_runs, 0)::BIGINT AS n_runs, coalesce(c.longest, 0)::BIGINT AS longest_run
+FROM documents LEFT JOIN o ON documents.doc_id IS NOT DISTINCT FROM o.doc_id AND documents.text = o.text
+LEFT JOIN kept ON kept.ord = o.ord LEFT JOIN n ON n.ord = o.ord LEFT JOIN c ON c.ord = o.ord
 """
 
 OP5_SQL = r"""
