@@ -1,18 +1,23 @@
 """Exact removal of repeated word passages by relative Lempel-Ziv factors.
 
-The reference is every passage of ``window`` words, indexed with the least
-doc_id in which it starts and split by hash into blocks, one per shuffle
-partition. A document is parsed greedily against all blocks: a factor starts
-at the first position whose passage stands in an earlier document and goes on
-while the next passage stands in the same one; where it breaks, the passage
-across the boundary is looked up like any other, so the next factor may overlap
-it and no repeat that straddles two factors is missed. Factors are at least
-``window`` words long, and their words are the duplicate spans.
-
-Only passages that can repeat are indexed. Of every passage's word groups of
-``gram`` words the one with the least hash is its anchor; equal passages have
-equal anchors, so a passage whose anchor is in one text only is unique. About
-one word in twenty starts an anchor, which keeps the first exchange small.
+The reference is every text, cut into blocks at content-defined places. Of every
+passage of ``window`` words the word group of ``gram`` words with the least hash
+is its anchor; equal passages have equal anchors, so a passage whose anchor
+stands in one text only is unique, and the neighbouring passages that share an
+anchor are one block: about seventeen passages a row. Every block is indexed by
+the hash of its words with the first place (doc_id and word) it stands at; blocks
+are dealt to shards by that hash.
+
+A document is factored against all blocks. A block that also stands in an
+earlier document is a piece of a factor as a whole. The blocks at the edges of
+a repeat, which hold words from outside it, are like no other, so the passages
+of the first copy of each different block are indexed and looked up one by one.
+Every piece knows its source's place; a factor starts at the first repeated
+passage and is extended for as long as its source goes on in step with the
+document. Where it breaks, the passages across the boundary have been looked up
+like any others, so the next factor may overlap it, and no repeat that straddles
+two factors is missed. Factors are at least ``window`` words long, and their
+words are the duplicate spans.
 """
 
 from __future__ import annotations
@@ -105,37 +110,85 @@ def _summaries(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, sha binary, anchors array<long>")
 
 
-def _passages(shared: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h1, h2, doc_id, tag, at) of each passage whose anchor is in ``shared`` (doc_id, sha, text, anchors).
+def _pack(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    """Tuples of arrays, one for each column, as one batch."""
+    columns = [np.concatenate([np.zeros(0, np.int64), *(r[k] for r in rows)]) for k in range(len(names))]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(kind.to_pandas_dtype())) for c, kind in zip(columns, kinds)], names=names)
+
+
+def _blocks(shared: DataFrame, window: int, gram: int) -> DataFrame:
+    """(f1, f2, n, doc_id, tag, at) of each block of ``n`` passages from word ``at`` whose anchor is in ``shared`` (doc_id, sha, text, anchors).
 
     ``tag`` tells texts with the same doc_id apart.
     """
+    names = ["f1", "f2", "n", "doc_id", "tag", "at"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            h1, h2, doc, tag, at = [], [], [], [], []
+            out, size = [], 0
             for i, (sha, text, known) in enumerate(zip(batch.column(1).to_pylist(), _bytes(batch.column(2)), batch.column(3))):
                 words = text.split()
                 if hashlib.sha256(b" ".join(words)).digest() != sha:
                     continue  # another row's text under the same doc_id
                 hashes = _word_hashes(words)
-                where = np.flatnonzero(np.isin(anchors(hashes, window, gram), np.asarray(known.values).astype(np.int64).view(np.uint64)))
-                h1.append(_rolling(hashes, window, 0)[where])
-                h2.append(_rolling(hashes, window, 1)[where])
-                doc.append(np.full(len(where), ids[i]))
-                tag.append(np.full(len(where), _tag(sha), np.int32))
-                at.append(where)
-                if sum(map(len, at)) > 200_000:
-                    yield pack(h1, h2, doc, tag, at)
-                    h1, h2, doc, tag, at = [], [], [], [], []
-            if at:
-                yield pack(h1, h2, doc, tag, at)
+                own = anchors(hashes, window, gram)
+                at, n = _spans(own, window - gram + 1)
+                keep_ = np.isin(own[at], np.asarray(known.values).astype(np.int64).view(np.uint64))
+                at, n = at[keep_], n[keep_]
+                f1, f2 = (_spanned(hashes, at, n + window - 1, k).view(np.int64) for k in (0, 1))
+                out.append((f1, f2, n, np.full(len(at), ids[i]), np.full(len(at), _tag(sha), np.int32), at))
+                size += len(at)
+                if size > 200_000:
+                    yield _pack(out, names, kinds)
+                    out, size = [], 0
+            yield _pack(out, names, kinds)
+
+    return shared.select("doc_id", "sha", "text", "anchors").mapInArrow(run, "f1 long, f2 long, n int, doc_id long, tag int, at int")
+
+
+def _spans(own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of neighbours with one anchor; runs of over ``most`` (a repeated group of words) are cut."""
+    edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    length = np.diff(np.append(edges, len(own)))
+    parts = -(-length // most)
+    at = np.repeat(edges, parts) + most * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    return at, np.minimum(most, np.repeat(edges + length, parts) - at)
+
+
+def _spanned(hashes: np.ndarray, at: np.ndarray, size: np.ndarray, which: int) -> np.ndarray:
+    """Hash of the ``size[k]`` words from ``at[k]``."""
+    up, down = _POWERS[which].upto(len(hashes))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up, dtype=np.uint64)])
+    return _mix((sums[at + size] - sums[at]) * down[at] + size.astype(np.uint64))
 
-    def pack(h1, h2, doc, tag, at):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(h1).view(np.int64)), pa.array(np.concatenate(h2).view(np.int64)), pa.array(np.concatenate(doc).astype(np.int64)), pa.array(np.concatenate(tag)), pa.array(np.concatenate(at).astype(np.int32))], names=["h1", "h2", "doc_id", "tag", "at"])
 
-    return shared.select("doc_id", "sha", "text", "anchors").mapInArrow(run, "h1 long, h2 long, doc_id long, tag int, at int")
+def _passages(texts: DataFrame, window: int) -> DataFrame:
+    """(h1, h2, doc_id, tag, at) of each passage of the blocks in ``texts`` (doc_id, sha, text, spans array<struct<at, n>>)."""
+    names = ["h1", "h2", "doc_id", "tag", "at"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            out, size = [], 0
+            for i, (sha, text, spans) in enumerate(zip(batch.column(1).to_pylist(), _bytes(batch.column(2)), batch.column(3))):
+                words = text.split()
+                if hashlib.sha256(b" ".join(words)).digest() != sha:
+                    continue
+                hashes = _word_hashes(words)
+                at, n = (np.asarray(spans.values.field(k)).astype(np.int64) for k in (0, 1))
+                where = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                h1, h2 = (_spanned(hashes, where, np.full(len(where), window), k).view(np.int64) for k in (0, 1))
+                out.append((h1, h2, np.full(len(where), ids[i]), np.full(len(where), _tag(sha), np.int32), where))
+                size += len(where)
+                if size > 200_000:
+                    yield _pack(out, names, kinds)
+                    out, size = [], 0
+            yield _pack(out, names, kinds)
+
+    return texts.select("doc_id", "sha", "text", "spans").mapInArrow(run, "h1 long, h2 long, doc_id long, tag int, at int")
 
 
 def _tag(sha: bytes) -> int:
@@ -149,21 +202,26 @@ def _tag_of(column: str):
     return F.when(low >= 2147483648, low - 4294967296).otherwise(low).cast("int")
 
 
-def parse(starts: np.ndarray, sources: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, length, source) from the sorted repeated passages of one document."""
-    if not len(starts):
+def parse(at: np.ndarray, n: np.ndarray, source: np.ndarray, source_at: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, source, source_start) of one document.
+
+    From its repeated pieces (``n`` passages from word ``at``, and where they
+    stand first), sorted by place: a factor is extended piece by piece while the
+    next one follows at once in the document and in the same source.
+    """
+    if not len(at):
         return []
-    breaks = np.flatnonzero((np.diff(starts) != 1) | (np.diff(sources) != 0)) + 1
-    first = np.concatenate([[0], breaks])
-    last = np.append(breaks, len(starts)) - 1
-    return [(int(starts[a]), int(starts[b] - starts[a]) + window, int(sources[a])) for a, b in zip(first, last)]
+    follows = (at[1:] == at[:-1] + n[:-1]) & (source[1:] == source[:-1]) & (source_at[1:] == source_at[:-1] + n[:-1])
+    first = np.concatenate([[0], np.flatnonzero(~follows) + 1])
+    last = np.append(first[1:], len(at)) - 1
+    return [(int(at[a]), int(at[b] + n[b] - at[a]) + window - 1, int(source[a]), int(source_at[a])) for a, b in zip(first, last)]
 
 
-_PARSED = "doc_id long, sha binary, n_removed long, kept_sha256 string, kept string, factors array<struct<start:int,length:int,source:long>>"
+_PARSED = "doc_id long, sha binary, n_removed long, kept_sha256 string, kept string, factors array<struct<start:int,length:int,source:long,source_start:int>>"
 
 
 def _parsed(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
-    """texts: doc_id, sha, text, hits array<struct<at, source>>."""
+    """texts: doc_id, sha, text, hits array<struct<at, n, source, source_at>>."""
 
     def run(batches):
         for batch in batches:
@@ -172,12 +230,11 @@ def _parsed(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
                 words = row[2].split()
                 if hashlib.sha256(b" ".join(words)).digest() != row[1]:
                     continue
-                at = np.asarray(row[3].values.field(0)).astype(np.int64)
-                source = np.asarray(row[3].values.field(1)).astype(np.int64)
-                at, order = np.unique(at, return_index=True)
-                factors = parse(at, source[order], window)
+                hits = [np.asarray(row[3].values.field(k)).astype(np.int64) for k in range(4)]
+                _, order = np.unique(hits[0], return_index=True)  # sorted, and equal rows' hits once
+                factors = parse(*(x[order] for x in hits), window)
                 depth = np.zeros(len(words) + 1, np.int64)
-                for start, length, _ in factors:
+                for start, length, _, _ in factors:
                     depth[start] += 1
                     depth[start + length] -= 1
                 stays = np.cumsum(depth)[:-1] == 0
@@ -185,12 +242,12 @@ def _parsed(texts: DataFrame, window: int, with_text: bool) -> DataFrame:
                 if len(out) == 500:
                     yield pack(out)
                     out = []
-                out.append((row[0], row[1], len(words) - int(stays.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, [dict(start=s, length=n, source=d) for s, n, d in factors]))
+                out.append((row[0], row[1], len(words) - int(stays.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace") if with_text else None, [dict(start=s, length=n, source=d, source_start=e) for s, n, d, e in factors]))
             yield pack(out)
 
     def pack(out):
         columns = list(zip(*out)) or [()] * 6
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64())]))]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())]))]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "sha", "n_removed", "kept_sha256", "kept", "factors"])
 
     return texts.mapInArrow(run, _PARSED)
@@ -201,8 +258,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
 
     A word goes if it lies in a passage of ``window`` consecutive words of its
     document whose words also start in a document with a smaller doc_id;
-    passages are judged on the input. ``factors`` (start, length, source) are
-    the spans found; for a document that repeats another whole one, ``copy_of``
+    passages are judged on the input. ``factors`` (start, length, source,
+    source_start) are the spans found and where the same words stand; for a document that repeats another whole one, ``copy_of``
     names it instead. ``kept`` is the remaining text if ``with_text``, for
     documents from which something went. Null texts have no words. A row with
     a null doc_id has no smaller document and is none, so it stays whole; rows
@@ -220,15 +277,25 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, wit
     shared = keep(indexed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"))
     per_text = indexed.join(shared, "anchor").groupBy("doc_id", "sha").agg(F.collect_set("anchor").alias("anchors"))
     texts = keep(d.where(F.col("text").isNotNull()).join(per_text, "doc_id").select("doc_id", "sha", "text", "anchors"))
-    passages = keep(_passages(texts, window, gram))
-    source = keep(passages.groupBy("h1", "h2").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high")).where("source < high").drop("high"))
-    hits = passages.join(source, ["h1", "h2"]).where("source < doc_id").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "source")).alias("hits"))
-    parsed = _parsed(texts.withColumn("tag", _tag_of("sha")).join(hits, ["doc_id", "tag"]).select("doc_id", "sha", "text", "hits"), window, with_text).dropDuplicates(["doc_id", "sha"])
+    tagged = texts.withColumn("tag", _tag_of("sha"))
+    place = F.struct("doc_id", "at")
+    # Blocks that also stand in an earlier document are pieces as they are; of every other block the passages are looked up.
+    blocks = keep(_blocks(texts, window, gram))
+    known = keep(blocks.groupBy("f1", "f2", "n").agg(F.min(place).alias("source"), F.max("doc_id").alias("high")).where("source.doc_id < high").drop("high"))
+    found = keep(blocks.join(known, ["f1", "f2", "n"], "left"))
+    again = F.col("source.doc_id") < F.col("doc_id")
+    whole = found.where(again).select("doc_id", "tag", "at", "n", "source")
+    spans = keep(found.where(F.col("source").isNull() | ~again).groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("spans")))
+    passages = keep(_passages(tagged.join(spans, ["doc_id", "tag"]), window))
+    first_of = keep(passages.groupBy("h1", "h2").agg(F.min(place).alias("source"), F.max("doc_id").alias("high")).where("source.doc_id < high").drop("high"))
+    single = passages.join(first_of, ["h1", "h2"]).where(again).select("doc_id", "tag", "at", F.lit(1).alias("n"), "source")
+    hits = whole.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n", F.col("source.doc_id").alias("source"), F.col("source.at").alias("source_at"))).alias("hits"))
+    parsed = _parsed(tagged.join(hits, ["doc_id", "tag"]).select("doc_id", "sha", "text", "hits"), window, with_text).dropDuplicates(["doc_id", "sha"])
     out = ranked.drop("anchors").join(parsed, ["doc_id", "sha"], "left")
-    whole = F.col("copy_of").isNotNull()
+    copied = F.col("copy_of").isNotNull()
     return out.select(
         "doc_id", "n_words",
-        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
-        F.when(whole, F.lit("")).otherwise(F.col("kept")).alias("kept"), "copy_of", "factors",
+        F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
+        F.when(copied, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
+        F.when(copied, F.lit("")).otherwise(F.col("kept")).alias("kept"), "copy_of", "factors",
     )

@@ -71,8 +71,37 @@ def test_factors_are_the_removed_spans(docs_of, rng):
     texts = dict(rows)
     for r in substring.substring_dedup(docs_of(rows), with_text=True).where("size(factors) > 0").collect():
         w = texts[r.doc_id].split()
-        assert all(f.source < r.doc_id and f.length >= 50 for f in r.factors)
+        for f in r.factors:
+            assert f.source < r.doc_id and f.length >= 50
+            assert w[f.start : f.start + f.length] == texts[f.source].split()[f.source_start : f.source_start + f.length]
+        assert all(a.start + a.length < b.start + b.length and a.start < b.start for a, b in zip(r.factors, r.factors[1:]))
         gone = set()
         for f in r.factors:
             gone |= set(range(f.start, f.start + f.length))
         assert r.kept == " ".join(x for k, x in enumerate(w) if k not in gone) and len(gone) == r.n_removed
+
+
+def test_a_factor_is_extended_to_its_end_and_boundaries_are_looked_up(docs_of, rng):
+    """One long copy is one factor; two passages of one source, joined, are two factors and what straddles them stays."""
+    long, other = words(rng, 400, 9000), words(rng, 300, 9000)
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(words(rng, 30, 9000) + long[20:390] + words(rng, 30, 9000))), (4, " ".join(long[:120] + other[100:220])), (5, " ".join(long[:60] + other[:49] + long[60:]))]
+    got = {r.doc_id: r for r in substring.substring_dedup(docs_of(rows)).collect()}
+    assert [tuple(f) for f in got[3].factors] == [(30, 370, 1, 20)]
+    assert [tuple(f) for f in got[4].factors] == [(0, 120, 1, 0), (120, 120, 2, 100)]
+    assert [tuple(f) for f in got[5].factors] == [(0, 60, 1, 0), (109, 340, 1, 60)] and got[5].n_removed == 400
+    assert result(substring.substring_dedup(docs_of(rows))) == brute(rows)
+
+
+def test_blocks_cover_every_passage_once():
+    import numpy as np
+
+    own = np.array([5, 5, 5, 7, 7, 2, 2, 2, 2, 2, 2, 2], np.uint64)
+    at, n = substring._spans(own, 3)
+    assert at.tolist() == [0, 3, 5, 8, 11] and n.tolist() == [3, 2, 3, 3, 1]
+
+
+def test_bytes_that_are_no_text(spark):
+    a = b" ".join(b"w%d\xff" % k for k in range(80))
+    df = spark.createDataFrame([(1, a), (2, b"own " + a)], "doc_id long, text binary")
+    got = {r.doc_id: r for r in substring.substring_dedup(df, with_text=True).collect()}
+    assert got[2].kept == "own" and got[2].n_removed == 80
