@@ -28,6 +28,13 @@ def require(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df
 
 
+def bounded(df: DataFrame, by: Sequence[str], most: int) -> None:
+    """Refuse at once a table with a group of more than ``most`` rows, for operators that hold a group in one place."""
+    largest = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n or 0
+    if largest > most:
+        raise ValueError(f"a group of {', '.join(by)} has {largest} rows; this operator takes cohorts of at most {most}")
+
+
 def broken(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Number of rows that break each rule: (rule, n), one pass."""
     counts = df.agg(*(F.count_if(~F.coalesce(rule, F.lit(False))).alias(name) for name, rule in rules.items()))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw, draw_order
+from .guards import bounded
 
 
 def bootstrap_means(df: DataFrame, by: Sequence[str], unit: str, value: str, replicates: int, seed: str) -> DataFrame:
@@ -84,31 +85,36 @@ def welch(df: DataFrame, by: Sequence[str], in_group: Column, value: str, least_
     return s.select(*by, "n_in", "n_out", effect.alias("effect"), stat.alias("statistic"), ok.alias("eligible"))
 
 
-def trade_rows(z: np.ndarray, rng: np.random.Generator, attempts: int) -> int:
-    """Re-deal the discordant, jointly observed entries of random row pairs in place; -1 is missing.
+def curveball(z: np.ndarray, rng: np.random.Generator, trades: int) -> int:
+    """Randomise a 0/1 matrix in place by curveball trades (Strona et al. 2014); -1 is missing and never traded.
 
-    Row sums, column sums and missing places stay. Returns the number of moves that changed something.
+    Two rows put the columns that only one of them holds into a pool, shuffle it,
+    and each takes back as many as it gave. Columns that either row does not know
+    stay out of the pool. So row sums, column sums and missing places stay.
+    Returns the number of trades after which a row held something else.
     """
-    moved = 0
-    for pair in rng.integers(0, max(1, len(z)), (attempts, 2)):
-        one, two = z[pair[0]], z[pair[1]]
-        free = np.flatnonzero((one + two == 1) & (one * two == 0))
-        # Shuffling one row's values over the places where the rows differ keeps its sum; the other row takes what is left.
-        dealt = rng.permutation(one[free])
-        if len(free) and (dealt != one[free]).any():
-            one[free], two[free] = dealt, 1 - dealt
-            moved += 1
-    return moved
-
-
-def fixed_margin_null(df: DataFrame, by: Sequence[str], row: str, column: str, value: str, chains: int = 2, draws: int = 32, burn_in: int = 50, apart: int = 5, least_moves: int = 64, seed: int = 7) -> DataFrame:
+    changed = 0
+    for _ in range(trades if len(z) > 1 else 0):
+        i, j = rng.choice(len(z), 2, replace=False)
+        mine, yours = np.flatnonzero((z[i] == 1) & (z[j] == 0)), np.flatnonzero((z[j] == 1) & (z[i] == 0))
+        pool = rng.permutation(np.concatenate([mine, yours]))
+        back, given = pool[: len(mine)], pool[len(mine) :]
+        z[i, back] = z[j, given] = 1
+        z[i, given] = z[j, back] = 0
+        changed += not np.isin(back, mine).all()
+    return changed
+
+
+def fixed_margin_null(df: DataFrame, by: Sequence[str], row: str, column: str, value: str, chains: int = 2, draws: int = 32, burn_in: int = 50, apart: int = 5, least_moves: int = 64, seed: int = 7, most: int = 2_000_000) -> DataFrame:
     """Mean pair covariance of a 0/1 matrix against its fixed-margin null, one row per group.
 
     by, rows, columns, moves, eligible, observed, null_mean, residual,
     chain_difference. Each chain runs burn_in x rows trades, then keeps ``draws``
     states apart x rows trades from each other. A chain is sequential, so one
-    group is one task; groups are loci of one sample.
+    group is one task; groups are loci of one sample, and one of over ``most``
+    entries is refused.
     """
+    bounded(df, by, most)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", n_rows long, n_columns long, moves long, eligible boolean, observed double, null_mean double, residual double, chain_difference double"
 
@@ -130,10 +136,10 @@ def fixed_margin_null(df: DataFrame, by: Sequence[str], row: str, column: str, v
         seen, means, moves = covariance(z0), [], []
         for chain in range(chains):
             rng, z = np.random.default_rng([seed, chain]), z0.copy()
-            moved = trade_rows(z, rng, burn_in * len(z))
+            moved = curveball(z, rng, burn_in * len(z))
             states = []
             for _ in range(draws):
-                moved += trade_rows(z, rng, apart * len(z))
+                moved += curveball(z, rng, apart * len(z))
                 states.append(covariance(z))
             same = (np.where(z < 0, 0, z).sum(0) == np.where(z0 < 0, 0, z0).sum(0)).all() and (np.where(z < 0, 0, z).sum(1) == np.where(z0 < 0, 0, z0).sum(1)).all() and ((z < 0) == (z0 < 0)).all()
             assert same, "margins or missing places changed"

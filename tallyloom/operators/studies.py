@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import draw_order
 from . import statistics
+from .guards import bounded
+from .rounds import passed_on
 
 
 def pileup(reads: DataFrame, key: str, sequence: str, start: Column, by: Sequence[Column] = ()) -> DataFrame:
@@ -57,72 +60,84 @@ def leave_one_out_fdr(df: DataFrame, test: str, unit: str, value: str, p_of: Col
     return adjusted.groupBy(test).agg(F.max("q").alias("worst_q"), F.avg((F.col("q") < 0.05).cast("int")).alias("share"))
 
 
-def block_patterns(df: DataFrame, by: Sequence[str], molecule: str, site: str, state: str, repeats: int = 64, n: int = 12, seed: int = 3) -> DataFrame:
-    """Pattern entropy of three-site molecules against column permutations, on ``n`` molecules a repeat.
+def block_patterns(df: DataFrame, by: Sequence[str], molecule: str, site: str, state: str, repeats: int = 64, n: int = 12, seed: str = "pick") -> DataFrame:
+    """Pattern entropy of three-site molecules against their own columns shuffled, on ``n`` molecules a repeat.
 
     by, molecules, entropy, null_entropy, entropy_excess, joint_excess,
-    multi_excess; groups with fewer than ``n`` complete molecules have nulls.
-    One group is one block of one locus, so one task.
+    multi_excess: means over the repeats. joint is the mean share of site pairs
+    that are both 2, multi the share of molecules with two or more 2. Molecules
+    count if all three of the group's sites are known. A group with fewer than
+    ``n`` of them, or with other than three sites, has nulls. Picks and shuffles
+    are orders of digests; a repeat is one row's arrays of ``n`` states.
     """
+    from .resampling import subsample
+
+    known = df.where(F.col(state).isNotNull())
+    whole = known.groupBy(*by, molecule).agg(F.array_sort(F.collect_set(F.struct(F.col(site).alias("site"), F.col(state).cast("int").alias("state")))).alias("_s")).where(F.size("_s") == 3)
+    three = known.groupBy(*by).agg(F.countDistinct(site).alias("_sites")).where("_sites = 3").drop("_sites")
+    whole = whole.join(three, list(by)).select(*by, molecule, *(F.get("_s", F.lit(k))["state"].alias(f"_x{k}") for k in range(3)))
+    picked = subsample(whole, by, molecule, n, repeats, seed)
+    columns = [F.array_sort(F.collect_list(F.struct(draw_order(F.lit(f"c{k}"), F.col("rep"), F.col(molecule)).alias("o"), F.col(f"_x{k}").alias("x")))) for k in range(3)]
+    rows = F.collect_list(F.struct("_x0", "_x1", "_x2"))
+    drawn = picked.groupBy(*by, "rep").agg(rows.alias("_seen"), *(c.alias(f"_c{k}") for k, c in enumerate(columns))).where(F.size("_seen") == n)
+    shuffled = F.transform("_c0", lambda c, i: F.struct(c["x"].alias("_x0"), F.get("_c1", i)["x"].alias("_x1"), F.get("_c2", i)["x"].alias("_x2")))
+    drawn = drawn.withColumn("_null", shuffled)
+
+    def entropy(a: str) -> Column:
+        share = lambda p: F.size(F.filter(a, lambda m: m == p)) / F.lit(float(n))
+        return F.aggregate(F.array_distinct(F.col(a)), F.lit(0.0), lambda t, p: t - share(p) * F.log2(share(p)))
+
+    def twos(a: str, f) -> Column:
+        count = lambda m: sum(((m[f"_x{k}"] == 2).cast("int") for k in range(1, 3)), (m["_x0"] == 2).cast("int"))
+        return F.aggregate(a, F.lit(0.0), lambda t, m: t + f(count(m))) / n
+
+    both, several = (lambda c: c * (c - 1) / F.lit(6.0)), (lambda c: (c >= 2).cast("double"))
+    each = drawn.select(*by, entropy("_seen").alias("entropy"), entropy("_null").alias("null_entropy"), *((twos("_seen", f) - twos("_null", f)).alias(name) for name, f in (("joint_excess", both), ("multi_excess", several))))
+    means = each.groupBy(*by).agg(F.avg("entropy").alias("entropy"), F.avg("null_entropy").alias("null_entropy"), F.avg(F.col("entropy") - F.col("null_entropy")).alias("entropy_excess"), F.avg("joint_excess").alias("joint_excess"), F.avg("multi_excess").alias("multi_excess"))
+    sizes = known.select(*by).distinct().join(whole.groupBy(*by).agg(F.count("*").alias("molecules")), list(by), "left")
+    return sizes.join(means, list(by), "left").select(*by, F.coalesce("molecules", F.lit(0).cast("long")).alias("molecules"), "entropy", "null_entropy", "entropy_excess", "joint_excess", "multi_excess")
+
+
+def survival_stability(df: DataFrame, by: Sequence[str], unit: str, time: str, event: str, x: str, boots: int = 2000, seed: int = 5, most_failed: float = 0.1, least_fits: int = 50, most: int = 20_000) -> DataFrame:
+    """Primary fit, leave-one-out range and sign share, bootstrap interval (withheld if too many fits fail).
+
+    Every refit sees the whole cohort, so a cohort of over ``most`` rows is refused. A refit is a task's row, not a cohort.
+    """
+    bounded(df, by, most)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    names = ["entropy", "null_entropy", "entropy_excess", "joint_excess", "multi_excess"]
-    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["molecules long"] + [f"{c} double" for c in names])
-
-    def measure(a):
-        share = np.bincount(a @ np.array([9, 3, 1]), minlength=27) / len(a)
-        share = share[share > 0]
-        two = a == 2
-        pairs = [(two[:, i] & two[:, j]).mean() for i in range(3) for j in range(i + 1, 3)]
-        return np.array([-(share * np.log2(share)).sum(), np.mean(pairs), (two.sum(1) >= 2).mean()])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=molecule, columns=site, values=state, aggfunc="first").dropna().sort_index()
-        x, rows = wide.to_numpy().astype(int), [None] * 5
-        if x.shape[1] == 3 and len(x) >= n:
-            rng, seen = np.random.default_rng(seed), []
-            for _ in range(repeats):
-                z = x[rng.permutation(len(x))[:n]]
-                null = np.column_stack([rng.permutation(z[:, j]) for j in range(3)])
-                a, b = measure(z), measure(null)
-                seen.append([a[0], b[0], *(a - b)])
-            rows = np.mean(seen, axis=0).tolist()
-        out = pd.DataFrame([[len(x), *rows]], columns=["molecules", *names])
-        for b in reversed(by):
-            out.insert(0, b, pdf[b].iloc[0])
-        return out
-
-    return df.groupBy(*by).applyInPandas(run, schema)
-
-
-def survival_stability(df: DataFrame, by: Sequence[str], unit: str, time: str, event: str, x: str, boots: int = 200, seed: int = 5, most_failed: float = 0.1, least_fits: int = 50) -> DataFrame:
-    """Primary fit, leave-one-out range and sign share, bootstrap interval (withheld if too many fits fail). One cohort is one task."""
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    names = ["status", "log_hr", "loo_low", "loo_high", "loo_same_sign", "boot_low", "boot_high", "boot_fits"]
-    types = ["string", *["double"] * 6, "long"]
-    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + [f"{a} {t}" for a, t in zip(names, types)])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf[[unit, time, event, x]].dropna().sort_values(unit)
-        t, e, v = (d[c].to_numpy() for c in (time, event, x))
-        fit = statistics.cox(t, e, v)
-        row = dict.fromkeys(names)
-        row |= {"status": fit["status"], "log_hr": fit.get("log_hr"), "boot_fits": 0}
-        if "log_hr" in fit:
-            every = np.arange(len(d))
-            left = [r["log_hr"] for r in (statistics.cox(t[every != i], e[every != i], v[every != i]) for i in every) if "log_hr" in r]
-            if left:
-                row |= {"loo_low": min(left), "loo_high": max(left), "loo_same_sign": float(np.mean(np.sign(left) == np.sign(fit["log_hr"])))}
-            rng = np.random.default_rng(seed)
-            draws = [r["log_hr"] for r in (statistics.cox(t[p], e[p], v[p]) for p in rng.integers(0, len(d), (boots, len(d)))) if "log_hr" in r]
-            row["boot_fits"] = len(draws)
-            if len(draws) >= max(least_fits, (1 - most_failed) * boots):
-                row["boot_low"], row["boot_high"] = np.quantile(draws, [0.025, 0.975]).tolist()
-        out = pd.DataFrame([[row[n] for n in names]], columns=names)
-        for b in reversed(by):
-            out.insert(0, b, pdf[b].iloc[0])
-        return out
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    d = df.where(F.col(unit).isNotNull() & F.col(time).isNotNull() & F.col(event).isNotNull() & F.col(x).isNotNull())
+    cohort = d.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(time).cast("double").alias("t"), F.col(event).cast("double").alias("e"), F.col(x).cast("double").alias("v")))).alias("c"))
+    # Refit 0 is the whole cohort, 1 to n leave one out, those below 0 are draws with replacement; they are dealt in shares.
+    shares = 64
+    dealt = cohort.select(*by, *(F.col(f"c.{k}").alias(f"_{k}") for k in "tev"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("_share")).repartition(*by, "_share")
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                t, e, v = (np.asarray(a, float) for a in row[len(by) : len(by) + 3])
+                found = []
+                for refit in range(row[-1] - boots, len(t) + 1, shares):
+                    keep = np.arange(len(t))
+                    if refit > 0:
+                        keep = np.delete(keep, refit - 1)
+                    elif refit < 0:
+                        keep = np.random.default_rng([seed, -refit]).integers(0, len(t), len(t))
+                    fit = statistics.cox(t[keep], e[keep].astype(int), v[keep])
+                    found.append((*row[: len(by)], refit, fit["status"], fit.get("log_hr", np.nan)))
+                yield pd.DataFrame(found, columns=[*by, "refit", "status", "log_hr"])
+
+    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["refit int", "status string", "log_hr double"])
+    fits = dealt.mapInPandas(run, schema).withColumn("log_hr", F.when(~F.isnan("log_hr"), F.col("log_hr")))
+    own, left, drawn = (F.col("refit") == 0), (F.col("refit") > 0), F.when(F.col("refit") < 0, F.col("log_hr"))
+    fits = passed_on(fits)
+    fits = fits.join(fits.where(own).select(*by, F.signum("log_hr").alias("_sign")), list(by))
+    out = fits.groupBy(*by).agg(
+        F.max(F.when(own, F.col("status"))).alias("status"), F.max(F.when(own, F.col("log_hr"))).alias("log_hr"),
+        F.min(F.when(left, F.col("log_hr"))).alias("loo_low"), F.max(F.when(left, F.col("log_hr"))).alias("loo_high"), F.avg(F.when(left & F.col("log_hr").isNotNull(), (F.signum("log_hr") == F.col("_sign")).cast("double"))).alias("loo_same_sign"),
+        F.percentile(drawn, F.lit(0.025)).alias("_low"), F.percentile(drawn, F.lit(0.975)).alias("_high"), F.count(drawn).alias("boot_fits"))
+    fitted = F.col("log_hr").isNotNull()
+    enough = fitted & (F.col("boot_fits") >= max(least_fits, (1 - most_failed) * boots))
+    return out.select(*by, "status", "log_hr", *(F.when(fitted, F.col(c)).alias(c) for c in ("loo_low", "loo_high", "loo_same_sign")), F.when(enough, F.col("_low")).alias("boot_low"), F.when(enough, F.col("_high")).alias("boot_high"), F.when(fitted, F.col("boot_fits")).otherwise(0).alias("boot_fits"))
 
 
 def fit_grid(segments: DataFrame, chrom: str, length: str, ratio: str, purities: Sequence[float], ploidies: Sequence[float]) -> DataFrame:
@@ -139,8 +154,13 @@ def fit_grid(segments: DataFrame, chrom: str, length: str, ratio: str, purities:
     return each
 
 
-def cluster_stability(df: DataFrame, unit: str, feature: str, value: str, repeats: int = 50, seed: int = 2) -> DataFrame:
-    """(unit, label, agreement): two average-linkage groups and how often feature resamples put the unit with its group. A cohort-sized kernel."""
+def cluster_stability(df: DataFrame, unit: str, feature: str, value: str, repeats: int = 500, seed: int = 2, most: int = 1000) -> DataFrame:
+    """(unit, label, agreement): two average-linkage groups and how often feature resamples put the unit with its group.
+
+    Units are a cohort: more than ``most`` of them are refused.
+    """
+    if df.select(unit).distinct().count() > most:
+        raise ValueError(f"more than {most} units: this operator takes a cohort")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index=unit, columns=feature, values=value, aggfunc="first").dropna(axis=1).sort_index()

@@ -121,6 +121,17 @@ def theil_sen(spark, sf_dir):
     return rounded(statistics.theil_sen(points(spark, sf_dir), ["nation"], "x", "y", "id"))
 
 
+@plan(f"""WITH {_POINTS}, z AS (SELECT id, x, y, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM pt WHERE nation = 0), r AS (SELECT range AS rep FROM range(0, 200)),
+d AS (SELECT rep, ('0x' || substr(sha256(concat_ws('|', 'ts', rep::VARCHAR, a.place::VARCHAR)), 1, 8))::BIGINT % a.n AS place FROM z a, r), k AS (SELECT rep, place, count(*) AS k FROM d GROUP BY 1, 2),
+s AS (SELECT rep, id, x, y, k FROM k JOIN z USING (place)), p AS (SELECT a.rep, (b.y - a.y) / (b.x - a.x) AS v, a.k * b.k AS w FROM s a JOIN s b ON a.rep = b.rep AND a.id < b.id AND a.x <> b.x),
+c AS (SELECT rep, v, sum(w) OVER (PARTITION BY rep ORDER BY v RANGE UNBOUNDED PRECEDING) AS u, sum(w) OVER (PARTITION BY rep) AS t FROM p), m AS (SELECT rep, min(v) AS slope FROM c WHERE 2 * u >= t GROUP BY rep),
+e AS (SELECT rep, slope, y - slope * x AS v, k AS w FROM s JOIN m USING (rep)), f AS (SELECT rep, slope, v, sum(w) OVER (PARTITION BY rep ORDER BY v RANGE UNBOUNDED PRECEDING) AS u, sum(w) OVER (PARTITION BY rep) AS t FROM e)
+SELECT 0 AS nation, rep::INTEGER AS rep, round(any_value(slope), 6) AS slope, round(min(v), 6) AS intercept FROM f WHERE 2 * u >= t GROUP BY rep""")
+def theil_sen_bootstrap(spark, sf_dir):
+    """The refits of one cohort, that of the first nation."""
+    return rounded(statistics.theil_sen_bootstrap(points(spark, sf_dir).where("nation = 0"), ["nation"], "x", "y", "id", 200, "ts"))
+
+
 @plan()
 def huber_group_effect(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("decade", (F.col("x") - 50) / 10).withColumn("group", (F.col("id") % 2).cast("double")).withColumn("region", F.col("nation") % 5)
@@ -174,7 +185,7 @@ def replacement_effect(spark, sf_dir):
     return rounded(statistics.replacement_effect(v, weights(spark), "id", "probe", "v", F.col("probe") < 5, 0.696))
 
 
-@plan(f"""{BASE}, al AS (SELECT range AS alloc FROM range(0, 20)), rg AS (SELECT a.range AS lo, b.range AS hi FROM range(0, 8) a, range(0, 8) b WHERE a.range <= b.range),
+@plan(f"""{BASE}, al AS (SELECT range AS alloc FROM range(0, 500)), rg AS (SELECT a.range AS lo, b.range AS hi FROM range(0, 8) a, range(0, 8) b WHERE a.range <= b.range),
 lab AS (SELECT alloc, sample, row_number() OVER (PARTITION BY alloc ORDER BY sha256(concat_ws('|', 'alloc', alloc::VARCHAR, sample::VARCHAR))) <= 5 AS inside FROM al, (SELECT DISTINCT sample FROM windows)),
 v AS (SELECT lo, hi, sample, avg(h) AS v FROM windows JOIN rg ON win BETWEEN lo AND hi GROUP BY 1, 2, 3),
 s AS (SELECT alloc, lo, hi, count(v) FILTER (inside) AS n1, count(v) FILTER (NOT inside) AS n0, avg(v) FILTER (inside) AS m1, avg(v) FILTER (NOT inside) AS m0, var_samp(v) FILTER (inside) AS v1, var_samp(v) FILTER (NOT inside) AS v0 FROM v JOIN lab USING (sample) GROUP BY 1, 2, 3)
@@ -183,7 +194,7 @@ def welch_max_family(spark, sf_dir):
     w = windows(spark, sf_dir)
     ranges = spark.createDataFrame([(a, b) for a in range(8) for b in range(a, 8)], "lo int, hi int")
     v = w.join(F.broadcast(ranges), F.col("win").between(F.col("lo"), F.col("hi"))).groupBy("lo", "hi", "sample").agg(F.avg("h").alias("v"))
-    samples = w.select("sample").distinct().withColumn("alloc", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    samples = w.select("sample").distinct().withColumn("alloc", F.explode(F.sequence(F.lit(0), F.lit(499))))
     from ..functions.scalars import draw_order
 
     n = F.row_number().over(Window.partitionBy("alloc").orderBy(draw_order(F.lit("alloc"), F.col("alloc"), F.col("sample"))))

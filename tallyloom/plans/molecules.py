@@ -81,7 +81,7 @@ def pair_covariance_phi(spark, sf_dir):
 _TRIPLES = """trip AS (SELECT user_id % 10 AS grp, event_id AS mol, (event_id % 3 = 2)::INT AS x0, (event_id % 5 = 2)::INT AS x1, (event_id % 7 = 2)::INT AS x2 FROM events)"""
 
 
-@plan(f"""WITH {_TRIPLES}, r AS (SELECT range AS rep FROM range(0, 8)),
+@plan(f"""WITH {_TRIPLES}, r AS (SELECT range AS rep FROM range(0, 64)),
 s AS (SELECT grp, rep, mol, x0, x1, x2, row_number() OVER (PARTITION BY grp, rep ORDER BY sha256(concat_ws('|', 'pick', rep::VARCHAR, mol::VARCHAR))) AS slot FROM trip, r QUALIFY slot <= 12),
 q AS (SELECT *, row_number() OVER (PARTITION BY grp, rep ORDER BY sha256(concat_ws('|', 'c0', rep::VARCHAR, mol::VARCHAR))) AS k0, row_number() OVER (PARTITION BY grp, rep ORDER BY sha256(concat_ws('|', 'c1', rep::VARCHAR, mol::VARCHAR))) AS k1,
  row_number() OVER (PARTITION BY grp, rep ORDER BY sha256(concat_ws('|', 'c2', rep::VARCHAR, mol::VARCHAR))) AS k2 FROM s),
@@ -90,7 +90,7 @@ n AS (SELECT a.grp, a.rep, sum((a.x0 + b.x1 + c.x2) * (a.x0 + b.x1 + c.x2 - 1))
 SELECT o.grp, round(avg((o.v - n.v)::DOUBLE / 72) * 100, 6) AS excess FROM o JOIN n USING (grp, rep) GROUP BY 1""")
 def joint_excess_permuted(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("grp"), F.col("event_id").alias("mol"), *[(F.col("event_id") % m == 2).cast("int").alias(f"x{k}") for k, m in enumerate((3, 5, 7))])
-    s = resampling.subsample(e, ["grp"], "mol", 12, 8, "pick")
+    s = resampling.subsample(e, ["grp"], "mol", 12, 64, "pick")
     # Twelve molecules a replicate: one array, permuted by column inside the row.
     cols = F.array(*(F.transform(F.array_sort(F.collect_list(F.struct(scalars.draw_order(F.lit(f"c{k}"), F.col("rep"), F.col("mol")).alias("o"), F.col(f"x{k}").alias("x")))), lambda t: t["x"]) for k in range(3)))
     total = F.col("x0") + F.col("x1") + F.col("x2")
@@ -111,10 +111,10 @@ def site_blocks(spark, sf_dir):
     return sequences.site_blocks(matrix(spark, sf_dir), ["locus"], "site")
 
 
-@plan(f"""WITH {_MATRIX}, w AS (SELECT locus, site, avg(v) AS v FROM mx GROUP BY 1, 2) SELECT locus, {', '.join(f'round(max(v) FILTER (site = {k}), 6) AS s{k}' for k in range(1, 5))} FROM w WHERE site <= 4 GROUP BY locus HAVING count(*) = 4""")
+@plan(f"""WITH {_MATRIX}, w AS (SELECT locus, site, avg(v) AS v FROM mx GROUP BY 1, 2) SELECT locus, {', '.join(f'round(max(v) FILTER (site = {k}), 6) AS s{k}' for k in range(1, 8))} FROM w GROUP BY locus HAVING count(*) = 7""")
 def pivot_complete_case(spark, sf_dir):
-    w = matrix(spark, sf_dir).where("site <= 4").groupBy("locus", F.concat(F.lit("s"), F.col("site").cast("string")).alias("name")).agg(F.avg("v").alias("v"))
-    return rounded(rollups.complete_cases(w, "locus", "name", ["s1", "s2", "s3", "s4"], "v"))
+    w = matrix(spark, sf_dir).groupBy("locus", F.concat(F.lit("s"), F.col("site").cast("string")).alias("name")).agg(F.avg("v").alias("v"))
+    return rounded(rollups.complete_cases(w, "locus", "name", [f"s{k}" for k in range(1, 8)], "v"))
 
 
 @plan(f"""WITH {_MATRIX}, m AS (SELECT locus, mol, count(*) AS k FROM mx GROUP BY 1, 2) SELECT locus, count(*)::BIGINT AS molecules, count(*) FILTER (k > 1)::BIGINT AS linking FROM m GROUP BY locus""")

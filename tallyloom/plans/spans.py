@@ -158,7 +158,7 @@ def _by_price():
 
 @plan()
 def matched_pairs_no_reuse(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("p_size"), (F.col("p_retailprice") / 100).alias("price"), (F.col("p_partkey") % 25 == 0).alias("is_target"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("p_size"), (F.col("p_retailprice") / 100).alias("price"), (F.col("p_partkey") % 20 == 0).alias("is_target"))
     folds = p.withColumn("fold", F.explode(F.array(*map(F.lit, range(4))))).where(F.col("p_partkey") % 4 != F.col("fold"))
     return rounded(matching.nearest_without_reuse(folds.withColumn("order", F.col("price")), ["fold"], "is_target", "order", "p_partkey", ["p_size", "price"]))
 

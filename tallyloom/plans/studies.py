@@ -12,22 +12,22 @@ from .molecules import _MATRIX, matrix
 from .registry import BASE, CELLS, SUPPORT, cells, plan, rounded, supported, table, windows
 
 _LABELS = """lab AS (SELECT alloc, sample, CASE WHEN alloc = 0 THEN sample < 10 ELSE row_number() OVER (PARTITION BY alloc ORDER BY sha256(concat_ws('|', 'sel', alloc::VARCHAR, sample::VARCHAR))) <= 10 END AS inside
-FROM (SELECT range AS alloc FROM range(0, 40)), (SELECT DISTINCT sample FROM windows))"""
+FROM (SELECT range AS alloc FROM range(0, 500)), (SELECT DISTINCT sample FROM windows))"""
 
 
 @plan(f"""{BASE}, {_LABELS}, e AS (SELECT alloc, win, avg(h) FILTER (inside) - avg(h) FILTER (NOT inside) AS d FROM windows JOIN lab USING (sample) GROUP BY 1, 2),
 b AS (SELECT alloc, win, d, row_number() OVER (PARTITION BY alloc ORDER BY abs(d) DESC, win) AS k FROM e), t AS (SELECT alloc, win, abs(d) AS stat FROM b WHERE k = 1)
-SELECT max(win) FILTER (alloc = 0) AS win, round(max(stat) FILTER (alloc = 0), 6) AS statistic, round((1 + count(*) FILTER (alloc > 0 AND stat >= (SELECT stat FROM t WHERE alloc = 0) - 1e-12)) / 40.0, 6) AS p FROM t""")
+SELECT max(win) FILTER (alloc = 0) AS win, round(max(stat) FILTER (alloc = 0), 6) AS statistic, round((1 + count(*) FILTER (alloc > 0 AND stat >= (SELECT stat FROM t WHERE alloc = 0) - 1e-12)) / 500.0, 6) AS p FROM t""")
 def label_reselection(spark, sf_dir):
     """The whole selection is repeated under every random labelling, and the best window is compared with the best of each."""
     w = windows(spark, sf_dir)
-    samples = w.select("sample").distinct().withColumn("alloc", F.explode(F.sequence(F.lit(0), F.lit(39))))
+    samples = w.select("sample").distinct().withColumn("alloc", F.explode(F.sequence(F.lit(0), F.lit(499))))
     n = F.row_number().over(Window.partitionBy("alloc").orderBy(draw_order(F.lit("sel"), F.col("alloc"), F.col("sample"))))
     labels = samples.withColumn("inside", F.when(F.col("alloc") == 0, F.col("sample") < 10).otherwise(n <= 10))
     e = w.join(labels, "sample").groupBy("alloc", "win").agg((F.avg(F.when(F.col("inside"), F.col("h"))) - F.avg(F.when(~F.col("inside"), F.col("h")))).alias("d"))
     best = ranking.top_k(e, ["alloc"], [F.desc(F.abs("d")), F.asc("win")], 1).withColumn("stat", F.abs("d"))
     seen = best.where("alloc = 0").select(F.col("win").alias("w0"), F.col("stat").alias("s0"))
-    out = best.crossJoin(F.broadcast(seen)).agg(F.max("w0").alias("win"), F.max("s0").alias("statistic"), ((1 + F.count_if((F.col("alloc") > 0) & (F.col("stat") >= F.col("s0") - 1e-12))) / F.lit(40.0)).alias("p"))
+    out = best.crossJoin(F.broadcast(seen)).agg(F.max("w0").alias("win"), F.max("s0").alias("statistic"), ((1 + F.count_if((F.col("alloc") > 0) & (F.col("stat") >= F.col("s0") - 1e-12))) / F.lit(500.0)).alias("p"))
     return rounded(out)
 
 
@@ -35,7 +35,7 @@ _H = lambda *k: "('0x' || substr(sha256(concat_ws('|', " + ", ".join(k) + ")), 1
 
 
 @plan(f"""{BASE}, mol AS (SELECT sample, (win % 3)::BIGINT AS rep, avg(h) AS v FROM windows GROUP BY 1, 2), pat AS (SELECT sample < 15 AS grp, sample, row_number() OVER (PARTITION BY sample < 15 ORDER BY sample) - 1 AS k, count(*) OVER (PARTITION BY sample < 15) AS n FROM (SELECT DISTINCT sample FROM windows)),
-d AS (SELECT grp, draw, k AS slot, {_H("'two'", "draw::VARCHAR", "k::VARCHAR")} % n AS pick, {_H("'two'", "'r'", "draw::VARCHAR", "k::VARCHAR")} % 3 AS rep FROM pat, (SELECT range AS draw FROM range(0, 40))),
+d AS (SELECT grp, draw, k AS slot, {_H("'two'", "draw::VARCHAR", "k::VARCHAR")} % n AS pick, {_H("'two'", "'r'", "draw::VARCHAR", "k::VARCHAR")} % 3 AS rep FROM pat, (SELECT range AS draw FROM range(0, 500))),
 m AS (SELECT d.grp, d.draw, avg(mol.v) AS mean FROM d JOIN pat p ON p.grp = d.grp AND p.k = d.pick JOIN mol ON mol.sample = p.sample AND mol.rep = d.rep GROUP BY 1, 2)
 SELECT grp, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY grp""")
 def two_level_bootstrap(spark, sf_dir):
@@ -135,22 +135,22 @@ def group_representative(spark, sf_dir):
     return g.select("p_brand", "id", F.greatest(F.lit(0), F.col("size") * 500 - 10000).cast("long").alias("low"), (F.col("size") * 500 + 10000).alias("high"))
 
 
-@plan("""WITH p AS (SELECT *, p_retailprice AS w, p_size::DOUBLE AS depth FROM part) SELECT t.p_partkey, c.p_partkey AS control FROM p t JOIN p c ON t.p_partkey % 100 = 0 AND c.p_partkey % 100 <> 0 AND t.p_brand = c.p_brand
+@plan("""WITH p AS (SELECT *, p_retailprice AS w, p_size::DOUBLE AS depth FROM part) SELECT t.p_partkey, c.p_partkey AS control FROM p t JOIN p c ON t.p_partkey % 20 = 0 AND c.p_partkey % 20 <> 0 AND t.p_brand = c.p_brand
 AND c.w / t.w BETWEEN 0.8 AND 1.25 AND c.depth / t.depth BETWEEN 2.0 / 3 AND 1.5""")
 def caliper_pools(spark, sf_dir):
     """Every admissible control of each target: ratio bands around weight and depth within a context."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", F.col("p_size").cast("double").alias("depth"))
-    m = matching.caliper_matches(p.where("p_partkey % 100 = 0"), p.where("p_partkey % 100 <> 0"), ["p_brand"], {"p_retailprice": 1.2501, "depth": 1.5001}, "p_partkey", None)
+    m = matching.caliper_matches(p.where("p_partkey % 20 = 0"), p.where("p_partkey % 20 <> 0"), ["p_brand"], {"p_retailprice": 1.2501, "depth": 1.5001}, "p_partkey", None)
     ok = (F.col("c_p_retailprice") / F.col("p_retailprice")).between(0.8, 1.25) & (F.col("c_depth") / F.col("depth")).between(2.0 / 3, 1.5)
     return m.where(ok).select("p_partkey", F.col("c_p_partkey").alias("control"))
 
 
 _POOL = """p AS (SELECT p_partkey, p_brand, p_retailprice AS w, p_size::DOUBLE AS depth FROM part),
-pool AS (SELECT t.p_partkey AS target, c.p_partkey AS control FROM p t JOIN p c ON t.p_partkey % 100 = 0 AND c.p_partkey % 100 <> 0 AND t.p_brand = c.p_brand AND c.w / t.w BETWEEN 0.8 AND 1.25 AND c.depth / t.depth BETWEEN 2.0 / 3 AND 1.5),
+pool AS (SELECT t.p_partkey AS target, c.p_partkey AS control FROM p t JOIN p c ON t.p_partkey % 20 = 0 AND c.p_partkey % 20 <> 0 AND t.p_brand = c.p_brand AND c.w / t.w BETWEEN 0.8 AND 1.25 AND c.depth / t.depth BETWEEN 2.0 / 3 AND 1.5),
 five AS (SELECT DISTINCT target FROM pool ORDER BY target LIMIT 5)"""
 
 
-@plan(f"""WITH {_POOL}, r AS (SELECT range AS rep FROM range(0, 200)), k AS (SELECT rep, target, arg_min(control, sha256(concat_ws('|', 'set', rep::VARCHAR, target::VARCHAR, control::VARCHAR))) AS control FROM pool JOIN five USING (target), r GROUP BY 1, 2),
+@plan(f"""WITH {_POOL}, r AS (SELECT range AS rep FROM range(0, 10000)), k AS (SELECT rep, target, arg_min(control, sha256(concat_ws('|', 'set', rep::VARCHAR, target::VARCHAR, control::VARCHAR))) AS control FROM pool JOIN five USING (target), r GROUP BY 1, 2),
 s AS (SELECT rep, sum(control % 97)::DOUBLE AS score FROM k GROUP BY rep HAVING count(DISTINCT control) = count(*)), o AS (SELECT sum(target % 97)::DOUBLE AS seen FROM five)
 SELECT (SELECT seen FROM o) AS observed, count(*)::BIGINT AS sets, round((1 + count(*) FILTER (score >= (SELECT seen FROM o))) / (1.0 + count(*)), 6) AS p FROM s""")
 def matched_set_null(spark, sf_dir):
@@ -160,12 +160,12 @@ def matched_set_null(spark, sf_dir):
     """
     pool = caliper_pools(spark, sf_dir).select(F.col("p_partkey").alias("target"), "control")
     five = pool.select("target").distinct().orderBy("target").limit(5)
-    draws = pool.join(F.broadcast(five), "target", "left_semi").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199))))
+    draws = pool.join(F.broadcast(five), "target", "left_semi").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(9999))))
     k = draws.groupBy("rep", "target").agg(F.min_by("control", draw_order(F.lit("set"), F.col("rep"), F.col("target"), F.col("control"))).alias("control"))
     sets = k.groupBy("rep").agg(F.sum(F.col("control") % 97).cast("double").alias("score"), F.countDistinct("control").alias("d"), F.count("*").alias("n")).where("d = n")
     seen = five.agg(F.sum(F.col("target") % 97).cast("double").alias("observed"))
-    out = sets.crossJoin(F.broadcast(seen)).agg(F.first("observed").alias("observed"), F.count("*").alias("sets"), ((1 + F.count_if(F.col("score") >= F.col("observed"))) / (1 + F.count("*"))).alias("p"))
-    return rounded(out)
+    counted = sets.crossJoin(F.broadcast(seen)).agg(F.count("*").alias("sets"), ((1 + F.count_if(F.col("score") >= F.col("observed"))) / (1 + F.count("*"))).alias("p"))
+    return rounded(counted.crossJoin(F.broadcast(seen)).select("observed", "sets", "p"))  # one row by one row
 
 
 @plan(f"""WITH pt AS (SELECT c_nationkey AS nation, c_custkey AS id, (c_custkey % 50)::DOUBLE AS x, c_acctbal AS y FROM customer), f AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i, min(x) AS lo, max(x) AS hi FROM pt WHERE nation < 5)
@@ -201,7 +201,16 @@ def fit_grid(spark, sf_dir):
     return rounded(each.groupBy("purity", "ploidy").agg((F.sum("off") / F.sum("length")).alias("distance")))
 
 
-@plan()
+@plan("""WITH t AS (SELECT user_id % 10 AS grp, event_id AS mol, event_id % 3 % 3 AS x0, event_id % 5 % 3 AS x1, event_id % 7 % 3 AS x2 FROM events), r AS (SELECT range AS rep FROM range(0, 64)),
+s AS (SELECT *, row_number() OVER (PARTITION BY grp, rep ORDER BY sha256(concat_ws('|', 'pick', rep::VARCHAR, mol::VARCHAR))) AS slot FROM t, r QUALIFY slot <= 12),
+q AS (SELECT *, row_number() OVER (PARTITION BY grp, rep ORDER BY sha256(concat_ws('|', 'c0', rep::VARCHAR, mol::VARCHAR))) AS k0, row_number() OVER (PARTITION BY grp, rep ORDER BY sha256(concat_ws('|', 'c1', rep::VARCHAR, mol::VARCHAR))) AS k1,
+ row_number() OVER (PARTITION BY grp, rep ORDER BY sha256(concat_ws('|', 'c2', rep::VARCHAR, mol::VARCHAR))) AS k2 FROM s),
+n AS (SELECT a.grp, a.rep, a.x0, b.x1, c.x2, 1 AS shuffled FROM q a JOIN q b ON a.grp = b.grp AND a.rep = b.rep AND a.k0 = b.k1 JOIN q c ON a.grp = c.grp AND a.rep = c.rep AND a.k0 = c.k2
+ UNION ALL SELECT grp, rep, x0, x1, x2, 0 FROM s),
+m AS (SELECT grp, rep, shuffled, x0, x1, x2, count(*)::DOUBLE AS n, ((x0 = 2)::INT + (x1 = 2)::INT + (x2 = 2)::INT) AS twos FROM n GROUP BY ALL),
+e AS (SELECT grp, rep, shuffled, -sum(n / 12 * log2(n / 12)) AS h, sum(n * twos * (twos - 1)) / 72 AS pairs, sum(n * (twos >= 2)::INT) / 12 AS several FROM m GROUP BY 1, 2, 3),
+d AS (SELECT a.grp, a.h, b.h AS null_h, a.pairs - b.pairs AS pairs, a.several - b.several AS several FROM e a JOIN e b ON a.grp = b.grp AND a.rep = b.rep AND a.shuffled = 0 AND b.shuffled = 1)
+SELECT grp, (SELECT count(*) FROM t WHERE t.grp = d.grp)::BIGINT AS molecules, round(avg(h), 6) AS entropy, round(avg(null_h), 6) AS null_entropy, round(avg(h - null_h), 6) AS entropy_excess, round(avg(pairs), 6) AS joint_excess, round(avg(several), 6) AS multi_excess FROM d GROUP BY grp""")
 def block_pattern_excess(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("grp"), F.col("event_id").alias("mol"), F.explode(F.array(*(F.struct(F.lit(k).alias("site"), (F.col("event_id") % m % 3).alias("state")) for k, m in enumerate((3, 5, 7))))).alias("x"))
     return rounded(studies.block_patterns(e.select("grp", "mol", "x.site", "x.state"), ["grp"], "mol", "site", "state"))

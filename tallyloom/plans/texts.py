@@ -66,11 +66,9 @@ def value_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"))
 
 
-@plan("""WITH s AS (SELECT doc_id, upper(substr(text, 1, 400)) AS seq FROM documents) SELECT doc_id, CASE WHEN length(seq) > 0 THEN round(length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / length(seq), 6) END AS gc FROM s""")
+@plan("""WITH s AS (SELECT doc_id, upper(text) AS seq FROM documents) SELECT doc_id, CASE WHEN length(seq) > 0 THEN round(length(regexp_replace(seq, '[^GC]', '', 'g'))::DOUBLE / length(seq), 6) END AS gc FROM s""")
 def composition_fraction(spark, sf_dir):
-    # The interval of a record is what is measured here, like a window of a contig.
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 400).alias("seq"))
-    return rounded(d.select("doc_id", scalars.fraction_of("seq").alias("gc")))
+    return rounded(table(spark, sf_dir, "documents").select("doc_id", scalars.fraction_of("text").alias("gc")))
 
 
 @plan("""WITH w AS (SELECT doc_id, unnest(range(0, (greatest(coalesce(length(text), 0), 1) - 1) // 400 + 1)) AS win, text FROM documents),

@@ -98,7 +98,7 @@ def test_fixed_margins_stay(spark):
     z = g.integers(0, 2, (40, 30)).astype(np.int8)
     z[g.random(z.shape) < 0.2] = -1
     before = z.copy()
-    moved = resampling.trade_rows(z, np.random.default_rng(1), 2000)
+    moved = resampling.curveball(z, np.random.default_rng(1), 2000)
     one = lambda x: np.where(x < 0, 0, x)
     assert moved > 100 and (z != before).any() and ((z < 0) == (before < 0)).all()
     assert (one(z).sum(0) == one(before).sum(0)).all() and (one(z).sum(1) == one(before).sum(1)).all()
@@ -135,18 +135,66 @@ def test_cox_against_direct_likelihood():
     assert fit["status"] == statistics.STATUS[-1] and all(direct(fit["log_hr"]) >= direct(fit["log_hr"] + s) for s in (-0.01, 0.01))
 
 
+def slow_huber(a, y, c=1.345):
+    """The definition by plain weighted least squares, many rounds."""
+    w = np.ones(len(y))
+    for _ in range(200):
+        root = np.sqrt(w)
+        beta = np.linalg.lstsq(a * root[:, None], y * root, rcond=None)[0]
+        r = y - a @ beta
+        scale = np.median(np.abs(r - np.median(r))) * 1.4826022185056018
+        w = np.minimum(1, c * scale / np.maximum(np.abs(r), 1e-300))
+    return beta
+
+
+def test_huber_matches_plain_reweighting_in_every_group(spark):
+    g = np.random.default_rng(5)
+    rows, want = [], {}
+    for k in range(4):
+        n = 30 + 17 * k
+        x, z = g.normal(size=n), g.integers(0, 2, n).astype(float)
+        y = 1 + 2 * x - 3 * z + g.standard_t(2, n)
+        want[k] = slow_huber(np.column_stack([np.ones(n), x, z]), y)
+        rows += [(k, *map(float, r)) for r in zip(x, z, y)]
+    rows += [(7, 1.0, 0.0, 2.0), (7, 2.0, 1.0, None), (8, 0.0, 0.0, 5.0), (8, 1.0, 1.0, 7.0), (8, 2.0, 0.0, 9.0), (8, 3.0, 1.0, 11.0)]
+    got = {r.k: r for r in statistics.huber(spark.createDataFrame(rows, "k int, x double, z double, y double"), ["k"], "y", ["x", "z"]).collect()}
+    for k, beta in want.items():
+        assert [got[k].b0, got[k].b1, got[k].b2] == pytest.approx(beta, abs=1e-6)
+    assert got[7].n == 1 and got[7].b0 is None
+    assert (got[8].n, got[8].b0, got[8].b1, got[8].b2) == (4, pytest.approx(5), pytest.approx(2), pytest.approx(0, abs=1e-9))
+
+
 def test_huber_ignores_outliers_and_theil_sen_is_a_median(spark):
     x = np.arange(30.0)
     y = 2 + 3 * x
     y[5] = 1000
-    a = np.column_stack([np.ones(30), x])
-    assert statistics.huber_coefficients(a, y) == pytest.approx([2, 3], abs=1e-6)
     d = spark.createDataFrame([(0, i, float(p), float(q)) for i, (p, q) in enumerate(zip(x, y))], "k int, i int, x double, y double")
     r = statistics.theil_sen(d, ["k"], "x", "y", "i").first()
     assert (r.slope, r.intercept) == pytest.approx((3, 2))
-    assert np.nanmedian(statistics.theil_bootstrap(x, y, 50)[:, 0]) == pytest.approx(3)
     b = statistics.huber(d, ["k"], "y", ["x"]).first()
     assert (b.b0, b.b1) == pytest.approx((2, 3), abs=1e-6)
+    refits = statistics.theil_sen_bootstrap(d, ["k"], "x", "y", "i", 20, "s").collect()
+    assert len(refits) == 20 and np.median([r.slope for r in refits]) == pytest.approx(3) and np.median([r.intercept for r in refits]) == pytest.approx(2)
+    with pytest.raises(ValueError, match="at most 29"):
+        statistics.theil_sen(d, ["k"], "x", "y", "i", most=29)
+
+
+def test_concordance_counts_pairs():
+    g = np.random.default_rng(9)
+    t, e, r = g.integers(0, 9, 70), g.integers(0, 2, 70), g.integers(0, 12, 70).astype(float)
+    later = [(i, j) for i in range(70) if e[i] for j in range(70) if t[j] > t[i]]
+    want = sum(1.0 if r[i] > r[j] else 0.5 if r[i] == r[j] else 0.0 for i, j in later) / len(later)
+    assert statistics.concordance(t, e, r) == (len(later), pytest.approx(want))
+    assert statistics.concordance(np.array([1, 1]), np.array([1, 1]), np.array([0.0, 1.0])) == (0, None)
+
+
+def test_block_patterns_of_whole_molecules(spark):
+    from tallyloom.operators import studies
+
+    rows = [("a", m, s, (m + s) % 3) for m in range(12) for s in range(3)] + [("a", 99, 0, 2)] + [("b", m, s, 1) for m in range(11) for s in range(3)] + [("c", m, s, 1) for m in range(20) for s in range(2)]
+    got = {r.g: r for r in studies.block_patterns(spark.createDataFrame(rows, "g string, m int, s int, v int"), ["g"], "m", "s", "v", repeats=8).collect()}
+    assert got["a"].molecules == 12 and got["a"].entropy == pytest.approx(math.log2(3)) and got["a"].null_entropy > got["a"].entropy and got["a"].entropy_excess == pytest.approx(got["a"].entropy - got["a"].null_entropy)
+    assert got["b"].molecules == 11 and got["b"].entropy is None and got["c"].molecules == 0 and got["c"].entropy is None
 
 
 def test_spline_residuals_vanish_on_a_cubic(spark):
