@@ -65,7 +65,8 @@ def block_patterns(df: DataFrame, by: Sequence[str], molecule: str, site: str, s
 
     by, molecules, entropy, null_entropy, entropy_excess, joint_excess,
     multi_excess: means over the repeats. joint is the mean share of site pairs
-    that are both 2, multi the share of molecules with two or more 2. Molecules
+    that are both 2, multi the share of molecules with two or more 2, both in
+    percentage points over the shuffled columns. Molecules
     count if all three of the group's sites are known. A group with fewer than
     ``n`` of them, or with other than three sites, has nulls. Picks and shuffles
     are orders of digests; a repeat is one row's arrays of ``n`` states.
@@ -92,7 +93,7 @@ def block_patterns(df: DataFrame, by: Sequence[str], molecule: str, site: str, s
         return F.aggregate(a, F.lit(0.0), lambda t, m: t + f(count(m))) / n
 
     both, several = (lambda c: c * (c - 1) / F.lit(6.0)), (lambda c: (c >= 2).cast("double"))
-    each = drawn.select(*by, entropy("_seen").alias("entropy"), entropy("_null").alias("null_entropy"), *((twos("_seen", f) - twos("_null", f)).alias(name) for name, f in (("joint_excess", both), ("multi_excess", several))))
+    each = drawn.select(*by, entropy("_seen").alias("entropy"), entropy("_null").alias("null_entropy"), *(((twos("_seen", f) - twos("_null", f)) * 100).alias(name) for name, f in (("joint_excess", both), ("multi_excess", several))))
     means = each.groupBy(*by).agg(F.avg("entropy").alias("entropy"), F.avg("null_entropy").alias("null_entropy"), F.avg(F.col("entropy") - F.col("null_entropy")).alias("entropy_excess"), F.avg("joint_excess").alias("joint_excess"), F.avg("multi_excess").alias("multi_excess"))
     sizes = known.select(*by).distinct().join(whole.groupBy(*by).agg(F.count("*").alias("molecules")), list(by), "left")
     return sizes.join(means, list(by), "left").select(*by, F.coalesce("molecules", F.lit(0).cast("long")).alias("molecules"), "entropy", "null_entropy", "entropy_excess", "joint_excess", "multi_excess")

@@ -210,7 +210,7 @@ n AS (SELECT a.grp, a.rep, a.x0, b.x1, c.x2, 1 AS shuffled FROM q a JOIN q b ON
 m AS (SELECT grp, rep, shuffled, x0, x1, x2, count(*)::DOUBLE AS n, ((x0 = 2)::INT + (x1 = 2)::INT + (x2 = 2)::INT) AS twos FROM n GROUP BY ALL),
 e AS (SELECT grp, rep, shuffled, -sum(n / 12 * log2(n / 12)) AS h, sum(n * twos * (twos - 1)) / 72 AS pairs, sum(n * (twos >= 2)::INT) / 12 AS several FROM m GROUP BY 1, 2, 3),
 d AS (SELECT a.grp, a.h, b.h AS null_h, a.pairs - b.pairs AS pairs, a.several - b.several AS several FROM e a JOIN e b ON a.grp = b.grp AND a.rep = b.rep AND a.shuffled = 0 AND b.shuffled = 1)
-SELECT grp, (SELECT count(*) FROM t WHERE t.grp = d.grp)::BIGINT AS molecules, round(avg(h), 6) AS entropy, round(avg(null_h), 6) AS null_entropy, round(avg(h - null_h), 6) AS entropy_excess, round(avg(pairs), 6) AS joint_excess, round(avg(several), 6) AS multi_excess FROM d GROUP BY grp""")
+SELECT grp, (SELECT count(*) FROM t WHERE t.grp = d.grp)::BIGINT AS molecules, round(avg(h), 6) AS entropy, round(avg(null_h), 6) AS null_entropy, round(avg(h - null_h), 6) AS entropy_excess, round(avg(pairs) * 100, 6) AS joint_excess, round(avg(several) * 100, 6) AS multi_excess FROM d GROUP BY grp""")
 def block_pattern_excess(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("grp"), F.col("event_id").alias("mol"), F.explode(F.array(*(F.struct(F.lit(k).alias("site"), (F.col("event_id") % m % 3).alias("state")) for k, m in enumerate((3, 5, 7))))).alias("x"))
     return rounded(studies.block_patterns(e.select("grp", "mol", "x.site", "x.state"), ["grp"], "mol", "site", "state"))
