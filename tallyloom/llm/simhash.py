@@ -243,8 +243,24 @@ def _close(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
     return i[ok], j[ok]
 
 
-def _verified(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs within ``radius`` bits whose sets have a Jaccard of ``similarity`` or more.
+def _near_forest(fp: np.ndarray, lead: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the pairs within ``radius`` bits of which one is among the first ``lead`` rows.
+
+    Rows within the radius of the first one are joined through it and not compared with each other.
+    """
+    n = len(fp)
+    _, near = _close(fp[:1], fp, radius)
+    a, b = [np.zeros(len(near), np.int64)], [near]
+    rest = np.setdiff1d(np.arange(lead), near)
+    for at in range(0, len(rest), 512):
+        i, j = _close(fp[rest[at : at + 512]], fp, radius)
+        a.append(rest[at + i])
+        b.append(j)
+    return forest(n, np.concatenate(a), np.concatenate(b))
+
+
+def _verified(fp: np.ndarray, sets: list[np.ndarray], lead: int, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Forest of the pairs within ``radius`` bits whose sets have a Jaccard of ``similarity`` or more, one of them among the first ``lead``.
 
     A pair that is already connected is not compared again, so a dense group costs in proportion to its size.
     """
@@ -254,7 +270,7 @@ def _verified(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: f
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     label, a, b = np.arange(n), [], []
-    for i in range(n - 1):
+    for i in range(min(lead, n - 1)):
         later = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
         if not len(later):
             continue
@@ -275,15 +291,75 @@ def _verified(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: f
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _blocks(members: DataFrame, by: list[str], block: int) -> DataFrame:
-    """``members`` in groups of at least two, those of more than ``block`` split into pairs of parts (column part)."""
-    sizes = keep(members.groupBy(*by).agg(F.count("*").alias("count")).where("count > 1"))
-    parts = F.ceil(F.col("count") / F.lit(block)).cast("long")
-    own = F.pmod(F.xxhash64("node"), F.col("parts"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: F.least(own, x) * F.col("parts") + F.greatest(own, x))
-    dealt = members.join(sizes.select(*by, parts.alias("parts")), by).withColumn("part", F.explode(pairs)).drop("parts")
+def _connect(members: DataFrame, by: list[str], block: int, links) -> DataFrame:
+    """Edges (a, b) that connect the members of each group (columns ``by``) just as all links in it do.
+
+    ``links(columns, lead)`` finds links in one block, from the columns after
+    node, of which one end is among the first ``lead`` rows. Groups are cut into
+    parts of about ``block`` members, and the group's least node, its hub, stands
+    first in every part. Members that some link in their part connects with the
+    hub are connected with all others of that kind. Only the rest, in a group of
+    near copies few or none, are then compared with all parts, in blocks of
+    their own. So no group is in one task, and a group of near copies costs in
+    proportion to its size.
+    """
+    payload = [c for c in members.columns if c not in (*by, "node")]
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, *by, "part").sortWithinPartitions(*by, "part")
+    sizes = keep(members.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"), F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = F.when(F.col("node") == F.col("hub"), upto("parts")).otherwise(F.array(own))
+    dealt = members.join(sizes, by).withColumn("part", F.explode(place)).withColumn("lead", F.col("node") == F.col("hub"))
+    keys = len(by) + 1
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema}
+    schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["a long, b long"])
+
+    def columns(group, at):
+        """node, and the payload's columns, from column ``at`` on; a node that is there twice counts once, where it leads."""
+        node = np.concatenate([g.column(at).to_numpy() for g in group])
+        _, first = np.unique(node, return_index=True)
+        first.sort()
+        rest = [[x for g in group for x in g.column(k).to_pylist()] for k in range(at + 1, at + 1 + len(payload))]
+        return node[first], [[c[i] for i in first.tolist()] for c in rest]
+
+    def first_pass(batches):
+        for group in _grouped(batches, keys):
+            node, rest = columns(group, keys + 1)
+            x, y = links(rest, len(node))
+            a, b = [node[x]], [node[y]]
+            if group[0].column(keys)[0].as_py() > 1:
+                label = np.arange(len(node))
+                for i, j in zip(x.tolist(), y.tolist()):
+                    label[label == label[j]] = label[i]
+                left = node[label != label[0]]
+                a.append(left)
+                b.append(np.full(len(left), -1))
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([*(pa.array([group[0].column(k)[0].as_py()] * len(a), group[0].column(k).type) for k in range(len(by))), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=[*by, "a", "b"])
+
+    blocks = dealt.repartition(n, *by, "part").sortWithinPartitions(*by, "part", F.desc("lead"), "node")
+    found = keep(blocks.select(*by, "part", "parts", "node", *payload).mapInArrow(first_pass, schema))
+    edges = found.where("b >= 0").select("a", "b")
+    left = keep(found.where("b < 0").select(*by, F.col("a").alias("node")).distinct())
+    if left.isEmpty():
+        return edges
+    late = keep(left.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("late")))
+    whole = members.join(sizes, by).join(late, by).join(left.withColumn("lead", F.lit(True)), [*by, "node"], "left").withColumn("lead", F.coalesce("lead", F.lit(False)))
+    mine = F.pmod(F.xxhash64("node", F.lit("late")), F.col("late")).cast("int")
+    pair = lambda lead, p, q: F.struct(F.lit(lead).alias("lead"), p.alias("part"), q.alias("chunk"))
+    follows = F.transform(upto("late"), lambda q: pair(False, own, q))
+    leads = F.when(F.col("lead"), F.transform(upto("parts"), lambda p: pair(True, p, mine))).otherwise(F.array().cast("array<struct<lead:boolean,part:int,chunk:int>>"))
+    again = whole.withColumn("x", F.explode(F.concat(leads, follows))).select(*by, "x.part", "x.chunk", "x.lead", "node", *payload)
+
+    def second_pass(batches):
+        for group in _grouped(batches, keys + 1):
+            node, rest = columns(group, keys + 2)
+            lead = sum(int(np.count_nonzero(g.column(keys + 1).to_numpy(zero_copy_only=False))) for g in group)
+            x, y = links(rest, lead)
+            yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
+    blocks = again.repartition(n, *by, "part", "chunk").sortWithinPartitions(*by, "part", "chunk", F.desc("lead"), "node")
+    return edges.unionByName(blocks.mapInArrow(second_pass, "a long, b long"))
 
 
 def _grouped(batches, keys: int):
@@ -305,18 +381,13 @@ def _grouped(batches, keys: int):
         yield rest
 
 
-def _edges(found) -> pa.RecordBatch:
-    a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (zip(*found) if found else ((), ())))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 16, bands: int = 12, block: int = 2048) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 16, bands: int = 12, block: int = 512) -> DataFrame:
     """(doc_id, component_id) for every row: groups of texts whose sets of shingles have a Jaccard of ``similarity`` or more."""
     rows, texts = _similar(docs, similarity, shingle, width, bands, block)
     return rows.join(texts, "text_key").select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 16, bands: int = 12, block: int = 2048) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 16, bands: int = 12, block: int = 512) -> DataFrame:
     """One document of each group of :func:`similar_documents`, all columns.
 
     A document is a row's doc_id and text: different texts under one doc_id are
@@ -348,8 +419,7 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, width: int, bands
     Candidates share a key and are within eight deviations of the mean distance
     at ``similarity``, as few shingles spread wider than many; their groups are
     dealt once more with the sets of shingles, and only pairs that reach
-    ``similarity`` exactly are linked. Groups of more than ``block`` members are
-    split into pairs of parts, and each gives a spanning forest of its links.
+    ``similarity`` exactly are linked (:func:`_connect`, both times).
     Rows, nulls and other columns as in :func:`near_duplicates`.
     """
     radius = radius_of(similarity, 64 * width, 8.0)
@@ -366,22 +436,11 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, width: int, bands
     per_doc = keep(read.mapInArrow(run, "row long, doc_id long, text_key binary, fp binary, keys array<long>"))
     nodes = keep(per_doc.groupBy("text_key").agg(F.min("doc_id").alias("least"), F.min("row").alias("bearer"), F.first("fp").alias("fp"), F.first("keys").alias("keys")).withColumn("node", F.monotonically_increasing_id()))
 
-    def compare(batches):
-        out = []
-        for group in _grouped(batches, 3):
-            node = np.concatenate([g.column(3).to_numpy() for g in group])
-            fp = np.frombuffer(b"".join(x for g in group for x in g.column(4).to_pylist()), np.uint64).reshape(-1, width)
-            a, b = [], []
-            for at in range(0, len(node), 512):
-                i, j = _close(fp[at : at + 512], fp, radius)
-                a.append(i + at)
-                b.append(j)
-            p, q = forest(len(node), np.concatenate(a), np.concatenate(b))
-            out.append((node[p], node[q]))
-        yield _edges(out)
+    def near(columns, lead):
+        return _near_forest(np.frombuffer(b"".join(columns[0]), np.uint64).reshape(-1, width), lead, radius)
 
-    cells = _blocks(nodes.select("node", "fp", F.posexplode("keys").alias("band", "cell")), ["band", "cell"], block)
-    candidates = keep(components(cells.select("band", "cell", "part", "node", "fp").mapInArrow(compare, "a long, b long")))
+    cells = nodes.select("node", "fp", F.posexplode("keys").alias("band", "cell")).select("band", "cell", "node", "fp")
+    candidates = keep(components(_connect(cells, ["band", "cell"], block, near)))
 
     def sets(batches):
         for batch in batches:
@@ -389,21 +448,14 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, width: int, bands
             names = [xxhash.xxh3_128_digest(b" ".join((t.as_py() or b"").lower().split())) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([x.tobytes() for x in made], pa.binary())], names=["text_key", "set"])
 
-    def verify(batches):
-        out = []
-        for group in _grouped(batches, 2):
-            node = np.concatenate([g.column(2).to_numpy() for g in group])
-            fp = np.frombuffer(b"".join(x for g in group for x in g.column(3).to_pylist()), np.uint64).reshape(-1, width)
-            p, q = _verified(fp, [np.frombuffer(x, np.uint64) for g in group for x in g.column(4).to_pylist()], radius, similarity)
-            out.append((node[p], node[q]))
-        yield _edges(out)
+    def alike(columns, lead):
+        return _verified(np.frombuffer(b"".join(columns[0]), np.uint64).reshape(-1, width), [np.frombuffer(x, np.uint64) for x in columns[1]], lead, radius, similarity)
 
     # One row of each text that has a candidate brings its set.
     wanted = keep(nodes.select("text_key", "bearer", "node", "fp").join(candidates.withColumnRenamed("root", "group"), "node"))
     bring = read.join(wanted.select(F.col("bearer").alias("row")), "row", "left_semi").select("text").mapInArrow(sets, "text_key binary, set binary").groupBy("text_key").agg(F.first("set").alias("set"))
     members = keep(wanted.join(bring, "text_key").select("group", "node", "fp", "set"))
-    edges = _blocks(members, ["group"], block).select("group", "part", "node", "fp", "set").mapInArrow(verify, "a long, b long")
-    roots = keep(components(edges))
+    roots = keep(components(_connect(members, ["group"], block, alike)))
     named = keep(nodes.select("text_key", "least", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     names = keep(named.groupBy("root").agg(F.min("least").alias("component_id")))
     return per_doc.select("row", "doc_id", "text_key"), keep(named.join(names, "root").select("text_key", "root", "component_id"))

@@ -212,3 +212,30 @@ def test_groups_are_those_of_exact_shingle_similarity(docs_of, rng):
     assert len(set(want.values())) < len(want) - 60
     for block in (2048, 3):
         assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(rows), block=block).collect()} == want
+
+
+def test_documents_of_one_id_or_none_are_told_apart(docs_of, rng):
+    a, b, c = (words(rng, 30, 5000) for _ in range(3))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a + ["more"])), (None, " ".join(c)), (None, " ".join(c)), (None, " ".join(b + ["x"])), (3, None), (4, ""), (5, " ".join(c) + " y", "fr"), (6, "alone"), (6, "alone", "de")]
+    got = sorted(((r.doc_id, r.text, r.lang) for r in simhash.one_of_each(docs_of(rows).withColumn("row", F.lit(1)).withColumn("several", F.lit(2))).collect()), key=str)
+    want = [(1, " ".join(a), "en"), (1, " ".join(b), "en"), (5, " ".join(c) + " y", "fr"), (3, None, "en"), (6, "alone", "de")]
+    assert got == sorted(want, key=str)
+
+
+def test_a_group_without_a_common_hub_is_connected(docs_of, rng):
+    """A chain of texts, each like the next one only, and a hub that few are like, in parts of three."""
+    base = words(rng, 60, 9000)
+    rows = []
+    for k in range(30):
+        rows.append((k, " ".join(base)))
+        base = base[2:] + words(rng, 2, 9000)
+    rows += [(100 + k, " ".join(base[:58] + [f"own{k}", "end"])) for k in range(40)]
+    texts = dict(rows)
+    root = {i: i for i in texts}
+    for _ in range(40):
+        for i in texts:
+            for j in texts:
+                if i < j and root[i] != root[j] and shingle_similarity(texts[i], texts[j]) >= 0.8:
+                    root[i] = root[j] = min(root[i], root[j])
+    for block in (3, 512):
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(rows), block=block).collect()} == root
