@@ -86,10 +86,29 @@ def cigar_blocks(df: DataFrame, key: Sequence[str], cigar: str, start: str) -> D
     return ops.where(both).select(*key, "query_start", "ref_start", F.col("c.len").alias("length"))
 
 
-def sites_in_blocks(blocks: DataFrame, sites: DataFrame, key: Sequence[str], pos: str, reverse: str | None = None) -> DataFrame:
-    """Read place of each reference site inside an aligned block; on the reverse strand the base one on."""
+def sites_in_blocks(blocks: DataFrame, sites: DataFrame, key: Sequence[str], pos: str, reverse: str | None = None, bin_size: int = 1000) -> DataFrame:
+    """Read place of each reference site inside an aligned block; on the reverse strand the base one on.
+
+    Blocks and sites must share a column, the contig; blocks are dealt to bins of positions, so the join is an equi join.
+    """
     shift = F.col(reverse).cast("int") if reverse else F.lit(0)
     at = F.col(pos) + shift
-    joined = blocks.join(sites, [c for c in sites.columns if c in blocks.columns], "inner") if set(sites.columns) & set(blocks.columns) else blocks.crossJoin(sites)
+    on = [c for c in sites.columns if c in blocks.columns]
+    if not on:
+        raise ValueError("blocks and sites share no column, such as the contig, to join on")
+    span = blocks.where(F.col("length") > 0).withColumn("_bin", F.explode(F.sequence(F.floor((F.col("ref_start") - shift) / F.lit(bin_size)), F.floor((F.col("ref_start") + F.col("length") - 1 - shift) / F.lit(bin_size)))))
+    joined = span.join(sites.withColumn("_bin", F.floor(F.col(pos) / F.lit(bin_size))), [*on, "_bin"]).drop("_bin")
     inside = joined.where((at >= F.col("ref_start")) & (at < F.col("ref_start") + F.col("length")))
     return inside.withColumn("query_place", F.col("query_start") + at - F.col("ref_start"))
+
+
+def strand_opportunity(df: DataFrame, sequence: str, place: str, reverse: str) -> DataFrame:
+    """Add ``opportunity`` and ``intact`` for the read base at the 0-based ``place``.
+
+    An opportunity is a C, on the reverse strand a G; it is intact if its pair is
+    there too: a G after it, on the reverse strand a C before it.
+    """
+    base = lambda shift: F.upper(F.col(sequence)).substr(F.col(place) + 1 + shift, F.lit(1))
+    here = F.when(F.col(reverse), base(0) == "G").otherwise(base(0) == "C")
+    pair = F.when(F.col(reverse), (F.col(place) > 0) & (base(-1) == "C")).otherwise(base(1) == "G")
+    return df.withColumn("opportunity", F.coalesce(here, F.lit(False))).withColumn("intact", F.col("opportunity") & F.coalesce(pair, F.lit(False)))

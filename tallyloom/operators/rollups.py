@@ -124,3 +124,26 @@ def complete_cases(df: DataFrame, key: str, column: str, names: Sequence[str], v
 def segments(df: DataFrame, by: Sequence[str], start: str, end: str, value: str) -> DataFrame:
     """First start, last end, row count and whether the value is constant."""
     return df.groupBy(*by).agg(F.min(start).alias("start"), F.max(end).alias("end"), F.count("*").alias("n"), (F.min(value) == F.max(value)).alias("constant"))
+
+
+def paired_differences(pairs: DataFrame, target: str, metrics: dict[str, tuple[str, str]]) -> DataFrame:
+    """(metric, targets, target_mean, control_mean, difference) over rows of (target, control) pairs.
+
+    ``metrics`` names the target's and the control's column of each metric. A
+    target counts for a metric only if it has it itself and some of its controls
+    has it; its control value is the mean of those.
+    """
+    aggs = []
+    for name, (mine, theirs) in metrics.items():
+        aggs += [F.max(mine).alias(f"_t_{name}"), F.avg(theirs).alias(f"_c_{name}")]
+    each = pairs.groupBy(target).agg(*aggs)
+    rows = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"_t_{m}").cast("double").alias("t"), F.col(f"_c_{m}").cast("double").alias("c")) for m in metrics))
+    both = each.select(F.explode(rows).alias("x")).select("x.*").where("t IS NOT NULL AND c IS NOT NULL")
+    return both.groupBy("metric").agg(F.count("*").alias("targets"), F.avg("t").alias("target_mean"), F.avg("c").alias("control_mean"), F.avg(F.col("t") - F.col("c")).alias("difference"))
+
+
+def joined_by_pattern(left: DataFrame, right: DataFrame, column: str, pattern: str, key: str, how: str = "inner") -> DataFrame:
+    """Join ``left`` to ``right`` on the first group of ``pattern`` in ``column``, read as the type of ``right``'s ``key``; no match joins nothing."""
+    kind = right.schema[key].dataType
+    found = F.nullif(F.regexp_extract(column, pattern, 1), F.lit(""))
+    return left.withColumn(key, found.try_cast(kind)).join(right, key, how)

@@ -138,3 +138,35 @@ def site_blocks(df: DataFrame, by: Sequence[str], site: str, size: int = 3, most
     k = F.least(F.col("_m"), F.lit(most))
     spots = F.transform(F.sequence(F.lit(0).cast("bigint"), k - 1), lambda i: F.when(k > 1, F.rint(i * (F.col("_m") - 1) / F.greatest(k - 1, F.lit(1)))).otherwise(0.0).cast("bigint"))
     return blocks.where(F.array_contains(spots, F.col("block"))).drop("_m")
+
+
+def quartets(df: DataFrame, by: Sequence[str], pos: str) -> DataFrame:
+    """(by, first, midpoint, span) of every four neighbouring places; a place is two bases wide."""
+    last = F.lead(pos, 3).over(Window.partitionBy(*by).orderBy(pos))
+    d = df.select(*by, F.col(pos).alias("first"), last.alias("_last")).where("_last IS NOT NULL")
+    return d.select(*by, "first", F.floor((F.col("first") + F.col("_last")) / 2).alias("midpoint"), (F.col("_last") - F.col("first") + 2).alias("span"))
+
+
+def pair_metrics(df: DataFrame, by: Sequence[str], molecule: str, one: str, two: str, n: int = 12, repeats: int = 64, least: int = 3, valid: int = 32, seed: str = "phi") -> DataFrame:
+    """Association of two sites' states (0, 1, 2) over the molecules that know both.
+
+    by, molecules, one, two (shares of state 2), joint_excess (percentage points,
+    at ``n`` molecules), phi and phi_valid, h_minus_m (covariance of +1 for state
+    2 and -1 for state 1). phi is the mean over those of ``repeats`` subsamples of
+    ``n`` molecules in which both sites vary, if ``valid`` of them do and each site
+    has ``least`` molecules with and without state 2.
+    """
+    from .resampling import subsample
+
+    sign = lambda c: F.when(F.col(c) == 2, 1).when(F.col(c) == 1, -1).otherwise(0)
+    d = df.where(F.col(one).isNotNull() & F.col(two).isNotNull()).select(*by, molecule, (F.col(one) == 2).cast("int").alias("_a"), (F.col(two) == 2).cast("int").alias("_b"), sign(one).alias("_s"), sign(two).alias("_t"))
+    k, a, b, ab = F.count("*"), F.avg("_a"), F.avg("_b"), F.avg(F.col("_a") * F.col("_b"))
+    whole = d.groupBy(*by).agg(
+        k.alias("molecules"), a.alias("one"), b.alias("two"), F.when(k > 1, (ab - a * b) * k / F.when(k > 1, k - 1) * ((n - 1) / n * 100)).alias("joint_excess"),
+        F.least(F.sum("_a"), F.sum("_b"), k - F.sum("_a"), k - F.sum("_b")).alias("_least"), (F.covar_samp("_s", "_t") * ((n - 1) / n)).alias("h_minus_m"))
+    drawn = subsample(d, by, molecule, n, repeats, seed).groupBy(*by, "rep").agg(F.count("*").alias("_n"), a.alias("_x"), b.alias("_y"), ab.alias("_xy")).where(F.col("_n") == n)
+    spread = F.col("_x") * (1 - F.col("_x")) * F.col("_y") * (1 - F.col("_y"))
+    phis = drawn.where(spread > 0).groupBy(*by).agg(F.avg((F.col("_xy") - F.col("_x") * F.col("_y")) / F.sqrt(spread)).alias("_phi"), F.count("*").alias("_valid"))
+    eligible = F.col("_least") >= least
+    found = F.when(eligible, F.coalesce("_valid", F.lit(0).cast("long"))).otherwise(0)
+    return whole.join(phis, list(by), "left").select(*by, "molecules", "one", "two", "joint_excess", F.when(eligible & (F.col("_valid") >= valid), F.col("_phi")).alias("phi"), found.alias("phi_valid"), "h_minus_m")

@@ -21,13 +21,21 @@ def pileup(reads: DataFrame, key: str, sequence: str, start: Column, by: Sequenc
     return bases.groupBy(*[b for b in bases.columns if b not in ("_i", "_s", "base", key)], (F.col("_s") + F.col("_i")).alias("pos"), "base").agg(F.count("*").alias("n"))
 
 
-def variants(pile: DataFrame, by: Sequence[str], depth: int = 16, each: int = 8, covered: float = 0.95, low: float = 0.25, high: float = 0.75) -> DataFrame:
-    """Positions with two well supported bases: by, ref, alt, depth, fraction of alt (ties to the lower base)."""
+def variants(pile: DataFrame, by: Sequence[str], depth: int = 16, each: int = 8, covered: float = 0.95, low: float = 0.25, high: float = 0.75, strand: str | None = None, each_strand: int = 2) -> DataFrame:
+    """Positions with two well supported bases: by, ref, alt, depth, fraction of alt (ties to the lower base).
+
+    With a boolean ``strand`` column both bases need ``each_strand`` reads on each strand.
+    """
+    if strand:
+        on = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+        pile = pile.groupBy(*by, "base").agg(F.sum("n").alias("n"), F.least(on(F.col(strand)), on(~F.col(strand))).alias("_s"))
+    else:
+        pile = pile.withColumn("_s", F.lit(each_strand))
     w = Window.partitionBy(*by)
     d = pile.withColumn("depth", F.sum("n").over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.desc("n"), "base")))
     g = d.where("_k <= 2").groupBy(*by).agg(
         F.first("depth").alias("depth"), F.max(F.when(F.col("_k") == 1, F.col("base"))).alias("ref"), F.max(F.when(F.col("_k") == 2, F.col("base"))).alias("alt"),
-        F.max(F.when(F.col("_k") == 1, F.col("n"))).alias("_r"), F.max(F.when(F.col("_k") == 2, F.col("n"))).alias("_a"))
+        F.max(F.when(F.col("_k") == 1, F.col("n"))).alias("_r"), F.max(F.when(F.col("_k") == 2, F.col("n"))).alias("_a"), F.min("_s").alias("_s")).where(F.col("_s") >= each_strand)
     fraction = F.col("_a") / F.col("depth")
     return g.where((F.col("depth") >= depth) & (F.col("_a") >= each) & ((F.col("_r") + F.col("_a")) / F.col("depth") >= covered) & fraction.between(low, high)).select(*by, "ref", "alt", "depth", fraction.alias("fraction"))
 
