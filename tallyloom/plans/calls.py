@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import counting, guards, rollups, sequences, statistics, studies
-from .inference import nations
+from .inference import _NATION, _RANK, nations
 from .registry import plan, rounded, table
 from .studies import caliper_pools
 
@@ -125,7 +125,22 @@ def distance_pair_metrics(spark, sf_dir):
     return rounded(sequences.pair_metrics(e, ["grp"], "mol", "z0", "z1"))
 
 
-@plan()
+_RANKS = ", ".join(_RANK.format(c=c).replace("OVER (ORDER BY", "OVER (PARTITION BY rep ORDER BY").replace("PARTITION BY " + c, "PARTITION BY rep, " + c) + f" AS r_{c}" for c in ("coarse", "n", "top"))
+_DIGEST = "sha256(concat_ws('|', '{seed}', rep::VARCHAR, {key}::VARCHAR))"
+_PARTIAL = "(corr(r_coarse, r_n) - corr(r_coarse, r_top) * corr(r_n, r_top)) / sqrt((1 - corr(r_coarse, r_top) ** 2) * (1 - corr(r_n, r_top) ** 2))"
+
+
+@plan(f"""WITH {_NATION}, z AS (SELECT *, row_number() OVER (ORDER BY nation) - 1 AS place, count(*) OVER () AS m FROM nat),
+b AS (SELECT rep, p.coarse, p.n, p.top FROM (SELECT rep, ('0x' || substr({_DIGEST.format(seed='adj', key='place')}, 1, 8))::BIGINT % m AS place FROM z, (SELECT range AS rep FROM range(0, 5000))) d JOIN z p USING (place)),
+rb AS (SELECT rep, {_RANKS} FROM b), pb AS (SELECT rep, {_PARTIAL} AS rho FROM rb GROUP BY rep),
+r AS (SELECT nation, {_RANKS} FROM (SELECT *, 0 AS rep FROM nat)), seen AS (SELECT count(*) AS n, {_PARTIAL} AS rho FROM r),
+l AS (SELECT regr_slope(r_coarse, r_top) AS bx, regr_intercept(r_coarse, r_top) AS ax, regr_slope(r_n, r_top) AS b_y, regr_intercept(r_n, r_top) AS ay FROM r),
+e AS (SELECT nation, r_top, r_coarse - ax - bx * r_top AS ex, ay + b_y * r_top AS fit, r_n - ay - b_y * r_top AS ey FROM r, l),
+q AS (SELECT rep, nation, ex, fit, r_top, ey, row_number() OVER (PARTITION BY rep ORDER BY nation) AS k, row_number() OVER (PARTITION BY rep ORDER BY {_DIGEST.format(seed='adjp', key='nation')}) AS s FROM e, (SELECT range AS rep FROM range(1, 10000))),
+y AS (SELECT a.rep, a.ex, a.r_top, a.fit + b.ey AS y FROM q a JOIN q b ON a.rep = b.rep AND a.k = b.s),
+n AS (SELECT rep, sum(y * ex) / sqrt(var_pop(y) * count(*) * (1 - corr(y, r_top) ** 2) * sum(ex * ex)) AS rho FROM y GROUP BY rep)
+SELECT 0 AS k, (SELECT n FROM seen)::BIGINT AS n, round((SELECT rho FROM seen), 6) AS rho, round((SELECT quantile_cont(rho, 0.025) FROM pb), 6) AS low, round((SELECT quantile_cont(rho, 0.975) FROM pb), 6) AS high,
+  round((1 + count(*) FILTER (abs(rho) >= abs((SELECT rho FROM seen)) - 1e-12)) / 10000.0, 6) AS p FROM n""")
 def adjusted_association(spark, sf_dir):
     """Partial rank correlation with its bootstrap interval and residual permutation p, at the rule's 5000 and 9999 replicates."""
     return rounded(statistics.adjusted_association(nations(spark, sf_dir), ["k"], "nation", "coarse", "n", "top"))

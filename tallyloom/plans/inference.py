@@ -209,10 +209,22 @@ def cox_efron(spark, sf_dir):
     return rounded(statistics.cox_by_group(d, ["nation"], "days", "event", "x"))
 
 
-@plan()
+def _residual_sql(terms: int) -> str:
+    """Least squares in SQL: each term in turn is taken out of all later ones and of y."""
+    steps = ["x0 AS (SELECT nation % 5 AS region, id, id % 3 <> 0 AS fit, (x - 25) / 25 AS x, y FROM pt)",
+             "c0 AS (SELECT region, id, fit, 1.0::DOUBLE AS t0, x AS t1, x ** 2 AS t2, x ** 3 AS t3, greatest(0, x + 0.4::DOUBLE) ** 3 AS t4, greatest(0, x - 0.2::DOUBLE) ** 3 AS t5, y FROM x0)"]
+    for k in range(terms):
+        later = [f"t{j}" for j in range(k + 1, terms)] + ["y"]
+        sums = ", ".join(f"sum(t{k} * {c}) FILTER (fit) / sum(t{k} * t{k}) FILTER (fit) AS b_{c}" for c in later)
+        steps.append(f"s{k} AS (SELECT region, {sums} FROM c{k} GROUP BY region)")
+        steps.append(f"c{k + 1} AS (SELECT region, id, fit, {', '.join(f'{c} - b_{c} * t{k} AS {c}' for c in later)} FROM c{k} JOIN s{k} USING (region))")
+    return f"WITH {_POINTS}, {', '.join(steps)} SELECT region, id, round(y, 2) AS residual FROM c{terms}"
+
+
+@plan(_residual_sql(6))
 def spline_residuals(spark, sf_dir):
-    p = points(spark, sf_dir).withColumn("fit", F.col("id") % 3 != 0)
-    return rounded(statistics.spline_residuals(p, ["nation"], "y", "x", "fit", [15.0, 30.0], "id"), digits=3)
+    p = points(spark, sf_dir).select((F.col("nation") % 5).alias("region"), "id", (F.col("id") % 3 != 0).alias("fit"), ((F.col("x") - 25) / 25).alias("x"), "y")
+    return rounded(statistics.spline_residuals(p, ["region"], "y", "x", "fit", [-0.4, 0.2], "id"), digits=2)
 
 
 @plan("""SELECT event_type, round(quantile_cont(value, 0.1), 6) AS q100, round(quantile_cont(value, 0.25), 6) AS q250, round(quantile_cont(value, 0.5), 6) AS q500, round(quantile_cont(value, 0.75), 6) AS q750, round(quantile_cont(value, 0.9), 6) AS q900 FROM events GROUP BY 1""")

@@ -143,7 +143,11 @@ def caliper_block_match(spark, sf_dir):
     return matching.one_per_block(_band(spark, sf_dir, None), "p_partkey", "c_p_type", 4, least=2).select("p_partkey", "c_p_partkey", "place")
 
 
-@plan()
+@plan("""WITH RECURSIVE r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part),
+g AS (SELECT p_brand, p_partkey, k, true AS ok, [p_partkey] AS taken FROM r WHERE k = 1 UNION ALL
+ SELECT p_brand, p_partkey, k, ok, CASE WHEN ok THEN list_append(taken, p_partkey) ELSE taken END FROM
+  (SELECT r.p_brand, r.p_partkey, r.k, g.taken, len(g.taken) < 12 AND len(list_filter(g.taken, lambda x: abs(x - r.p_partkey) < 15)) = 0 AS ok FROM g JOIN r ON r.p_brand = g.p_brand AND r.k = g.k + 1))
+SELECT p_brand, p_partkey, len(taken)::BIGINT AS pick FROM g WHERE ok""")
 def greedy_spaced_selection(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
     p = p.withColumn("rank", F.row_number().over(_by_price()))
