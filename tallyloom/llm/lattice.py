@@ -283,7 +283,7 @@ def _word_id(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
-def score_texts(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds: int = 2, common: int = 200_000) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds: int = 2, common: int = 200_000, share: int = 100_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score: one row per row of ``docs``.
 
     ``held_out`` is a boolean column; the other rows are learned from. Tokens
@@ -295,11 +295,15 @@ def score_texts(docs: DataFrame, held_out, vocabulary: str = VOCABULARY, rounds:
 
     Words seen in more than one of ``common`` training tokens, so fewer than
     ``common`` of them at any input size, are looked up in a broadcast table;
-    all others go through a join on a 64-bit hash.
+    all others go through a join on a 64-bit hash. ``share`` is about the number
+    of different words in one task.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out.alias("held_out"))
     numbered = d.withColumn("row", F.monotonically_increasing_id())
-    counts = keep(word_counts(d))
+    merged = keep(word_counts(d))
+    # Scoring words is the costly part, so a task gets a bounded share of them at any input size.
+    counts = keep(merged.repartition(1 + merged.count() // share, "word"))
+    drop(merged)
     facts = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     ends = d.where(~F.col("held_out")).count()
     n_train, distinct = (facts.n or 0) + ends, (facts.v or 0) + (ends > 0)

@@ -31,7 +31,7 @@ from .common import drop, free, keep
 MIN_RUN = 2
 MIN_WORDS = 8  # a single line of so many words is a run of its own
 BREAK = "\n"
-_TRIM = r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$"
+_BLANK = "\t\n\x0b\x0c\r "
 _LAST = (1 << 63) - 1
 
 
@@ -42,7 +42,7 @@ def _row():
 
 def _sequence():
     """Non-blank lines of a text as structs (at, line): index in the text and trimmed line."""
-    trimmed = F.transform(F.split("text", BREAK), lambda x, i: F.struct(i.alias("at"), F.regexp_replace(x, _TRIM, "").alias("line")))
+    trimmed = F.transform(F.split("text", BREAK), lambda x, i: F.struct(i.alias("at"), F.btrim(x, F.lit(_BLANK)).alias("line")))
     return F.filter(trimmed, lambda x: x["line"] != "")
 
 
@@ -55,8 +55,10 @@ def line_ids(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     lines = docs.where(F.col("text").isNotNull()).select(
         _row().alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(_sequence()).alias("place", "line"))
+    # Words are counted only in lines with room for so many.
     words = F.size(F.split("line.line", r"[\x09-\x0D\x20]+"))
-    return lines.select("row", "doc", "place", (words >= min_words).alias("long"), F.xxhash64("line.line").alias("x"), F.xxhash64(F.lit("second"), "line.line").alias("y"))
+    long = F.when(F.length("line.line") >= 2 * min_words - 1, words >= min_words).otherwise(F.lit(False))
+    return lines.select("row", "doc", "place", long.alias("long"), F.xxhash64("line.line").alias("x"), F.xxhash64(F.lit("second"), "line.line").alias("y"))
 
 
 def _ranked(suffixes: DataFrame) -> DataFrame:

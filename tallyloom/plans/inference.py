@@ -118,7 +118,7 @@ def points(spark, sf_dir):
 @plan(f"""WITH {_POINTS}, s AS (SELECT a.nation, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM pt a JOIN pt b ON a.nation = b.nation AND a.id < b.id AND a.x <> b.x GROUP BY 1)
 SELECT nation, count(*)::BIGINT AS n, round(any_value(slope), 6) AS slope, round(quantile_cont(y - slope * x, 0.5), 6) AS intercept FROM pt JOIN s USING (nation) GROUP BY nation""")
 def theil_sen(spark, sf_dir):
-    return rounded(statistics.theil_sen(points(spark, sf_dir), ["nation"], "x", "y", "id"))
+    return rounded(statistics.theil_sen(points(spark, sf_dir), ["nation"], "x", "y"))
 
 
 @plan(f"""WITH {_POINTS}, z AS (SELECT id, x, y, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM pt WHERE nation = 0), r AS (SELECT range AS rep FROM range(0, 200)),

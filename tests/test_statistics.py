@@ -169,14 +169,42 @@ def test_huber_ignores_outliers_and_theil_sen_is_a_median(spark):
     y = 2 + 3 * x
     y[5] = 1000
     d = spark.createDataFrame([(0, i, float(p), float(q)) for i, (p, q) in enumerate(zip(x, y))], "k int, i int, x double, y double")
-    r = statistics.theil_sen(d, ["k"], "x", "y", "i").first()
+    r = statistics.theil_sen(d, ["k"], "x", "y").first()
     assert (r.slope, r.intercept) == pytest.approx((3, 2))
     b = statistics.huber(d, ["k"], "y", ["x"]).first()
     assert (b.b0, b.b1) == pytest.approx((2, 3), abs=1e-6)
     refits = statistics.theil_sen_bootstrap(d, ["k"], "x", "y", "i", 20, "s").collect()
     assert len(refits) == 20 and np.median([r.slope for r in refits]) == pytest.approx(3) and np.median([r.intercept for r in refits]) == pytest.approx(2)
     with pytest.raises(ValueError, match="at most 29"):
-        statistics.theil_sen(d, ["k"], "x", "y", "i", most=29)
+        statistics.theil_sen(d, ["k"], "x", "y", most=29)
+
+
+def test_median_slope_without_listing_pairs():
+    g = np.random.default_rng(11)
+    for n in (2, 7, 40, 151):
+        x, y = g.integers(0, 9, n).astype(float), np.round(g.normal(size=n) * 50, 2)
+        assert statistics.median_slope(x, y, pairs_at_once=0) == pytest.approx(statistics.median_slope(x, y), rel=1e-9, abs=1e-9, nan_ok=True)
+    assert math.isnan(statistics.median_slope(np.ones(5), np.arange(5.0), pairs_at_once=0))
+
+
+def test_freedman_lane_null_and_interval(spark):
+    """One replicate's null by plain residuals of the dealt ranks, and an interval that holds the estimate."""
+    g = np.random.default_rng(12)
+    z = g.normal(size=30)
+    x, y = z + g.normal(size=30), 0.5 * z + g.normal(size=30)
+    d = spark.createDataFrame([(0, i, *map(float, r)) for i, r in enumerate(zip(x, y, z))], "k int, i int, x double, y double, z double")
+    r = statistics.adjusted_association(d, ["k"], "i", "x", "y", "z", boots=200, permutations=60).first()
+    a = np.column_stack([np.ones(30), rank_mean(z)])
+    left = lambda v: v - a @ np.linalg.lstsq(a, v, rcond=None)[0]
+    rx, ry = np.array(rank_mean(x)), np.array(rank_mean(y))
+    ex, ey = left(rx), left(ry)
+    assert r.n == 30 and r.rho == pytest.approx(np.corrcoef(ex, ey)[0, 1]) and r.low < r.rho < r.high
+    dealt = resampling.permute(d.select("k", "i", F.col("i").alias("v")), ["k"], "i", "v", 60, "adjp").toPandas()
+    null = []
+    for _, p in dealt.groupby("rep"):
+        p = p.sort_values("i")
+        null.append(np.corrcoef(ex, left(ry - ey + ey[p.v.to_numpy()]))[0, 1])
+    assert r.p == pytest.approx((1 + sum(abs(v) >= abs(r.rho) - 1e-12 for v in null)) / 61)
 
 
 def test_concordance_counts_pairs():
@@ -278,3 +306,32 @@ def test_resampling_plans_take_the_operators_numbers(spark, small, monkeypatch):
         monkeypatch.setattr(module, operator, lambda df, *a, q=query, **k: given.setdefault(q, k) and df or df)
         QUERIES[query](spark, small)
     assert given == {"fixed_margin_null": {}, "block_pattern_excess": {}, "survival_stability": {}}
+
+
+def test_small_operators_of_calls(spark):
+    from tallyloom.operators import counting, studies
+
+    reads = spark.createDataFrame([("ACGT", p, rev) for p in range(4) for rev in (False, True)] + [("C", 0, False), ("G", 0, True)], "s string, p int, rev boolean")
+    got = {(r.s, r.p, r.rev): (r.opportunity, r.intact) for r in counting.strand_opportunity(reads, "s", "p", "rev").collect()}
+    assert {k for k, v in got.items() if v[0]} == {("ACGT", 1, False), ("ACGT", 2, True), ("C", 0, False), ("G", 0, True)}
+    assert got["ACGT", 1, False] == got["ACGT", 2, True] == (True, True) and not got["C", 0, False][1] and not got["G", 0, True][1]
+    blocks = spark.createDataFrame([("c1", 10, 100, 5000, False), ("c1", 0, 100, 50, True), ("c2", 0, 100, 50, False)], "chrom string, query_start int, ref_start int, length int, rev boolean")
+    sites = spark.createDataFrame([("c1", p) for p in (99, 100, 149, 1100, 5099, 5100)], "chrom string, site int")
+    out = sorted((r.ref_start, r.length, r.site, r.query_place) for r in counting.sites_in_blocks(blocks, sites, ["chrom"], "site", "rev").collect())
+    assert out == [(100, 50, 99, 0), (100, 50, 100, 1), (100, 5000, 100, 10), (100, 5000, 149, 59), (100, 5000, 1100, 1010), (100, 5000, 5099, 5009)]
+    with pytest.raises(ValueError, match="no column"):
+        counting.sites_in_blocks(blocks, sites.select("site"), ["chrom"], "site")
+    same = [(0, m, 2 if m < 12 else 0, 2 if m < 12 else 0) for m in range(24)] + [(1, m, (m % 2) * 2, (m // 2 % 2) * 2) for m in range(24)] + [(2, m, 1, 2) for m in range(4)]
+    r = {x.k: x for x in sequences.pair_metrics(spark.createDataFrame(same, "k int, m int, a int, b int"), ["k"], "m", "a", "b").collect()}
+    assert r[0].phi == pytest.approx(1) and r[0].joint_excess == pytest.approx(100 * 11 / 12 * 24 / 23 * 0.25) and r[1].joint_excess == pytest.approx(0) and r[0].phi_valid >= 32
+    assert r[2].phi is None and r[2].phi_valid == 0 and r[2].molecules == 4
+    q = [tuple(x) for x in sequences.quartets(spark.createDataFrame([(0, p) for p in (5, 1, 9, 30, 44)], "k int, p int"), ["k"], "p").orderBy("first").collect()]
+    assert q == [(0, 1, 15, 31), (0, 5, 24, 41)]
+    pile = spark.createDataFrame([(1, "A", True, 10), (1, "A", False, 5), (1, "C", True, 9), (1, "C", False, 1), (2, "A", True, 10), (2, "A", False, 5), (2, "C", True, 7), (2, "C", False, 3)], "pos int, base string, fwd boolean, n long")
+    assert [r.pos for r in studies.variants(pile, ["pos"], strand="fwd").collect()] == [2]
+    pairs = spark.createDataFrame([(1, 2.0, 1.0, 5.0, None), (1, 2.0, 3.0, 5.0, 4.0), (2, 6.0, 1.0, None, 1.0), (3, 1.0, 1.0, 7.0, None)], "t int, a double, ca double, b double, cb double")
+    m = {x.metric: (x.targets, x.difference) for x in rollups.paired_differences(pairs, "t", {"a": ("a", "ca"), "b": ("b", "cb")}).collect()}
+    assert m == {"a": (3, pytest.approx(5 / 3)), "b": (1, pytest.approx(1.0))}
+    left = spark.createDataFrame([("x#12",), ("none",), ("y#7",)], "name string")
+    right = spark.createDataFrame([(12, "a"), (7, "b")], "id long, v string")
+    assert sorted((r.name, r.v) for r in rollups.joined_by_pattern(left, right, "name", r"#(\d+)$", "id").collect()) == [("x#12", "a"), ("y#7", "b")]
