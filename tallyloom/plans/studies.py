@@ -42,7 +42,7 @@ def two_level_bootstrap(spark, sf_dir):
     w = windows(spark, sf_dir)
     mol = w.groupBy("sample", (F.col("win") % 3).alias("rep")).agg(F.avg("h").alias("v"))
     pat = w.select("sample").distinct().withColumn("grp", F.col("sample") < 15)
-    return rounded(resampling.interval(studies.two_level_bootstrap(pat, mol, "grp", "sample", "rep", "v", 40, 3, "two"), ["grp"], "mean"))
+    return rounded(resampling.interval(studies.two_level_bootstrap(pat, mol, "grp", "sample", "rep", "v", 500, 3, "two"), ["grp"], "mean"))
 
 
 @plan(f"""{BASE}, q AS (SELECT sample, win % 2 AS locus, unnest(quantile_cont(h, [0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95])) AS q, unnest(range(0, 10)) AS k FROM windows GROUP BY 1, 2),
