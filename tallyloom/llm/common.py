@@ -34,15 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def keep(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in a folder for each value of ``by`` if given, and read it back.
 
     This cuts the lineage, so a lost executor costs a re-read and never a
     recomputation of everything before, and an iteration's plan stays short.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
