@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, embeddings, language, lattice, lines, mixing, quality, simhash, substring, toxicity
+from . import alignment, decontamination, embeddings, language, lattice, licenses, lines, mixing, quality, simhash, substring, toxicity
 from .common import fold, table
 
 
@@ -64,6 +64,10 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -98,6 +102,7 @@ QUERIES = {
     "op9_source_mixing": op9_source_mixing,
     "op10_toxicity": op10_toxicity,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_license_scan": op12_license_scan,
 }
 OP3_SQL = r"""
 WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
@@ -157,4 +162,21 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c
 FROM e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
-ORACLE_SQL = {"op5_benchmark_decontamination": OP5_SQL, "op3_line_dedup": OP3_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_source_mixing": OP9_SQL}
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(licenses.TEMPLATES))}) v(id, label, text)),
+tw AS (SELECT id, label, unnest(list_distinct(string_split(text, ' '))) AS word FROM t), tm AS (SELECT id, count(*) AS m FROM tw GROUP BY id),
+b AS (SELECT r, w, unnest(range(0, greatest(ceil(len(w) / {licenses.BLOCK // 2}.0)::BIGINT - 2, 0) + 1)) AS b FROM d),
+bw AS (SELECT DISTINCT r, b, unnest(w[b * {licenses.BLOCK // 2} + 1:b * {licenses.BLOCK // 2} + {licenses.BLOCK}]) AS word FROM b),
+s AS (SELECT r, b, id, label, count(*) AS n FROM bw JOIN tw USING (word) GROUP BY r, b, id, label),
+met AS (SELECT r, label, n::DOUBLE / m AS containment FROM s JOIN tm USING (id) WHERE n >= ceil({licenses.CONTAINMENT} * m - 1e-9)),
+p AS (SELECT * FROM (VALUES {", ".join(f"({p.split()}, {len(p.split())}, '{label}')" for p, label in licenses.PHRASES)}) v(phrase, k, label)),
+hit AS (SELECT r, label, unnest(list_filter(range(0, len(w) - k + 1), lambda i: w[i + 1:i + k] = phrase)) AS place FROM d, p),
+h AS (SELECT r, count(*) AS n, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY r),
+a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM met UNION ALL SELECT r, label FROM hit) GROUP BY r), c AS (SELECT r, max(containment) AS best FROM met GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_base, h.first_word::BIGINT AS first_word, h.last_word::BIGINT AS last_word, coalesce(h.labels, '') AS base_labels,
+       coalesce(a.labels, '') AS labels, CASE WHEN h.n > 0 THEN 1.0 ELSE coalesce(c.best, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN h USING (r) LEFT JOIN a USING (r) LEFT JOIN c USING (r)
+"""
+
+ORACLE_SQL = {"op12_license_scan": OP12_SQL, "op5_benchmark_decontamination": OP5_SQL, "op3_line_dedup": OP3_SQL, "op8_embedding_near_dedup": OP8_SQL, "op9_source_mixing": OP9_SQL}
