@@ -7,8 +7,8 @@ is the number of documents that hold it linked.
 
 Encoding. Neither side has a token that goes past a single space between two
 visible characters, so a text falls into chunks there, and each side's tokens of
-the text are those of its chunks. A task encodes each different chunk once and
-looks it up afterwards, and a text of any length is never encoded as one.
+the text are those of its chunks. A worker encodes a chunk once and looks it
+up afterwards, and a text of any length is never encoded as one.
 
 Counts. Ids of A are striped: id a belongs to stripe ``a % stripes`` and is row
 ``a // stripes`` of that stripe's block, a dense matrix with a column for each
@@ -32,7 +32,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from functools import lru_cache
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +50,9 @@ _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 #: Chunks that the fast encoder may take: short, and of characters on whose classes all versions of Unicode agree.
 _PLAIN = re.compile("[\x00-ɏ]{,1000}")
 _MARK = "▁"
-_BLOCK_BYTES = 4_000_000
+_BLOCK_BYTES = 2_000_000
 _BLOCK_DOCS = 2048
-_CACHED = 400_000
+_CACHED = 250_000
 _LINK = "kind int, stripe int, block long, n long, places array<int>, cells array<int>, times array<long>, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>"
 
 
@@ -64,7 +65,7 @@ def byte_table(vocabulary: dict[str, int]) -> dict[int, bytes]:
 
 
 class Vocabularies:
-    """Both encoders with the bytes of their ids. One is made in each task."""
+    """Both encoders with the bytes of their ids."""
 
     def __init__(self, a_file: str, b_file: str):
         import os
@@ -86,6 +87,10 @@ class Vocabularies:
         self.n_a, self.n_b = max(model["model"]["vocab"].values()) + 1, self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.length_a, self.length_b = (np.array([len(t.get(i, b"")) for i in range(n)], np.int64) for t, n in ((self.bytes_a, self.n_a), (dict(enumerate(self.bytes_b)), self.n_b)))
+        # How a token is written inside its side of a group, and at that side's end.
+        self.inside = np.array([f"{i}," for i in range(max(self.n_a, self.n_b))], object)
+        self.end_a, self.end_b = (np.array([f"{i}{sign}" for i in range(n)], object) for n, sign in ((self.n_a, "|"), (self.n_b, ";")))
         if any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces):
             raise ValueError("a piece of B goes past a space: texts can't be cut there")
 
@@ -116,15 +121,16 @@ class Chunks:
         v = self.v
         a, b = v.encode(fresh)
         broken = np.zeros(len(fresh), np.int64)
-        for i, c in enumerate(fresh):
-            want = f" {c}".encode()
-            if b"".join(map(v.bytes_a.__getitem__, a[i])) != want or b"".join(map(v.bytes_b.__getitem__, b[i])) != want:
-                broken[i], a[i], b[i] = 1, [], []
-        ids_a, ids_b = (np.fromiter((t for x in side for t in x), np.int64) for side in (a, b))
-        end_a = np.cumsum(np.fromiter((len(v.bytes_a[t]) for t in ids_a.tolist()), np.int64, len(ids_a)))
-        end_b = np.cumsum(np.fromiter((len(v.bytes_b[t]) for t in ids_b.tolist()), np.int64, len(ids_b)))
-        begin_a, begin_b = np.concatenate(([0], end_a[:-1]))[: len(end_a)], np.concatenate(([0], end_b[:-1]))[: len(end_b)]
+        want = [f" {c}".encode() for c in fresh]
+        whole = b"".join(want)
+        if any(b"".join(map(table.__getitem__, chain.from_iterable(side))) != whole for table, side in ((v.bytes_a, a), (v.bytes_b, b))):
+            for i, w in enumerate(want):  # some chunk does not come back byte for byte
+                if b"".join(map(v.bytes_a.__getitem__, a[i])) != w or b"".join(map(v.bytes_b.__getitem__, b[i])) != w:
+                    broken[i], a[i], b[i] = 1, [], []
         n_a, n_b = (np.fromiter(map(len, side), np.int64, len(fresh)) for side in (a, b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(side), np.int64, n.sum()) for side, n in ((a, n_a), (b, n_b)))
+        end_a, end_b = np.cumsum(v.length_a[ids_a]), np.cumsum(v.length_b[ids_b])
+        begin_a, begin_b = np.concatenate(([0], end_a[:-1]))[: len(end_a)], np.concatenate(([0], end_b[:-1]))[: len(end_b)]
         both = np.intersect1d(end_a, end_b, assume_unique=True)
         owner_a = np.repeat(np.arange(len(fresh)), n_a)
         n_groups = np.bincount(owner_a[np.searchsorted(end_a, both)], minlength=len(fresh))
@@ -140,15 +146,18 @@ class Chunks:
         self.sums = np.concatenate((self.sums, np.stack((n_a, n_b, n_groups, n_links, broken), axis=1)))
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
 
-    @staticmethod
-    def _write(ids_a, ids_b, end_a, end_b, both, n) -> list[str]:
+    def _write(self, ids_a, ids_b, end_a, end_b, both, n) -> list[str]:
         """``a1,a2|b1`` of each group, groups joined by ``;``: each token with the sign after it, group by group, side A first."""
         group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
-        order = np.lexsort((np.concatenate((np.zeros(len(ids_a), np.int8), np.ones(len(ids_b), np.int8))), np.concatenate((group_a, group_b))))
-        last_a, last_b = np.append(group_a[1:] != group_a[:-1], True)[: len(ids_a)], np.append(group_b[1:] != group_b[:-1], True)[: len(ids_b)]
-        text = [f"{t}|" if e else f"{t}," for t, e in zip(ids_a.tolist(), last_a.tolist())] + [f"{t};" if e else f"{t}," for t, e in zip(ids_b.tolist(), last_b.tolist())]
-        text = [text[i] for i in order.tolist()]
-        ends = np.cumsum(n).tolist()
+        # A token stands after all of its own side before it and the other side's tokens of the groups before (side B: and of its own).
+        place_a = np.arange(len(ids_a)) + np.searchsorted(group_b, group_a, "left")
+        place_b = np.arange(len(ids_b)) + np.searchsorted(group_a, group_b, "right")
+        text = np.empty(len(ids_a) + len(ids_b), object)
+        for ids, place, group, ends in ((ids_a, place_a, group_a, self.v.end_a), (ids_b, place_b, group_b, self.v.end_b)):
+            last = np.append(group[1:] != group[:-1], True)[: len(ids)]
+            text[place] = self.v.inside[ids]
+            text[place[last]] = ends[ids[last]]
+        text, ends = text.tolist(), np.cumsum(n).tolist()
         return ["".join(text[e - k : e])[:-1] for e, k in zip(ends, n.tolist())]
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -170,6 +179,18 @@ class Chunks:
         return width, self.pairs[at]
 
 
+@lru_cache(maxsize=1)
+def vocabularies(a_file: str, b_file: str) -> Vocabularies:
+    """Read once in a Python worker, whose tasks share them."""
+    return Vocabularies(a_file, b_file)
+
+
+@lru_cache(maxsize=1)
+def _held(a_file: str, b_file: str) -> list[Chunks]:
+    """The chunks that a worker's tasks know, as the only entry of a list."""
+    return [Chunks(vocabularies(a_file, b_file))]
+
+
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes]]]:
     """Rows (doc_id, text) in blocks of bounded bytes and number; a longer text is a block of its own."""
     rows, size = [], 0
@@ -215,12 +236,13 @@ def _encode(a_file: str, b_file: str, stripes: int):
     """Blocks of documents to rows of kind 0 (what is known of the documents), 1 (their links by stripe) and 2 (the task's own counts by stripe)."""
 
     def run(batches):
-        v = Vocabularies(a_file, b_file)
-        chunks, own, held = Chunks(v), [], 0
+        v, known = vocabularies(a_file, b_file), _held(a_file, b_file)
+        own, held = [], 0
         block = TaskContext.get().partitionId() << 32
         for rows in _blocks(batches):
-            if len(chunks.known) > _CACHED:
-                chunks = Chunks(v)
+            if len(known[0].known) > _CACHED:
+                known[0] = Chunks(v)
+            chunks = known[0]
             facts, place, pair, times = [], [], [], []
             for i, ((doc_id, _), numbers) in enumerate(zip(rows, chunks.of([t for _, t in rows]))):
                 sums = chunks.sums[numbers].sum(axis=0)
@@ -247,10 +269,10 @@ def _encode(a_file: str, b_file: str, stripes: int):
                 yield _arrow([_rows(kind=1, stripe=s, block=block, n=e - b, places=place[b:e], cells=cells[b:e], times=times[b:e]) for s, (b, e) in enumerate(zip([0, *ends], ends)) if e > b])
                 own.append(_merged([(pair, np.ones(len(pair), np.int64))]))
                 held += len(own[-1][0])
-                if held > 4_000_000:
+                if held > 1_500_000:
                     own = [_merged(own)]
                     held = len(own[0][0])
-                    if held > 3_000_000:
+                    if held > 1_000_000:
                         yield from _counts(own[0], v.n_b, stripes, block)
                         own, held = [], 0
             block += 1
@@ -282,6 +304,7 @@ def _add_up(n_rows: int, n_b: int):
                     yield (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), _numbers(batch.column(2), i), _numbers(batch.column(3), i)
 
         for (stripe, part), group in groupby(rows(), key=lambda r: r[0]):
+            _held.cache_clear()  # a worker that has encoded gives that memory back
             block, met = np.zeros((n_rows, n_b), np.int64), np.zeros(n_rows, bool)
             for _, cells, n in group:
                 np.add.at(block.reshape(-1), cells, n)
@@ -320,6 +343,7 @@ def _score(n_rows: int, n_b: int):
     """One stripe's counts (kind 0), then links (kind 1) of blocks of documents: sums of each document's links."""
 
     def run(batches):
+        _held.cache_clear()
         counts, best = np.zeros(n_rows * n_b, np.int64), np.zeros(n_rows, np.int64)
         for batch in batches:
             blocks, places, best_n, sums = [], [], [], []
@@ -399,5 +423,5 @@ def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, stripes:
 
 def _sizes(a_file: str, b_file: str) -> tuple[int, int]:
     """Numbers of ids of both vocabularies."""
-    v = Vocabularies(a_file, b_file)
+    v = vocabularies(a_file, b_file)
     return v.n_a, v.n_b
