@@ -32,7 +32,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from contextlib import contextmanager
+from functools import cached_property, lru_cache
 from itertools import chain, groupby
 
 import numpy as np
@@ -50,9 +51,9 @@ _CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 #: Chunks that the fast encoder may take: short, and of characters on whose classes all versions of Unicode agree.
 _PLAIN = re.compile("[\x00-ɏ]{,1000}")
 _MARK = "▁"
-_BLOCK_BYTES = 2_000_000
+_BLOCK_BYTES = 1_000_000
 _BLOCK_DOCS = 2048
-_CACHED = 250_000
+_CACHED = 120_000
 _LINK = "kind int, stripe int, block long, n long, places array<int>, cells array<int>, times array<long>, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>"
 
 
@@ -74,10 +75,8 @@ class Vocabularies:
         import public_tokenizers
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.slow_a = Tokenizer.from_file(a_file)
-        self.slow_a.encode_special_tokens = True
+        self.a_file = a_file
         with open(a_file, encoding="utf-8") as f:
             model = json.load(f)
         special = {t["content"] for t in model["added_tokens"]}
@@ -94,6 +93,14 @@ class Vocabularies:
         if any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces):
             raise ValueError("a piece of B goes past a space: texts can't be cut there")
 
+    @cached_property
+    def slow_a(self):
+        from tokenizers import Tokenizer
+
+        a = Tokenizer.from_file(self.a_file)
+        a.encode_special_tokens = True
+        return a
+
     def encode(self, chunks: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a: list = [None] * len(chunks)
         slow = []
@@ -102,7 +109,7 @@ class Vocabularies:
                 a[i] = self.fast_a.encode_ordinary(f" {c}")
             else:
                 slow.append(i)
-        for i, e in zip(slow, self.slow_a.encode_batch([f" {chunks[i]}" for i in slow], add_special_tokens=False)):
+        for i, e in zip(slow, self.slow_a.encode_batch([f" {chunks[i]}" for i in slow], add_special_tokens=False) if slow else ()):
             a[i] = e.ids
         return a, self.b.encode(chunks, num_threads=1)
 
@@ -191,6 +198,26 @@ def _held(a_file: str, b_file: str) -> list[Chunks]:
     return [Chunks(vocabularies(a_file, b_file))]
 
 
+def _give_back() -> None:
+    """A worker that has encoded lets go of its chunks before it holds counts."""
+    _held.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
+@contextmanager
+def _small_batches(spark, rows: int = 1000, size: str = "16m"):
+    """Rows here are long: Arrow batches of fewer of them. The session's settings come back afterwards."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, value in names.items():
+            spark.conf.set(n, value)
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int | None, bytes]]]:
     """Rows (doc_id, text) in blocks of bounded bytes and number; a longer text is a block of its own."""
     rows, size = [], 0
@@ -269,10 +296,10 @@ def _encode(a_file: str, b_file: str, stripes: int):
                 yield _arrow([_rows(kind=1, stripe=s, block=block, n=e - b, places=place[b:e], cells=cells[b:e], times=times[b:e]) for s, (b, e) in enumerate(zip([0, *ends], ends)) if e > b])
                 own.append(_merged([(pair, np.ones(len(pair), np.int64))]))
                 held += len(own[-1][0])
-                if held > 1_500_000:
+                if held > 500_000:
                     own = [_merged(own)]
                     held = len(own[0][0])
-                    if held > 1_000_000:
+                    if held > 350_000:
                         yield from _counts(own[0], v.n_b, stripes, block)
                         own, held = [], 0
             block += 1
@@ -304,7 +331,7 @@ def _add_up(n_rows: int, n_b: int):
                     yield (batch.column(0)[i].as_py(), batch.column(1)[i].as_py()), _numbers(batch.column(2), i), _numbers(batch.column(3), i)
 
         for (stripe, part), group in groupby(rows(), key=lambda r: r[0]):
-            _held.cache_clear()  # a worker that has encoded gives that memory back
+            _give_back()
             block, met = np.zeros((n_rows, n_b), np.int64), np.zeros(n_rows, bool)
             for _, cells, n in group:
                 np.add.at(block.reshape(-1), cells, n)
@@ -343,7 +370,7 @@ def _score(n_rows: int, n_b: int):
     """One stripe's counts (kind 0), then links (kind 1) of blocks of documents: sums of each document's links."""
 
     def run(batches):
-        _held.cache_clear()
+        _give_back()
         counts, best = np.zeros(n_rows * n_b, np.int64), np.zeros(n_rows, np.int64)
         for batch in batches:
             blocks, places, best_n, sums = [], [], [], []
@@ -401,20 +428,22 @@ def align(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, stripes:
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     v = _sizes(a_file, b_file)
     n_rows = -(-v[0] // stripes)
-    links = keep(source.mapInArrow(_encode(a_file, b_file, stripes), _LINK), by="kind")
-    counts = stripe_counts(links.where("kind = 2").select("stripe", "block", "cells", "times"), n_rows, v[1], stripes, fan_in)
-    # One figure a stripe comes to the driver: how many partitions its links get.
-    share = {r[0]: r[1] for r in links.where("kind = 1").groupBy("stripe").agg(F.sum("n")).collect()}
-    usual = max(1, sum(share.values()) // stripes)
-    split = [max(1, -(-share.get(s, 0) // usual)) for s in range(stripes)]
-    base = np.concatenate(([0], np.cumsum(split))).tolist()
-    begin, n = F.array(*map(F.lit, base[:-1])), F.array(*map(F.lit, split))
-    stripe = F.col("stripe") + 1
-    dealt = links.where("kind = 1").select((F.element_at(begin, stripe) + F.pmod(F.xxhash64("block"), F.element_at(n, stripe))).cast("int").alias("unit"), F.lit(1).alias("kind"), "block", "places", "cells", "times")
-    first = F.element_at(begin, stripe)
-    told = counts.select(F.explode(F.sequence(first, first + F.element_at(n, stripe) - 1)).alias("unit"), F.lit(0).alias("kind"), "cells", "times", "ids", "best")
-    units = dealt.unionByName(told, allowMissingColumns=True).repartitionById(base[-1], F.col("unit")).sortWithinPartitions("kind")
-    scored = units.drop("unit").mapInArrow(_score(n_rows, v[1]), "block long, places array<int>, n_best array<long>, count_sum array<long>")
+    with _small_batches(docs.sparkSession):
+        links = keep(source.mapInArrow(_encode(a_file, b_file, stripes), _LINK), by="kind")
+        counts = stripe_counts(links.where("kind = 2").select("stripe", "block", "cells", "times"), n_rows, v[1], stripes, fan_in)
+        # One figure a stripe comes to the driver: how many partitions its links get.
+        share = {r[0]: r[1] for r in links.where("kind = 1").groupBy("stripe").agg(F.sum("n")).collect()}
+        usual = max(1, sum(share.values()) // stripes)
+        split = [max(1, -(-share.get(s, 0) // usual)) for s in range(stripes)]
+        base = np.concatenate(([0], np.cumsum(split))).tolist()
+        begin, n = F.array(*map(F.lit, base[:-1])), F.array(*map(F.lit, split))
+        stripe = F.col("stripe") + 1
+        dealt = links.where("kind = 1").select((F.element_at(begin, stripe) + F.pmod(F.xxhash64("block"), F.element_at(n, stripe))).cast("int").alias("unit"), F.lit(1).alias("kind"), "block", "places", "cells", "times")
+        first = F.element_at(begin, stripe)
+        told = counts.select(F.explode(F.sequence(first, first + F.element_at(n, stripe) - 1)).alias("unit"), F.lit(0).alias("kind"), "cells", "times", "ids", "best")
+        units = dealt.unionByName(told, allowMissingColumns=True).repartitionById(base[-1], F.col("unit")).sortWithinPartitions("kind")
+        scored = keep(units.drop("unit").mapInArrow(_score(n_rows, v[1]), "block long, places array<int>, n_best array<long>, count_sum array<long>"))
+        drop(counts)
     names = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "sha")
     facts = links.where("kind = 0").select("block", F.lit(0).alias("kind"), *names)
     rows = facts.unionByName(scored.withColumn("kind", F.lit(1)), allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
