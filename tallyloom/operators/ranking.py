@@ -49,11 +49,15 @@ def keyed_subset(df: DataFrame, by: Sequence[str], key: Sequence[Column], k: int
 
 
 def weighted_median(df: DataFrame, by: Sequence[str], value: str, weight: str) -> DataFrame:
-    """Least value at which the running weight reaches half of the total."""
+    """Median of rows that stand for ``weight`` (a whole number) equal ones: with an even total the mean of the two in the middle.
+
+    Null values and rows without weight do not count.
+    """
     upto = F.sum(weight).over(Window.partitionBy(*by).orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
     total = F.sum(weight).over(Window.partitionBy(*by))
-    d = df.withColumn("_u", upto).withColumn("_t", total).where(F.col("_u") * 2 >= F.col("_t"))
-    return d.groupBy(*by).agg(F.min(value).alias("weighted_median"))
+    d = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).withColumn("_u", upto).withColumn("_t", total).where(F.col("_u") * 2 >= F.col("_t"))
+    upper = F.min(F.when(F.col("_u") * 2 >= F.col("_t") + 1, F.col(value)))
+    return d.groupBy(*by).agg(((F.min(value) + upper) / 2).alias("weighted_median"))
 
 
 def local_minima(df: DataFrame, by: Sequence[str], x: str, y: str, value: str) -> DataFrame:

@@ -26,6 +26,35 @@ def bootstrap_means(df: DataFrame, by: Sequence[str], unit: str, value: str, rep
     return reps.withColumn("d", picked).select(*by, "rep", (F.aggregate("d", F.lit(0.0), lambda a, v: a + v) / F.size("d")).alias("mean"))
 
 
+def replicate_counts(units: DataFrame, by: Sequence[str], unit: str, replicates: int, seed: str) -> DataFrame:
+    """(by, unit, counts): how often each unit of a set is drawn in each of ``replicates`` draws of n with replacement.
+
+    One array of replicates a unit instead of a row a replicate: whatever is
+    measured at the units joins it once. Places are drawn, so sets of one size
+    share their draws. ``units`` is a set of samples, one array by group.
+    """
+    sets = units.groupBy(*by).agg(F.sort_array(F.collect_set(unit)).alias("_u"))
+    places = F.transform(F.sequence(F.lit(0), F.size("_u") - 1), lambda s: (draw(F.lit(seed), F.col("rep"), s) % F.size("_u")).cast("int"))
+    picks = sets.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_p", places)
+    each = picks.select(*by, "rep", F.posexplode("_u").alias("_k", unit), "_p").select(*by, "rep", unit, F.size(F.filter("_p", lambda q: q == F.col("_k"))).alias("n"))
+    return each.groupBy(*by, unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "n"))), lambda x: x["n"]).alias("counts"))
+
+
+def bootstrap_contrast(df: DataFrame, by: Sequence[str], unit: str, in_group: Column, value: str, replicates: int = 2000, seed: str = "contrast", low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(by, low, high): percentile interval of the mean of one group of units minus that of the other, both drawn anew with replacement.
+
+    The units of all keys are drawn together, so a replicate is one drawing of
+    samples. A drawn unit without a value at a key counts for nothing there; a
+    replicate without any value of a group is left out of the key's interval.
+    """
+    d = df.where(F.col(value).isNotNull()).withColumn("_g", in_group.cast("int")).where("_g IS NOT NULL")
+    counts = replicate_counts(d.select("_g", unit).distinct(), ["_g"], unit, replicates, seed)
+    met = d.join(counts, ["_g", unit]).select(*by, "_g", F.col(value).alias("_v"), F.posexplode("counts").alias("rep", "_n")).where("_n > 0")
+    mean = lambda g: F.sum(F.when(F.col("_g") == g, F.col("_v") * F.col("_n"))) / F.sum(F.when(F.col("_g") == g, F.col("_n")))
+    draws = met.groupBy(*by, "rep").agg((mean(1) - mean(0)).alias("_d"))
+    return interval(draws.where("_d IS NOT NULL"), by, "_d", low, high)
+
+
 def interval(draws: DataFrame, by: Sequence[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
     return draws.groupBy(*by).agg(F.expr(f"percentile({value}, {low}D)").alias("low"), F.expr(f"percentile({value}, {high}D)").alias("high"))
 

@@ -107,7 +107,7 @@ def block_patterns(df: DataFrame, by: Sequence[str], molecule: str, site: str, s
     return sizes.join(means, list(by), "left").select(*by, F.coalesce("molecules", F.lit(0).cast("long")).alias("molecules"), "entropy", "null_entropy", "entropy_excess", "joint_excess", "multi_excess")
 
 
-def survival_stability(df: DataFrame, by: Sequence[str], unit: str, time: str, event: str, x: str, boots: int = 2000, seed: int = 5, most_failed: float = 0.1, least_fits: int = 50, most: int = 20_000) -> DataFrame:
+def survival_stability(df: DataFrame, by: Sequence[str], unit: str, time: str, event: str, x: str, boots: int = 2000, seed: int = 5, most_failed: float = 0.1, least_fits: int = 500, most: int = 20_000) -> DataFrame:
     """Primary fit, leave-one-out range and sign share, bootstrap interval (withheld if too many fits fail).
 
     Every refit sees the whole cohort, so a cohort of over ``most`` rows is refused. A refit is a task's row, not a cohort.
@@ -182,9 +182,3 @@ def cluster_stability(df: DataFrame, unit: str, feature: str, value: str, repeat
 
     kind = dict(df.dtypes)[unit]
     return df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda p: run(p), f"`{unit}` {kind}, label int, agreement double")
-
-
-def conditional_p(observed: float, null: np.ndarray) -> float:
-    """One-sided (1 + number of null >= observed) / (1 + number)."""
-    return (1 + int((null >= observed).sum())) / (1 + len(null))
-

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import counting, intervals, resampling, rollups
-from .registry import BASE, CELLS, N_SAMPLES, SUPPORT, cells, plan, rounded, sample_count, supported, table, windows
+from .registry import BASE, CELLS, DEEP, N_SAMPLES, SUPPORT, cells, plan, rounded, sample_count, supported, table, windows
 
 
 @plan(f"WITH {CELLS} SELECT * FROM cells")
@@ -109,21 +109,33 @@ def group_contrast_loo(spark, sf_dir):
     return rounded(rollups.opposing(contrasts(spark, sf_dir), "m", "h", least=0.5))
 
 
-@plan(f"""{BASE}{_CONTRAST}, d AS (SELECT win, g, m, h, row_number() OVER (PARTITION BY win ORDER BY sample) AS k FROM g)
-SELECT win, abs(h) >= 0.5 AND h_stable AND h_agree >= 0.55 AND sign(h_median) = sign(h) AS stronger FROM contrast""")
-def stronger_consistency(spark, sf_dir):
-    c = contrasts(spark, sf_dir)
-    return c.select("win", ((F.abs("h") >= 0.5) & F.col("h_stable") & (F.col("h_agree") >= 0.55) & (F.signum("h_median") == F.signum("h"))).alias("stronger"))
+_DRAWS = f"""
+, u AS (SELECT DISTINCT sample, sample < 15 AS side FROM windows), z AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY sample) - 1 AS place, count(*) OVER (PARTITION BY side) AS size FROM u), rep AS (SELECT range AS rep FROM range(0, 2000)),
+dr AS (SELECT side, rep, ('0x' || substr(sha256(concat_ws('|', 'contrast', rep::VARCHAR, place::VARCHAR)), 1, 8))::BIGINT % size AS place FROM z, rep), dn AS (SELECT z.side, z.sample, rep, count(*) AS k FROM dr JOIN z ON dr.side = z.side AND dr.place = z.place GROUP BY 1, 2, 3),
+dm AS (SELECT win, rep, sum(h * k) FILTER (side) / sum(k) FILTER (side) - sum(h * k) FILTER (NOT side) / sum(k) FILTER (NOT side) AS d FROM windows JOIN dn USING (sample) GROUP BY 1, 2),
+ci AS (SELECT win, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM dm WHERE d IS NOT NULL GROUP BY win)"""
+
+
+def contrast_intervals(spark, sf_dir):
+    """Intervals of the difference between both groups of samples at each window, 2000 drawings of samples."""
+    return resampling.bootstrap_contrast(windows(spark, sf_dir), ["win"], "sample", F.col("sample") < 15, "h")
 
 
-@plan(f"""{BASE}, v AS (SELECT win, sample, h, row_number() OVER (PARTITION BY win ORDER BY sample) - 1 AS k, count(*) OVER (PARTITION BY win) AS n FROM windows WHERE sample < 15),
-r AS (SELECT range AS rep FROM range(0, 50)),
-d AS (SELECT v.win, rep, v.k AS slot, ('0x' || substr(sha256(concat_ws('|', 'boot', rep::VARCHAR, v.k::VARCHAR)), 1, 8))::BIGINT % v.n AS pick FROM v, r),
-m AS (SELECT d.win, d.rep, avg(v.h) AS mean FROM d JOIN v ON v.win = d.win AND v.k = d.pick GROUP BY 1, 2)
-SELECT win, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY win""")
+@plan(f"{BASE}{_DRAWS} SELECT win, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def bootstrap_contrast_ci(spark, sf_dir):
-    w = windows(spark, sf_dir).where("sample < 15")
-    return rounded(resampling.interval(resampling.bootstrap_means(w, ["win"], "sample", "h", 50, "boot"), ["win"], "mean"))
+    return rounded(contrast_intervals(spark, sf_dir))
+
+
+@plan(f"""{BASE}{_CONTRAST}{_DRAWS}, {DEEP}, deep_c AS (SELECT win, avg(h) FILTER (sample < 15) - avg(h) FILTER (sample >= 15) AS deep FROM deep GROUP BY win)
+SELECT win, round(h, 6) AS h, coalesce(deep * h > 0, false) AS same_when_deep, h_agree >= 0.8 AS agrees, h_median * h > 0 AS median_agrees, coalesce(low * high > 0, false) AS without_zero,
+coalesce(deep * h > 0, false) AND h_agree >= 0.8 AND h_median * h > 0 AND coalesce(low * high > 0, false) AS stronger FROM contrast LEFT JOIN deep_c USING (win) LEFT JOIN ci USING (win)""")
+def stronger_consistency(spark, sf_dir):
+    """Windows whose contrast keeps its sign at a depth of ten and in the medians, in 0.8 of all pairs of samples, with an interval that leaves out 0."""
+    deep = windows(spark, sf_dir, least=10).groupBy("win").agg((F.avg(F.when(F.col("sample") < 15, F.col("h"))) - F.avg(F.when(F.col("sample") >= 15, F.col("h")))).alias("deep"))
+    c = contrasts(spark, sf_dir).join(deep, "win", "left").join(contrast_intervals(spark, sf_dir), "win", "left")
+    no = lambda x: F.coalesce(x, F.lit(False))
+    c = c.select("win", "h", no(F.col("deep") * F.col("h") > 0).alias("same_when_deep"), (F.col("h_agree") >= 0.8).alias("agrees"), (F.col("h_median") * F.col("h") > 0).alias("median_agrees"), no(F.col("low") * F.col("high") > 0).alias("without_zero"))
+    return rounded(c.withColumn("stronger", F.col("same_when_deep") & F.col("agrees") & F.col("median_agrees") & F.col("without_zero")))
 
 
 @plan(f"""{BASE}{_CONTRAST}, x AS (SELECT win, sign(h)::INT AS s FROM contrast WHERE h <> 0),

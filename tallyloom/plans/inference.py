@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import ranking, resampling, rollups, statistics
+from ..functions import tails
+from ..operators import ranking, resampling, rollups, statistics, survival
 from .registry import BASE, plan, rounded, table, windows
 
 _NATION = """nat AS (SELECT c_nationkey AS nation, count(*) AS n, avg(c_acctbal) AS bal, max(c_acctbal) AS top, round(avg(c_acctbal) / 250) AS coarse FROM customer GROUP BY 1)"""
@@ -40,10 +41,15 @@ def spearman_perm(spark, sf_dir):
     return rounded(resampling.permutation_p(null.join(rho, "k"), ["k"], "rho", "seen").select(F.col("seen").alias("rho"), "p"))
 
 
-@plan(f"""WITH {_RANKED}, c AS (SELECT count(*) AS n, corr(rx, ry) AS xy, corr(rx, rz) AS xz, corr(ry, rz) AS yz FROM rk)
-SELECT n::BIGINT AS n, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS rho FROM c""")
+@plan(f"""WITH {_RANKED}, c AS (SELECT count(*) AS n, corr(rx, ry) AS xy, corr(rx, rz) AS xz, corr(ry, rz) AS yz FROM rk), o AS (SELECT n::BIGINT AS n, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS rho FROM c), t AS (SELECT *, rho * sqrt((n - 3) / (1 - rho * rho)) AS t, (n - 3)::DOUBLE AS df FROM o),
+a AS (SELECT *, atan(abs(t) / sqrt(df)) AS low, (pi() / 2 - atan(abs(t) / sqrt(df))) / 4000 AS step FROM t)
+SELECT n, round(rho, 6) AS rho, round(2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi()) * step / 3
+  * list_sum(list_transform(range(0, 4001), lambda k: CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * greatest(cos(low + k * step), 0) ** (df - 1))), 6) AS p FROM a""")
 def partial_rank_corr(spark, sf_dir):
-    return rounded(statistics.partial_spearman(nations(spark, sf_dir), ["k"], "coarse", "n", "top").select("n", "rho"))
+    """With the two-sided p of Student's t at n less three degrees of freedom; its SQL integrates the density by Simpson's rule."""
+    r = statistics.partial_spearman(nations(spark, sf_dir), ["k"], "coarse", "n", "top").select("n", "rho")
+    df = F.col("n") - 3
+    return rounded(r.withColumn("p", tails.t_two_sided(F.col("rho") * F.sqrt(df / (1 - F.col("rho") * F.col("rho"))), df)))
 
 
 _P = """ps AS (SELECT p_brand AS fam, p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE ((p_partkey * 7919) % 1009) / 1009.0::DOUBLE END AS p FROM part)"""
@@ -121,15 +127,17 @@ def theil_sen(spark, sf_dir):
     return rounded(statistics.theil_sen(points(spark, sf_dir), ["nation"], "x", "y"))
 
 
-@plan(f"""WITH {_POINTS}, z AS (SELECT id, x, y, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS n FROM pt WHERE nation = 0), r AS (SELECT range AS rep FROM range(0, 200)),
-d AS (SELECT rep, ('0x' || substr(sha256(concat_ws('|', 'ts', rep::VARCHAR, a.place::VARCHAR)), 1, 8))::BIGINT % a.n AS place FROM z a, r), k AS (SELECT rep, place, count(*) AS k FROM d GROUP BY 1, 2),
-s AS (SELECT rep, id, x, y, k FROM k JOIN z USING (place)), p AS (SELECT a.rep, (b.y - a.y) / (b.x - a.x) AS v, a.k * b.k AS w FROM s a JOIN s b ON a.rep = b.rep AND a.id < b.id AND a.x <> b.x),
-c AS (SELECT rep, v, sum(w) OVER (PARTITION BY rep ORDER BY v RANGE UNBOUNDED PRECEDING) AS u, sum(w) OVER (PARTITION BY rep) AS t FROM p), m AS (SELECT rep, min(v) AS slope FROM c WHERE 2 * u >= t GROUP BY rep),
-e AS (SELECT rep, slope, y - slope * x AS v, k AS w FROM s JOIN m USING (rep)), f AS (SELECT rep, slope, v, sum(w) OVER (PARTITION BY rep ORDER BY v RANGE UNBOUNDED PRECEDING) AS u, sum(w) OVER (PARTITION BY rep) AS t FROM e)
-SELECT 0 AS nation, rep::INTEGER AS rep, round(any_value(slope), 6) AS slope, round(min(v), 6) AS intercept FROM f WHERE 2 * u >= t GROUP BY rep""")
+@plan(f"""WITH {_POINTS}, z AS (SELECT nation, id // 1500 AS block, id, x, y, row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY nation, id // 1500) AS n FROM pt WINDOW w AS (PARTITION BY nation, id // 1500 ORDER BY id)), r AS (SELECT range AS rep FROM range(0, 200)),
+d AS (SELECT nation, block, rep, ('0x' || substr(sha256(concat_ws('|', 'ts', rep::VARCHAR, a.place::VARCHAR)), 1, 8))::BIGINT % a.n AS place FROM z a, r), k AS (SELECT nation, block, rep, place, count(*) AS k FROM d GROUP BY ALL),
+s AS (SELECT nation, block, rep, id, x, y, k FROM k JOIN z USING (nation, block, place)), p AS (SELECT a.nation, a.block, a.rep, (b.y - a.y) / (b.x - a.x) AS v, a.k * b.k AS w FROM s a JOIN s b ON a.nation = b.nation AND a.block = b.block AND a.rep = b.rep AND a.id < b.id AND a.x <> b.x),
+c AS (SELECT nation, block, rep, v, sum(w) OVER (PARTITION BY nation, block, rep ORDER BY v RANGE UNBOUNDED PRECEDING) AS u, sum(w) OVER (PARTITION BY nation, block, rep) AS t FROM p),
+m AS (SELECT nation, block, rep, (min(v) FILTER (u >= (t + 1) // 2) + min(v) FILTER (u >= (t + 2) // 2)) / 2 AS slope FROM c GROUP BY ALL),
+e AS (SELECT nation, block, rep, slope, y - slope * x AS v, k AS w FROM s JOIN m USING (nation, block, rep)), f AS (SELECT *, sum(w) OVER (PARTITION BY nation, block, rep ORDER BY v RANGE UNBOUNDED PRECEDING) AS u, sum(w) OVER (PARTITION BY nation, block, rep) AS t FROM e)
+SELECT nation, block, rep::INTEGER AS rep, round(any_value(slope), 6) AS slope, round((min(v) FILTER (u >= (t + 1) // 2) + min(v) FILTER (u >= (t + 2) // 2)) / 2, 6) AS intercept FROM f GROUP BY nation, block, rep""")
 def theil_sen_bootstrap(spark, sf_dir):
-    """The refits of one cohort, that of the first nation."""
-    return rounded(statistics.theil_sen_bootstrap(points(spark, sf_dir).where("nation = 0"), ["nation"], "x", "y", "id", 200, "ts"))
+    """Refits of every cohort: the customers of a nation among 1500 that follow each other. So the table's growth is that of the cohorts' number."""
+    p = points(spark, sf_dir).withColumn("block", F.floor(F.col("id") / 1500))
+    return rounded(statistics.theil_sen_bootstrap(p, ["nation", "block"], "x", "y", "id", 200, "ts"))
 
 
 @plan()
@@ -202,11 +210,39 @@ def welch_max_family(spark, sf_dir):
     return rounded(stats.groupBy(F.col("alloc").cast("long").alias("alloc")).agg(F.max("statistic").alias("statistic"), F.count("*").alias("ranges")))
 
 
-@plan()
+def _erfc(z: str) -> str:
+    """The complementary error function in SQL: its power series, by logarithms of gamma functions, below 3, and its continued fraction from there."""
+    series = f"(1 - exp(-({z} * {z})) * 2 / sqrt(pi()) * list_sum(list_transform(range(0, 150), lambda k: exp(k * 2 * ln(2) + (2 * k + 1) * ln(greatest({z}, 1e-300)) + lgamma(k + 1) - lgamma(2 * k + 2)))))"
+    fraction = f"(exp(-({z} * {z})) / sqrt(pi()) / list_reduce(list_prepend(({z})::DOUBLE, list_transform(range(60, 0, -1), lambda k: k::DOUBLE)), lambda f, k: {z} + k / 2 / f))"
+    return f"(CASE WHEN {z} < 3 THEN {series} ELSE {fraction} END)"
+
+
+def _cox_sql(rounds: int) -> str:
+    """Newton's rounds from 0, one after another; all groups of this table have a maximum that they reach without halving."""
+    steps = ["""pt AS (SELECT c_nationkey AS nation, date_diff('day', o_orderdate::DATE, DATE '1999-01-01') AS t, (o_orderstatus = 'F')::INT AS e, o_totalprice / 10000 AS x FROM orders JOIN customer ON o_custkey = c_custkey)""",
+             "f AS (SELECT nation, count(*)::BIGINT AS n, sum(e)::BIGINT AS events, avg(x) AS mean FROM pt GROUP BY 1)", "d AS (SELECT nation, t, e, x - mean AS x FROM pt JOIN f USING (nation))", "b0 AS (SELECT nation, 0.0::DOUBLE AS beta FROM f)"]
+    sums = lambda kind, more="": ", ".join(f"sum(exp(beta * x) * x ** {i}){more} AS {kind}{i}" for i in range(3))
+    for k in range(rounds + 1):
+        steps += [
+            f"w{k} AS (SELECT nation, t, any_value(beta) AS beta, sum(e) AS dead, sum(x) FILTER (e = 1) AS ex, {sums('s')}, {sums('e', ' FILTER (e = 1)')} FROM d JOIN b{k} USING (nation) GROUP BY 1, 2)",
+            f"r{k} AS (SELECT nation, beta, dead, ex, e0, e1, e2, {', '.join(f'sum(s{i}) OVER (PARTITION BY nation ORDER BY t DESC) AS s{i}' for i in range(3))} FROM w{k})",
+            f"q{k} AS (SELECT nation, beta, ex, j, {', '.join(f's{i} - j / dead * e{i} AS a{i}' for i in range(3))} FROM (SELECT *, unnest(range(0, dead::BIGINT))::DOUBLE AS j FROM r{k} WHERE dead > 0))",
+            f"l{k} AS (SELECT nation, any_value(beta) AS beta, sum(CASE WHEN j = 0 THEN beta * ex ELSE 0 END) - sum(ln(a0)) AS ll, sum(CASE WHEN j = 0 THEN ex ELSE 0 END) - sum(a1 / a0) AS score, sum(a2 / a0 - (a1 / a0) ** 2) AS info FROM q{k} GROUP BY 1)",
+            f"b{k + 1} AS (SELECT nation, beta + score / info AS beta FROM l{k})",
+        ]
+    last = f"l{rounds}"
+    return f"""WITH {', '.join(steps)},
+p AS (SELECT a.nation, count(*)::BIGINT AS pairs, sum(CASE WHEN a.x = b.x THEN 0.5 WHEN (a.x > b.x) = (l.beta > 0) THEN 1 ELSE 0 END) AS agreed FROM d a JOIN d b ON a.nation = b.nation AND a.e = 1 AND b.t > a.t JOIN {last} l ON l.nation = a.nation GROUP BY 1),
+z AS (SELECT l.*, 1 / sqrt(l.info) AS se, greatest(0, 2 * (l.ll - l0.ll)) AS lr FROM {last} l JOIN l0 USING (nation))
+SELECT nation, n, events, '{statistics.STATUS[5]}' AS status, round(beta, 6) AS log_hr, round(se, 6) AS se, round(exp(beta), 6) AS hr, round(exp(beta - 1.959963984540054 * se), 6) AS low, round(exp(beta + 1.959963984540054 * se), 6) AS high, round(lr, 6) AS lr,
+round({_erfc('sqrt(lr / 2)')}, 6) AS p, round({_erfc('abs(beta) / se / sqrt(2)')}, 6) AS wald_p, round(agreed / pairs, 6) AS concordance, pairs, round(ll, 6) AS log_likelihood FROM z JOIN f USING (nation) JOIN p USING (nation)"""
+
+
+@plan(_cox_sql(7))
 def cox_efron(spark, sf_dir):
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     d = o.select(F.col("c_nationkey").alias("nation"), F.datediff(F.lit("1999-01-01").cast("date"), F.col("o_orderdate").cast("date")).alias("days"), (F.col("o_orderstatus") == "F").cast("int").alias("event"), (F.col("o_totalprice") / 10000).alias("x"))
-    return rounded(statistics.cox_by_group(d, ["nation"], "days", "event", "x"))
+    return rounded(survival.cox_by_group(d, ["nation"], "days", "event", "x"))
 
 
 def _residual_sql(terms: int) -> str:
@@ -237,8 +273,8 @@ def empirical_cdf(spark, sf_dir):
     return rounded(rollups.empirical_cdf(table(spark, sf_dir, "events"), ["event_type"], "value", [k * 2.5 for k in range(41)]))
 
 
-@plan("""WITH w AS (SELECT event_type, value, sum(event_id % 4 + 1) OVER (PARTITION BY event_type ORDER BY value RANGE UNBOUNDED PRECEDING) AS u, sum(event_id % 4 + 1) OVER (PARTITION BY event_type) AS t FROM events)
-SELECT event_type, min(value) AS weighted_median FROM w WHERE u * 2 >= t GROUP BY 1""")
+@plan("""WITH w AS (SELECT event_type, value, sum(event_id % 4 + 1) OVER (PARTITION BY event_type ORDER BY value RANGE UNBOUNDED PRECEDING) AS u, sum(event_id % 4 + 1) OVER (PARTITION BY event_type) AS t FROM events WHERE value IS NOT NULL)
+SELECT event_type, (min(value) FILTER (u >= (t + 1) // 2) + min(value) FILTER (u >= (t + 2) // 2)) / 2 AS weighted_median FROM w GROUP BY 1""")
 def weighted_median(spark, sf_dir):
     return ranking.weighted_median(table(spark, sf_dir, "events").withColumn("w", F.col("event_id") % 4 + 1), ["event_type"], "value", "w")
 

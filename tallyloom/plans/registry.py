@@ -56,6 +56,10 @@ SUPPORT = f"""support AS (SELECT site FROM cells GROUP BY site HAVING count(*) F
 WINDOWS = """windows AS (SELECT sample, floor((site - 1) / 10)::BIGINT AS win, count(*)::BIGINT AS n_sites, avg(100.0 * m::DOUBLE / (c + m + h)) AS m, avg(100.0 * h::DOUBLE / (c + m + h)) AS h
   FROM cells JOIN support USING (site) GROUP BY 1, 2)"""
 
+#: The same windows over sites with a depth of ten in every sample.
+DEEP = f"""deep AS (SELECT sample, floor((site - 1) / 10)::BIGINT AS win, avg(100.0 * h::DOUBLE / (c + m + h)) AS h FROM cells
+  JOIN (SELECT site FROM cells GROUP BY site HAVING count(*) FILTER (c + m + h >= 10) = {N_SAMPLES}) USING (site) GROUP BY 1, 2)"""
+
 BASE = f"WITH {CELLS}, {SUPPORT}, {WINDOWS}"
 
 
@@ -73,12 +77,12 @@ def supported(cell: DataFrame, least: int = 5) -> DataFrame:
     return per_site.join(F.broadcast(sample_count(cell)), F.col("ok") == F.col("n_samples")).select("site")
 
 
-def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def windows(spark: SparkSession, sf_dir: str, least: int = 5) -> DataFrame:
     """(sample, win, n_sites, m, h): equal-weight mean percents of supported sites in windows of ten."""
     from ..operators import counting
 
     cell = cells(spark, sf_dir)
-    kept = cell.join(supported(cell), "site")
+    kept = cell.join(supported(cell, least), "site")
     pct = counting.percents(kept, ["m", "h"], ["pm", "ph"], F.col("c") + F.col("m") + F.col("h")).withColumn("win", F.floor((F.col("site") - 1) / 10))
     return counting.equal_weight_mean(pct.select("sample", "win", F.col("pm").alias("m"), F.col("ph").alias("h")), ["sample", "win"], ["m", "h"])
 

@@ -173,9 +173,19 @@ def segments(spark, sf_dir):
     return rollups.segments(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_shipdate", "l_shipdate", "l_returnflag")
 
 
-@plan("""WITH f AS (SELECT l_returnflag, l_linestatus, avg(l_tax) AS v FROM lineitem GROUP BY 1, 2), g AS (SELECT range AS x FROM range(0, 40)), h AS (SELECT range AS y FROM range(0, 30)),
-z AS (SELECT x, y, (x * 37 + y * 91 + x * y * 13) % 101 AS v FROM g, h), m AS (SELECT a.x, a.y, a.v, min(b.v) AS low FROM z a JOIN z b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY 1, 2, 3)
-SELECT x, y, v FROM m WHERE v = low""")
-def grid_local_minima(spark, sf_dir):
-    z = spark.range(40).withColumnRenamed("id", "x").crossJoin(spark.range(30).withColumnRenamed("id", "y"))
-    return ranking.local_minima(z.withColumn("v", (F.col("x") * 37 + F.col("y") * 91 + F.col("x") * F.col("y") * 13) % 101).withColumn("k", F.lit(0)), ["k"], "x", "y", "v").drop("k")
+_SQUARES = f"""WITH {_PART}, sc AS (SELECT * FROM (VALUES ('primary', 25.0::DOUBLE), ('tight', 10.0), ('wide', 50.0)) v(scenario, tolerance)),
+p AS (SELECT scenario, t.p_partkey, c.p_partkey AS c_p_partkey, c.p_partkey // 4 AS block, (c.p_retailprice - t.p_retailprice) / tolerance AS d1, ln(c.p_size::DOUBLE / t.p_size) / ln(1.25) AS d2 FROM part0 t JOIN part0 c ON t.is_target AND NOT c.is_target AND t.p_brand = c.p_brand, sc),
+q AS (SELECT *, d1 ** 2 + d2 ** 2 AS distance FROM p WHERE abs(d1) <= 1 AND abs(d2) <= 1), b AS (SELECT *, row_number() OVER (PARTITION BY scenario, p_partkey, block ORDER BY distance, c_p_partkey) AS k FROM q),
+n AS (SELECT *, row_number() OVER (PARTITION BY scenario, p_partkey ORDER BY distance, c_p_partkey) AS place FROM b WHERE k = 1), m AS (SELECT *, count(*) OVER (PARTITION BY scenario, p_partkey) AS n FROM n WHERE place <= 20)"""
+
+
+@plan(f"{_SQUARES} SELECT scenario, p_partkey, c_p_partkey, place::INTEGER AS place, round(distance, 6) AS distance FROM m WHERE n >= 5")
+def difference_caliper_blocks(spark, sf_dir):
+    """Under three tolerances: controls within the difference and ratio calipers by squared distance, one a block, at most twenty, at least five."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", F.col("p_size").cast("double").alias("p_size"), F.floor(F.col("p_partkey") / 4).alias("block"))
+    found = None
+    for scenario, tolerance in (("primary", 25.0), ("tight", 10.0), ("wide", 50.0)):
+        m = matching.caliper_matches(p.where("p_partkey % 20 = 0"), p.where("p_partkey % 20 <> 0"), ["p_brand"], {"p_size": 1.25}, "p_partkey", None, {"p_retailprice": tolerance}, "squares")
+        m = matching.one_per_block(m, "p_partkey", "c_block", 20, least=5).select(F.lit(scenario).alias("scenario"), "p_partkey", "c_p_partkey", "place", "distance")
+        found = m if found is None else found.unionByName(m)
+    return rounded(found)

@@ -120,13 +120,17 @@ def background_curve(spark, sf_dir):
     return rounded(rollups.gated_rollup(d, [(["locus", "bin"], 3), (["bin"], 30)], "v").select("bin", "v", "n"))
 
 
-@plan(f"""WITH b AS (SELECT range AS block, [range * 3, range * 3 + 1, range * 3 + 2] AS sites FROM range(0, 60)), r AS (SELECT range * 25 AS s, range * 25 + 4 AS e FROM range(0, 8)),
-x AS (SELECT block, unnest(sites) AS p FROM b) SELECT block FROM b WHERE block NOT IN (SELECT block FROM x JOIN r ON p < e AND p + 2 > s)""")
+@plan("""WITH b AS (SELECT p_partkey AS block, [p_partkey * 37 % 50000, p_partkey * 37 % 50000 + 3 + p_size, p_partkey * 37 % 50000 + 9 + 2 * p_size] AS sites FROM part),
+r AS (SELECT s_suppkey * 53 % 50000 AS s, s_suppkey * 53 % 50000 + 4 + s_nationkey AS e FROM supplier), x AS (SELECT block, unnest(sites) AS p FROM b)
+SELECT block FROM b WHERE block NOT IN (SELECT block FROM x JOIN r ON p < e AND p + 2 > s)""")
 def repeat_exclusion(spark, sf_dir):
-    """Blocks none of whose three two-base sites touches a repeat."""
-    b = spark.range(60).withColumnRenamed("id", "block").withColumn("start", F.explode(F.array(*(F.col("block") * 3 + k for k in range(3))))).withColumn("end", F.col("start") + 2).withColumn("_id", F.col("block"))
-    r = spark.range(8).select((F.col("id") * 25).alias("start"), (F.col("id") * 25 + 4).alias("end"))
-    return intervals.overlap_join(b, r, [], bin_size=32, how="left_anti").select("block").distinct()
+    """Blocks none of whose three two-base sites touches a repeat: parts' sites, suppliers' repeats."""
+    at = F.col("p_partkey") * 37 % 50_000
+    sites = F.array(at, at + 3 + F.col("p_size"), at + 9 + 2 * F.col("p_size"))
+    b = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_id"), F.explode(sites).alias("start")).withColumn("end", F.col("start") + 2)
+    start = F.col("s_suppkey") * 53 % 50_000
+    r = table(spark, sf_dir, "supplier").select(start.alias("start"), (start + 4 + F.col("s_nationkey")).alias("end"))
+    return intervals.overlap_join(b, r, [], bin_size=64, how="left_anti").select(F.col("_id").alias("block")).distinct()
 
 
 @plan("""WITH g AS (SELECT p_brand, arg_max(p_partkey, (p_size, -p_partkey)) AS id, max(p_size) AS size FROM part GROUP BY 1) SELECT p_brand, id, greatest(0, size * 500 - 10000)::BIGINT AS low, (size * 500 + 10000)::BIGINT AS high FROM g""")
@@ -192,13 +196,37 @@ def association_scan(spark, sf_dir):
 _SEGMENT = """seg AS (SELECT s_nationkey AS chrom, count(*)::DOUBLE AS length, avg(l_discount) * 20 AS ratio FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, l_suppkey % 5)"""
 
 
-@plan(f"""WITH {_SEGMENT}, g AS (SELECT a.range / 10.0::DOUBLE AS purity, b.range / 4.0::DOUBLE AS ploidy FROM range(2, 11) a, range(6, 21) b), c AS (SELECT purity, ploidy, length, (ratio * (purity * ploidy + 2 * (1 - purity)) - 2 * (1 - purity)) / purity AS x FROM seg, g)
-SELECT purity, ploidy, round(sum((x - round_even(x, 0)) ** 2 * length) / sum(length), 6) AS distance FROM c GROUP BY 1, 2""")
-def fit_grid(spark, sf_dir):
+_SURFACE = f"""{_SEGMENT}, g AS (SELECT a.range / 10.0::DOUBLE AS purity, b.range / 4.0::DOUBLE AS ploidy FROM range(2, 11) a, range(6, 21) b), c AS (SELECT chrom, purity, ploidy, length, (ratio * (purity * ploidy + 2 * (1 - purity)) - 2 * (1 - purity)) / purity AS x FROM seg, g),
+e AS (SELECT chrom, purity, ploidy, sum((x - round_even(x, 0)) ** 2 * length) AS off, sum(length) AS length FROM c GROUP BY 1, 2, 3)"""
+
+
+def _surface(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     seg = line.groupBy(F.col("s_nationkey").alias("chrom"), (F.col("l_suppkey") % 5).alias("k")).agg(F.count("*").cast("double").alias("length"), (F.avg("l_discount") * 20).alias("ratio"))
-    each = studies.fit_grid(seg, "chrom", "length", "ratio", [k / 10 for k in range(2, 11)], [k / 4 for k in range(6, 21)])
-    return rounded(each.groupBy("purity", "ploidy").agg((F.sum("off") / F.sum("length")).alias("distance")))
+    return studies.fit_grid(seg, "chrom", "length", "ratio", [k / 10 for k in range(2, 11)], [k / 4 for k in range(6, 21)])
+
+
+@plan(f"WITH {_SURFACE} SELECT purity, ploidy, round(sum(off) / sum(length), 6) AS distance FROM e GROUP BY 1, 2")
+def fit_grid(spark, sf_dir):
+    return rounded(_surface(spark, sf_dir).groupBy("purity", "ploidy").agg((F.sum("off") / F.sum("length")).alias("distance")))
+
+
+_LEFT_OUT = f"""WITH {_SURFACE}, o AS (SELECT DISTINCT chrom AS left_out FROM e UNION ALL SELECT -1), s AS (SELECT left_out, purity, ploidy, round(sum(off) / sum(length), 9) AS d FROM e JOIN o ON e.chrom <> o.left_out GROUP BY 1, 2, 3)"""
+
+
+@plan(f"""{_LEFT_OUT}, m AS (SELECT a.left_out, a.purity, a.ploidy, a.d, min(b.d) AS low FROM s a JOIN s b ON a.left_out = b.left_out AND abs(a.purity - b.purity) <= 0.1001 AND abs(a.ploidy - b.ploidy) <= 0.2501 GROUP BY ALL)
+SELECT left_out, purity, ploidy, round(d, 6) AS distance FROM m WHERE d = low""")
+def grid_local_minima(spark, sf_dir):
+    """Points of the fitted surface that are least in their neighbourhood: of all chromosomes (-1), and with each left out.
+
+    What a chromosome adds to a point is known, so leaving it out is a difference of sums.
+    """
+    each = _surface(spark, sf_dir)
+    whole = each.groupBy("purity", "ploidy").agg(F.sum("off").alias("all_off"), F.sum("length").alias("all_length"))
+    all_of = whole.select(F.lit(-1).cast(dict(each.dtypes)["chrom"]).alias("left_out"), "purity", "ploidy", (F.col("all_off") / F.col("all_length")).alias("d"))
+    without = each.join(whole, ["purity", "ploidy"]).select(F.col("chrom").alias("left_out"), "purity", "ploidy", ((F.col("all_off") - F.col("off")) / (F.col("all_length") - F.col("length"))).alias("d"))
+    s = all_of.unionByName(without).withColumns({"d": F.round("d", 9), "x": F.round(F.col("purity") * 10).cast("int"), "y": F.round(F.col("ploidy") * 4).cast("int")})
+    return rounded(ranking.local_minima(s, ["left_out"], "x", "y", "d").select("left_out", "purity", "ploidy", F.col("d").alias("distance")))
 
 
 @plan("""WITH t AS (SELECT user_id % 10 AS grp, event_id AS mol, event_id % 3 % 3 AS x0, event_id % 5 % 3 AS x1, event_id % 7 % 3 AS x2 FROM events), r AS (SELECT range AS rep FROM range(0, 64)),
@@ -220,7 +248,8 @@ def block_pattern_excess(spark, sf_dir):
 def survival_stability(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(F.datediff(F.lit("1999-01-01").cast("date"), F.col("o_orderdate").cast("date"))).alias("days"), F.max((F.col("o_orderstatus") == "F").cast("int")).alias("event"))
-    d = c.join(o, F.col("c_custkey") == F.col("o_custkey")).select((F.col("c_nationkey") % 5).alias("cohort"), F.col("c_custkey").alias("id"), "days", "event", (F.col("c_acctbal") / 1000).alias("x"))
+    # Cohorts of customers that follow each other: the table's growth is that of their number.
+    d = c.join(o, F.col("c_custkey") == F.col("o_custkey")).select((F.floor(F.col("c_custkey") / 1500) * 5 + F.col("c_nationkey") % 5).alias("cohort"), F.col("c_custkey").alias("id"), "days", "event", (F.col("c_acctbal") / 1000).alias("x"))
     return rounded(studies.survival_stability(d, ["cohort"], "id", "days", "event", "x"))
 
 
