@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of bytes other than ASCII white space. ``bytes.split()`` with
@@ -80,6 +80,17 @@ def free(name: str, taken: Iterable[str]) -> str:
     return next(n for n in (name, *(f"{name}_{k}" for k in range(1, len(used) + 2))) if n.lower() not in used)
 
 
+def spread(text: Column, most: int, piece: int = 2000) -> Column:
+    """A text of up to ``most`` characters as it is; of a longer one as many in pieces from all over it, evenly spread, with spaces between.
+
+    For training samples whose bytes must be bounded without leaving out long texts or their ends.
+    """
+    n = max(1, most // piece)
+    at = lambda i: (F.floor(i * (F.length(text) - piece) / max(1, n - 1)) + 1).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substr(text, at(i), F.lit(piece)))
+    return F.when(F.length(text) > most, F.array_join(pieces, " ")).otherwise(text)
+
+
 def fold(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``. A null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(modulus)

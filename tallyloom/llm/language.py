@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import spread
+
 SEGMENT = 64
 PAD = 256  # a byte value of its own after the end of a text
 _LETTER = regex.compile(r"\p{L}")
@@ -191,15 +193,15 @@ def train(docs: DataFrame, learn_from, limit: int = 250, longest: int = 200_000,
     """A model learned from rows with text and lang where ``learn_from`` holds.
 
     At most ``limit`` texts of each language, in hash order, are used: a bounded
-    training sample (the bounds, on rows and on a text's characters, are
-    parameters; longer texts teach nothing). Only ids are ranked for it, and each
+    training sample; the bound on rows is a parameter. Of a text of more than
+    ``longest`` characters, pieces from all over it teach as much as one of that length. Only ids are ranked for it, and each
     task keeps no more than the limit of a language; the chosen texts alone are
     fetched. Languages are the distinct non-null values of all such rows with an id.
     """
-    known = docs.where(learn_from & (F.length("text") <= longest) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    known = docs.where(learn_from & F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
-    texts = known.select("doc_id", "lang", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
+    texts = known.select("doc_id", "lang", spread(F.col("text"), longest).cast("binary").alias("text")).join(F.broadcast(chosen.distinct()), ["doc_id", "lang"])
     rows = sorted((r.lang, r.doc_id, bytes(r.text)) for r in texts.collect())
     return fit([t for _, _, t in rows], [name for name, _, _ in rows], **how)
 

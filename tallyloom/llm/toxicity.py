@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, spread
 
 #: Edge marks are dropped from words, so "word," and "word%%%" are one feature.
 _EDGES = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -161,16 +161,16 @@ def _gradient(model: Model, bias: float, rows: list[np.ndarray], labels: np.ndar
 def labelled(docs: DataFrame, labels: DataFrame, target: str, keep_row, limit: int, longest: int = 200_000) -> DataFrame:
     """(doc_id, text, y): a bounded training sample, at most ``limit`` rows of each class, by hash order.
 
-    The bounds, on rows and on a text's characters, are what keeps training on
-    one machine; they are parameters. Rows with a null id, text or label, and
-    texts of more than ``longest`` characters, teach nothing. A document with several labels counts once, by the largest.
+    The bound on rows keeps training on one machine; it is a parameter. Of a text
+    of more than ``longest`` characters, pieces from all over it teach as much as
+    one of that length. Rows with a null id, text or label teach nothing. A document with several labels counts once, by the largest.
     """
     known = labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & keep_row).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.where(F.length("text") <= longest).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return docs.where(F.col("text").isNotNull()).select("doc_id", spread(F.col("text"), longest).alias("text")).join(F.broadcast(chosen), "doc_id")
 
 
 def train(docs: DataFrame, labels: DataFrame, learn_from, limit: int = 3000, **how) -> Model:

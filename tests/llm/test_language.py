@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import language
+from tallyloom.llm.common import spread
 
 
 def small(h=3, langs=("a", "b", "c"), seed=1):
@@ -110,3 +111,22 @@ def test_nothing_to_learn(docs_of):
     one = language.train(docs_of([(1, "abc", "en")]), F.lit(True))
     assert [r.lang_pred for r in language.predict(docs_of([(1, "abc")]), one).collect()] == ["en"]
     assert language.predict(docs_of([]), one).count() == 0
+
+
+def test_long_texts_teach(spark, docs_of, rng):
+    """A language whose texts are all longer than the sample of a text is learned from pieces of all of it."""
+    few = ["".join(rng.choice("abcde ") for _ in range(4000)) for _ in range(4)]
+    late = ["0 " * 140_000 + "".join(rng.choice("vwxyz ") for _ in range(160_000)) for _ in range(2)]  # letters only far into the text
+    docs = docs_of([(i, t, "aa") for i, t in enumerate(few)] + [(10 + i, t, "zz") for i, t in enumerate(late)])
+    model = language.train(docs, F.lit(True), steps=60, rows=32)
+    assert model.languages == ["aa", "zz"]
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs_of([(1, "abc dea cab " * 20), (2, "xyz wvz zyx " * 20)]), model).collect()}
+    assert got == {1: "aa", 2: "zz"}
+
+
+def test_pieces_cover_the_text(spark):
+    text = "".join(chr(0x4E00 + i) for i in range(20_000))
+    d = spark.createDataFrame([(text,), ("short",), (None,)], "t string")
+    got = [r[0] for r in d.select(spread(F.col("t"), 5000, 1000)).collect()]
+    assert got[1:] == ["short", None]
+    assert [p == text[a : a + 1000] for p, a in zip(got[0].split(" "), (0, 4750, 9500, 14250, 19000))] == [True] * 5

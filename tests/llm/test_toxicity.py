@@ -121,3 +121,10 @@ def test_no_labels_or_rows(spark, docs_of, tmp_path):
     got = queries.op10_toxicity(spark, str(tmp_path)).collect()
     assert len(got) == 2 and all(r.score == 0 and r.predicted == 0 and not r.toxic for r in got)
     assert toxicity.score(docs_of([]), toxicity.fit([], np.zeros(0))).count() == 0
+
+
+def test_long_texts_teach(spark, docs_of):
+    docs = docs_of([(1, "x " * 150_000 + "bad " * 10), (2, "y " * 10), (3, None)])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.labelled(docs, labels, "toxic", F.lit(True), 10).collect()}
+    assert set(got) == {1, 2} and len(got[1].text) < 202_000 and "bad" in got[1].text and got[2].text == "y " * 10
