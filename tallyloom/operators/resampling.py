@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import draw, draw_order
+from ..functions.scalars import draw, draw_order, draws
 from .guards import bounded
 
 
@@ -90,7 +90,12 @@ def sign_flips(df: DataFrame, by: Sequence[str], unit: str, value: str, flips: i
 
 def poisson_weight(*key) -> Column:
     """Poisson(1) weight from a keyed uniform draw, by the cumulative probabilities."""
-    u = (draw(*key) + F.lit(0.5)) / F.lit(4294967296.0)
+    return poisson_of(draw(*key))
+
+
+def poisson_of(number: Column) -> Column:
+    """Poisson(1) weight of a 32-bit number."""
+    u = (number + F.lit(0.5)) / F.lit(4294967296.0)
     total, term, out = 0.0, float(np.exp(-1.0)), F.lit(8)
     steps = []
     for k in range(8):
@@ -102,6 +107,44 @@ def poisson_weight(*key) -> Column:
     return out
 
 
+def unit_bootstrap(df: DataFrame, by: Sequence[str], unit: str, value: str, replicates: int, seed: str, keep: Column | None = None, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """(by, units, mean, low, mid, high, empty): the mean of all rows' values with every unit reweighed in each replicate.
+
+    Weights are Poisson(1), or with ``keep`` (a probability by group) 1 with that
+    probability and else 0. A unit's rows are added up first, so a replicate costs
+    a term a unit and not a row, and its weights are one array. A replicate in
+    which all weights of a group are 0 takes the plain mean, and is counted in ``empty``.
+    """
+    d = df.where(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(value).cast("double").alias("_s"), F.count("*").alias("_n"), *([F.max(keep).alias("_p")] if keep is not None else []))
+    numbers = draws(replicates, F.lit(seed), F.col(unit))
+    weigh = (lambda x: (x + 0.5 < F.col("_p") * F.lit(4294967296.0)).cast("int")) if keep is not None else poisson_of
+    each = d.select(*by, "_s", "_n", F.posexplode(F.transform(numbers, weigh)).alias("rep", "_w")).where("_w > 0")
+    reps = each.groupBy(*by, "rep").agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_n"))).alias("_mean"))
+    plain = d.groupBy(*by).agg(F.count("*").alias("units"), (F.sum("_s") / F.sum("_n")).alias("mean"))
+    all_of = plain.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).join(reps, [*by, "rep"], "left")
+    at = lambda q: F.expr(f"percentile(coalesce(_mean, mean), {q}D)")
+    return all_of.groupBy(*by).agg(F.max("units").alias("units"), F.max("mean").alias("mean"), at(low).alias("low"), at(0.5).alias("mid"), at(high).alias("high"), F.count_if(F.col("_mean").isNull()).alias("empty"))
+
+
+def label_permutation(df: DataFrame, by: Sequence[str], unit: str, in_group: Column, value: str, permutations: int, seed: str) -> DataFrame:
+    """(by, seen, p): difference of group means, and how often it is as large when the labels are dealt to the units at random.
+
+    A permutation deals the labels of all units once, for every key. The labels
+    of a unit in all permutations are one array; values join it once. Units are a
+    set of samples, gathered as one array a permutation.
+    """
+    d = df.where(F.col(value).isNotNull()).withColumn("_g", in_group.cast("int")).where("_g IS NOT NULL")
+    units = d.select(F.col(unit).alias("u"), "_g").distinct().agg(F.sort_array(F.collect_list(F.struct("u", "_g"))).alias("_u"))
+    dealt = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    order = F.array_sort(F.transform("_u", lambda x: F.struct(draw_order(F.lit(seed), F.col("rep"), x["u"]).alias("h"), x["u"].alias("u"))))
+    labels = dealt.select("rep", F.posexplode(F.transform(order, lambda x, i: F.struct(x["u"].alias("u"), F.get(F.col("_u"), i)["_g"].alias("g")))).alias("_k", "x")).select("rep", F.col("x.u").alias(unit), F.col("x.g").alias("g"))
+    labels = labels.groupBy(unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "g"))), lambda x: x["g"]).alias("_labels"))
+    mean = lambda g, v, on: F.avg(F.when(F.col(g) == on, F.col(v)))
+    seen = d.groupBy(*by).agg((mean("_g", value, 1) - mean("_g", value, 0)).alias("seen"))
+    null = d.join(labels, unit).select(*by, F.col(value).alias("_v"), F.posexplode("_labels").alias("rep", "_l")).groupBy(*by, "rep").agg((mean("_l", "_v", 1) - mean("_l", "_v", 0)).alias("_d"))
+    return permutation_p(null.join(seen, list(by)), by, "_d", "seen")
+
+
 def welch(df: DataFrame, by: Sequence[str], in_group: Column, value: str, least_in: int, least_out: int) -> DataFrame:
     """|Welch statistic| per key; unsupported keys are 0 and stay; no variance gives infinity if the means differ, else 0."""
     d = df.withColumn("_g", in_group)

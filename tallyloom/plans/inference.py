@@ -29,14 +29,14 @@ def average_ranks(spark, sf_dir):
 _RANKED = f"{_NATION}, rk AS (SELECT nation, {_RANK.format(c='coarse')} AS rx, {_RANK.format(c='n')} AS ry, {_RANK.format(c='top')} AS rz FROM nat)"
 
 
-@plan(f"""WITH {_RANKED}, c AS (SELECT corr(rx, ry) AS rho FROM rk), r AS (SELECT range AS rep FROM range(1, 200)),
+@plan(f"""WITH {_RANKED}, c AS (SELECT corr(rx, ry) AS rho FROM rk), r AS (SELECT range AS rep FROM range(1, 20000)),
 o AS (SELECT rep, nation, row_number() OVER (PARTITION BY rep ORDER BY nation) AS k, row_number() OVER (PARTITION BY rep ORDER BY sha256(concat_ws('|', 'perm', rep::VARCHAR, nation::VARCHAR))) AS s, rx, ry FROM rk, r),
 p AS (SELECT a.rep, corr(a.rx, b.ry) AS rho FROM o a JOIN o b ON a.rep = b.rep AND a.k = b.s GROUP BY a.rep)
 SELECT round((SELECT rho FROM c), 6) AS rho, round((1 + count(*) FILTER (abs(p.rho) >= abs((SELECT rho FROM c)) - 1e-12)) / (1.0 + count(*)), 6) AS p FROM p""")
 def spearman_perm(spark, sf_dir):
     n = nations(spark, sf_dir)
     rho = statistics.spearman(n, ["k"], "coarse", "n").withColumnRenamed("rho", "seen").select("k", "seen")
-    null = resampling.permute(n.select("k", "nation", F.col("n").alias("v")), ["k"], "nation", "v", 199, "perm")
+    null = resampling.permute(n.select("k", "nation", F.col("n").alias("v")), ["k"], "nation", "v", 19_999, "perm")
     null = statistics.spearman(null.join(n.select("nation", "coarse"), "nation"), ["k", "rep"], "coarse", "v")
     return rounded(resampling.permutation_p(null.join(rho, "k"), ["k"], "rho", "seen").select(F.col("seen").alias("rho"), "p"))
 
@@ -67,23 +67,20 @@ def bh_adjust(spark, sf_dir):
     return rounded(d.drop("p"))
 
 
-@plan(f"""{BASE}, x AS (SELECT win, sample, h, sample < 15 AS g FROM windows), o AS (SELECT win, avg(h) FILTER (g) - avg(h) FILTER (NOT g) AS seen FROM x GROUP BY win),
-r AS (SELECT range AS rep FROM range(1, 100)), d AS (SELECT win, rep, sample, g, h, row_number() OVER (PARTITION BY win, rep ORDER BY sample) AS k, row_number() OVER (PARTITION BY win, rep ORDER BY sha256(concat_ws('|', 'label', rep::VARCHAR, sample::VARCHAR))) AS s FROM x, r),
-n AS (SELECT a.win, a.rep, avg(b.h) FILTER (a.g) - avg(b.h) FILTER (NOT a.g) AS diff FROM d a JOIN d b ON a.win = b.win AND a.rep = b.rep AND a.k = b.s GROUP BY 1, 2)
+@plan(f"""{BASE}, x AS (SELECT win, sample, h, sample < 15 AS g FROM windows), o AS (SELECT win, avg(h) FILTER (g) - avg(h) FILTER (NOT g) AS seen FROM x GROUP BY win), s AS (SELECT DISTINCT sample, g FROM x),
+r AS (SELECT range AS rep FROM range(1, 20000)), d AS (SELECT rep, sample, g, row_number() OVER (PARTITION BY rep ORDER BY sample) AS k, row_number() OVER (PARTITION BY rep ORDER BY sha256(concat_ws('|', 'label', rep::VARCHAR, sample::VARCHAR))) AS s FROM s, r),
+l AS (SELECT b.rep, b.sample, a.g FROM d a JOIN d b ON a.rep = b.rep AND a.k = b.s), n AS (SELECT win, rep, avg(h) FILTER (l.g) - avg(h) FILTER (NOT l.g) AS diff FROM x JOIN l USING (sample) GROUP BY 1, 2)
 SELECT win, round(any_value(seen), 6) AS seen, round((1 + count(*) FILTER (abs(diff) >= abs(seen) - 1e-12)) / (1.0 + count(*)), 6) AS p FROM n JOIN o USING (win) GROUP BY win""")
 def mean_difference_perm(spark, sf_dir):
-    w = windows(spark, sf_dir).select("win", "sample", "h")
-    diff = lambda d, by: d.groupBy(*by).agg((F.avg(F.when(F.col("sample") < 15, F.col("h"))) - F.avg(F.when(F.col("sample") >= 15, F.col("h")))).alias("diff"))
-    null = diff(resampling.permute(w, ["win"], "sample", "h", 99, "label"), ["win", "rep"])
-    return rounded(resampling.permutation_p(null.join(diff(w, ["win"]).withColumnRenamed("diff", "seen"), "win"), ["win"], "diff", "seen"))
+    return rounded(resampling.label_permutation(windows(spark, sf_dir), ["win"], "sample", F.col("sample") < 15, "h", 19_999, "label"))
 
 
-@plan(f"""{BASE}, x AS (SELECT sample, avg(h) - avg(m) AS d FROM windows GROUP BY sample), r AS (SELECT range AS rep FROM range(1, 500)),
+@plan(f"""{BASE}, x AS (SELECT sample, avg(h) - avg(m) AS d FROM windows GROUP BY sample), r AS (SELECT range AS rep FROM range(1, 50000)),
 n AS (SELECT rep, avg(CASE WHEN ('0x' || substr(sha256(concat_ws('|', 'flip', rep::VARCHAR, sample::VARCHAR)), 1, 8))::BIGINT % 2 = 0 THEN d ELSE -d END) AS mean FROM x, r GROUP BY rep), o AS (SELECT avg(d) AS seen FROM x)
 SELECT round((SELECT seen FROM o), 6) AS seen, round((1 + count(*) FILTER (abs(mean) >= abs((SELECT seen FROM o)) - 1e-12)) / (1.0 + count(*)), 6) AS p FROM n""")
 def sign_flip_test(spark, sf_dir):
     x = windows(spark, sf_dir).groupBy("sample").agg((F.avg("h") - F.avg("m")).alias("d")).withColumn("k", F.lit(0))
-    null = resampling.sign_flips(x, ["k"], "sample", "d", 499, "flip")
+    null = resampling.sign_flips(x, ["k"], "sample", "d", 49_999, "flip")
     seen = x.groupBy("k").agg(F.avg("d").alias("seen"))
     return rounded(resampling.permutation_p(null.join(seen, "k"), ["k"], "mean", "seen").select("seen", "p"))
 

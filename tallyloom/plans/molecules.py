@@ -123,13 +123,25 @@ def molecule_bookkeeping(spark, sf_dir):
     return m.groupBy("locus").agg(F.count("*").alias("molecules"), F.count_if(F.col("k") > 1).alias("linking"))
 
 
-_WEIGHTS = "('0x' || substr(sha256(concat_ws('|', 'pois', rep::VARCHAR, mol::VARCHAR)), 1, 8))::BIGINT"
+_POISSON = "CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 WHEN u < 0.999916758850712 THEN 6 WHEN u < 0.9999897508033253 THEN 7 ELSE 8 END"
 
 
-@plan(f"""WITH {_MATRIX}, r AS (SELECT range AS rep FROM range(0, 6)), u AS (SELECT locus, rep, v, ({_WEIGHTS} + 0.5) / 4294967296.0 AS u FROM mx, r),
-w AS (SELECT locus, rep, v, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 WHEN u < 0.9994058151824183 THEN 5 WHEN u < 0.999916758850712 THEN 6 WHEN u < 0.9999897508033253 THEN 7 ELSE 8 END AS k FROM u)
-SELECT locus, rep::INTEGER AS rep, round(sum(v * k)::DOUBLE / sum(k), 6) AS mean FROM w GROUP BY 1, 2""")
+def _reweighed(name: str, replicates: int, seed: str, weight: str) -> str:
+    return f"""{name}_u AS (SELECT locus, s, n, p, b * 8 + i AS rep, (('0x' || substr(h, (1 + 8 * i)::INTEGER, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM (SELECT *, unnest(range(0, 8)) AS i FROM (SELECT *, sha256(concat_ws('|', '{seed}', mol::VARCHAR, b::VARCHAR)) AS h FROM (SELECT *, unnest(range(0, {replicates // 8 + (replicates % 8 > 0)})) AS b FROM mol)))),
+{name}_r AS (SELECT locus, rep, sum(w * s) / sum(w * n) AS mean FROM (SELECT *, {weight} AS w FROM {name}_u WHERE rep < {replicates}) WHERE w > 0 GROUP BY 1, 2),
+{name} AS (SELECT '{name}' AS kind, locus, any_value(a.units) AS units, any_value(a.mean) AS mean, quantile_cont(coalesce(r.mean, a.mean), 0.025) AS low, quantile_cont(coalesce(r.mean, a.mean), 0.5) AS mid, quantile_cont(coalesce(r.mean, a.mean), 0.975) AS high, count(*) FILTER (r.mean IS NULL) AS empty
+ FROM (SELECT *, unnest(range(0, {replicates})) AS rep FROM plain) a LEFT JOIN {name}_r r USING (locus, rep) GROUP BY locus)"""
+
+
+@plan(f"""WITH {_MATRIX}, depth AS (SELECT locus, site, count(*) AS d FROM mx GROUP BY 1, 2), thin AS (SELECT locus, least(1, 3 / quantile_cont(d, 0.5)) AS p FROM depth WHERE d >= 5 GROUP BY 1),
+mol AS (SELECT mx.locus, mol, sum(v)::DOUBLE AS s, count(*) AS n, any_value(p) AS p FROM mx JOIN thin USING (locus) GROUP BY 1, 2), plain AS (SELECT locus, count(*) AS units, sum(s) / sum(n) AS mean FROM mol GROUP BY 1),
+{_reweighed('bootstrap', 2000, 'pois', _POISSON)}, {_reweighed('downsample', 500, 'thin', '(u < p)::INT')}
+SELECT kind, locus, units::BIGINT AS units, empty::BIGINT AS empty, round(mean, 6) AS mean, round(low, 6) AS low, round(mid, 6) AS mid, round(high, 6) AS high FROM (FROM bootstrap UNION ALL FROM downsample)""")
 def molecule_poisson_bootstrap(spark, sf_dir):
-    m = matrix(spark, sf_dir).withColumn("rep", F.explode(F.array(*map(F.lit, range(6)))))
-    w = m.withColumn("k", resampling.poisson_weight(F.lit("pois"), F.col("rep"), F.col("mol")))
-    return rounded(w.groupBy("locus", "rep").agg((F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean")))
+    """2000 reweighings of the molecules of each locus, and 500 thinnings to a median depth of three at its sites."""
+    m = matrix(spark, sf_dir)
+    thin = m.groupBy("locus", "site").agg(F.count("*").alias("d")).where("d >= 5").groupBy("locus").agg(F.least(F.lit(1.0), 3 / F.percentile("d", F.lit(0.5))).alias("p"))
+    m = m.join(thin, "locus")
+    both = resampling.unit_bootstrap(m, ["locus"], "mol", "v", 2000, "pois").withColumn("kind", F.lit("bootstrap")).unionByName(
+        resampling.unit_bootstrap(m, ["locus"], "mol", "v", 500, "thin", keep=F.col("p")).withColumn("kind", F.lit("downsample")))
+    return rounded(both.select("kind", "locus", "units", "empty", "mean", "low", "mid", "high"))
