@@ -21,14 +21,6 @@ def draw(*key) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8), 16, 10).cast("long")
 
 
-def draws(n: int, *key) -> Column:
-    """An array of ``n`` 32-bit numbers: number i is the (i % 8)-th of the digest of the key and i // 8. Eight numbers a digest."""
-    parts = [k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in key]
-    digests = F.transform(F.sequence(F.lit(0), F.lit(-(-n // 8) - 1)), lambda b: F.sha2(F.concat_ws("|", *parts, b.cast("string")), 256))
-    eight = lambda d: F.array(*(F.conv(F.substring(d, 1 + 8 * i, 8), 16, 10).cast("long") for i in range(8)))
-    return F.slice(F.flatten(F.transform(digests, eight)), 1, n)
-
-
 def draw_order(*key) -> Column:
     """The whole digest, for random orders without ties."""
     parts = [k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in key]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import draw, draw_order, draws
+from ..functions.scalars import draw, draw_order
 from .guards import bounded
 
 
@@ -88,22 +88,16 @@ def sign_flips(df: DataFrame, by: Sequence[str], unit: str, value: str, flips: i
     return d.groupBy(*by, "rep").agg(F.avg(sign * F.col(value)).alias("mean"))
 
 
-def poisson_weight(*key) -> Column:
-    """Poisson(1) weight from a keyed uniform draw, by the cumulative probabilities."""
-    return poisson_of(draw(*key))
-
-
 def poisson_of(number: Column) -> Column:
-    """Poisson(1) weight of a 32-bit number."""
-    u = (number + F.lit(0.5)) / F.lit(4294967296.0)
-    total, term, out = 0.0, float(np.exp(-1.0)), F.lit(8)
-    steps = []
+    """Poisson(1) weight of a 32-bit number in hex digits, by the cumulative probabilities of number plus a half over 2^32."""
+    total, term, steps = 0.0, float(np.exp(-1.0)), []
     for k in range(8):
         total += term
-        steps.append((total, k))
+        steps.append((f"{int(np.ceil(total * 4294967296.0 - 0.5)):08x}", k))
         term /= k + 1
-    for t, k in reversed(steps):
-        out = F.when(u < t, k).otherwise(out)
+    out = F.lit(8)
+    for bound, k in reversed(steps):
+        out = F.when(number < bound, k).otherwise(out)
     return out
 
 
@@ -116,9 +110,17 @@ def unit_bootstrap(df: DataFrame, by: Sequence[str], unit: str, value: str, repl
     which all weights of a group are 0 takes the plain mean, and is counted in ``empty``.
     """
     d = df.where(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(value).cast("double").alias("_s"), F.count("*").alias("_n"), *([F.max(keep).alias("_p")] if keep is not None else []))
-    numbers = draws(replicates, F.lit(seed), F.col(unit))
-    weigh = (lambda x: (x + 0.5 < F.col("_p") * F.lit(4294967296.0)).cast("int")) if keep is not None else poisson_of
-    each = d.select(*by, "_s", "_n", F.posexplode(F.transform(numbers, weigh)).alias("rep", "_w")).where("_w > 0")
+    # A digest holds eight numbers of eight hex digits each, which are compared as they are written.
+    digests = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 8) - 1))))
+    digests = digests.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col(unit).cast("string"), F.col("_b").cast("string")), 256))
+    eight = F.array(*(F.struct((F.col("_b") * 8 + k).alias("rep"), F.substring("_h", 1 + 8 * k, 8).alias("u")) for k in range(8)))
+    if keep is None:
+        weight = poisson_of(F.col("x.u"))
+    else:
+        bound = F.ceil(F.col("_p") * F.lit(4294967296.0) - 0.5)  # u + 0.5 is below p times 2^32 where u is below this
+        digests = digests.withColumn("_bound", F.when(bound < 4294967296, F.lower(F.lpad(F.hex(bound.cast("long")), 8, "0"))).otherwise("g"))
+        weight = (F.col("x.u") < F.col("_bound")).cast("int")
+    each = digests.withColumn("x", F.explode(eight)).select(*by, "_s", "_n", "x.rep", weight.alias("_w")).where((F.col("rep") < replicates) & (F.col("_w") > 0))
     reps = each.groupBy(*by, "rep").agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_n"))).alias("_mean"))
     plain = d.groupBy(*by).agg(F.count("*").alias("units"), (F.sum("_s") / F.sum("_n")).alias("mean"))
     all_of = plain.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).join(reps, [*by, "rep"], "left")

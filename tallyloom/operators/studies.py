@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw_order
-from . import statistics
+from . import ranking, resampling, statistics
 from .guards import bounded
 from .rounds import passed_on
 
@@ -182,3 +182,50 @@ def cluster_stability(df: DataFrame, unit: str, feature: str, value: str, repeat
 
     kind = dict(df.dtypes)[unit]
     return df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda p: run(p), f"`{unit}` {kind}, label int, agreement double")
+
+
+def nested_reselection(values: DataFrame, parts: DataFrame, labels: DataFrame, unit: str, key: str, value: str, stratum: Column, part: str, n_parts: int, picks: int = 3, least_pairs: int = 2, least_in: int = 3, least_out: int = 10) -> DataFrame:
+    """(first, last, effect, statistic, p): the whole selection and scoring, repeated under every labelling of the units.
+
+    ``labels`` has (alloc, unit, inside); labelling 0 is the observed one. For
+    each labelling and each unit held out, the ``picks`` keys with the largest
+    difference of group means over the other units are paired with the key of
+    their ``stratum`` whose difference is least, unless that was picked itself. The
+    held-out unit's score over parts first..last is the mean, over its pairs, of
+    the mean difference of both keys' values in ``parts`` (unit, key, part, value)
+    that both have; under ``least_pairs`` pairs there is no score. Of each range
+    of parts the |Welch statistic| of the scores is taken, 0 without enough units.
+    ``p`` compares a range with the largest statistic of each labelling, so the
+    least p is that of the whole family.
+
+    Every step is an aggregate or equi join keyed by (labelling, held-out unit).
+    """
+    rows = values.where(F.col(value).isNotNull()).withColumn("_stratum", stratum).join(labels, unit)
+    group = Window.partitionBy("alloc", key)
+    side = lambda on, agg: agg(F.when(F.col("inside") == on, F.col(value))).over(group)
+    rows = rows.withColumns({"_s1": side(True, F.sum), "_n1": side(True, F.count), "_s0": side(False, F.sum), "_n0": side(False, F.count)})
+    own = lambda on, what: F.when(F.col("inside") == on, what).otherwise(0)
+    mean = lambda on, i: F.try_divide(F.coalesce(f"_s{i}", F.lit(0.0)) - own(on, F.col(value)), F.col(f"_n{i}") - own(on, F.lit(1)))
+    d = rows.select("alloc", F.col(unit).alias("fold"), F.col(key).alias("key"), "_stratum", F.round(F.abs(mean(True, 1) - mean(False, 0)), 9).alias("size")).where("size IS NOT NULL")
+    d = passed_on(d)
+    best = ranking.top_k(d, ["alloc", "fold"], [F.desc("size"), F.asc("key")], picks).select("alloc", "fold", "_stratum", "key")
+    calm = d.groupBy("alloc", "fold", "_stratum").agg(F.min_by("key", F.struct("size", "key")).alias("other"))
+    taken = best.select("alloc", "fold", F.col("key").alias("other"))
+    pairs = best.join(calm.join(taken, ["alloc", "fold", "other"], "left_anti"), ["alloc", "fold", "_stratum"])
+    # A unit's values at a key by part, one small array.
+    table = parts.groupBy(F.col(unit).alias("fold"), F.col(key).alias("key")).pivot(part, list(range(n_parts))).agg(F.avg(value))
+    table = passed_on(table.select("fold", "key", F.array(*(F.col(str(k)) for k in range(n_parts))).alias("v")))
+    met = pairs.join(table, ["fold", "key"]).join(table.select("fold", F.col("key").alias("other"), F.col("v").alias("w")), ["fold", "other"])
+    met = met.select("alloc", "fold", F.zip_with("v", "w", lambda a, b: a - b).alias("gap"))
+    ranges = F.array(*(F.struct(F.lit(i).alias("first"), F.lit(j).alias("last")) for i in range(n_parts) for j in range(i, n_parts)))
+    inside = F.filter(F.slice("gap", F.col("r.first") + 1, F.col("r.last") - F.col("r.first") + 1), lambda x: x.isNotNull())
+    each = met.select("alloc", "fold", "gap", F.explode(ranges).alias("r")).withColumn("_in", inside).where(F.size("_in") > 0)
+    each = each.select("alloc", "fold", "r.first", "r.last", (F.aggregate("_in", F.lit(0.0), lambda a, x: a + x) / F.size("_in")).alias("gap"))
+    scores = each.groupBy("alloc", "fold", "first", "last").agg(F.avg("gap").alias("score"), F.count("*").alias("n")).where(F.col("n") >= least_pairs)
+    scores = scores.join(labels.withColumnRenamed(unit, "fold"), ["alloc", "fold"])
+    stats = passed_on(resampling.welch(scores, ["alloc", "first", "last"], F.col("inside"), "score", least_in, least_out).select("alloc", "first", "last", "effect", F.round("statistic", 9).alias("statistic")))
+    most = labels.select("alloc").distinct().join(stats.groupBy("alloc").agg(F.max("statistic").alias("most")), "alloc", "left").na.fill({"most": 0.0})
+    seen = stats.where("alloc = 0").drop("alloc")
+    # At most n_parts squared ranges against one number a labelling.
+    held = most.where("alloc <> 0").agg(F.collect_list("most").alias("all"))
+    return seen.crossJoin(F.broadcast(held)).select("first", "last", "effect", "statistic", ((1 + F.size(F.filter("all", lambda m: m >= F.col("statistic")))) / (1 + F.size("all"))).alias("p"))

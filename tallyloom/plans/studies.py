@@ -31,6 +31,32 @@ def label_reselection(spark, sf_dir):
     return rounded(out)
 
 
+_NESTED = f"""{_LABELS}, x AS (SELECT w.sample, w.win, w.win % 3 AS stratum, w.h, lab.alloc, lab.inside FROM windows w JOIN lab USING (sample)),
+y AS (SELECT *, coalesce(sum(h) FILTER (inside) OVER g, 0) AS s1, count(*) FILTER (inside) OVER g AS n1, coalesce(sum(h) FILTER (NOT inside) OVER g, 0) AS s0, count(*) FILTER (NOT inside) OVER g AS n0 FROM x WINDOW g AS (PARTITION BY alloc, win)),
+d AS (SELECT alloc, sample AS fold, win, stratum, round(abs((s1 - CASE WHEN inside THEN h ELSE 0 END) / (n1 - inside::INT) - (s0 - CASE WHEN inside THEN 0 ELSE h END) / (n0 - (NOT inside)::INT)), 9) AS size FROM y WHERE n1 > inside::INT AND n0 > (NOT inside)::INT),
+b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY alloc, fold ORDER BY size DESC, win) <= 3), k AS (SELECT alloc, fold, stratum, arg_min(win, (size, win)) AS other FROM d GROUP BY 1, 2, 3),
+p AS (SELECT b.alloc, b.fold, b.win, k.other FROM b JOIN k USING (alloc, fold, stratum) WHERE NOT EXISTS (SELECT 1 FROM b t WHERE t.alloc = k.alloc AND t.fold = k.fold AND t.win = k.other)),
+v AS (SELECT sample AS fold, floor((site - 1) / 10)::BIGINT AS win, (site - 1) % 10 % 8 AS part, avg(100.0 * h::DOUBLE / (c + m + h)) AS v FROM cells JOIN support USING (site) GROUP BY 1, 2, 3),
+g AS (SELECT p.alloc, p.fold, p.win, a.part, a.v - o.v AS gap FROM p JOIN v a ON a.fold = p.fold AND a.win = p.win JOIN v o ON o.fold = p.fold AND o.win = p.other AND o.part = a.part),
+r AS (SELECT a.range AS first, b.range AS last FROM range(0, 8) a, range(0, 8) b WHERE a.range <= b.range), e AS (SELECT alloc, fold, win, first, last, avg(gap) AS gap FROM g JOIN r ON part BETWEEN first AND last GROUP BY ALL),
+z AS (SELECT alloc, fold, first, last, avg(gap) AS score FROM e GROUP BY ALL HAVING count(*) >= 2), u AS (SELECT z.*, lab.inside FROM z JOIN lab ON lab.alloc = z.alloc AND lab.sample = z.fold),
+w1 AS (SELECT alloc, first, last, avg(score) FILTER (inside) - avg(score) FILTER (NOT inside) AS effect, CASE WHEN count(*) FILTER (inside) >= 3 AND count(*) FILTER (NOT inside) >= 10 THEN round(abs(avg(score) FILTER (inside) - avg(score) FILTER (NOT inside))
+  / sqrt(var_samp(score) FILTER (inside) / count(*) FILTER (inside) + var_samp(score) FILTER (NOT inside) / count(*) FILTER (NOT inside)), 9) ELSE 0 END AS statistic FROM u GROUP BY ALL),
+mo AS (SELECT a.alloc, coalesce(max(statistic), 0) AS most FROM (SELECT DISTINCT alloc FROM lab) a LEFT JOIN w1 USING (alloc) GROUP BY 1)"""
+
+
+@plan(f"""{BASE}, {_NESTED} SELECT first, last, round(effect, 6) AS effect, round(statistic, 6) AS statistic, round((1 + (SELECT count(*) FROM mo WHERE alloc <> 0 AND most >= w1.statistic)) / 500.0, 6) AS p FROM w1 WHERE alloc = 0""")
+def nested_reselection(spark, sf_dir):
+    """500 labellings, every sample held out in turn, 36 ranges of eight parts of a window."""
+    w = windows(spark, sf_dir).select("sample", "win", "h")
+    samples = w.select("sample").distinct().withColumn("alloc", F.explode(F.sequence(F.lit(0), F.lit(499))))
+    n = F.row_number().over(Window.partitionBy("alloc").orderBy(draw_order(F.lit("sel"), F.col("alloc"), F.col("sample"))))
+    labels = samples.withColumn("inside", F.when(F.col("alloc") == 0, F.col("sample") < 10).otherwise(n <= 10))
+    cell = cells(spark, sf_dir)
+    sites = cell.join(supported(cell), "site").select("sample", F.floor((F.col("site") - 1) / 10).alias("win"), ((F.col("site") - 1) % 10 % 8).cast("int").alias("part"), (100.0 * F.col("h") / (F.col("c") + F.col("m") + F.col("h"))).alias("h"))
+    return rounded(studies.nested_reselection(w, sites, labels, "sample", "win", "h", F.col("win") % 3, "part", 8))
+
+
 _H = lambda *k: "('0x' || substr(sha256(concat_ws('|', " + ", ".join(k) + ")), 1, 8))::BIGINT"
 
 
