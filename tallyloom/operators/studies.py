@@ -229,3 +229,60 @@ def nested_reselection(values: DataFrame, parts: DataFrame, labels: DataFrame, u
     # At most n_parts squared ranges against one number a labelling.
     held = most.where("alloc <> 0").agg(F.collect_list("most").alias("all"))
     return seen.crossJoin(F.broadcast(held)).select("first", "last", "effect", "statistic", ((1 + F.size(F.filter("all", lambda m: m >= F.col("statistic")))) / (1 + F.size("all"))).alias("p"))
+
+
+def _rank_products(a: Column, b: Column) -> Column:
+    """Correlation of two arrays of ranks of one length; null without spread."""
+    n = F.size(a).cast("double")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v) - n * F.pow((n + 1) / 2, F.lit(2))
+    spread = dot(a, a) * dot(b, b)
+    return dot(a, b) / F.sqrt(F.when(spread > 1e-12, spread))
+
+
+def _ranks_of(values: Column) -> Column:
+    """Average ranks of a short array."""
+    return F.transform(values, lambda v: F.aggregate(values, F.lit(0.5), lambda t, w: t + F.when(w < v, 1.0).when(w == v, 0.5).otherwise(0.0)))
+
+
+def shared_orders(units: DataFrame, unit: str, permutations: int, seed: str) -> DataFrame:
+    """(rep, order): all units of a set of samples in the random order of each permutation. Every test of a scan uses these."""
+    one = units.select(unit).distinct().agg(F.collect_list(unit).alias("_u")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    keyed = F.array_sort(F.transform("_u", lambda u: F.struct(draw_order(F.lit(seed), F.col("rep"), u).alias("h"), u.alias("u"))))
+    return one.select("rep", F.transform(keyed, lambda x: x["u"]).alias("order"))
+
+
+def locus_scan(df: DataFrame, locus: str, feature: str, unit: str, x: str, y: str, raw: str, control: str, permutations: int = 4999, control_permutations: int = 999, least: int = 18, spread: float = 0.02, seed: str = "scan") -> DataFrame:
+    """Rank association of each (locus, feature) with an outcome over units: one row a test.
+
+    ``y`` is the outcome without the locus's own part, ``raw`` the whole one, and
+    ``control`` the outcome of another unit by one fixed permutation, whose family
+    of tests shows what chance gives. Tests need ``least`` units and a standard
+    deviation of ``spread``. p counts permutations of the test's own units, in the
+    order that :func:`shared_orders` gives them, with |rho| as large; q is by
+    Benjamini and Hochberg over all tests. A test is highlighted with |rho| of 0.5, q of 0.05, and
+    at least 0.4 of one sign whichever unit is left out. A test's units are a set of
+    samples and one array, so permutations and refits never move rows.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(raw).isNotNull() & F.col(control).isNotNull())
+    t = rows.groupBy(locus, feature).agg(F.stddev_pop(x).alias("_sd"), F.sort_array(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(raw).cast("double").alias("r"), F.col(control).cast("double").alias("c")))).alias("_t"))
+    t = t.where((F.size("_t") >= least) & (F.col("_sd") >= spread)).select(locus, feature, F.size("_t").cast("long").alias("n"), F.col("_t.u").alias("_u"), *(_ranks_of(F.col(f"_t.{c}")).alias(f"_{c}") for c in "xyrc"))
+    t = passed_on(t.withColumns({"rho": _rank_products(F.col("_x"), F.col("_y")), "raw_rho": _rank_products(F.col("_x"), F.col("_r")), "control_rho": _rank_products(F.col("_x"), F.col("_c"))}))
+
+    orders = shared_orders(df, unit, max(permutations, control_permutations), seed)
+    reps = t.select(locus, feature, "_u", "_x", "_y", "_c", "rho", "control_rho", F.explode(F.sequence(F.lit(1), F.lit(max(permutations, control_permutations)))).alias("rep")).join(orders, "rep")
+    places = F.transform(F.filter("order", lambda u: F.array_contains(F.col("_u"), u)), lambda u: F.array_position(F.col("_u"), u).cast("int"))
+    reps = reps.withColumn("_p", places)
+    dealt = lambda c: _rank_products(F.col("_x"), F.transform("_p", lambda k: F.element_at(F.col(c), k)))
+    reps = reps.select(locus, feature, "rep", "rho", "control_rho", dealt("_y").alias("_null"), F.when(F.col("rep") <= control_permutations, dealt("_c")).alias("_other"))
+    extreme = lambda null, seen, most: (1 + F.count_if((F.col("rep") <= most) & (F.abs(null) >= F.abs(seen) - 1e-12))) / F.lit(most + 1.0)
+    p = reps.groupBy(locus, feature).agg(extreme("_null", "rho", permutations).alias("p"), extreme("_other", "control_rho", control_permutations).alias("control_p"))
+
+    # Without unit i, ranks above its own fall by one, and ranks equal to it by a half.
+    left = t.select(locus, feature, "rho", "_x", "_y", F.posexplode("_u").alias("_i", "_gone"))
+    without = lambda c: F.transform(F.filter(F.transform(F.col(c), lambda v, k: F.struct(v.alias("v"), k.alias("k"))), lambda z: z["k"] != F.col("_i")), lambda z: z["v"] - F.when(z["v"] > F.get(F.col(c), F.col("_i")), 1.0).when(z["v"] == F.get(F.col(c), F.col("_i")), 0.5).otherwise(0.0))
+    left = left.withColumn("_l", _rank_products(without("_x"), without("_y")))
+    loo = left.groupBy(locus, feature).agg(F.min("_l").alias("loo_min"), F.max("_l").alias("loo_max"), F.min(F.abs("_l")).alias("min_abs_loo"), F.bool_and(F.signum("_l") == F.signum("rho")).alias("loo_same_sign"))
+    out = t.select(locus, feature, "n", "rho", "raw_rho", F.lit(0).alias("_family")).join(p, [locus, feature]).join(loo, [locus, feature])
+    out = ranking.bh(ranking.bh(out, ["_family"], "p", "q", "exclude", None), ["_family"], "control_p", "control_q", "exclude", None)
+    mark = (F.abs("rho") >= 0.5) & (F.col("q") <= 0.05) & (F.col("min_abs_loo") >= 0.4) & F.col("loo_same_sign")
+    return out.withColumn("highlight", F.coalesce(mark, F.lit(False))).drop("_family")

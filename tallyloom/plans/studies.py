@@ -219,6 +219,41 @@ def association_scan(spark, sf_dir):
     return rounded(statistics.spearman(u, ["win", "feature"], "v", "bal"))
 
 
+def _rank_sql(c: str, by: str) -> str:
+    return f"(rank() OVER (PARTITION BY {by} ORDER BY {c}) + (count(*) OVER (PARTITION BY {by}, {c}) - 1) / 2.0)::DOUBLE"
+
+
+@plan(f"""{BASE}, k AS (SELECT sample, win, h, m, (h - m) / 10 AS part FROM windows), o AS (SELECT sample, sum(part) AS whole FROM k GROUP BY 1), ring AS (SELECT sample, lead(sample, 1, first) OVER (ORDER BY sample) AS other FROM (SELECT DISTINCT sample, min(sample) OVER () AS first FROM k)),
+u AS (SELECT k.sample, k.win, o.whole AS raw, round(o.whole - k.part, 9) AS y, round(o2.whole - k2.part, 9) AS control, unnest(['balance', 'h', 'm', 'total']) AS feature, unnest([CASE WHEN k.h + k.m >= 10 THEN k.m / (k.h + k.m) END, k.h, k.m, k.h + k.m]) AS x
+ FROM k JOIN o USING (sample) JOIN ring USING (sample) JOIN o o2 ON o2.sample = ring.other JOIN k k2 ON k2.sample = ring.other AND k2.win = k.win),
+g AS (SELECT * FROM u WHERE x IS NOT NULL QUALIFY count(*) OVER (PARTITION BY win, feature) >= 18 AND stddev_pop(x) OVER (PARTITION BY win, feature) >= 0.02),
+r AS (SELECT win, feature, sample, x, {_rank_sql('x', 'win, feature')} AS rx, {_rank_sql('y', 'win, feature')} AS ry, {_rank_sql('raw', 'win, feature')} AS rr, {_rank_sql('control', 'win, feature')} AS rc, y FROM g),
+s AS (SELECT win, feature, count(*)::BIGINT AS n, corr(rx, ry) AS rho, corr(rx, rr) AS raw_rho, corr(rx, rc) AS control_rho FROM r GROUP BY 1, 2), reps AS (SELECT range AS rep FROM range(1, 5000)),
+d AS (SELECT win, feature, rep, rx, ry, rc, row_number() OVER (PARTITION BY win, feature, rep ORDER BY sample) AS k, row_number() OVER (PARTITION BY win, feature, rep ORDER BY sha256(concat_ws('|', 'scan', rep::VARCHAR, sample::VARCHAR))) AS t FROM r, reps),
+n AS (SELECT a.win, a.feature, a.rep, corr(a.rx, b.ry) AS null_rho, corr(a.rx, b.rc) AS other FROM d a JOIN d b ON a.win = b.win AND a.feature = b.feature AND a.rep = b.rep AND a.k = b.t GROUP BY 1, 2, 3),
+p AS (SELECT win, feature, (1 + count(*) FILTER (abs(null_rho) >= abs(rho) - 1e-12)) / 5000.0 AS p, (1 + count(*) FILTER (rep <= 999 AND abs(other) >= abs(control_rho) - 1e-12)) / 1000.0 AS control_p FROM n JOIN s USING (win, feature) GROUP BY 1, 2),
+l0 AS (SELECT a.win, a.feature, a.sample AS gone, {_rank_sql('b.x', 'a.win, a.feature, a.sample')} AS rx, {_rank_sql('b.y', 'a.win, a.feature, a.sample')} AS ry FROM r a JOIN r b ON a.win = b.win AND a.feature = b.feature AND a.sample <> b.sample),
+l1 AS (SELECT win, feature, gone, corr(rx, ry) AS l FROM l0 GROUP BY 1, 2, 3), l AS (SELECT win, feature, min(l) AS loo_min, max(l) AS loo_max, min(abs(l)) AS min_abs_loo, bool_and(sign(l) = sign(rho)) AS loo_same_sign FROM l1 JOIN s USING (win, feature) GROUP BY 1, 2),
+b AS (SELECT *, rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1 AS k1, rank() OVER (ORDER BY control_p) + count(*) OVER (PARTITION BY control_p) - 1 AS k2, count(*) OVER () AS tests FROM s JOIN p USING (win, feature) JOIN l USING (win, feature)),
+q AS (SELECT *, least(1, min(p * tests / k1) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS q, least(1, min(control_p * tests / k2) OVER (ORDER BY control_p DESC RANGE UNBOUNDED PRECEDING)) AS control_q FROM b)
+SELECT win, feature, n, round(rho, 6) AS rho, round(raw_rho, 6) AS raw_rho, round(p, 6) AS p, round(q, 6) AS q, round(control_p, 6) AS control_p, round(control_q, 6) AS control_q, round(loo_min, 6) AS loo_min, round(loo_max, 6) AS loo_max, round(min_abs_loo, 6) AS min_abs_loo, loo_same_sign,
+coalesce(abs(rho) >= 0.5 AND q <= 0.05 AND min_abs_loo >= 0.4 AND loo_same_sign, false) AS highlight FROM q""")
+def locus_scan(spark, sf_dir):
+    """Four features of every window against the sum of all other windows' parts; the control family takes the next sample's outcome."""
+    k = windows(spark, sf_dir).select("sample", "win", "h", "m", ((F.col("h") - F.col("m")) / 10).alias("part"))
+    whole = k.groupBy("sample").agg(F.sum("part").alias("raw"))
+    order = Window.orderBy("sample")  # a set of samples
+    first = whole.agg(F.min("sample").alias("first"))
+    ring = whole.crossJoin(F.broadcast(first)).select("sample", F.coalesce(F.lead("sample").over(order), "first").alias("other"))
+    y = k.join(whole, "sample").select("sample", "win", "h", "m", "raw", F.round(F.col("raw") - F.col("part"), 9).alias("y"))
+    control = y.select(F.col("sample").alias("other"), "win", F.col("y").alias("control"))
+    u = y.join(ring, "sample").join(control, ["other", "win"])
+    total = F.col("h") + F.col("m")
+    kinds = F.array(*(F.struct(F.lit(n).alias("feature"), v.alias("x")) for n, v in (("balance", F.when(total >= 10, F.col("m") / total)), ("h", F.col("h")), ("m", F.col("m")), ("total", total))))
+    u = u.select("sample", "win", "y", "raw", "control", F.explode(kinds).alias("f")).select("sample", "win", "y", "raw", "control", "f.feature", "f.x")
+    return rounded(studies.locus_scan(u, "win", "feature", "sample", "x", "y", "raw", "control"))
+
+
 _SEGMENT = """seg AS (SELECT s_nationkey AS chrom, count(*)::DOUBLE AS length, avg(l_discount) * 20 AS ratio FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey, l_suppkey % 5)"""
 
 
