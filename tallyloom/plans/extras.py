@@ -72,13 +72,13 @@ def leave_one_out_correlation(spark, sf_dir):
 
 
 @plan(f"""{BASE}, s AS (SELECT sample < 15 AS g, sample, avg(h) AS v FROM windows GROUP BY 2), v AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY sample) - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM s),
-d AS (SELECT v.g, rep, k AS slot, ('0x' || substr(sha256(concat_ws('|', 'diff', rep::VARCHAR, k::VARCHAR)), 1, 8))::BIGINT % n AS pick FROM v, (SELECT range AS rep FROM range(0, 60))),
+d AS (SELECT v.g, rep, k AS slot, ('0x' || substr(sha256(concat_ws('|', 'diff', rep::VARCHAR, k::VARCHAR)), 1, 8))::BIGINT % n AS pick FROM v, (SELECT range AS rep FROM range(0, 2000))),
 m AS (SELECT d.g, d.rep, avg(v.v) AS mean FROM d JOIN v ON v.g = d.g AND v.k = d.pick GROUP BY 1, 2), x AS (SELECT rep, max(mean) FILTER (g) - max(mean) FILTER (NOT g) AS diff FROM m GROUP BY rep)
 SELECT round((SELECT avg(v) FILTER (g) - avg(v) FILTER (NOT g) FROM s), 6) AS difference, round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high FROM x""")
 def group_difference_interval(spark, sf_dir):
     """Difference of two group means with an interval from draws stratified by group."""
     s = windows(spark, sf_dir).groupBy("sample").agg(F.avg("h").alias("v")).withColumn("g", F.col("sample") < 15)
-    m = resampling.bootstrap_means(s, ["g"], "sample", "v", 60, "diff")
+    m = resampling.bootstrap_means(s, ["g"], "sample", "v", 2000, "diff")
     x = m.groupBy("rep").agg((F.max(F.when(F.col("g"), F.col("mean"))) - F.max(F.when(~F.col("g"), F.col("mean")))).alias("diff")).withColumn("k", F.lit(0))
     seen = s.agg((F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))).alias("difference"))
     return rounded(resampling.interval(x, ["k"], "diff").crossJoin(F.broadcast(seen)).select("difference", "low", "high"))

@@ -145,12 +145,21 @@ def huber_group_effect(spark, sf_dir):
     return rounded(statistics.huber(p, ["region"], "y", ["decade", "group"]), digits=4)
 
 
-@plan(f"""WITH {_POINTS}, f1 AS (SELECT *, regr_slope(y, x) OVER w AS s1, regr_intercept(y, x) OVER w AS i1 FROM pt WINDOW w AS (PARTITION BY nation)), r1 AS (SELECT *, y - (s1 * x + i1) AS r FROM f1),
-m1 AS (SELECT *, quantile_cont(r, 0.5) OVER (PARTITION BY nation) AS m FROM r1), k1 AS (SELECT *, abs(r - m) <= greatest(0.5, 1.4826 * quantile_cont(abs(r - m), 0.5) OVER (PARTITION BY nation)) AS ok FROM m1),
-c1 AS (SELECT nation, id, x, y, CASE WHEN count(*) FILTER (ok) OVER (PARTITION BY nation) < 8 THEN true ELSE ok END AS keep FROM k1)
-SELECT nation, count(*) FILTER (keep)::BIGINT AS n, round(regr_slope(y, x) FILTER (keep), 6) AS slope, round(regr_intercept(y, x) FILTER (keep), 6) AS intercept FROM c1 GROUP BY nation""")
+def _clipped_sql(rounds: int) -> str:
+    """Each round fits the kept rows, and looks at all rows' residuals for those to keep next."""
+    steps = ["k0 AS (SELECT *, true AS keep, false AS stop FROM pt)"]
+    for k in range(1, rounds):
+        steps += [
+            f"r{k} AS (SELECT *, y - (regr_slope(y, x) FILTER (keep) OVER w * x + regr_intercept(y, x) FILTER (keep) OVER w) AS r FROM k{k - 1} WINDOW w AS (PARTITION BY nation))", f"m{k} AS (SELECT *, abs(r - quantile_cont(r, 0.5) OVER (PARTITION BY nation)) AS off FROM r{k})",
+            f"n{k} AS (SELECT *, off <= greatest(0.5, 3 * 1.4826::DOUBLE * quantile_cont(off, 0.5) OVER (PARTITION BY nation)) AS ok FROM m{k})", f"s{k} AS (SELECT nation, id, x, y, keep, ok, stop OR count(*) FILTER (ok) OVER (PARTITION BY nation) < 8 AS stop FROM n{k})",
+            f"k{k} AS (SELECT nation, id, x, y, CASE WHEN stop THEN keep ELSE ok END AS keep, stop FROM s{k})",
+        ]
+    return f"WITH {_POINTS}, {', '.join(steps)} SELECT nation, count(*) FILTER (keep)::BIGINT AS n, round(regr_slope(y, x) FILTER (keep), 6) AS slope, round(regr_intercept(y, x) FILTER (keep), 6) AS intercept FROM k{rounds - 1} GROUP BY nation"
+
+
+@plan(_clipped_sql(3))
 def clipped_line_fit(spark, sf_dir):
-    return rounded(statistics.clipped_line(points(spark, sf_dir), ["nation"], "x", "y", rounds=2, times=1.4826))
+    return rounded(statistics.clipped_line(points(spark, sf_dir), ["nation"], "x", "y"))
 
 
 _BETA = """bt AS (SELECT vec_id AS id, unnest(range(0, 64)) AS probe, unnest(embedding)::DOUBLE AS v FROM embeddings), obs AS (SELECT id, probe, CASE WHEN (id + probe) % 7 <> 0 THEN v END AS v FROM bt),

@@ -61,21 +61,21 @@ _H = lambda *k: "('0x' || substr(sha256(concat_ws('|', " + ", ".join(k) + ")), 1
 
 
 @plan(f"""{BASE}, mol AS (SELECT sample, (win % 3)::BIGINT AS rep, avg(h) AS v FROM windows GROUP BY 1, 2), pat AS (SELECT sample < 15 AS grp, sample, row_number() OVER (PARTITION BY sample < 15 ORDER BY sample) - 1 AS k, count(*) OVER (PARTITION BY sample < 15) AS n FROM (SELECT DISTINCT sample FROM windows)),
-d AS (SELECT grp, draw, k AS slot, {_H("'two'", "draw::VARCHAR", "k::VARCHAR")} % n AS pick, {_H("'two'", "'r'", "draw::VARCHAR", "k::VARCHAR")} % 3 AS rep FROM pat, (SELECT range AS draw FROM range(0, 500))),
+d AS (SELECT grp, draw, k AS slot, {_H("'two'", "draw::VARCHAR", "k::VARCHAR")} % n AS pick, {_H("'two'", "'r'", "draw::VARCHAR", "k::VARCHAR")} % 3 AS rep FROM pat, (SELECT range AS draw FROM range(0, 10000))),
 m AS (SELECT d.grp, d.draw, avg(mol.v) AS mean FROM d JOIN pat p ON p.grp = d.grp AND p.k = d.pick JOIN mol ON mol.sample = p.sample AND mol.rep = d.rep GROUP BY 1, 2)
 SELECT grp, round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m GROUP BY grp""")
 def two_level_bootstrap(spark, sf_dir):
     w = windows(spark, sf_dir)
     mol = w.groupBy("sample", (F.col("win") % 3).alias("rep")).agg(F.avg("h").alias("v"))
     pat = w.select("sample").distinct().withColumn("grp", F.col("sample") < 15)
-    return rounded(resampling.interval(studies.two_level_bootstrap(pat, mol, "grp", "sample", "rep", "v", 500, 3, "two"), ["grp"], "mean"))
+    return rounded(resampling.interval(studies.two_level_bootstrap(pat, mol, "grp", "sample", "rep", "v", 10_000, 3, "two"), ["grp"], "mean"))
 
 
-@plan(f"""{BASE}, q AS (SELECT sample, win % 2 AS locus, unnest(quantile_cont(h, [0.05, 0.15, 0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85, 0.95])) AS q, unnest(range(0, 10)) AS k FROM windows GROUP BY 1, 2),
+@plan(f"""{BASE}, q AS (SELECT sample, win % 2 AS locus, unnest(quantile_cont(h, {[(2 * k + 1) / 2000 for k in range(1000)]})) AS q, unnest(range(0, 1000)) AS k FROM windows GROUP BY 1, 2),
 c AS (SELECT sample, locus, k, q - avg(q) OVER (PARTITION BY sample, locus) AS q FROM q) SELECT locus, k, round(avg(q), 6) AS q FROM c GROUP BY 1, 2""")
 def coupled_null_quantiles(spark, sf_dir):
     """Comonotone null of a cohort: centred mid-quantiles of each sample, averaged at equal rank."""
-    q = resampling.coupled_quantiles(windows(spark, sf_dir).withColumn("locus", F.col("win") % 2), ["sample", "locus"], "h", 10)
+    q = resampling.coupled_quantiles(windows(spark, sf_dir).withColumn("locus", F.col("win") % 2), ["sample", "locus"], "h", 1000)
     return rounded(q.select("locus", F.posexplode("q").alias("k", "q")).groupBy("locus", F.col("k").cast("long").alias("k")).agg(F.avg("q").alias("q")))
 
 
