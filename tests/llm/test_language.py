@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language
+from tallyloom.llm import language, queries
 from tallyloom.llm.common import spread
 
 
@@ -130,3 +130,24 @@ def test_pieces_cover_the_text(spark):
     got = [r[0] for r in d.select(spread(F.col("t"), 5000, 1000)).collect()]
     assert got[1:] == ["short", None]
     assert [p == text[a : a + 1000] for p, a in zip(got[0].split(" "), (0, 4750, 9500, 14250, 19000))] == [True] * 5
+
+
+def test_query_matches_a_slow_version(spark, docs_of, rng, tmp_path):
+    """lang_pred, score and held_out of the registered query, each byte's distribution by the scalar recurrence."""
+    alphabet = {"aa": "abcdefgh ", "bb": "mnopqrst ", "cc": "äöüvwxyz "}
+    rows = [(i, "".join(rng.choice(alphabet[k]) for _ in range(rng.randrange(20, 150))), k) for i, k in enumerate(rng.choices(list(alphabet), k=40))]
+    rows += [(100, None, "aa"), (101, "", "bb"), (102, "12 .. 7", "cc"), (None, "abc abc", "aa"), (103, "abcd mnop", None), (0, rows[1][1], "bb")]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = language.train(docs, F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 != 2)
+    assert model.languages == ["aa", "bb", "cc"]
+    got = sorted(((r.doc_id, r.held_out, r.lang_pred, r.score) for r in queries.op6_language_id(spark, str(tmp_path)).collect()), key=str)
+    want = []
+    for i, text, _ in rows:
+        sums = slow_sums(model, text.encode()) if text and any(c.isalpha() for c in text) else None
+        want.append((i, fold(i) == 2, "und" if sums is None else model.languages[int(sums.argmax())], 0.0 if sums is None else sums.max() / len(text.encode())))
+    assert [r[:2] for r in got] == [r[:2] for r in sorted(want, key=str)]
+    left = sorted(want, key=str)
+    for g, w in zip(got, left):
+        assert g[2] == w[2] and g[3] == pytest.approx(w[3], abs=2e-3), (g, w)
