@@ -35,8 +35,14 @@ def write_bed(df: DataFrame, path: str, chrom: str = "chrom") -> None:
     df.orderBy(number, "start", "end").write.mode("overwrite").csv(path, sep="\t", header=False)
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True)
+def write_json(df: DataFrame, path: str) -> None:
+    """Gzipped JSON, a row a line, nulls written out. Spark's commit makes the folder whole or leaves it without a success mark."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path, compression="gzip")
+
+
+def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None, lines: bool = False) -> DataFrame:
+    """One document or list a file, or with ``lines`` a row a line."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
