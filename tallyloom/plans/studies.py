@@ -198,14 +198,28 @@ def matched_set_null(spark, sf_dir):
     return rounded(counted.crossJoin(F.broadcast(seen)).select("observed", "sets", "p"))  # one row by one row
 
 
-@plan(f"""WITH pt AS (SELECT c_nationkey AS nation, c_custkey AS id, (c_custkey % 50)::DOUBLE AS x, c_acctbal AS y FROM customer), f AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i, min(x) AS lo, max(x) AS hi FROM pt WHERE nation < 5)
-SELECT nation, count(*)::BIGINT AS n, round(avg(y - (SELECT s FROM f) * x - (SELECT i FROM f)), 6) AS deviation FROM pt WHERE nation >= 5 AND x BETWEEN (SELECT lo FROM f) AND (SELECT hi FROM f) GROUP BY 1""")
+_MIDDLE = "(min(v) FILTER (u >= (t + 1) // 2) + min(v) FILTER (u >= (t + 2) // 2)) / 2"
+
+
+@plan(f"""WITH pt AS (SELECT c_custkey // 1500 AS block, c_nationkey AS nation, c_custkey AS id, (c_custkey % 50)::DOUBLE AS x, c_acctbal AS y FROM customer),
+z AS (SELECT block, id, x, y, row_number() OVER (PARTITION BY block ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY block) AS n FROM pt WHERE nation < 5), sl AS (SELECT a.block, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM z a JOIN z b ON a.block = b.block AND a.id < b.id AND a.x <> b.x GROUP BY 1),
+line AS (SELECT block, any_value(slope) AS slope, quantile_cont(y - slope * x, 0.5) AS intercept, min(x) AS lo, max(x) AS hi FROM z JOIN sl USING (block) GROUP BY 1), reps AS (SELECT range AS rep FROM range(0, 200)),
+d AS (SELECT block, rep, ('0x' || substr(sha256(concat_ws('|', 'dev', rep::VARCHAR, place::VARCHAR)), 1, 8))::BIGINT % n AS place FROM z, reps), k AS (SELECT block, rep, place, count(*) AS k FROM d GROUP BY ALL), s AS (SELECT block, rep, id, x, y, k FROM k JOIN z USING (block, place)),
+p AS (SELECT a.block, a.rep, (b.y - a.y) / (b.x - a.x) AS v, a.k * b.k AS w FROM s a JOIN s b ON a.block = b.block AND a.rep = b.rep AND a.id < b.id AND a.x <> b.x), c AS (SELECT block, rep, v, sum(w) OVER (PARTITION BY block, rep ORDER BY v RANGE UNBOUNDED PRECEDING) AS u, sum(w) OVER (PARTITION BY block, rep) AS t FROM p),
+m AS (SELECT block, rep, {_MIDDLE} AS slope FROM c GROUP BY ALL), e AS (SELECT block, rep, slope, y - slope * x AS v, k AS w FROM s JOIN m USING (block, rep)), f AS (SELECT *, sum(w) OVER (PARTITION BY block, rep ORDER BY v RANGE UNBOUNDED PRECEDING) AS u, sum(w) OVER (PARTITION BY block, rep) AS t FROM e),
+refit AS (SELECT block, rep, any_value(slope) AS slope, {_MIDDLE} AS intercept FROM f GROUP BY ALL),
+g AS (SELECT block, nation, id, x, y, slope, intercept, row_number() OVER (PARTITION BY block, nation ORDER BY id) - 1 AS place, count(*) OVER (PARTITION BY block, nation) AS n FROM pt JOIN line USING (block) WHERE nation >= 5 AND x BETWEEN lo AND hi),
+h AS (SELECT block, nation, n, rep, ('0x' || substr(sha256(concat_ws('|', 'devd', rep::VARCHAR, place::VARCHAR)), 1, 8))::BIGINT % n AS place FROM g, reps),
+b AS (SELECT h.block, h.nation, h.rep, avg(g.x) AS x, avg(g.y) AS y FROM h JOIN g ON g.block = h.block AND g.nation = h.nation AND g.place = h.place GROUP BY 1, 2, 3),
+v AS (SELECT block, nation, quantile_cont(b.y - slope * b.x - intercept, 0.025) AS low, quantile_cont(b.y - slope * b.x - intercept, 0.975) AS high FROM b JOIN refit USING (block, rep) GROUP BY 1, 2)
+SELECT block, nation, count(*)::BIGINT AS n, round(avg(y - slope * x - intercept), 6) AS deviation, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM g LEFT JOIN v USING (block, nation) GROUP BY block, nation""")
 def trajectory_deviation(spark, sf_dir):
-    """Mean distance from the reference cohort's line, inside its range only."""
-    p = points(spark, sf_dir)
-    line = p.where("nation < 5").agg(F.regr_slope("y", "x").alias("s"), F.regr_intercept("y", "x").alias("i"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    d = p.where("nation >= 5").crossJoin(F.broadcast(line)).where(F.col("x").between(F.col("lo"), F.col("hi")))
-    return rounded(d.groupBy("nation").agg(F.count("*").alias("n"), F.avg(F.col("y") - F.col("s") * F.col("x") - F.col("i")).alias("deviation")))
+    """Mean distance from the reference cohort's line, inside its range only, with an interval of joint draws of both.
+
+    Cohorts are customers that follow each other, 1500 at a time; the reference in each are its first five nations.
+    """
+    p = points(spark, sf_dir).withColumn("block", F.floor(F.col("id") / 1500))
+    return rounded(statistics.line_deviation(p.where("nation >= 5"), p.where("nation < 5").drop("nation"), ["block"], ["nation"], "x", "y", "id", 200, "dev"))
 
 
 @plan(f"""{BASE}, f AS (SELECT w.sample, win, h, m, c.bal FROM windows w JOIN (SELECT c_nationkey AS sample, avg(c_acctbal) AS bal FROM customer GROUP BY 1) c USING (sample)),
