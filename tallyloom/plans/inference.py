@@ -139,7 +139,26 @@ def theil_sen_bootstrap(spark, sf_dir):
     return refits.withColumns({c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6 for c in ("slope", "intercept")})
 
 
-@plan()
+def _three_by_three(w: str) -> tuple[str, str]:
+    """(weighted sums, their solution by Cramer's rule) of a plane through x and z."""
+    sums = f"sum({w}) AS s, sum({w} * x) AS sx, sum({w} * z) AS sz, sum({w} * x * x) AS sxx, sum({w} * x * z) AS sxz, sum({w} * z * z) AS szz, sum({w} * y) AS sy, sum({w} * x * y) AS sxy, sum({w} * z * y) AS szy"
+    det = lambda m: f"({m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]}))"
+    a, right = ["s", "sx", "sz", "sx", "sxx", "sxz", "sz", "sxz", "szz"], ["sy", "sxy", "szy"]
+    part = lambda k: det([right[i // 3] if i % 3 == k else v for i, v in enumerate(a)])
+    return sums, ", ".join(f"{part(k)} / {det(a)} AS a{k}" for k in range(3))
+
+
+def _huber_sql(c: float = 1.345, rounds: int = 50) -> str:
+    first, weighted = _three_by_three("1.0::DOUBLE"), _three_by_three("w")
+    return f"""WITH RECURSIVE {_POINTS}, d AS (SELECT nation % 5 AS region, (x - 50) / 10 AS x, (id % 2)::DOUBLE AS z, y FROM pt),
+b AS (SELECT region, 0 AS k, a0, a1, a2, true AS open FROM (SELECT region, {first[1]} FROM (SELECT region, {first[0]} FROM d GROUP BY region)) UNION ALL
+ SELECT region, k + 1, a0, a1, a2, greatest(abs(a0 - b0), abs(a1 - b1), abs(a2 - b2)) >= 1e-8 * greatest(1, abs(a0), abs(a1), abs(a2)) FROM (SELECT region, k, b0, b1, b2, {weighted[1]} FROM (SELECT region, k, b0, b1, b2, {weighted[0]}
+  FROM (SELECT *, far / greatest(far, abs(r)) AS w FROM (SELECT *, {c} * 1.4826022185056018::DOUBLE * quantile_cont(abs(r - m), 0.5) OVER (PARTITION BY region) AS far FROM (SELECT *, quantile_cont(r, 0.5) OVER (PARTITION BY region) AS m
+   FROM (SELECT d.*, b.k, b.a0 AS b0, b.a1 AS b1, b.a2 AS b2, y - (b.a0 + b.a1 * x + b.a2 * z) AS r FROM d JOIN b USING (region) WHERE open AND k < {rounds})))) GROUP BY region, k, b0, b1, b2)))
+SELECT region, (SELECT count(*) FROM d WHERE d.region = b.region)::BIGINT AS n, round(a0, 4) AS b0, round(a1, 4) AS b1, round(a2, 4) AS b2 FROM b QUALIFY row_number() OVER (PARTITION BY region ORDER BY k DESC) = 1"""
+
+
+@plan(_huber_sql())
 def huber_group_effect(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("decade", (F.col("x") - 50) / 10).withColumn("group", (F.col("id") % 2).cast("double")).withColumn("region", F.col("nation") % 5)
     return rounded(statistics.huber(p, ["region"], "y", ["decade", "group"]), digits=4)
