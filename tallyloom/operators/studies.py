@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import draw_order
+from ..functions.scalars import draw, draw_order
 from . import ranking, resampling, statistics
 from .guards import bounded
 from .rounds import passed_on
@@ -45,8 +45,6 @@ def two_level_bootstrap(patients: DataFrame, molecules: DataFrame, group: str, u
 
     ``patients`` has (group, unit); ``molecules`` (unit, rep 0..inner-1, value).
     """
-    from ..functions.scalars import draw
-
     p = patients.groupBy(group).agg(F.sort_array(F.collect_list(unit)).alias("_u")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     slots = p.select(group, "draw", "_u", F.explode(F.sequence(F.lit(0), F.size("_u") - 1)).alias("_s"))
     chosen = slots.select(group, "draw", F.get(F.col("_u"), (draw(F.lit(seed), F.col("draw"), F.col("_s")) % F.size("_u")).cast("int")).alias(unit), (draw(F.lit(seed), F.lit("r"), F.col("draw"), F.col("_s")) % inner).alias(rep))
@@ -163,25 +161,42 @@ def fit_grid(segments: DataFrame, chrom: str, length: str, ratio: str, purities:
     return each
 
 
-def cluster_stability(df: DataFrame, unit: str, feature: str, value: str, repeats: int = 500, seed: int = 2, most: int = 1000) -> DataFrame:
-    """(unit, label, agreement): two average-linkage groups and how often feature resamples put the unit with its group.
+def cluster_stability(df: DataFrame, unit: str, feature: str, value: str, repeats: int = 500, seed: str = "clusters", most: int = 1000) -> DataFrame:
+    """(unit, label, agreement): two average-linkage groups of units, and how often draws of features put a unit with its group.
 
-    Units are a cohort: more than ``most`` of them are refused.
+    Features that every unit has are used. A draw takes as many features with
+    replacement; distances of unit pairs under a draw are sums over features, so
+    what reaches a clustering is one number a pair of units. Units are a cohort:
+    more than ``most`` of them are refused.
     """
-    if df.select(unit).distinct().count() > most:
+    units = df.select(unit).distinct().count()
+    if units > most:
         raise ValueError(f"more than {most} units: this operator takes a cohort")
+    d = df.where(F.col(value).isNotNull() & F.col(feature).isNotNull()).groupBy(F.col(unit).alias("u"), F.col(feature).alias("f")).agg(F.first(value).cast("double").alias("v"))
+    whole = d.groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") == units).select("f", (F.row_number().over(Window.orderBy("f")) - 1).alias("place"))  # a row a feature
+    whole = passed_on(whole)
+    n = whole.count()
+    slots = df.sparkSession.range(n).select(F.col("id").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
+    drawn = slots.select("rep", (draw(F.lit(seed), F.col("rep"), F.col("slot")) % F.lit(max(n, 1))).cast("int").alias("place")).groupBy("rep", "place").agg(F.count("*").alias("w"))
+    own = whole.select(F.lit(0).alias("rep"), "place", F.lit(1).cast("long").alias("w"))
+    d = d.join(whole, "f")
+    pairs = d.select("place", F.col("u").alias("a"), F.col("v").alias("va")).join(d.select("place", F.col("u").alias("b"), F.col("v").alias("vb")), "place").where("a < b")
+    far = pairs.join(own.unionByName(drawn), "place").groupBy("rep", "a", "b").agg(F.sqrt(F.sum(F.col("w") * (F.col("va") - F.col("vb")) * (F.col("va") - F.col("vb")))).alias("d"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=unit, columns=feature, values=value, aggfunc="first").dropna(axis=1).sort_index()
-        x = wide.to_numpy(float)
-        label, rng, same = statistics.two_clusters(x), np.random.default_rng(seed), np.zeros(len(x))
-        for _ in range(repeats):
-            other = statistics.two_clusters(x[:, rng.integers(0, x.shape[1], x.shape[1])])
-            same += (other == label) if (other == label).mean() >= 0.5 else (other != label)
-        return pd.DataFrame({unit: wide.index, "label": label, "agreement": same / repeats})
+        names = sorted(set(pdf["a"]) | set(pdf["b"]))
+        at = {u: k for k, u in enumerate(names)}
+        m = np.zeros((len(names), len(names)))
+        i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
+        m[i, j] = m[j, i] = pdf["d"].to_numpy()
+        return pd.DataFrame({"rep": pdf["rep"].iloc[0], "u": names, "label": statistics.two_clusters_of(m)})
 
     kind = dict(df.dtypes)[unit]
-    return df.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda p: run(p), f"`{unit}` {kind}, label int, agreement double")
+    labels = passed_on(far.groupBy("rep").applyInPandas(run, f"rep int, u {kind}, label int"))
+    seen = labels.where("rep = 0").select("u", F.col("label").alias("own"))
+    same = labels.where("rep > 0").join(seen, "u").withColumn("same", (F.col("label") == F.col("own")).cast("double"))
+    same = same.withColumn("_share", F.avg("same").over(Window.partitionBy("rep"))).withColumn("same", F.when(F.col("_share") >= 0.5, F.col("same")).otherwise(1 - F.col("same")))
+    return seen.join(same.groupBy("u").agg(F.avg("same").alias("agreement")), "u", "left").select(F.col("u").alias(unit), F.col("own").alias("label"), "agreement")
 
 
 def nested_reselection(values: DataFrame, parts: DataFrame, labels: DataFrame, unit: str, key: str, value: str, stratum: Column, part: str, n_parts: int, picks: int = 3, least_pairs: int = 2, least_in: int = 3, least_out: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.operators import matching, ranking, resampling, rollups, sequences, statistics
+from tallyloom.operators import matching, ranking, resampling, rollups, sequences, statistics, studies
 
 
 def rank_mean(v):
@@ -335,3 +335,19 @@ def test_small_operators_of_calls(spark):
     left = spark.createDataFrame([("x#12",), ("none",), ("y#7",)], "name string")
     right = spark.createDataFrame([(12, "a"), (7, "b")], "id long, v string")
     assert sorted((r.name, r.v) for r in rollups.joined_by_pattern(left, right, "name", r"#(\d+)$", "id").collect()) == [("x#12", "a"), ("y#7", "b")]
+
+
+def test_cluster_stability_matches_arrays(spark):
+    """Two planted groups; the draws of features redone on one array."""
+    import hashlib
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(9, 12)) + np.array([0] * 4 + [1] * 5)[:, None] * 0.8
+    rows = [(i, j, float(x[i, j])) for i in range(9) for j in range(12)] + [(0, 99, 1.0)]  # feature 99 is not whole
+    got = sorted((r.u, r.label, r.agreement) for r in studies.cluster_stability(spark.createDataFrame(rows, "u long, f long, v double"), "u", "f", "v", repeats=40).collect())
+    base, same = statistics.two_clusters(x), np.zeros(9)
+    for rep in range(1, 41):
+        picks = [int(hashlib.sha256(f"clusters|{rep}|{k}".encode()).hexdigest()[:8], 16) % 12 for k in range(12)]
+        other = statistics.two_clusters(x[:, picks])
+        same += (other == base) if (other == base).mean() >= 0.5 else (other != base)
+    assert [g[:2] for g in got] == list(enumerate(base.tolist())) and [g[2] for g in got] == pytest.approx(same / 40)
