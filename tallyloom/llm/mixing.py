@@ -149,5 +149,6 @@ def mixed_documents(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ..
     shares = _mix(base, max_epochs, weights, seed, cells).groupBy("mark").agg(F.count("*").alias(several), *(F.first(c).alias(c) for c in added[:3]), *(F.sum(c).alias(c) for c in added[3:]))
     found = base.withColumn(key, _same()).join(keep(shares.where("epochs > 0").withColumnRenamed("mark", key)), key)
     columns = [F.col(f"`{c}`") for c in base.columns] + [F.col(c) for c in added]
-    alike = found.where(F.col(several) > 1).groupBy(key).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(several)).select(f"{several}.*")
-    return found.where(F.col(several) == 1).select(*columns).unionByName(alike)
+    # The window stands on the join's exchange, so texts are exchanged once.
+    order = Window.partitionBy(key).orderBy(F.when(F.col(several) > 1, F.to_json(F.struct(*columns))))
+    return found.withColumn(several, F.row_number().over(order)).where(F.col(several) == 1).select(*columns)

@@ -88,3 +88,8 @@ def test_documents_of_the_mix_carry_their_columns(docs_of, rng):
         seen[r.doc_id, r.source, r.size] = seen.get((r.doc_id, r.source, r.size), 0) + r.taken
     assert seen == {k: v for k, v in plain.items() if k in seen} and sum(seen.values()) == sum(plain.values())
     assert len({(r.doc_id, r.source, r.text) for r in got}) == len(got)
+
+
+def test_texts_are_exchanged_once(docs_of, rng):
+    plan = mixing.mixed_documents(docs_of(rows_of(rng))).drop("n_chars")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("XxHash64") + plan.count("xxhash64") == 1, plan
