@@ -126,9 +126,9 @@ FROM part0 t JOIN part0 c ON t.is_target AND NOT c.is_target AND t.p_brand = c.p
 ranked AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY distance, c_p_partkey) AS place FROM q)"""
 
 
-def _band(spark, sf_dir, k):
+def _band(spark, sf_dir, k, block=None, least=1):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
-    return matching.caliper_matches(p.where("p_partkey % 20 = 0"), p.where("p_partkey % 20 <> 0"), ["p_brand"], {"p_retailprice": 1.05, "p_size": 1.25}, "p_partkey", k)
+    return matching.nearest_blocks(p.where("p_partkey % 20 = 0"), p.where("p_partkey % 20 <> 0"), ["p_brand"], {"p_retailprice": 1.05, "p_size": 1.25}, "p_partkey", k, block, least)
 
 
 @plan(f"{_BAND} SELECT p_partkey, c_p_partkey, place::INTEGER AS place, round(distance, 6) AS distance FROM ranked WHERE place <= 10")
@@ -140,7 +140,7 @@ def caliper_match_topk(spark, sf_dir):
 n AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY distance, c_p_partkey) AS place FROM b WHERE k = 1), m AS (SELECT *, count(*) OVER (PARTITION BY p_partkey) AS n FROM n WHERE place <= 4)
 SELECT p_partkey, c_p_partkey, place::INTEGER AS place FROM m WHERE n >= 2""")
 def caliper_block_match(spark, sf_dir):
-    return matching.one_per_block(_band(spark, sf_dir, None), "p_partkey", "c_p_type", 4, least=2).select("p_partkey", "c_p_partkey", "place")
+    return _band(spark, sf_dir, 4, "p_type", least=2).select("p_partkey", "c_p_partkey", "place")
 
 
 @plan("""WITH RECURSIVE r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part),
@@ -190,7 +190,7 @@ def difference_caliper_blocks(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice", F.col("p_size").cast("double").alias("p_size"), F.floor(F.col("p_partkey") / 4).alias("block"))
     found = None
     for scenario, tolerance in (("primary", 25.0), ("tight", 10.0), ("wide", 50.0)):
-        m = matching.caliper_matches(p.where("p_partkey % 20 = 0"), p.where("p_partkey % 20 <> 0"), ["p_brand"], {"p_size": 1.25}, "p_partkey", None, {"p_retailprice": tolerance}, "squares")
-        m = matching.one_per_block(m, "p_partkey", "c_block", 20, least=5).select(F.lit(scenario).alias("scenario"), "p_partkey", "c_p_partkey", "place", "distance")
+        m = matching.nearest_blocks(p.where("p_partkey % 20 = 0"), p.where("p_partkey % 20 <> 0"), ["p_brand"], {"p_size": 1.25}, "p_partkey", 20, "block", 5, {"p_retailprice": tolerance}, "squares")
+        m = m.select(F.lit(scenario).alias("scenario"), "p_partkey", "c_p_partkey", "place", "distance")
         found = m if found is None else found.unionByName(m)
     return rounded(found)

@@ -32,3 +32,17 @@ def test_replicates_without_spread_stay_in_the_interval(spark, tmp_path):
         CASE WHEN range % 25 = 0 THEN 6000.0 ELSE 4500.0 END::DOUBLE + (CASE WHEN range % 2 = 0 THEN 1 ELSE -1 END) * (range % 25 * 7 % 11) AS c_acctbal FROM range(0, 413)""")
     (row,) = same_as_sql(spark, con, tmp_path, "adjusted_association")
     assert row.low < row.rho and row.high != row.high
+
+
+@pytest.mark.parametrize("distance", ["largest", "squares"])
+def test_nearest_blocks_are_those_of_all_matches(spark, distance):
+    from tallyloom.operators import matching
+
+    d = spark.range(3000).select("id", (F.col("id") % 2).alias("ctx"), F.round(100 + 400 * F.rand(3), F.lit(0)).alias("a"), F.when(F.col("id") % 97 != 0, F.floor(1 + 20 * F.rand(4)).cast("double")).alias("b"), (F.col("id") % 23).alias("part"))
+    d = d.unionByName(d.withColumn("id", F.col("id") + 3000)).localCheckpoint()
+    args = dict(ratios={"a": 1.3}, differences={"b": 4.0}, distance=distance)
+    for block, k, least in (("part", 5, 2), ("id", 7, 1)):
+        want = matching.one_per_block(matching.caliper_matches(d.where("id % 9 = 0"), d.where("id % 4 <> 0"), ["ctx"], key="id", k=None, **args), "id", f"c_{block}", k, least)
+        got = matching.nearest_blocks(d.where("id % 9 = 0"), d.where("id % 4 <> 0"), ["ctx"], key="id", k=k, block=block, least=least, **args)
+        shown = ["id", "c_id", "place", "distance"]
+        assert sorted(map(tuple, got.select(shown).collect())) == sorted(map(tuple, want.select(shown).collect()))
