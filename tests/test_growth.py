@@ -46,3 +46,19 @@ def test_nearest_blocks_are_those_of_all_matches(spark, distance):
         got = matching.nearest_blocks(d.where("id % 9 = 0"), d.where("id % 4 <> 0"), ["ctx"], key="id", k=k, block=block, least=least, **args)
         shown = ["id", "c_id", "place", "distance"]
         assert sorted(map(tuple, got.select(shown).collect())) == sorted(map(tuple, want.select(shown).collect()))
+
+
+def repeated_parts(times):
+    """``times`` copies of 1200 parts."""
+    return f"""SELECT i + 1200 * k AS p_partkey, 'brand' || i % 3 AS p_brand, (1 + i * 7 % 50)::INT AS p_size, (900 + i * 37 % 1100)::DOUBLE AS p_retailprice, 'type' AS p_type FROM range(0, 1200) t(i), range(0, {times}) s(k)"""
+
+
+@pytest.mark.parametrize("name", ["paired_metric_difference", "matched_set_null", "caliper_pools"])
+def test_pools_of_repeated_parts(spark, tmp_path, name):
+    from tallyloom.plans import studies
+
+    same_as_sql(spark, written(tmp_path, part=repeated_parts(3)), tmp_path, name)
+    compared = studies.pool_places(*studies.pool_sides(spark, str(tmp_path)))
+    (tmp_path / "more").mkdir()
+    written(tmp_path / "more", part=repeated_parts(6))
+    assert studies.pool_places(*studies.pool_sides(spark, str(tmp_path / "more"))).count() == compared.count() > 0
