@@ -9,7 +9,7 @@ from ..functions import scalars
 from ..operators import counting, guards, rollups, sequences, statistics, studies
 from .inference import _NATION, _RANK, nations
 from .registry import plan, rounded, table
-from .studies import caliper_pools
+from .studies import pool_places, pool_sides
 
 # A read of 64 bases for each part, every second one on the reverse strand.
 _READS = """reads AS (SELECT p_partkey AS id, p_partkey % 10 AS grp, p_partkey % 2 = 1 AS rev, translate(sha256(p_partkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT') AS seq FROM part),
@@ -95,11 +95,15 @@ u AS (SELECT 'price' AS metric, t1 AS t, c1 AS c FROM e UNION ALL SELECT 'condit
 SELECT metric, count(*)::BIGINT AS targets, round(avg(t), 6) AS target_mean, round(avg(c), 6) AS control_mean, round(avg(t - c), 6) AS difference FROM u WHERE t IS NOT NULL AND c IS NOT NULL GROUP BY metric""")
 def paired_metric_difference(spark, sf_dir):
     """Target minus mean control for each metric, over targets where both sides have the metric."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
-    t = part.select(F.col("p_partkey"), F.col("p_retailprice").alias("t_price"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size")).alias("t_size"))
-    c = part.select(F.col("p_partkey").alias("control"), F.col("p_retailprice").alias("c_price"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_size")).alias("c_size"))
-    pairs = caliper_pools(spark, sf_dir).join(t, "p_partkey").join(c, "control")
-    return rounded(rollups.paired_differences(pairs, "p_partkey", {"price": ("t_price", "c_price"), "conditional": ("t_size", "c_size")}))
+    targets, controls = pool_sides(spark, sf_dir)
+    # What the controls of one place add to a target's means is two sums and counts, whatever their number.
+    size = F.when(F.col("p_partkey") % 4 == 0, F.col("depth"))
+    held = controls.groupBy("p_brand", F.col("p_retailprice").alias("c_p_retailprice"), F.col("depth").alias("c_depth")).agg(F.count("*").alias("_n"), F.count(size).alias("_m"), F.sum(size).alias("_s"))
+    pairs = pool_places(targets, controls).join(held, ["p_brand", "c_p_retailprice", "c_depth"])
+    place = ["p_brand", "p_retailprice", "depth"]
+    means = pairs.groupBy(*place).agg((F.sum(F.col("c_p_retailprice") * F.col("_n")) / F.sum("_n")).alias("c_price"), F.try_divide(F.sum("_s"), F.sum("_m").cast("double")).alias("c_size"))
+    each = targets.join(means, place).select("p_partkey", F.col("p_retailprice").alias("t_price"), F.when(F.col("p_partkey") % 3 == 0, F.col("depth")).alias("t_size"), "c_price", "c_size")
+    return rounded(rollups.paired_differences(each, "p_partkey", {"price": ("t_price", "c_price"), "conditional": ("t_size", "c_size")}))
 
 
 @plan("""WITH b AS (SELECT p_size AS pos, substr(p_type, 1, 1) AS base, count(*) AS n, least(count(*) FILTER (p_partkey % 2 = 0), count(*) FILTER (p_partkey % 2 <> 0)) AS s FROM part GROUP BY 1, 2),
