@@ -128,23 +128,46 @@ def unit_bootstrap(df: DataFrame, by: Sequence[str], unit: str, value: str, repl
     return all_of.groupBy(*by).agg(F.max("units").alias("units"), F.max("mean").alias("mean"), at(low).alias("low"), at(0.5).alias("mid"), at(high).alias("high"), F.count_if(F.col("_mean").isNull()).alias("empty"))
 
 
-def label_permutation(df: DataFrame, by: Sequence[str], unit: str, in_group: Column, value: str, permutations: int, seed: str) -> DataFrame:
+def label_permutation(df: DataFrame, by: Sequence[str], unit: str, in_group: Column, value: str, permutations: int, seed: str, bundles: int = 96) -> DataFrame:
     """(by, seen, p): difference of group means, and how often it is as large when the labels are dealt to the units at random.
 
-    A permutation deals the labels of all units once, for every key. The labels
-    of a unit in all permutations are one array; values join it once. Units are a
-    set of samples, gathered as one array a permutation.
+    A permutation deals the labels of all units once, for every key. Units are a
+    set of samples, gathered as one array a permutation; keys fall into ``bundles``,
+    each a task that takes its keys one after another.
     """
     d = df.where(F.col(value).isNotNull()).withColumn("_g", in_group.cast("int")).where("_g IS NOT NULL")
     units = d.select(F.col(unit).alias("u"), "_g").distinct().agg(F.sort_array(F.collect_list(F.struct("u", "_g"))).alias("_u"))
     dealt = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
     order = F.array_sort(F.transform("_u", lambda x: F.struct(draw_order(F.lit(seed), F.col("rep"), x["u"]).alias("h"), x["u"].alias("u"))))
-    labels = dealt.select("rep", F.posexplode(F.transform(order, lambda x, i: F.struct(x["u"].alias("u"), F.get(F.col("_u"), i)["_g"].alias("g")))).alias("_k", "x")).select("rep", F.col("x.u").alias(unit), F.col("x.g").alias("g"))
-    labels = labels.groupBy(unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "g"))), lambda x: x["g"]).alias("_labels"))
-    mean = lambda g, v, on: F.avg(F.when(F.col(g) == on, F.col(v)))
-    seen = d.groupBy(*by).agg((mean("_g", value, 1) - mean("_g", value, 0)).alias("seen"))
-    null = d.join(labels, unit).select(*by, F.col(value).alias("_v"), F.posexplode("_labels").alias("rep", "_l")).groupBy(*by, "rep").agg((mean("_l", "_v", 1) - mean("_l", "_v", 0)).alias("_d"))
-    return permutation_p(null.join(seen, list(by)), by, "_d", "seen")
+    # A permutation as a row's array of (unit, label); permutations and keys meet in bundles, so no row a (key, permutation) exists.
+    labels = dealt.select("rep", F.transform(order, lambda x: x["u"]).alias("_order"), F.transform("_u", lambda x: x["_g"]).alias("_dealt"))
+    bundle = F.explode(F.sequence(F.lit(0), F.lit(bundles - 1)))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    keys = d.select(*by, F.col(unit).alias("_unit"), "_g", F.col(value).cast("double").alias("_v"), F.pmod(F.xxhash64(*by), F.lit(bundles)).cast("int").alias("_bundle"))
+    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["seen double, p double"])
+
+    def run(rows: pd.DataFrame, perms: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or perms.empty:
+            return pd.DataFrame(columns=[*by, "seen", "p"])
+        every = np.sort(np.array(perms["_order"].iloc[0]))
+        places = np.searchsorted(every, np.stack(perms["_order"].to_numpy()))
+        label = np.empty(places.shape, bool)
+        np.put_along_axis(label, places, np.stack(perms["_dealt"].to_numpy()) == 1, axis=1)
+        out = []
+        for name, g in rows.groupby(list(by), dropna=False, sort=False):
+            at, v = np.searchsorted(every, g["_unit"].to_numpy()), g["_v"].to_numpy()
+            own = g["_g"].to_numpy() == 1
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = lambda on: (on @ v) / on.sum(-1)
+                seen = mean(own.astype(float)) - mean((~own).astype(float))
+                mine = label[:, at].astype(float)
+                null = mean(mine) - mean(1 - mine)
+            null = null[~np.isnan(null)]
+            extreme = int((np.abs(null) >= abs(seen) - 1e-12).sum())
+            out.append((*name, None if np.isnan(seen) else float(seen), (1 + extreme) / (1 + len(null))))
+        return pd.DataFrame(out, columns=[*by, "seen", "p"])
+
+    return keys.groupBy("_bundle").cogroup(labels.withColumn("_bundle", bundle).groupBy("_bundle")).applyInPandas(run, schema)
 
 
 def welch(df: DataFrame, by: Sequence[str], in_group: Column, value: str, least_in: int, least_out: int) -> DataFrame:

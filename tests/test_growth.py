@@ -62,3 +62,23 @@ def test_pools_of_repeated_parts(spark, tmp_path, name):
     (tmp_path / "more").mkdir()
     written(tmp_path / "more", part=repeated_parts(6))
     assert studies.pool_places(*studies.pool_sides(spark, str(tmp_path / "more"))).count() == compared.count() > 0
+
+
+def test_permutations_meet_keys_in_bundles(spark):
+    import hashlib
+
+    from tallyloom.operators import resampling
+
+    rows = [(k, u, None if (k + u) % 5 == 0 else float((u * 7 + k * 3) % 11)) for k in range(6) for u in range(7)]
+    out = resampling.label_permutation(spark.createDataFrame(rows, "k int, u int, v double"), ["k"], "u", F.col("u") < 3, "v", 99, "s")
+    assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().sparkPlan().toString()  # no row a key and permutation
+    got, mean = {r.k: r for r in out.collect()}, lambda x: sum(x) / len(x)
+    for k in range(6):
+        mine = [(u, v) for a, u, v in rows if a == k and v is not None]
+        diff = lambda inside: mean([v for u, v in mine if inside(u)]) - mean([v for u, v in mine if not inside(u)])
+        null = []
+        for rep in range(1, 100):
+            order = sorted(range(7), key=lambda u: hashlib.sha256(f"s|{rep}|{u}".encode()).hexdigest())
+            null.append({u: i < 3 for i, u in enumerate(order)})
+        null = [diff(x.get) for x in null if any(x[u] for u, _ in mine) and not all(x[u] for u, _ in mine)]
+        assert got[k].seen == pytest.approx(diff(lambda u: u < 3)) and got[k].p == pytest.approx((1 + sum(abs(d) >= abs(got[k].seen) - 1e-12 for d in null)) / (1 + len(null)))
