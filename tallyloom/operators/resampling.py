@@ -188,17 +188,23 @@ def curveball(z: np.ndarray, rng: np.random.Generator, trades: int) -> int:
     Two rows put the columns that only one of them holds into a pool, shuffle it,
     and each takes back as many as it gave. Columns that either row does not know
     stay out of the pool. So row sums, column sums and missing places stay.
+    Rows are paired at random and all pairs of a round trade at once (global
+    trades, Carstens et al. 2018), the last round with as many pairs as are left.
     Returns the number of trades after which a row held something else.
     """
-    changed = 0
-    for _ in range(trades if len(z) > 1 else 0):
-        i, j = rng.choice(len(z), 2, replace=False)
-        mine, yours = np.flatnonzero((z[i] == 1) & (z[j] == 0)), np.flatnonzero((z[j] == 1) & (z[i] == 0))
-        pool = rng.permutation(np.concatenate([mine, yours]))
-        back, given = pool[: len(mine)], pool[len(mine) :]
-        z[i, back] = z[j, given] = 1
-        z[i, given] = z[j, back] = 0
-        changed += not np.isin(back, mine).all()
+    changed, left = 0, trades if len(z) > 1 else 0
+    while left > 0:
+        pairs = min(left, len(z) // 2)
+        order = rng.permutation(len(z))
+        i, j = order[:pairs], order[pairs : 2 * pairs]
+        mine, yours = z[i], z[j]
+        pool = ((mine == 1) & (yours == 0)) | ((mine == 0) & (yours == 1))
+        # Pool columns in random order; the first ones, as many as the first row gave, come back to it.
+        rank = np.where(pool, rng.random(pool.shape), 2.0).argsort(axis=1).argsort(axis=1)
+        back = pool & (rank < (pool & (mine == 1)).sum(1, keepdims=True))
+        changed += int((back != (pool & (mine == 1))).any(1).sum())
+        z[i], z[j] = np.where(pool, back, mine), np.where(pool, ~back, yours)
+        left -= pairs
     return changed
 
 

@@ -82,3 +82,22 @@ def test_permutations_meet_keys_in_bundles(spark):
             null.append({u: i < 3 for i, u in enumerate(order)})
         null = [diff(x.get) for x in null if any(x[u] for u, _ in mine) and not all(x[u] for u, _ in mine)]
         assert got[k].seen == pytest.approx(diff(lambda u: u < 3)) and got[k].p == pytest.approx((1 + sum(abs(d) >= abs(got[k].seen) - 1e-12 for d in null)) / (1 + len(null)))
+
+
+def test_trades_of_a_long_matrix_end_soon():
+    """210 trades a row of 20,000 rows, and states of a small matrix equally often."""
+    import collections
+    import time
+
+    import numpy as np
+
+    from tallyloom.operators import resampling
+
+    g, began = np.random.default_rng(2), time.process_time()
+    resampling.curveball(g.integers(0, 2, (20_000, 7)).astype(np.int8), g, 210 * 20_000)
+    assert time.process_time() - began < 40
+    z, seen = np.array([[1, 0, 0], [0, 1, 0], [0, 0, 1]], np.int8), collections.Counter()
+    for _ in range(6000):
+        resampling.curveball(z, g, 5)
+        seen[z.tobytes()] += 1
+    assert len(seen) == 6 and max(abs(n - 1000) for n in seen.values()) < 160
