@@ -101,3 +101,12 @@ def test_trades_of_a_long_matrix_end_soon():
         resampling.curveball(z, g, 5)
         seen[z.tobytes()] += 1
     assert len(seen) == 6 and max(abs(n - 1000) for n in seen.values()) < 160
+
+
+def test_pairs_of_a_draw_are_no_rows(spark):
+    from tallyloom.operators import statistics
+
+    d = spark.range(40).selectExpr("id % 2 AS g", "id", "double(id % 7) AS x", "double(id * 13 % 17) AS y")
+    out = statistics.theil_sen_bootstrap(d, ["g"], "x", "y", "id", 20, "s")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "MapInPandas" in plan and "slice(" not in plan and out.count() == 40
