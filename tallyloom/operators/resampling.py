@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import draw, draw_order
 from .guards import bounded
+from .rounds import passed_on
 
 
 def bootstrap_means(df: DataFrame, by: Sequence[str], unit: str, value: str, replicates: int, seed: str) -> DataFrame:
@@ -75,10 +76,40 @@ def permutation_p(null: DataFrame, by: Sequence[str], value: str, observed: str,
 
 
 def subsample(df: DataFrame, by: Sequence[str], unit: str, k: int, replicates: int, seed: str) -> DataFrame:
-    """``k`` of each group's units without replacement in each replicate."""
-    d = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    n = F.row_number().over(Window.partitionBy(*by, "rep").orderBy(draw_order(F.lit(seed), F.col("rep"), F.col(unit))))
-    return d.withColumn("slot", n).where(F.col("slot") <= k)
+    """``k`` of each group's units without replacement in each replicate: those of least digest.
+
+    Digests are even, so all but a few units of a large group are left out where
+    they are read: by a bound under which some four times ``k`` digests are
+    expected. A replicate that has too few below it takes all of its group.
+    """
+    groups = [F.col(b).alias(f"_by{i}") for i, b in enumerate(by)]
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("_size"))
+    expected = 4 * k + 40
+    bound = F.when(F.col("_size") <= expected, F.lit("g")).otherwise(F.lpad(F.lower(F.hex((F.lit(expected * float(2**52)) / F.col("_size")).cast("long"))), 13, "0"))
+    own = F.lit(True)
+    for i, b in enumerate(by):
+        own = own & F.col(b).eqNullSafe(F.col(f"_by{i}"))
+    reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    digest = draw_order(F.lit(seed), F.col("rep"), F.col(unit))
+    w = Window.partitionBy(*by, "rep").orderBy("_digest")
+    least = lambda d: d.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= k).drop("_digest")
+    near = df.join(sizes.withColumn("_bound", bound), own).withColumn("rep", reps).withColumn("_digest", digest).where(F.col("_digest") < F.col("_bound"))
+    found = passed_on(least(near.select(*df.columns, "rep", "_digest")))
+    same = own & (F.col("rep") == F.col("_rep"))
+    got = found.groupBy(*groups, F.col("rep").alias("_rep")).agg(F.count("*").alias("_got"))
+    few = sizes.withColumn("_rep", reps).join(got.withColumnsRenamed({g: f"_g{g}" for g in got.columns}), _met(len(by)), "left")
+    few = passed_on(few.where(F.coalesce("_g_got", F.lit(0)) < F.least(F.lit(k), F.col("_size"))).select(*(f"_by{i}" for i in range(len(by))), "_rep"))
+    if few.isEmpty():
+        return found
+    whole = df.join(few, own).withColumnRenamed("_rep", "rep").withColumn("_digest", digest)
+    return found.join(few, same, "left_anti").unionByName(least(whole.select(*df.columns, "rep", "_digest")))
+
+
+def _met(n: int) -> Column:
+    met = F.col("_rep") == F.col("_g_rep")
+    for i in range(n):
+        met = met & F.col(f"_by{i}").eqNullSafe(F.col(f"_g_by{i}"))
+    return met
 
 
 def sign_flips(df: DataFrame, by: Sequence[str], unit: str, value: str, flips: int, seed: str) -> DataFrame:

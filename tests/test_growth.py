@@ -110,3 +110,29 @@ def test_pairs_of_a_draw_are_no_rows(spark):
     out = statistics.theil_sen_bootstrap(d, ["g"], "x", "y", "id", 20, "s")
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert "MapInPandas" in plan and "slice(" not in plan and out.count() == 40
+
+
+def test_subsamples_are_cut_where_units_are_read(spark):
+    import hashlib
+
+    from tallyloom.operators import resampling
+
+    # The second group's rows are of two units, so their digests are not even and most replicates must look at all of it.
+    rows = [("a", i) for i in range(700)] + [(None, i % 2) for i in range(900)] + [("c", i) for i in range(5)]
+    out = resampling.subsample(spark.createDataFrame(rows, "g string, u long"), ["g"], "u", 4, 6, "s")
+    assert "Generate" not in out._jdf.queryExecution().sparkPlan().toString()  # a unit is no row of each replicate up to the end
+    got = sorted(((r.g or "", r.rep, r.slot, r.u) for r in out.collect()))
+    want = []
+    for g in ("a", None, "c"):
+        for rep in range(6):
+            units = sorted((hashlib.sha256(f"s|{rep}|{u}".encode()).hexdigest(), u) for h, u in rows if h == g)
+            want += [(g or "", rep, k + 1, u) for k, (_, u) in enumerate(units[:4])]
+    assert got == sorted(want)
+
+
+def test_a_molecule_with_two_states_at_a_site_is_not_whole(spark):
+    from tallyloom.operators import studies
+
+    rows = [("g", m, s, (m + s) % 3) for m in range(20) for s in range(3)] + [("g", 99, 0, 0), ("g", 99, 0, 2), ("g", 99, 1, 1)]
+    (row,) = studies.block_patterns(spark.createDataFrame(rows, "g string, m long, s long, x long"), ["g"], "m", "s", "x").collect()
+    assert row.molecules == 20 and row.entropy is not None
