@@ -41,19 +41,45 @@ def replicate_counts(units: DataFrame, by: Sequence[str], unit: str, replicates:
     return each.groupBy(*by, unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "n"))), lambda x: x["n"]).alias("counts"))
 
 
-def bootstrap_contrast(df: DataFrame, by: Sequence[str], unit: str, in_group: Column, value: str, replicates: int = 2000, seed: str = "contrast", low: float = 0.025, high: float = 0.975) -> DataFrame:
+def bootstrap_contrast(df: DataFrame, by: Sequence[str], unit: str, in_group: Column, value: str, replicates: int = 2000, seed: str = "contrast", low: float = 0.025, high: float = 0.975, bundles: int = 96) -> DataFrame:
     """(by, low, high): percentile interval of the mean of one group of units minus that of the other, both drawn anew with replacement.
 
     The units of all keys are drawn together, so a replicate is one drawing of
     samples. A drawn unit without a value at a key counts for nothing there; a
     replicate without any value of a group is left out of the key's interval.
     """
-    d = df.where(F.col(value).isNotNull()).withColumn("_g", in_group.cast("int")).where("_g IS NOT NULL")
-    counts = replicate_counts(d.select("_g", unit).distinct(), ["_g"], unit, replicates, seed)
-    met = d.join(counts, ["_g", unit]).select(*by, "_g", F.col(value).alias("_v"), F.posexplode("counts").alias("rep", "_n")).where("_n > 0")
-    mean = lambda g: F.sum(F.when(F.col("_g") == g, F.col("_v") * F.col("_n"))) / F.sum(F.when(F.col("_g") == g, F.col("_n")))
-    draws = met.groupBy(*by, "rep").agg((mean(1) - mean(0)).alias("_d"))
-    return interval(draws.where("_d IS NOT NULL"), by, "_d", low, high)
+    d = df.where(F.col(value).isNotNull()).withColumn("_g", in_group.cast("int")).where("_g IS NOT NULL").select(*by, "_g", F.col(unit).alias("_unit"), F.col(value).cast("double").alias("_v"))
+    counts = replicate_counts(d.select("_g", "_unit").distinct(), ["_g"], "_unit", replicates, seed).select(F.col("_g").alias("_side"), F.col("_unit").alias("_of"), "counts")
+    # Keys and the units' counts meet in bundles, so no row a (key, replicate) exists.
+    bundle = F.explode(F.sequence(F.lit(0), F.lit(bundles - 1)))
+    keys = d.withColumn("_bundle", F.pmod(F.xxhash64(*by), F.lit(bundles)).cast("int"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["low double, high double"])
+
+    def run(rows: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows):
+            places = {key: k for k, key in enumerate(zip(drawn["_side"], drawn["_of"]))}
+            every = np.stack(drawn["counts"].to_numpy()).astype(float)
+            rows = rows.assign(_at=[places[key] for key in zip(rows["_g"], rows["_unit"])])
+            for name, g in rows.groupby(list(by), dropna=False, sort=False):
+                n, v, own = every[g["_at"].to_numpy()], g["_v"].to_numpy(), g["_g"].to_numpy() == 1
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    side = lambda on: (np.where(n[on] > 0, n[on] * v[on][:, None], 0.0).sum(0), n[on].sum(0))
+                    (s1, n1), (s0, n0) = side(own), side(~own)
+                    gap = np.sort((s1 / n1 - s0 / n0)[(n1 > 0) & (n0 > 0)])
+                    if len(gap):
+                        out.append((*name, _percentile(gap, low), _percentile(gap, high)))
+        return pd.DataFrame(out, columns=[*by, "low", "high"])
+
+    return keys.groupBy("_bundle").cogroup(counts.withColumn("_bundle", bundle).groupBy("_bundle")).applyInPandas(run, schema)
+
+
+def _percentile(ordered: np.ndarray, share: float) -> float:
+    """The percentile of sorted values as SQL interpolates it."""
+    at = share * (len(ordered) - 1)
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    return float(ordered[low] if low == high else (high - at) * ordered[low] + (at - low) * ordered[high])
 
 
 def interval(draws: DataFrame, by: Sequence[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

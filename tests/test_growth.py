@@ -158,3 +158,13 @@ def test_refits_of_a_cohort_go_together():
         for k, s, b in list(zip(copies, status, log_hr))[:60]:
             want = statistics.cox(np.repeat(t, k), np.repeat(e, k), np.repeat(x, k))
             assert s == want["status"] and (np.isnan(b) if "log_hr" not in want else b == pytest.approx(want["log_hr"], abs=1e-11))
+
+
+def test_draws_and_keys_meet_in_bundles(spark):
+    from tallyloom.operators import resampling
+
+    rows = [(k, u, float((u * 7 + k * 3) % 11)) for k in range(5) for u in range(7) if (k + u) % 4] + [(9, 1, 2.0)]
+    out = resampling.bootstrap_contrast(spark.createDataFrame(rows, "k int, u int, v double"), ["k"], "u", F.col("u") < 3, "v", 50)
+    assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().sparkPlan().toString()  # no row a key and replicate
+    got = {r.k: r for r in out.collect()}
+    assert set(got) == set(range(5)) and all(r.low <= r.high for r in got.values())
