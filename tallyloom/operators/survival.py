@@ -11,10 +11,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import normal_two_sided
+from . import statistics
 from .rounds import passed_on
 from .statistics import STATUS
 
@@ -108,32 +111,41 @@ def _maxima(d: DataFrame, by: Sequence[str], groups: DataFrame, rounds: int, far
     return state
 
 
-def ordered_pairs(d: DataFrame, by: Sequence[str]) -> DataFrame:
+def ordered_pairs(d: DataFrame, by: Sequence[str], cells: int = CELLS) -> DataFrame:
     """(by, pairs, higher, level): pairs of a death and a later time; those in which the death has the higher x; those of equal x.
 
-    Two rows are told apart at the first bit where the ranks of their x differ.
-    For each bit, a death with the bit set meets the later rows that share the
-    bits before it and have it clear: one sum over later rows for all bits.
+    Times and values of x are cut at their quantiles, and a value that is a cut
+    is a slab of its own. Pairs apart in both are counted from the numbers of
+    rows in each field of that grid. A pair in one slab of times meets in that
+    slab, one in a single slab of x in that; so a row goes to two groups at most.
     """
-    # A name that no plan below shares, else Spark takes both sides of the join for one.
-    ranked = d.select(*by, F.col("_x").alias("_v")).distinct()
-    less = later(with_cells(ranked.withColumn("_minus", -F.col("_v")), by, "_minus"), by, "_minus", {"rank": ("sum", F.lit(1))}, same=False)
-    ranks = passed_on(less.select(*by, (-F.col("_minus")).alias("_x"), "rank"))
-    rows = d.join(ranks, [*by, "_x"])
-    bits = max(1, int(ranks.agg(F.max("rank")).first()[0] or 0).bit_length())
-    clear = F.expr("shiftright(rank, _bit) % 2 = 0")
-    each = rows.withColumn("_bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).withColumns({"_high": ~clear, "_prefix": F.expr("shiftright(rank, _bit + 1)")})
-    # Bit -1 holds rows of one rank, bit -2 all rows: equal pairs and all pairs by the same sums.
-    same = rows.withColumns({"_bit": F.lit(-1), "_high": F.lit(True), "_prefix": F.col("rank")})
-    every = rows.withColumns({"_bit": F.lit(-2), "_high": F.lit(True), "_prefix": F.lit(0).cast(dict(rows.dtypes)["rank"])})
-    all_rows = each.unionByName(same).unionByName(every)
-    keys = [*by, "_bit", "_prefix"]
-    counted = F.when((F.col("_bit") < 0) | ~F.col("_high"), F.col("_k")).otherwise(0)
-    after = later(all_rows, keys, "_t", {"n": ("sum", counted)}, same=False)
-    dead = all_rows.where((F.col("_e") == 1) & F.col("_high")).groupBy(*keys, "_cell", "_t").agg(F.sum("_k").alias("_d"))
-    met = dead.join(after, [*keys, "_cell", "_t"]).withColumn("_n", F.col("_d") * F.col("n"))
-    of = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0)).cast("long")
-    return met.groupBy(*by).agg(of(F.col("_bit") == -2).alias("pairs"), of(F.col("_bit") >= 0).alias("higher"), of(F.col("_bit") == -1).alias("level"))
+    for name, order in (("_when", "_t"), ("_size", "_x")):
+        shares = F.array(*(F.lit(k / cells) for k in range(1, cells)))
+        bounds = d.groupBy(*by).agg(F.percentile_approx(order, shares, F.lit(20 * cells)).alias("_bounds"))
+        slab = F.size(F.array_distinct(F.filter("_bounds", lambda b: b < F.col(order)))) * 2 + F.array_contains("_bounds", F.col(order)).cast("int")  # noqa: B023
+        d = d.join(bounds, list(by)).withColumn(name, slab).drop("_bounds")
+    d = passed_on(d.select(*by, "_t", "_x", "_when", "_size", F.when(F.col("_e") == 1, F.col("_k")).otherwise(0).alias("_d"), "_k"))
+    kinds = dict(d.dtypes)
+    schema = ", ".join([f"`{b}` {kinds[b]}" for b in by] + ["pairs long, higher long, level long"])
+    grid = d.groupBy(*by, "_when", "_size").agg(F.sum("_d").alias("_d"), F.sum("_k").alias("_k"))
+
+    def fields(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        dead, rows = np.zeros((2, 2 * cells, 2 * cells), np.int64)
+        at = pdf["_when"].to_numpy(), pdf["_size"].to_numpy()
+        dead[at], rows[at] = pdf["_d"], pdf["_k"]
+        after = rows[::-1].cumsum(0)[::-1] - rows  # later slabs of times
+        below = after.cumsum(1) - after
+        cut = np.arange(2 * cells) % 2 == 1
+        return pd.DataFrame([(*key, int((dead * after.sum(1, keepdims=True)).sum()), int((dead * below).sum()), int((dead * after)[:, cut].sum()))], columns=[*by, "pairs", "higher", "level"])
+
+    def inside(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pairs, higher, level = statistics.ordered_pairs(pdf["_time"].to_numpy(), pdf["_d"].to_numpy(), pdf["_x"].to_numpy(), pdf["_k"].to_numpy())
+        return pd.DataFrame([(*key[: len(by)], pairs if key[-2] else 0, higher, level)], columns=[*by, "pairs", "higher", "level"])
+
+    # Slabs between cuts only: a cut's slab of times has no later time, one of x has its pairs in the grid.
+    sides = [d.where(F.col(slab) % 2 == 0).select(*by, F.lit(own).alias("_own"), F.col(slab).alias("_slab"), F.col(time).cast("double").alias("_time"), "_x", "_d", "_k") for own, slab, time in ((True, "_when", "_t"), (False, "_size", "_when"))]
+    met = sides[0].unionByName(sides[1]).groupBy(*by, "_own", "_slab").applyInPandas(inside, schema)
+    return grid.groupBy(*by).applyInPandas(fields, schema).unionByName(met).groupBy(*by).agg(*(F.sum(n).alias(n) for n in ("pairs", "higher", "level")))
 
 
 def cox_by_group(df: DataFrame, by: Sequence[str], time: str, event: str, x: str, weight: str | None = None, rounds: int = 100) -> DataFrame:

@@ -181,3 +181,19 @@ def test_permutations_of_a_scan_are_no_rows(spark):
     assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().sparkPlan().toString()
     got = out.collect()
     assert len(got) == 4 and all(0 < r.p <= 1 and r.loo_min <= r.loo_max for r in got)
+
+
+def test_pairs_are_counted_in_slabs(spark):
+    import numpy as np
+
+    from tallyloom.operators import statistics, survival
+
+    g, rows, want = np.random.default_rng(4), [], {}
+    for name, times, values in (("a", 500, 400), ("b", 6, 300), ("c", 300, 2), ("d", 1, 5)):
+        t, x, e, k = g.integers(0, times, 400).astype(float), g.integers(0, values, 400) / 4, g.integers(0, 2, 400), g.integers(1, 4, 400)
+        rows += [(name, *map(float, r[:2]), int(r[2]), int(r[3])) for r in zip(t, x, e, k)]
+        later = (t[:, None] < t[None]) * (e * k)[:, None] * k[None]
+        want[name] = tuple(int(later[c].sum()) for c in (np.full((400, 400), True), x[:, None] > x[None], x[:, None] == x[None]))
+    out = survival.ordered_pairs(spark.createDataFrame(rows, "g string, _t double, _x double, _e int, _k long"), ["g"], cells=8)
+    assert "shiftright" not in out._jdf.queryExecution().sparkPlan().toString()  # no row a row and bit
+    assert {r.g: (r.pairs, r.higher, r.level) for r in out.collect()} == want
