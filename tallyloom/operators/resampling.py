@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,44 +148,75 @@ def sign_flips(df: DataFrame, by: Sequence[str], unit: str, value: str, flips: i
     return d.groupBy(*by, "rep").agg(F.avg(sign * F.col(value)).alias("mean"))
 
 
-def poisson_of(number: Column) -> Column:
-    """Poisson(1) weight of a 32-bit number in hex digits, by the cumulative probabilities of number plus a half over 2^32."""
-    total, term, steps = 0.0, float(np.exp(-1.0)), []
-    for k in range(8):
-        total += term
-        steps.append((f"{int(np.ceil(total * 4294967296.0 - 0.5)):08x}", k))
-        term /= k + 1
-    out = F.lit(8)
-    for bound, k in reversed(steps):
-        out = F.when(number < bound, k).otherwise(out)
+#: Numbers over 2^32 from which a Poisson(1) weight is at least 1, 2, ... 8, by its cumulative probabilities.
+_POISSON = np.ceil(np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(8)]) * 4294967296.0 - 0.5).astype(np.uint32)
+
+
+def poisson_of(numbers: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights of 32-bit numbers, by the cumulative probabilities of number plus a half over 2^32."""
+    out = np.zeros(numbers.shape, np.int8)
+    for bound in _POISSON:
+        out += numbers >= bound
     return out
 
 
-def unit_bootstrap(df: DataFrame, by: Sequence[str], unit: str, value: str, replicates: int, seed: str, keep: Column | None = None, low: float = 0.025, high: float = 0.975) -> DataFrame:
+def unit_bootstrap(df: DataFrame, by: Sequence[str], unit: str, value: str, replicates: int, seed: str, keep: Column | None = None, low: float = 0.025, high: float = 0.975, tasks: int = 192) -> DataFrame:
     """(by, units, mean, low, mid, high, empty): the mean of all rows' values with every unit reweighed in each replicate.
 
     Weights are Poisson(1), or with ``keep`` (a probability by group) 1 with that
-    probability and else 0. A unit's rows are added up first, so a replicate costs
-    a term a unit and not a row, and its weights are one array. A replicate in
+    probability and else 0. A unit's rows are added up first, and its weights are
+    one array, which a task adds to its group's sums: no row a unit and replicate
+    exists, and what is exchanged is an array a (task, group). A replicate in
     which all weights of a group are 0 takes the plain mean, and is counted in ``empty``.
     """
-    d = df.where(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(value).cast("double").alias("_s"), F.count("*").alias("_n"), *([F.max(keep).alias("_p")] if keep is not None else []))
-    # A digest holds eight numbers of eight hex digits each, which are compared as they are written.
-    digests = d.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 8) - 1))))
-    digests = digests.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col(unit).cast("string"), F.col("_b").cast("string")), 256))
-    eight = F.array(*(F.struct((F.col("_b") * 8 + k).alias("rep"), F.substring("_h", 1 + 8 * k, 8).alias("u")) for k in range(8)))
-    if keep is None:
-        weight = poisson_of(F.col("x.u"))
-    else:
-        bound = F.ceil(F.col("_p") * F.lit(4294967296.0) - 0.5)  # u + 0.5 is below p times 2^32 where u is below this
-        digests = digests.withColumn("_bound", F.when(bound < 4294967296, F.lower(F.lpad(F.hex(bound.cast("long")), 8, "0"))).otherwise("g"))
-        weight = (F.col("x.u") < F.col("_bound")).cast("int")
-    each = digests.withColumn("x", F.explode(eight)).select(*by, "_s", "_n", "x.rep", weight.alias("_w")).where((F.col("rep") < replicates) & (F.col("_w") > 0))
-    reps = each.groupBy(*by, "rep").agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_n"))).alias("_mean"))
-    plain = d.groupBy(*by).agg(F.count("*").alias("units"), (F.sum("_s") / F.sum("_n")).alias("mean"))
-    all_of = plain.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).join(reps, [*by, "rep"], "left")
-    at = lambda q: F.expr(f"percentile(coalesce(_mean, mean), {q}D)")
-    return all_of.groupBy(*by).agg(F.max("units").alias("units"), F.max("mean").alias("mean"), at(low).alias("low"), at(0.5).alias("mid"), at(high).alias("high"), F.count_if(F.col("_mean").isNull()).alias("empty"))
+    d = df.where(F.col(value).isNotNull()).groupBy(*by, unit).agg(F.sum(value).cast("double").alias("_s"), F.count("*").cast("double").alias("_n"), (F.max(keep) if keep is not None else F.lit(None)).cast("double").alias("_p"))
+    # Few bytes for much work, so a fixed number of tasks.
+    d = d.repartition(tasks, *by, unit).select(*by, F.concat(F.concat_ws("|", F.lit(seed), F.col(unit).cast("string")), F.lit("|")).cast("binary").alias("_key"), "_s", "_n", "_p")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    groups = ", ".join(f"`{b}` {kinds[b]}" for b in by)
+    held_columns = [*by, "_part", "_units", "_sum", "_rows"]
+    poisson = keep is None
+
+    def weights(g: pd.DataFrame) -> np.ndarray:
+        # A digest holds eight numbers.
+        blocks = [str(b).encode() for b in range(-(-replicates // 8))]
+        digests = b"".join([hashlib.sha256(key + b).digest() for key in map(bytes, g["_key"]) for b in blocks])
+        numbers = np.frombuffer(digests, ">u4").astype(np.uint32).reshape(len(g), -1)[:, :replicates]
+        if poisson:
+            return poisson_of(numbers)
+        bound = np.ceil(g["_p"].to_numpy(float) * 4294967296.0 - 0.5)  # u + 0.5 is below p times 2^32 where u is below this
+        return numbers < np.where(np.isnan(bound), np.inf, bound)[:, None]
+
+    def add(batches):
+        part, held = TaskContext.get().partitionId(), {}
+
+        def out():
+            return pd.DataFrame([(*name, part, n, total[0], total[1]) for name, (n, total) in held.items()], columns=held_columns)
+
+        for pdf in batches:
+            for name, rows in pdf.groupby(list(by), dropna=False, sort=False):
+                for at in range(0, len(rows), 256):
+                    g = rows.iloc[at : at + 256]
+                    # The last column is the plain sum.
+                    w = np.concatenate([weights(g), np.ones((len(g), 1), np.int8)], axis=1).astype(float)
+                    n, total = held.get(name, (0, 0.0))
+                    held[name] = (n + len(g), total + g[["_s", "_n"]].to_numpy().T @ w)
+                if len(held) * replicates > 4_000_000:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_part", kind="stable")
+        s, n = (np.sum(np.stack(pdf[c].to_numpy()), axis=0) for c in ("_sum", "_rows"))
+        some = n[:-1] > 0
+        mean = float(s[-1] / n[-1])
+        means = np.sort(np.where(some, s[:-1] / np.where(some, n[:-1], 1.0), mean))
+        return pd.DataFrame([(*(pdf[b].iloc[0] for b in by), int(pdf["_units"].sum()), mean, *(_percentile(means, q) for q in (low, 0.5, high)), int((~some).sum()))], columns=[*by, "units", "mean", "low", "mid", "high", "empty"])
+
+    sums = d.mapInPandas(add, f"{groups}, _part int, _units long, _sum array<double>, _rows array<double>")
+    return sums.groupBy(*by).applyInPandas(finish, f"{groups}, units long, mean double, low double, mid double, high double, empty long")
 
 
 def label_permutation(df: DataFrame, by: Sequence[str], unit: str, in_group: Column, value: str, permutations: int, seed: str, bundles: int = 96) -> DataFrame:

@@ -197,3 +197,27 @@ def test_pairs_are_counted_in_slabs(spark):
     out = survival.ordered_pairs(spark.createDataFrame(rows, "g string, _t double, _x double, _e int, _k long"), ["g"], cells=8)
     assert "shiftright" not in out._jdf.queryExecution().sparkPlan().toString()  # no row a row and bit
     assert {r.g: (r.pairs, r.higher, r.level) for r in out.collect()} == want
+
+
+def test_weights_of_a_unit_stay_in_its_task(spark):
+    import hashlib
+
+    import numpy as np
+
+    from tallyloom.operators import resampling
+
+    rows = [(k, u, u * 3 % 5) for k in range(3) for u in range(40 if k else 2)] + [(1, 5, 2), (1, 6, None)]
+    out = resampling.unit_bootstrap(spark.createDataFrame(rows, "k int, u int, v int"), ["k"], "u", "v", 60, "pois")
+    assert "Generate" not in out._jdf.queryExecution().sparkPlan().toString()  # no row a unit and replicate
+    steps = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(8)])
+    for r in out.collect():
+        mine = [(u, v) for k, u, v in rows if k == r.k and v is not None]
+        means = []
+        for rep in range(60):
+            drawn = lambda u: (int(hashlib.sha256(f"pois|{u}|{rep // 8}".encode()).hexdigest()[rep % 8 * 8 :][:8], 16) + 0.5) / 2**32
+            w = [int((steps <= drawn(u)).sum()) for u, _ in mine]
+            means.append(sum(a * v for a, (_, v) in zip(w, mine)) / sum(w) if sum(w) else None)
+        plain = sum(v for _, v in mine) / len(mine)
+        want = np.percentile([plain if m is None else m for m in means], [2.5, 50, 97.5])
+        assert (r.units, r.empty) == (len({u for u, _ in mine}), means.count(None)) and [r.mean, r.low, r.mid, r.high] == pytest.approx([plain, *want])
+    assert r.k == 2 or out.where("k = 0").first().empty > 0
