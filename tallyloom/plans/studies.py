@@ -364,6 +364,6 @@ def survival_stability(spark, sf_dir):
 
 @plan()
 def cluster_stability(spark, sf_dir):
-    w = windows(spark, sf_dir)
+    w = passed_on(windows(spark, sf_dir).select("sample", "win", "h"))
     return rounded(studies.cluster_stability(w.select("sample", "win", "h"), "sample", "win", "h"))
 

@@ -221,3 +221,14 @@ def test_weights_of_a_unit_stay_in_its_task(spark):
         want = np.percentile([plain if m is None else m for m in means], [2.5, 50, 97.5])
         assert (r.units, r.empty) == (len({u for u, _ in mine}), means.count(None)) and [r.mean, r.low, r.mid, r.high] == pytest.approx([plain, *want])
     assert r.k == 2 or out.where("k = 0").first().empty > 0
+
+
+def test_draws_of_features_are_summed_in_bundles(spark):
+    import numpy as np
+
+    from tallyloom.operators import studies
+
+    x = np.random.default_rng(4).normal(size=(9, 12)) + np.array([0] * 4 + [1] * 5)[:, None] * 0.8
+    d = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(9) for j in range(12)] + [(None, 3, 1.0)], "u long, f long, v double").where("u IS NOT NULL")
+    whole = sorted(map(tuple, studies.cluster_stability(d, "u", "f", "v", repeats=40).collect()))
+    assert whole == sorted(map(tuple, studies.cluster_stability(d, "u", "f", "v", repeats=40, features_at_once=5, pairs_at_once=7).collect())) and len(whole) == 9
