@@ -5,8 +5,7 @@ every context are grouped and joined in Spark, spread over shards by n-gram. A
 document's n-grams are joined with these shards, and their logarithms summed.
 
 There are two forms of that join, with the same result. While the model has at
-most ``most`` n-grams (the trusted sample is bounded, so this is known before
-scoring), its shards are sent to all workers as open-addressed tables, and no
+most ``most`` n-grams (they are counted before scoring), its shards are sent to all workers as open-addressed tables, and no
 word of the corpus is exchanged. A larger model stays in its shards, and the
 documents' n-grams, counted per document, are exchanged to them.
 
@@ -172,10 +171,13 @@ def discounts(n: dict[int, int]) -> tuple[float, float, float]:
 
 
 def _in_context(counts: DataFrame, context: list[str]) -> DataFrame:
-    """``counts`` with its context's sum of n (total) and number of n-grams counted once, twice and more often, after one exchange."""
+    """``counts`` with its context's sum of n (total) and number of n-grams counted once, twice and more often, after one exchange.
+
+    One row of each context, that of its least c, is marked ``first``.
+    """
     w = Window.partitionBy(*context)
     sums = [F.sum("n").over(w).alias("total"), *(F.sum((F.least("n", F.lit(3)) == k).cast("int")).over(w).alias(f"k{k}") for k in (1, 2, 3))]
-    return counts.select("*", *sums)
+    return counts.select("*", *sums, (F.col("c") == F.min("c").over(w)).alias("first"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -190,7 +192,7 @@ def _shares(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame
     """Discounted shares of n-grams (a table of :func:`_in_context`) and the rest of each context."""
     d = _discounts(counts)
     shares = counts.withColumn("share", (F.col("n") - _cut(F.col("n"), d)) / F.col("total"))
-    rests = counts.groupBy(*context).agg(((F.first("k1") * d[0] + F.first("k2") * d[1] + F.first("k3") * d[2]) / F.first("total")).alias("share"))
+    rests = counts.where("first").select(*context, ((F.col("k1") * d[0] + F.col("k2") * d[1] + F.col("k3") * d[2]) / F.col("total")).alias("share"))
     return shares, rests
 
 
@@ -203,9 +205,10 @@ def _table(df: DataFrame, columns: list[str], missing: float) -> Table:
             yield pa.RecordBatch.from_arrays([pa.array(key(*ids).view(np.int64)), pa.array(batch.column(len(columns)).to_numpy(zero_copy_only=False).astype(np.float32))], names=["key", "share"])
 
     rows = df.select(*columns, "share").mapInArrow(run, "key long, share float").toArrow()
-    keys = rows.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys, kind="stable")
-    return Table(keys[order], rows.column("share").to_numpy()[order], missing)
+    found = Table(rows.column("key").to_numpy().view(np.uint64).copy(), rows.column("share").to_numpy().copy(), missing)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return found
 
 
 @dataclass
@@ -323,14 +326,15 @@ def thresholds(scored: DataFrame, quantile: float, step: float = 0.002) -> dict[
     return out
 
 
-def assess(docs: DataFrame, labels: DataFrame, limit: int = 4000, quantile: float = QUANTILE, least: int = 30, part: int = 5, with_text: bool = True, most: int = 20_000_000) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, limit: int | None = 4000, quantile: float = QUANTILE, least: int = 30, part: int = 5, with_text: bool = True, most: int = 20_000_000) -> DataFrame:
     """All columns of ``docs`` with n_tokens, log_perplexity, threshold and keep.
 
     All documents are scored once, and the scores written; without ``with_text``
     the text is left out of that.
 
     One trusted document in ``part`` by hash never trains the model; the rest
-    do, at most ``limit`` of them in hash order (the bound is this parameter).
+    do, at most ``limit`` of them in hash order (the bound is this parameter;
+    None: all of them, as the registered query and the pipeline say).
     Thresholds come from all trusted documents that did not train it.
     A language with fewer than ``least`` of those, and a null language, uses the
     threshold of all together; without any the filter keeps everything. Texts
@@ -340,7 +344,8 @@ def assess(docs: DataFrame, labels: DataFrame, limit: int = 4000, quantile: floa
     """
     clean = docs.drop("n_tokens", "log_perplexity", "threshold", "keep", "_tokens", "_log_ppl")
     ids = trusted_ids(labels)
-    learned = keep(ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
+    learned = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) != 0)
+    learned = keep(learned if limit is None else learned.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
     tables = shards(clean.select("doc_id", "text").join(F.broadcast(learned), "doc_id"))
     scored = score(clean, gather(tables)) if tables.size <= most else score_joined(clean, tables)
     scored = keep(scored if with_text else scored.drop("text"))

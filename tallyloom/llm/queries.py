@@ -15,7 +15,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_text=False)
+    found = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), limit=None, with_text=False)
     return found.select("doc_id", "lang", "n_tokens", "log_perplexity", "threshold", "keep")
 
 

@@ -136,3 +136,18 @@ def test_joined_shards_give_the_same_and_the_threshold_is_the_quantile(spark, do
         at = next(v for k, v in enumerate(used, 1) if k >= 0.9 * len(used))
         cut = next(r.threshold for r in sent.values() if r.lang == lang)
         assert at <= cut + 1e-9 and cut - at <= 0.002 + 1e-9
+
+
+def test_the_query_and_the_pipeline_learn_from_all_trusted_texts(spark, rng, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from tallyloom.llm import queries
+
+    docs = spark.createDataFrame([(i, " ".join(words(rng, 6, 40)), "en", "a", 0) for i in range(5300)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(5300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sizes, shards = [], quality.shards
+    monkeypatch.setattr(quality, "shards", lambda t: sizes.append(t.count()) or shards(t))
+    queries.op2_quality_classifier(spark, str(tmp_path))
+    corpus_pipeline.quality_filter(spark, docs, str(tmp_path))
+    all_of = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0).count()
+    assert sizes == [all_of, all_of] and all_of > 4000
