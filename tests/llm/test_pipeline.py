@@ -79,3 +79,14 @@ def test_stages_keep_the_columns(spark, docs_of, rng, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == ["doc_id", "text", "lang", "source", "n_chars"], name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    from tallyloom.llm.common import _CLEANUP, keep
+
+    before = spark.conf.get(_CLEANUP)
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    known = lambda: env.mapOutputTracker().shuffleStatuses().size()
+    old = known()
+    assert keep(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()).count() == 7
+    assert known() <= old + 1 and spark.conf.get(_CLEANUP) == before  # that of the last count alone may stay
