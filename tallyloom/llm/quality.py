@@ -1,13 +1,9 @@
 """Quality filter: perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Counts of the trusted texts' trigrams, their continuation counts and the sums of
-every context are grouped and joined in Spark, spread over shards by n-gram. A
-document's n-grams are joined with these shards, and their logarithms summed.
-
-There are two forms of that join, with the same result. While the model has at
-most ``most`` n-grams (they are counted before scoring), its shards are sent to all workers as open-addressed tables, and no
-word of the corpus is exchanged. A larger model stays in its shards, and the
-documents' n-grams, counted per document, are exchanged to them.
+There are two forms, with the same result. A small model (``most`` n-grams at
+most, three for each training word) is counted by grouping in Spark and sent to
+all workers as open-addressed tables. A larger one is never in one place: n-grams of all texts are dealt
+to shards that count and score them (:mod:`.dealt`).
 
 A document is kept if its log perplexity is at most the quantile that trusted
 documents of its language reach.
@@ -23,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import dealt
 from .common import free, keep
 
 #: Share of trusted documents, by language, that the threshold keeps.
@@ -213,21 +210,25 @@ def _table(df: DataFrame, columns: list[str], missing: float) -> Table:
 
 @dataclass
 class Shards:
-    """The model as tables spread by n-gram: discounted shares of trigrams, bigrams and words, and what contexts leave."""
+    """What the model learns from, how many words and ends that is, and how often the common words stand in it."""
 
-    three: DataFrame
-    rest3: DataFrame
-    two: DataFrame
-    rest2: DataFrame
-    one: DataFrame
-    unknown: float
-    size: int
+    trusted: DataFrame
+    tokens: int
+    frequent: DataFrame
 
 
 def shards(trusted: DataFrame) -> Shards:
-    """Counts and shares of the texts of ``trusted`` (null texts are left out)."""
+    """The texts of ``trusted`` to learn from (null texts are left out)."""
+    texts = trusted.where(F.col("text").isNotNull())
+    frequent = keep(dealt.frequency(texts))
+    every = frequent.where("id is null").first()
+    return Shards(texts, every.n if every else 0, frequent)
+
+
+def gather(t: Shards) -> Model:
+    """The model as tables of one process; ``t.tokens`` bounds the rows of each."""
     # Each table is written once, with its contexts' sums, and none is exchanged again for a join.
-    three = keep(_in_context(_trigrams(trusted.where(F.col("text").isNotNull())).groupBy("a", "b", "c").agg(F.count("*").alias("n")), ["a", "b"]))
+    three = keep(_in_context(_trigrams(t.trusted).groupBy("a", "b", "c").agg(F.count("*").alias("n")), ["a", "b"]))
     two = keep(_in_context(three.groupBy("b", "c").agg(F.count("*").alias("n")), ["b"]))
     one = keep(two.groupBy("c").agg(F.count("*").alias("n")))
     s3, r3 = _shares(three, ["a", "b"])
@@ -239,13 +240,8 @@ def shards(trusted: DataFrame) -> Shards:
     # What single words leave is spread over all words and the unknown one.
     unknown = one.agg(F.sum(cut).alias("cut")).first().cut / total / (facts.words + 1) if total else 0.5
     s1 = one.withColumn("share", (F.col("n") - cut) / F.lit(max(1, total)) + F.lit(unknown))
-    size = three.count() + total + facts.words
-    return Shards(s3.select("a", "b", "c", "share"), r3, s2.select("b", "c", "share"), r2, s1.select("c", "share"), unknown, size)
-
-
-def gather(t: Shards) -> Model:
-    """The shards as tables of one process; ``t.size`` bounds their rows."""
-    return Model(_table(t.three, ["a", "b", "c"], 0.0), _table(t.rest3, ["a", "b"], 1.0), _table(t.two, ["b", "c"], 0.0), _table(t.rest2, ["b"], 1.0), _table(t.one, ["c"], t.unknown), t.unknown)
+    s3, s2, s1 = s3.select("a", "b", "c", "share"), s2.select("b", "c", "share"), s1.select("c", "share")
+    return Model(_table(s3, ["a", "b", "c"], 0.0), _table(r3, ["a", "b"], 1.0), _table(s2, ["b", "c"], 0.0), _table(r2, ["b"], 1.0), _table(s1, ["c"], unknown), unknown)
 
 
 def fit(trusted: DataFrame) -> Model:
@@ -253,31 +249,17 @@ def fit(trusted: DataFrame) -> Model:
     return gather(shards(trusted))
 
 
-def score_joined(docs: DataFrame, t: Shards) -> DataFrame:
-    """As :func:`score`, by joins of each document's counted n-grams with the shards."""
-    place = docs.columns.index("text")
-    row = free("row", docs.columns)
-    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()))
-
-    def run(batches):
-        for batch in batches:
-            out = [[], [], [], [], []]
-            for at, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = word_ids(text.as_buffer().to_pybytes() if text.is_valid else None)
-                if len(ids) == 3:
-                    continue
-                grams, n = np.unique(np.stack([ids[:-2], ids[1:-1], ids[2:]], 1), axis=0, return_counts=True)
-                for x, v in zip(out, (np.full(len(n), at, np.int64), *grams.T.view(np.int64), n.astype(np.int64))):
-                    x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], names=["row", "a", "b", "c", "n"])
-
-    x = numbered.select(row, F.col("text").cast("binary")).mapInArrow(run, "row long, a long, b long, c long, n long")
-    for name, table, on, missing in (("s3", t.three, ["a", "b", "c"], 0.0), ("r3", t.rest3, ["a", "b"], 1.0), ("s2", t.two, ["b", "c"], 0.0), ("r2", t.rest2, ["b"], 1.0), ("s1", t.one, ["c"], t.unknown)):
-        x = x.join(table.withColumnRenamed("share", name), on, "left").na.fill(missing, [name])
-    p = F.col("s3") + F.col("r3") * (F.col("s2") + F.col("r2") * F.col("s1"))
-    sums = x.groupBy("row").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.log(p)).alias("_log")).withColumnRenamed("row", row)
-    out = numbered.join(sums, row, "left").withColumn("_tokens", F.coalesce(F.col("_n") - 1, F.lit(0).cast("long"))).withColumn("_log_ppl", -F.col("_log") / F.col("_n"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_tokens", "_log_ppl")
+def score_dealt(docs: DataFrame, learned: DataFrame, t: Shards) -> DataFrame:
+    """As :func:`score`, the model spread over shards to which the n-grams of all documents are dealt (see :mod:`.dealt`)."""
+    mark, key, n, log = (free(x, docs.columns) for x in ("trains", "key", "n", "log"))
+    text = F.col("text").cast("binary")
+    flagged = docs.select("doc_id", "text").join(F.broadcast(learned.select("doc_id", F.lit(True).alias(mark))), "doc_id", "left")
+    flagged = flagged.where("text is not null").select("text", F.unhex(F.md5(text)).alias("key"), F.coalesce(mark, F.lit(False)).alias("trains"))
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    found = dealt.log_sums(flagged, t.trusted, dealt.plan(t.tokens, size, t.frequent)).where("n > 0")
+    found = found.select(F.col("key").alias(key), F.col("n").alias(n), F.col("log").alias(log))
+    out = docs.withColumn(key, F.unhex(F.md5(text))).join(found, key, "left")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(n, F.lit(0).cast("long")).alias("_tokens"), (-F.col(log) / (F.col(n) + 1)).alias("_log_ppl"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -326,7 +308,7 @@ def thresholds(scored: DataFrame, quantile: float, step: float = 0.002) -> dict[
     return out
 
 
-def assess(docs: DataFrame, labels: DataFrame, limit: int | None = 4000, quantile: float = QUANTILE, least: int = 30, part: int = 5, with_text: bool = True, most: int = 20_000_000) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, limit: int | None = 4000, quantile: float = QUANTILE, least: int = 30, part: int = 5, with_text: bool = True, most: int = 2_000_000) -> DataFrame:
     """All columns of ``docs`` with n_tokens, log_perplexity, threshold and keep.
 
     All documents are scored once, and the scores written; without ``with_text``
@@ -347,7 +329,7 @@ def assess(docs: DataFrame, labels: DataFrame, limit: int | None = 4000, quantil
     learned = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) != 0)
     learned = keep(learned if limit is None else learned.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit))
     tables = shards(clean.select("doc_id", "text").join(F.broadcast(learned), "doc_id"))
-    scored = score(clean, gather(tables)) if tables.size <= most else score_joined(clean, tables)
+    scored = score(clean, gather(tables)) if 3 * tables.tokens <= most else score_dealt(clean, learned, tables)
     scored = keep(scored if with_text else scored.drop("text"))
     sizes = scored.select("doc_id", "lang", "_log_ppl").join(ids.join(learned, "doc_id", "left_anti"), "doc_id")
     sizes = keep(sizes)

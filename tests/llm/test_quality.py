@@ -1,3 +1,4 @@
+import hashlib
 import math
 from collections import Counter, defaultdict
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import quality
+from tallyloom.llm import dealt, quality
 
 from .conftest import words
 
@@ -151,3 +152,39 @@ def test_the_query_and_the_pipeline_learn_from_all_trusted_texts(spark, rng, tmp
     corpus_pipeline.quality_filter(spark, docs, str(tmp_path))
     all_of = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(5)) != 0).count()
     assert sizes == [all_of, all_of] and all_of > 4000
+
+
+def _dealt(texts, new, learned, plan, docs_of):
+    rows = list(enumerate([*texts, *new]))
+    docs = docs_of(rows).select("text", F.unhex(F.md5("text")).alias("key"), (F.col("doc_id") < learned).alias("trains"))
+    got = {bytes(r.key): r for r in dealt.log_sums(docs, docs.where("trains"), plan).collect()}
+    return {t: got[hashlib.md5(t.encode()).digest()] for t in [*texts, *new]}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_dealt_n_grams_match_brute_force(docs_of, rng, monkeypatch, hot):
+    monkeypatch.setattr(dealt, "TOKENS", 300)  # many blocks
+    monkeypatch.setattr(dealt, "COMMON", 8)  # most words' shares come from their own shards
+    texts = corpus(rng) + ["w1 w1 w1 w2 " * 40, "w3", ""]
+    new = corpus(rng, 20) + ["never seen words", "w1 never w2", "w1 " * 3000, texts[0] + " w9"]
+    ids = np.sort(np.array([0, *(quality.word_ids(f"w{k}".encode())[2] for k in range(1, 6))], np.uint64))
+    plan = dealt.Plan(8, ids if hot else ids[:0], np.array([2, 3, 8, 2, 3, 4])[: len(ids) if hot else 0])
+    got, slow = _dealt(texts, new, len(texts), plan, docs_of), SlowKneserNey(texts)
+    for t, r in got.items():
+        assert r.n == len(t.split())
+        assert not r.n or -r.log / (r.n + 1) == pytest.approx(slow.log_ppl(t), rel=1e-6)
+
+
+def test_a_large_model_is_never_in_one_place(spark, docs_of, rng, monkeypatch):
+    texts = [" ".join(words(rng, 200, 3000)) for _ in range(60)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    sent = {r.doc_id: r for r in quality.assess(docs_of(list(enumerate(texts))), labels).collect()}
+    monkeypatch.setattr(quality, "gather", lambda t: pytest.fail("gathered"))
+    got = quality.assess(docs_of(list(enumerate(texts))), labels, most=30_000).collect()
+    assert all(r.log_perplexity == pytest.approx(sent[r.doc_id].log_perplexity, rel=1e-6) for r in got) and len(got) == 60
+
+
+def test_common_words_are_dealt_to_several_shards(docs_of):
+    frequent = dealt.frequency(docs_of([(i, "the " * 60 + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(50)]))
+    plan = dealt.plan(5_050, 6 * dealt.BYTES, frequent)
+    assert plan.shards == 8 and plan.hot.tolist() == [quality.word_ids(b"the")[2]] and plan.parts.tolist() == [5]
