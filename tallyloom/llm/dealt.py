@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import drop, keep
 
 GROUPS = 4
-TOKENS = 2_000_000  # words that a task cuts at once
+LETTERS = 12_000_000  # bytes of text that a task cuts at once
 TRAINING, BYTES = 1_000_000, 32_000_000  # training words and bytes of text for each shard
 COMMON = 100_000  # words whose shares all tasks know
 
@@ -90,38 +91,51 @@ class Plan:
         return to
 
 
-class _Numbers(dict):
-    def __missing__(self, word):
-        self[word] = n = len(self) + 2
-        return n
-
-
 def _cuts(batches):
-    """For every ``TOKENS`` words or so: ids, places of the words of all texts in them, lengths, keys and whether a text trains."""
-
-    def cut():
-        ids = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
-        ids[ids < 2] += np.uint64(2)
-        return np.concatenate([np.array([0, 1], np.uint64), ids]), np.concatenate(parts), np.array([len(p) for p in parts]), keys, np.array(trains, bool)
-
-    numbers, parts, keys, trains, size = _Numbers(), [], [], [], 0
+    """For every ``LETTERS`` bytes of text or so: ids, places of the words of all texts in them, lengths, keys and whether a text trains."""
+    held, size = [], 0
     for batch in batches:
-        for text, k, learn in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            words = text.as_buffer().to_pybytes().split() if text.is_valid else []
-            if not words and not (learn and text.is_valid):
-                continue
-            x = np.empty(len(words) + 3, np.int32)
-            x[:2], x[-1] = 0, 1
-            x[2:-1] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
-            parts.append(x)
-            keys.append(k)
-            trains.append(bool(learn))
-            size += len(x)
-            if size >= TOKENS:
-                yield cut()
-                numbers, parts, keys, trains, size = _Numbers(), [], [], [], 0
-    if parts:
-        yield cut()
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(upto):
+            before = upto[at - 1] if at else 0
+            end = min(len(upto), int(np.searchsorted(upto, before + LETTERS - size)) + 1)
+            held.append(batch.slice(at, end - at))
+            size += upto[end - 1] - before
+            at = end
+            if size >= LETTERS:
+                yield from _cut(held)
+                held, size = [], 0
+    yield from _cut(held)
+
+
+def _cut(held):
+    if not held:
+        return
+    text, keys, trains = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+    # ASCII white space parts words, as in bytes.split(); the bytes need not be UTF-8.
+    words = pc.ascii_split_whitespace(text.view(pa.string()))
+    flat, owner = words.flatten(), pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
+    full = pc.greater(pc.binary_length(flat), 0)
+    n = np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(text))
+    flat = flat.filter(full).dictionary_encode()
+    trains = trains.to_numpy(zero_copy_only=False).astype(bool)
+    here = np.flatnonzero((n > 0) | (trains & text.is_valid().to_numpy(zero_copy_only=False)))
+    if not len(here):
+        return
+    names = flat.dictionary
+    _, places, data = names.buffers()
+    places = np.frombuffer(places, np.int32, len(names) + 1, 4 * names.offset).tolist()
+    data = data.to_pybytes() if data else b""
+    ids = np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(places, places[1:])), np.uint64, len(names))
+    ids[ids < 2] += np.uint64(2)
+    lengths = n[here] + 3
+    ends = np.cumsum(lengths)
+    codes, inside = np.zeros(ends[-1], np.int32), np.ones(ends[-1], bool)
+    codes[ends - 1] = 1
+    inside[ends - 1] = inside[ends - lengths] = inside[ends - lengths + 1] = False
+    codes[inside] = flat.indices.to_numpy(zero_copy_only=False) + 2
+    yield np.concatenate([np.array([0, 1], np.uint64), ids]), codes, lengths, keys.take(pa.array(here)).to_pylist(), trains[here]
 
 
 def _trigrams(codes, lengths):
@@ -166,8 +180,14 @@ def _batches(rows, size=16_000_000):
 
 
 def _local(ids, *codes):
-    used, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return ids[used], np.split(at, len(codes))
+    """The ids that ``codes`` are places of, and their places in these."""
+    mark = np.zeros(len(ids), bool)
+    for x in codes:
+        mark[x] = True
+    used = np.flatnonzero(mark)
+    place = np.empty(len(ids), np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    return ids[used], [place[x] for x in codes]
 
 
 def _training_blocks(plan: Plan):

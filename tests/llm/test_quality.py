@@ -163,7 +163,7 @@ def _dealt(texts, new, learned, plan, docs_of):
 
 @pytest.mark.parametrize("hot", [False, True])
 def test_dealt_n_grams_match_brute_force(docs_of, rng, monkeypatch, hot):
-    monkeypatch.setattr(dealt, "TOKENS", 300)  # many blocks
+    monkeypatch.setattr(dealt, "LETTERS", 900)  # many blocks
     monkeypatch.setattr(dealt, "COMMON", 8)  # most words' shares come from their own shards
     texts = corpus(rng) + ["w1 w1 w1 w2 " * 40, "w3", ""]
     new = corpus(rng, 20) + ["never seen words", "w1 never w2", "w1 " * 3000, texts[0] + " w9"]
