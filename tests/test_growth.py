@@ -64,6 +64,16 @@ def test_pools_of_repeated_parts(spark, tmp_path, name):
     assert studies.pool_places(*studies.pool_sides(spark, str(tmp_path / "more"))).count() == compared.count() > 0
 
 
+@pytest.mark.parametrize("name", ["caliper_match_topk", "caliper_block_match", "difference_caliper_blocks"])
+def test_calipers_broadcast_nothing(spark, tmp_path, name):
+    con = written(tmp_path, part=repeated_parts(2).replace("'type'", "'type' || i % 4"))
+    same_as_sql(spark, con, tmp_path, name)
+    d = QUERIES[name](spark, str(tmp_path))
+    d.collect()
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_permutations_meet_keys_in_bundles(spark):
     import hashlib
 
