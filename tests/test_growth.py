@@ -74,6 +74,23 @@ def test_calipers_broadcast_nothing(spark, tmp_path, name):
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
 
 
+def test_pairs_within_calipers_are_no_rows_before_they_come_out(spark, tmp_path):
+    from tallyloom.operators import matching
+
+    d = [(i, None if i % 41 == 0 else f"b{i % 2}", 100.0 + i * 37 % 60, (1.0, 2.0, 3.0, 0.0, -2.0, float("inf"), None)[i % 7]) for i in range(400)]
+    d = spark.createDataFrame(d, "id long, g string, a double, b double")
+    want = sorted((x.id, y.id) for x in d.collect() if x.id % 20 == 0 for y in d.collect() if y.id % 20 and x.g == y.g is not None and x.b and y.b and 0.8 <= y.a / x.a <= 1.25 and 2 / 3 <= y.b / x.b <= 1.5)
+    for chunks in ((2048, 32768), (3, 17)):
+        got = matching.caliper_pairs(d.where("id % 20 = 0"), d.where("id % 20 <> 0"), ["g"], {"a": (0.8, 1.25), "b": (2 / 3, 1.5)}, "id", chunks=chunks)
+        assert sorted(map(tuple, got.collect())) == want and want
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    # Signs and zeros as SQL has them, and no exchange of pairs.
+    con = written(tmp_path, part="SELECT i AS p_partkey, 'b' || i % 2 AS p_brand, (i % 7 - 3)::INT AS p_size, CASE WHEN i % 13 = 0 THEN 0 ELSE (i % 3 - 1) * (90 + i % 31) END::DOUBLE AS p_retailprice FROM range(0, 900) t(i)")
+    same_as_sql(spark, con, tmp_path, "caliper_pools")
+    plan = QUERIES["caliper_pools"](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and plan.count("SortMergeJoin") == 3
+
+
 def test_permutations_meet_keys_in_bundles(spark):
     import hashlib
 
