@@ -5,15 +5,17 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import draw, draw_order
-from .guards import bounded
 from .rounds import passed_on
 
 
@@ -284,69 +286,107 @@ def curveball(z: np.ndarray, rng: np.random.Generator, trades: int) -> int:
     Returns the number of trades after which a row held something else.
     """
     changed, left = 0, trades if len(z) > 1 else 0
+    columns = np.ascontiguousarray(z.T)
     while left > 0:
         pairs = min(left, len(z) // 2)
         order = rng.permutation(len(z))
-        i, j = order[:pairs], order[pairs : 2 * pairs]
-        mine, yours = z[i], z[j]
-        pool = ((mine == 1) & (yours == 0)) | ((mine == 0) & (yours == 1))
-        # Pool columns in random order; the first ones, as many as the first row gave, come back to it.
-        rank = np.where(pool, rng.random(pool.shape), 2.0).argsort(axis=1).argsort(axis=1)
-        back = pool & (rank < (pool & (mine == 1)).sum(1, keepdims=True))
-        changed += int((back != (pool & (mine == 1))).any(1).sum())
-        z[i], z[j] = np.where(pool, back, mine), np.where(pool, ~back, yours)
+        for at in range(0, pairs, 1 << 14):
+            n = min(1 << 14, pairs - at)
+            i, j = order[at : at + n], order[pairs + at : pairs + at + n]
+            mine, yours = columns.take(i, 1), columns.take(j, 1)
+            pool = (mine ^ yours) == 1
+            gave = pool & (mine == 1)
+            u, count = rng.random((n, len(columns))), gave.sum(0, dtype=np.int32)
+            # A row that gave nothing or all of the pool gets the same back.
+            live = np.flatnonzero((count > 0) & (count < pool.sum(0, dtype=np.int32)))
+            i, j, u, count = i[live], j[live], np.ascontiguousarray(u[live].T), count[live]
+            mine, yours, pool, gave = (x.take(live, 1) for x in (mine, yours, pool, gave))
+            # Pool columns in random order; the first ones, as many as the first row gave, come back to it.
+            u += ~pool
+            if len(columns) <= 16:
+                rank = np.zeros(u.shape, np.uint8)
+                for a, b in combinations(range(len(columns)), 2):
+                    less = (u[a] < u[b]).view(np.uint8)
+                    rank[b] += less
+                    rank[a] += less ^ 1
+            else:
+                rank = u.argsort(axis=0).argsort(axis=0)
+            turned = (pool & (rank < count)) ^ gave
+            changed += int(np.count_nonzero(turned.any(0)))
+            for c, m, y, t in zip(columns, mine, yours, turned.view(np.int8)):
+                c[i], c[j] = m ^ t, y ^ t
         left -= pairs
+    z[:] = columns.T
     return changed
 
 
-def fixed_margin_null(df: DataFrame, by: Sequence[str], row: str, column: str, value: str, chains: int = 2, draws: int = 32, burn_in: int = 50, apart: int = 5, least_moves: int = 64, seed: int = 7, most: int = 2_000_000) -> DataFrame:
+def _mean_covariance(z: np.ndarray) -> float:
+    """Mean over the column pairs that at least twelve rows know of their covariance; -1 is missing."""
+    n = sums = both = 0
+    for at in range(0, len(z), 1 << 16):
+        part = z[at : at + (1 << 16)]
+        k, x = (part >= 0).astype(float), (part == 1).astype(float)
+        n, sums, both = n + k.T @ k, sums + x.T @ k, both + x.T @ x
+    if not len(z):
+        return np.nan
+    with np.errstate(invalid="ignore", divide="ignore"):
+        a = sums / n
+        c = both / n - a * a.T
+    i, j = np.triu_indices(z.shape[1], 1)
+    ok = n[i, j] >= 12
+    return float(c[i, j][ok].mean()) if ok.any() else np.nan
+
+
+def _as_matrix(rows: pa.Array, cells: pa.ListArray) -> np.ndarray:
+    """The matrix of lists of (column c, value v), one a row, in the order of rows and columns. Of two values in one place the first counts."""
+    flat, sizes = cells.flatten(), pc.list_value_length(cells).to_numpy(zero_copy_only=False)
+    place = np.empty(len(rows), np.int64)
+    place[pc.sort_indices(rows).to_numpy()] = np.arange(len(rows))
+    place = (np.cumsum((sizes > 0)[np.argsort(place)]) - 1)[place]
+    codes = flat.field("c").dictionary_encode()
+    rank = np.empty(len(codes.dictionary), np.int64)
+    rank[pc.sort_indices(codes.dictionary).to_numpy()] = np.arange(len(rank))
+    z = np.full((int((sizes > 0).sum()), len(rank)), -1, np.int8)
+    z[np.repeat(place, sizes)[::-1], rank[codes.indices.to_numpy()][::-1]] = flat.field("v").to_numpy()[::-1]
+    return z
+
+
+def fixed_margin_null(df: DataFrame, by: Sequence[str], row: str, column: str, value: str, chains: int = 2, draws: int = 32, burn_in: int = 50, apart: int = 5, least_moves: int = 64, seed: int = 7) -> DataFrame:
     """Mean pair covariance of a 0/1 matrix against its fixed-margin null, one row per group.
 
     by, rows, columns, moves, eligible, observed, null_mean, residual,
     chain_difference. Each chain runs burn_in x rows trades, then keeps ``draws``
-    states apart x rows trades from each other. A chain is sequential, so one
-    group is one task; groups are loci of one sample, and one of over ``most``
-    entries is refused.
+    states apart x rows trades from each other. A chain is sequential, so a group's
+    chain is a task; what it holds is a byte an entry, and entries come a row of the matrix at a time.
     """
-    bounded(df, by, most)
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", n_rows long, n_columns long, moves long, eligible boolean, observed double, null_mean double, residual double, chain_difference double"
-
-    def covariance(z):
-        known = z >= 0
-        x = np.where(known, z, 0).astype(float)
-        k = known.astype(float)
-        n = k.T @ k
-        with np.errstate(invalid="ignore", divide="ignore"):
-            a = (x.T @ k) / n
-            c = (x.T @ x) / n - a * a.T
-        i, j = np.triu_indices(z.shape[1], 1)
-        ok = n[i, j] >= 12
-        return float(c[i, j][ok].mean()) if ok.any() else np.nan
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index=row, columns=column, values=value, aggfunc="first").sort_index()
-        z0 = wide.fillna(-1).to_numpy().astype(np.int8)
-        seen, means, moves = covariance(z0), [], []
-        for chain in range(chains):
-            rng, z = np.random.default_rng([seed, chain]), z0.copy()
-            moved = curveball(z, rng, burn_in * len(z))
-            states = []
-            for _ in range(draws):
-                moved += curveball(z, rng, apart * len(z))
-                states.append(covariance(z))
-            same = (np.where(z < 0, 0, z).sum(0) == np.where(z0 < 0, 0, z0).sum(0)).all() and (np.where(z < 0, 0, z).sum(1) == np.where(z0 < 0, 0, z0).sum(1)).all() and ((z < 0) == (z0 < 0)).all()
-            assert same, "margins or missing places changed"
-            means.append(float(np.mean(states)))
-            moves.append(moved)
-        null = float(np.mean(means))
-        out = pd.DataFrame([(len(z0), z0.shape[1], min(moves), min(moves) >= least_moves, seen, null, seen - null, abs(means[0] - means[-1]))],
-                           columns=["n_rows", "n_columns", "moves", "eligible", "observed", "null_mean", "residual", "chain_difference"])
-        for b in reversed(by):
-            out.insert(0, b, pdf[b].iloc[0])
-        return out
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    schema = ", ".join(f"`{b}` {kinds[b]}" for b in by) + ", _chain int, n_rows long, n_columns long, moves long, observed double, _mean double"
+
+    def run(t: pa.Table) -> pa.Table:
+        cells = t.column("_x").combine_chunks()
+        z0 = _as_matrix(t.column("_row").combine_chunks(), cells)
+        chain, z, states = t.column("_chain")[0].as_py(), z0.copy(), []
+        rng = np.random.default_rng([seed, chain])
+        moved = curveball(z, rng, burn_in * len(z))
+        for _ in range(draws):
+            moved += curveball(z, rng, apart * len(z))
+            states.append(_mean_covariance(z))
+        same = all(((z == 1).sum(k) == (z0 == 1).sum(k)).all() for k in (0, 1)) and ((z < 0) == (z0 < 0)).all()
+        assert same, "margins or missing places changed"
+        found = {"_chain": pa.array([chain], pa.int32())} | {k: pa.array([v], pa.int64()) for k, v in (("n_rows", len(z0)), ("n_columns", z0.shape[1]), ("moves", moved))}
+        found |= {k: pa.array([v], pa.float64(), from_pandas=True) for k, v in (("observed", _mean_covariance(z0)), ("_mean", float(np.mean(states))))}
+        return pa.table({b: t.column(b).slice(0, 1) for b in by} | found)
+
+    known = F.col(row).isNotNull() & F.col(column).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+    cell = F.when(known, F.struct(F.col(column).alias("c"), F.col(value).cast("tinyint").alias("v")))
+    rows = df.select(*by, F.col(row).alias("_row"), cell.alias("_x")).groupBy(*by, "_row").agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    # Few chains and little data are much work, so they are dealt to tasks whatever their size.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_chain", F.explode(F.sequence(F.lit(0), F.lit(chains - 1)))).repartition(n, *by, "_chain")
+    each = dealt.groupBy(*by, "_chain").applyInArrow(run, schema)
+    out = each.groupBy(*by).agg(F.first("n_rows").alias("n_rows"), F.first("n_columns").alias("n_columns"), F.min("moves").alias("moves"), (F.min("moves") >= least_moves).alias("eligible"), F.first("observed").alias("observed"), F.avg("_mean").alias("null_mean"),
+                                F.abs(F.min_by("_mean", "_chain") - F.max_by("_mean", "_chain")).alias("chain_difference"))
+    return out.select(*by, "n_rows", "n_columns", "moves", "eligible", "observed", "null_mean", (F.col("observed") - F.col("null_mean")).alias("residual"), "chain_difference")
 
 
 def coupled_quantiles(df: DataFrame, by: Sequence[str], value: str, n: int = 1000) -> DataFrame:

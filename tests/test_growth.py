@@ -130,6 +130,38 @@ def test_trades_of_a_long_matrix_end_soon():
     assert len(seen) == 6 and max(abs(n - 1000) for n in seen.values()) < 160
 
 
+def test_fixed_margins_of_a_group_of_any_size(spark):
+    from tallyloom.operators import resampling
+
+    d = spark.range(2_100_000).selectExpr("'a' AS g", "id DIV 7 AS i", "int(id % 7) AS j", "int(xxhash64(id) % 2 = 0) AS v").where("(i + j) % 3 > 0")
+    d = d.unionByName(spark.range(700_000).selectExpr("'a' AS g", "id DIV 7 + 300000 AS i", "int(id % 7) AS j", "1 AS v")).unionByName(spark.createDataFrame([("b", 1, 1, None)], d.schema))
+    got = {r.g: r for r in resampling.fixed_margin_null(d, ["g"], "i", "j", "v", draws=2, burn_in=1, apart=1).collect()}
+    assert (got["a"].n_rows, got["a"].n_columns) == (400_000, 7) and got["a"].moves > 100_000 and got["a"].residual == pytest.approx(got["a"].observed - got["a"].null_mean)
+    assert (got["b"].n_rows, got["b"].observed, got["b"].eligible) == (0, None, False)
+
+
+@pytest.mark.parametrize("shape", [(41, 7), (40, 30), (1, 3), (2, 300)])
+def test_trades_are_those_of_whole_ranks(shape):
+    import numpy as np
+
+    from tallyloom.operators import resampling
+
+    g = np.random.default_rng(8)
+    z = g.integers(-1, 2, shape).astype(np.int8)
+    want, rng, left, changed = z.copy(), np.random.default_rng(3), 777 if len(z) > 1 else 0, 0
+    while left > 0:
+        pairs = min(left, len(z) // 2)
+        order = rng.permutation(len(z))
+        for i, j, u in zip(order[:pairs], order[pairs : 2 * pairs], rng.random((pairs, shape[1]))):
+            pool = [c for c in np.argsort(u) if {want[i, c], want[j, c]} == {0, 1}]
+            back = pool[: sum(want[i, c] == 1 for c in pool)]
+            changed += {*back} != {c for c in pool if want[i, c] == 1}
+            want[i, pool], want[j, pool] = 0, 1
+            want[i, back], want[j, back] = 1, 0
+        left -= pairs
+    assert resampling.curveball(z, np.random.default_rng(3), 777) == changed and (z == want).all()
+
+
 def test_pairs_of_a_draw_are_no_rows(spark):
     from tallyloom.operators import statistics
 
