@@ -181,9 +181,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, blo
 # --- Similarity of a given size ---------------------------------------------------------------
 #
 # A similarity of 0.8 moves about 15 % of a fingerprint's bits, far beyond a radius at which popcounts
-# tell anything apart. For it, fingerprints are 1024 bits long, and those are compared that share one of
-# twelve pairs of least shingle hashes, of which a pair of texts at 0.8 misses all with a chance under 5e-6.
-# Those within a wide radius are candidates; the sets of shingles decide.
+# tell anything apart. For it, fingerprints are 1024 bits long. Two sets at 0.8 have at least four fifths of
+# each in common, so in any one order of all shingles the first fifth (and one more) of each holds a common
+# shingle: sets that share one of these are compared, none else need be. The order is that of the hashes,
+# with very common shingles last. Those within a wide radius are candidates; the sets of shingles decide.
 
 _ODD = np.array([xxhash.xxh64_intdigest(b"%d" % k, 7) | 1 for k in range(64)], np.uint64)
 
@@ -206,21 +207,22 @@ def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), np.uint64))
 
 
-def sketch(text: bytes | None, shingle: int = 5, width: int = 16, bands: int = 12) -> tuple[bytes, np.ndarray]:
-    """Long fingerprint (``width`` x 64 bits) of a text's set of word shingles and one key for each pair of least hashes."""
-    return _sketch(shingle_set(text, shingle), width, bands)
+def first_shingles(h: np.ndarray, similarity: float) -> np.ndarray:
+    """The least hashes, as signed numbers, of which two sets at ``similarity`` or more share one."""
+    return np.sort(h.view(np.int64))[: _first(len(h), similarity)]
 
 
-def _sketch(h: np.ndarray, width: int, bands: int) -> tuple[bytes, np.ndarray]:
-    if not len(h):
-        return bytes(8 * width), np.zeros(0, np.int64)
-    ones, least = np.zeros(64 * width, np.int64), np.full(2 * bands, np.iinfo(np.uint64).max, np.uint64)
+def _first(n: int, similarity: float) -> int:
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def sketch(text: bytes | None, shingle: int = 5, width: int = 16, similarity: float = 0.8) -> tuple[bytes, np.ndarray]:
+    """Long fingerprint (``width`` x 64 bits) of a text's set of word shingles and the set's :func:`first_shingles`."""
+    h = shingle_set(text, shingle)
+    ones = np.zeros(64 * width, np.int64)
     for at in range(0, len(h), 2048):
-        part = h[at : at + 2048]
-        ones += np.unpackbits(_mixed(part, _ODD[:width]).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-        least = np.minimum(least, _mixed(part, _ODD[width : width + 2 * bands]).min(0))
-    keys = _mixed(least[::2] + least[1::2] * np.uint64(0x9E3779B97F4A7C15), _ODD[-1:])[:, 0]
-    return np.packbits(2 * ones > len(h), bitorder="little").tobytes(), keys.view(np.int64)
+        ones += np.unpackbits(_mixed(h[at : at + 2048], _ODD[:width]).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes(), first_shingles(h, similarity)
 
 
 def radius_of(similarity: float, bits: int = 1024, deviations: float = 2.0) -> int:
@@ -251,11 +253,13 @@ def _near_forest(fp: np.ndarray, lead: int, radius: int) -> tuple[np.ndarray, np
     n = len(fp)
     _, near = _close(fp[:1], fp, radius)
     a, b = [np.zeros(len(near), np.int64)], [near]
-    rest = np.setdiff1d(np.arange(lead), near)
-    for at in range(0, len(rest), 512):
-        i, j = _close(fp[rest[at : at + 512]], fp, radius)
-        a.append(rest[at + i])
-        b.append(j)
+    outside = np.setdiff1d(np.arange(n), near)
+    # Leads outside meet all rows, leads inside the rows outside that do not lead.
+    for some, others in ((outside[outside < lead], np.arange(n)), (near[(near < lead) & (near > 0)], outside[outside >= lead])):
+        for at in range(0, len(some) if len(others) else 0, 512):
+            i, j = _close(fp[some[at : at + 512]], fp[others], radius)
+            a.append(some[at + i])
+            b.append(others[j])
     return forest(n, np.concatenate(a), np.concatenate(b))
 
 
@@ -381,13 +385,13 @@ def _grouped(batches, keys: int):
         yield rest
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 16, bands: int = 12, block: int = 512) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 16, block: int = 512, common: int = 1024) -> DataFrame:
     """(doc_id, component_id) for every row: groups of texts whose sets of shingles have a Jaccard of ``similarity`` or more."""
-    rows, texts = _similar(docs, similarity, shingle, width, bands, block)
+    rows, texts = _similar(docs, similarity, shingle, width, block, common)
     return rows.join(texts, "text_key").select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 16, bands: int = 12, block: int = 512) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, width: int = 16, block: int = 512, common: int = 1024) -> DataFrame:
     """One document of each group of :func:`similar_documents`, all columns.
 
     A document is a row's doc_id and text: different texts under one doc_id are
@@ -396,7 +400,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, widt
     rows that are one document but differ in other columns the one whose columns
     come first as text.
     """
-    rows, texts = _similar(docs, similarity, shingle, width, bands, block)
+    rows, texts = _similar(docs, similarity, shingle, width, block, common)
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "row")
     copies = keep(rows.groupBy("text_key", "row", "doc_id").agg(F.count("*").alias("n")))
     named = keep(copies.join(texts.select("text_key", "root"), "text_key").select("root", order.alias("o"), "n"))
@@ -413,21 +417,54 @@ def _document():
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("|"), F.coalesce("text", F.lit("")), F.col("text").isNull())
 
 
-def _similar(docs: DataFrame, similarity: float, shingle: int, width: int, bands: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _meetings(read: DataFrame, nodes: DataFrame, similarity: float, shingle: int, common: int) -> DataFrame:
+    """(node, cell): the first shingles of each text that another text has among its own.
+
+    Shingles that are among the first of more than ``common`` texts go to the end
+    of the order, so a line that many texts hold brings no two of them together
+    unless they hold little else. Any order gives the same links, so the tasks are told
+    the million most common ones, 8 MB, at most.
+    """
+    cells = nodes.select("node", F.explode("keys").alias("cell"))
+    counts = keep(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = keep(counts.where(F.col("n") > common).orderBy(F.desc("n"), "cell").limit(1_000_000).select("cell"))
+    if hot.isEmpty():
+        return cells.join(counts.select("cell"), "cell", "left_semi")
+    last = hot.sparkSession.sparkContext.broadcast(np.sort(hot.toArrow().column("cell").to_numpy()))
+
+    def choose(batches):
+        for batch in batches:
+            lists = []
+            for t in batch.column(1):
+                h = np.sort(shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, shingle).view(np.int64))
+                is_hot = last.value[np.minimum(np.searchsorted(last.value, h), len(last.value) - 1)] == h
+                lists.append(np.concatenate([h[~is_hot], h[is_hot]])[: _first(len(h), similarity)])
+            cell = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), cell], names=["row", "cell"])
+
+    late = keep(cells.join(hot, "cell", "left_semi").select("node").distinct().join(nodes.select("node", F.col("bearer").alias("row")), "node"))
+    again = read.join(late.select("row"), "row", "left_semi").select("row", "text").mapInArrow(choose, "row long, cell array<long>").dropDuplicates(["row"])
+    again = again.join(late, "row").select("node", F.explode("cell").alias("cell"))
+    cells = keep(cells.join(late.select("node"), "node", "left_anti").unionByName(again))
+    return cells.join(cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell"), "cell", "left_semi")
+
+
+def _similar(docs: DataFrame, similarity: float, shingle: int, width: int, block: int, common: int) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id, text_key) of every row and (text_key, root, component_id) of every text; the same lower-cased words are one text.
 
-    Candidates share a key and are within eight deviations of the mean distance
-    at ``similarity``, as few shingles spread wider than many; their groups are
+    Candidates share one of their first shingles (:func:`_meetings`) and are within 13
+    deviations of the mean distance at ``similarity``: few shingles spread wider than
+    many, four and five are at 8.9 deviations of theirs. Their groups are
     dealt once more with the sets of shingles, and only pairs that reach
     ``similarity`` exactly are linked (:func:`_connect`, both times).
     Rows, nulls and other columns as in :func:`near_duplicates`.
     """
-    radius = radius_of(similarity, 64 * width, 8.0)
+    radius = radius_of(similarity, 64 * width, 13.0)
 
     def run(batches):
         for batch in batches:
             texts = [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column(2)]
-            made = [sketch(t, shingle, width, bands) for t in texts]
+            made = [sketch(t, shingle, width, similarity) for t in texts]
             names = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]
             keys = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(k) for _, k in made)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(k for _, k in made)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array([s for s, _ in made], pa.binary()), keys], names=["row", "doc_id", "text_key", "fp", "keys"])
@@ -439,8 +476,8 @@ def _similar(docs: DataFrame, similarity: float, shingle: int, width: int, bands
     def near(columns, lead):
         return _near_forest(np.frombuffer(b"".join(columns[0]), np.uint64).reshape(-1, width), lead, radius)
 
-    cells = nodes.select("node", "fp", F.posexplode("keys").alias("band", "cell")).select("band", "cell", "node", "fp")
-    candidates = keep(components(_connect(cells, ["band", "cell"], block, near)))
+    cells = _meetings(read, nodes, similarity, shingle, common).join(nodes.select("node", "fp"), "node").select("cell", "node", "fp")
+    candidates = keep(components(_connect(keep(cells), ["cell"], block, near)))
 
     def sets(batches):
         for batch in batches:

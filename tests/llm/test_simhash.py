@@ -239,3 +239,29 @@ def test_a_group_without_a_common_hub_is_connected(docs_of, rng):
                     root[i] = root[j] = min(root[i], root[j])
     for block in (3, 512):
         assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(rows), block=block).collect()} == root
+
+
+def test_no_pair_at_the_similarity_is_left_to_chance(docs_of):
+    """Two texts at 0.8 of which no two least hashes agree, and a lead near the first whose own neighbour is not."""
+    import numpy as np
+
+    text = "w899 w139 w433 w1012 w3613 w2628 w1870 w2356 w569 w4579 w2517 w3791 w3676"
+    got = simhash.similar_documents(docs_of([(1, text), (2, text.rsplit(" ", 1)[0] + " end"), (3, "a b c d e f g")]))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {1: 1, 2: 1, 3: 3}
+    bits = np.zeros((4, 1024), np.uint8)
+    for k, n in enumerate((0, 200, 400, 900)):
+        bits[k, :n] = 1
+    a, b = simhash._near_forest(np.packbits(bits, axis=1).view(np.uint64), 2, 246)
+    assert {*a.tolist(), *b.tolist()} == {0, 1, 2} and len(a) == 2  # a forest of all three
+
+
+def test_common_shingles_come_last_without_losing_links(docs_of, rng):
+    lines = [" ".join(words(rng, 14, 5000)) for _ in range(3)]
+    rows = []
+    for k in range(90):
+        base = words(rng, rng.choice([1, 12, 30]), 5000)
+        for c in range(1 + k % 2):
+            rows.append((len(rows), " ".join(base[: len(base) - c] + ["end"] * c) + "\n" + "\n".join(lines[: k % 4])))
+    whole = sorted(map(tuple, simhash.similar_documents(docs_of(rows)).collect()))
+    assert 40 < len({c for _, c in whole}) < len(rows)
+    assert whole == sorted(map(tuple, simhash.similar_documents(docs_of(rows), common=4).collect()))
